@@ -104,8 +104,65 @@ scores AS (
 """
 
 
-def with_base(select: str) -> str:
-    return f"WITH {BASE_CTES.strip()}\n{select.strip()}"
+_F = ("avg_spend", "prediction", "last_seen", "device_price", "usage_frequency", "overall_brq")
+_APP_SUM = " + ".join(f"coalesce(ap.{c}, 0)" for c in APP_CATEGORIES)
+_POI_SUM = " + ".join(f"coalesce(pl.{c}, 0)" for c in PLACE_CODES)
+_MEANS_OF = ("r", "vf", "m", "usage_frequency", "avg_spend", "last_seen", "device_price",
+             "overall_brq", *APP_CATEGORIES, "overall_brq_poi", *PLACE_CODES)
+
+PROFILE_CTES = f"""
+age AS (SELECT c_custkey AS ifa, CAST(((c_nationkey % 5) + 5) % 5 AS DOUBLE) AS prediction FROM customer),
+devp AS (
+  SELECT ifa, price * CAST({_FX} AS DOUBLE) AS device_price FROM (
+    SELECT o_custkey AS ifa, o_totalprice AS price,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+    FROM orders) WHERE rn = 1 AND price <> 0.0),
+apps AS (
+  SELECT user_id AS ifa, {", ".join(f"count(*) FILTER (WHERE event_type = '{c}') AS {c}" for c in APP_CATEGORIES)}
+  FROM events GROUP BY user_id),
+places AS (
+  SELECT o.o_custkey AS ifa,
+         {", ".join(f"count(*) FILTER (WHERE 'RF_' || l.l_returnflag = '{c}') AS {c}" for c in PLACE_CODES)}
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
+wide AS (
+  SELECT s.*, a.prediction, dp.device_price, {_APP_SUM} AS overall_brq,
+         {", ".join(f"coalesce(ap.{c}, 0) AS {c}" for c in APP_CATEGORIES)},
+         {_POI_SUM} AS overall_brq_poi,
+         {", ".join(f"coalesce(pl.{c}, 0) AS {c}" for c in PLACE_CODES)}
+  FROM scores s LEFT JOIN age a ON s.ifa = a.ifa LEFT JOIN devp dp ON s.ifa = dp.ifa
+  LEFT JOIN apps ap ON s.ifa = ap.ifa LEFT JOIN places pl ON s.ifa = pl.ifa),
+clustered AS (SELECT *, LEAST(CAST(floor(r) AS INTEGER), 4) AS cluster FROM wide),
+feat AS (
+  SELECT ifa, cluster, {", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS x{i}" for i, c in enumerate(_F))}
+  FROM clustered WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _F)}),
+sd AS (SELECT {", ".join(f"stddev_samp(x{i}) AS s{i}" for i in range(len(_F)))} FROM feat),
+z AS (
+  SELECT f.ifa, f.cluster,
+         {", ".join(f"CASE WHEN sd.s{i} = 0 THEN 0.0 ELSE f.x{i} / sd.s{i} END AS z{i}" for i in range(len(_F)))}
+  FROM feat f CROSS JOIN sd),
+zz AS (SELECT *, {" + ".join(f"z{i} * z{i}" for i in range(len(_F)))} AS nrm FROM z),
+cstat AS (
+  SELECT cluster, count(*) AS n, {", ".join(f"sum(z{i}) AS t{i}" for i in range(len(_F)))}, sum(nrm) AS q
+  FROM zz GROUP BY cluster),
+pdist AS (
+  SELECT p.ifa, p.cluster AS own, c.cluster AS other, c.n,
+         p.nrm + c.q / c.n - 2 * ({" + ".join(f"p.z{i} * c.t{i}" for i in range(len(_F)))}) / c.n AS dist
+  FROM zz p CROSS JOIN cstat c),
+psil AS (
+  SELECT ifa, max(CASE WHEN own = other THEN n END) AS n_own,
+         max(CASE WHEN own = other AND n > 1 THEN dist * n / (n - 1) END) AS a,
+         min(CASE WHEN own <> other THEN dist END) AS b
+  FROM pdist GROUP BY ifa)
+"""
+
+
+def with_base(select: str, profile: bool = False) -> str:
+    ctes = BASE_CTES.strip() + ("," + PROFILE_CTES.rstrip() if profile else "")
+    return f"WITH {ctes}\n{select.strip()}"
+
+
+def _r(expr: str, alias: str) -> str:
+    return f"round({expr}, 6) AS {alias}"
 
 
 SCORING_SQL = {
@@ -142,5 +199,55 @@ SCORING_SQL = {
 }
 
 
+_MONTHS = ("200105", "200106", "200107", "200108")
+_MONTH_LIST = ", ".join(f"'{m}'" for m in _MONTHS)
+_BANDS = (("0.0", "18-24"), ("1.0", "25-34"), ("2.0", "35-49"), ("3.0", "50+"))
+
+SCAN_SQL = {
+    "month_pruned_scan": f"""
+        SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS orders,
+               count(DISTINCT o_custkey) AS devices
+        FROM orders WHERE strftime(o_orderdate, '%Y%m') IN ({_MONTH_LIST}) GROUP BY 1""",
+    "monthly_roundtrip": f"""
+        SELECT month, count(*) AS rows, count(DISTINCT ifa) AS devices,
+               CAST(sum(brq_count) AS BIGINT) AS brq
+        FROM usage_rec WHERE month IN ({_MONTH_LIST}) GROUP BY month""",
+}
+
+PROFILE_SQL = {
+    "features_scaled": "SELECT ifa, " + ", ".join(
+        f"round(z{i}, 6) AS z_{c}" for i, c in enumerate(_F)) + " FROM z",
+    "silhouette_given_labels": """
+        SELECT round(avg(CASE WHEN n_own = 1 THEN 0.0 WHEN a < b THEN 1 - a / b
+                              WHEN a > b THEN b / a - 1 ELSE 0.0 END), 9) AS silhouette
+        FROM psil""",
+    "cluster_means": "SELECT cluster, " + ", ".join(
+        _r(f"avg(CAST({c} AS DOUBLE))", c) for c in _MEANS_OF)
+        + ", count(ifa) AS ifa_count FROM clustered GROUP BY cluster ORDER BY cluster",
+    "category_shares": "SELECT cluster, " + ", ".join(
+        _r(f"avg(CAST({c} AS DOUBLE))", c) if c not in APP_CATEGORIES + PLACE_CODES else
+        _r(f"avg(CAST({c} AS DOUBLE)) / avg(CAST("
+           f"{'overall_brq' if c in APP_CATEGORIES else 'overall_brq_poi'} AS DOUBLE))", c)
+        for c in _MEANS_OF)
+        + ", count(ifa) AS ifa_count FROM clustered GROUP BY cluster ORDER BY cluster",
+    "band_distribution": "SELECT cluster, " + ", ".join(
+        f"nullif(count(*) FILTER (WHERE prediction = {v}), 0) AS \"{b}\"" for v, b in _BANDS)
+        + ", count(ifa) AS ifa_count FROM clustered GROUP BY cluster ORDER BY cluster",
+    "mean_vs_median": "SELECT cluster, " + ", ".join(
+        f"{_r(f'avg({c})', f'mean_{c}')}, quantile_disc({c}, 0.5) AS median_{c}, "
+        f"{_r(f'avg({c}) / quantile_disc({c}, 0.5)', f'mean_to_median_{c}')}"
+        for c in ("avg_spend", "device_price"))
+        + " FROM clustered GROUP BY cluster ORDER BY cluster",
+    "audience_lists": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
+    "audience_parquet": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
+    "audience_csv": f"""
+        SELECT DISTINCT cluster, CAST(ifa AS VARCHAR) AS "Mobile Device ID"
+        FROM clustered WHERE ifa IS NOT NULL""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_base(sel) for name, sel in SCORING_SQL.items()}
+    out = {name: with_base(sel) for name, sel in SCORING_SQL.items()}
+    out.update({name: with_base(sel) for name, sel in SCAN_SQL.items()})
+    out.update({name: with_base(sel, profile=True) for name, sel in PROFILE_SQL.items()})
+    return out

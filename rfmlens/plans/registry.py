@@ -12,7 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
+from rfmlens.operators.audience import audience_lists, export_audiences
 from rfmlens.operators.checks import uniqueness_check
+from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled_columns,
+                                       silhouette, silhouette_sweep)
+from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
+                                       mean_vs_median)
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
 from rfmlens.operators.spend import (category_usage, latest_device, monthly_spend, peak_spend,
                                      priced_devices)
@@ -20,10 +26,20 @@ from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import (enrich_usage, enriched_daily_summary, explode_apps,
                                      usage_histogram)
 from rfmlens.plans import scoring
-from rfmlens.session import cut_lineage
+from rfmlens.plans.profiling import round_doubles
+from rfmlens.session import cut_lineage, stage_path
 from rfmlens.sources import standins as S
+from rfmlens.sources.readers import months_predicate, read_monthly
+from rfmlens.sources.sinks import write_parquet
 
 CFG = S.STANDIN_CONFIG
+FEATURES = REFERENCE_FEATURES
+MEANS_OF = ("r", "vf", "m", "usage_frequency", "avg_spend", "last_seen", "device_price",
+            "overall_brq", *S.APP_CATEGORIES, "overall_brq_poi", *S.PLACE_CODES)
+SHARE_GROUPS = {"overall_brq": S.APP_CATEGORIES, "overall_brq_poi": S.PLACE_CODES}
+# Four months ending at the anchor month, like the reference's 2021-01..04.
+WINDOW_MONTHS = ("200105", "200106", "200107", "200108")
+REPORT_DIGITS = 6
 
 
 def scoring_inputs(spark: SparkSession, d: str) -> scoring.ScoringInputs:
@@ -108,6 +124,83 @@ def q_uniqueness_check(spark, d):
     return uniqueness_check(q_rfm_scores(spark, d), "ifa")
 
 
+def q_month_pruned_scan(spark, d):
+    """SRC-2 on the raw table: month ranges pushed to the Parquet scan."""
+    o = S.table(spark, d, "orders").where(months_predicate("o_orderdate", WINDOW_MONTHS))
+    return (o.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month"))
+            .agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("o_custkey").alias("devices")))
+
+
+def q_monthly_roundtrip(spark, d):
+    """SNK-1 month-partitioned write, SRC-2/3/8 pruned read of four months."""
+    path = stage_path(spark, "usage_monthly")
+    write_parquet(S.usage(spark, d), path, mode="overwrite", partition_by=["month"])
+    back = explode_apps(read_monthly(spark, path, WINDOW_MONTHS), keep=["month"])
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("rows"),
+                                     F.countDistinct("ifa").alias("devices"),
+                                     F.sum("brq_count").alias("brq"))
+
+
+def _wide(spark, d) -> DataFrame:
+    return S.combined(spark, d, q_rfm_scores(spark, d), S.device_prices(spark, d))
+
+
+def _rule_clustered(spark, d) -> DataFrame:
+    return cut_lineage(S.recency_band(_wide(spark, d)))
+
+
+def q_features_scaled(spark, d):
+    return scaled_columns(prepare_features(_wide(spark, d), FEATURES), FEATURES)
+
+
+def q_silhouette_given_labels(spark, d):
+    prepared = prepare_features(_rule_clustered(spark, d), FEATURES)
+    value = silhouette(prepared, prediction="cluster")
+    return spark.createDataFrame([(round(value, 9),)], "silhouette double")
+
+
+def q_silhouette_sweep(spark, d):
+    return silhouette_sweep(prepare_features(_wide(spark, d), FEATURES), REFERENCE_SWEEP_KS)
+
+
+def q_assign_clusters(spark, d):
+    return assign_clusters(prepare_features(_wide(spark, d), FEATURES), k=6)
+
+
+def q_cluster_means(spark, d):
+    return round_doubles(cluster_means(_rule_clustered(spark, d), MEANS_OF), REPORT_DIGITS)
+
+
+def q_category_shares(spark, d):
+    means = cluster_means(_rule_clustered(spark, d), MEANS_OF)
+    return round_doubles(category_shares(means, SHARE_GROUPS), REPORT_DIGITS)
+
+
+def q_band_distribution(spark, d):
+    return band_distribution(_rule_clustered(spark, d), value="prediction")
+
+
+def q_mean_vs_median(spark, d):
+    return round_doubles(mean_vs_median(_rule_clustered(spark, d), ("avg_spend", "device_price")),
+                         REPORT_DIGITS)
+
+
+def q_audience_lists(spark, d):
+    return audience_lists(_rule_clustered(spark, d))
+
+
+def q_audience_parquet(spark, d):
+    path = stage_path(spark, "audience_parquet")
+    export_audiences(_rule_clustered(spark, d), path, "parquet")
+    return spark.read.parquet(path)
+
+
+def q_audience_csv(spark, d):
+    path = stage_path(spark, "audience_csv")
+    export_audiences(_rule_clustered(spark, d), path, "csv", label=REFERENCE_AUDIENCE_LABEL)
+    return spark.read.option("header", "true").csv(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_usage": q_explode_usage,
     "enrich_usage": q_enrich_usage,
@@ -126,6 +219,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_monetary": q_dist_monetary,
     "rfm_scores": q_rfm_scores,
     "uniqueness_check": q_uniqueness_check,
+    "month_pruned_scan": q_month_pruned_scan,
+    "monthly_roundtrip": q_monthly_roundtrip,
+    "features_scaled": q_features_scaled,
+    "silhouette_given_labels": q_silhouette_given_labels,
+    "silhouette_sweep": q_silhouette_sweep,
+    "assign_clusters": q_assign_clusters,
+    "cluster_means": q_cluster_means,
+    "category_shares": q_category_shares,
+    "band_distribution": q_band_distribution,
+    "mean_vs_median": q_mean_vs_median,
+    "audience_lists": q_audience_lists,
+    "audience_parquet": q_audience_parquet,
+    "audience_csv": q_audience_csv,
 }
 
 

@@ -34,9 +34,10 @@ def read_monthly(spark: SparkSession, root: str, months: Sequence[str] | None =
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.parquet(root)
+    # Partition discovery types 202101 as an integer; keep the yyyyMM text.
+    df = reader.parquet(root).withColumn(month_col, F.col(month_col).cast("string"))
     if months:
-        df = df.where(F.col(month_col).cast("string").isin([str(m) for m in months]))
+        df = df.where(F.col(month_col).isin([str(m) for m in months]))
     return df
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.config import ScoringConfig
+from rfmlens.operators.spend import latest_device, priced_devices
 from rfmlens.operators.usage import explode_apps
 
 # Fixed values of the role mapping (test tables -> reference roles).
@@ -42,7 +43,9 @@ STANDIN_CONFIG = ScoringConfig(
     scale=5.0,
 )
 APP_CATEGORIES = ("click", "error", "purchase", "signup", "view")
-PLACE_CODES = ("A", "N", "R")
+# Return flags A/N/R, prefixed: Spark resolves names case-insensitively and
+# "r" is already the recency score.
+PLACE_CODES = ("RF_A", "RF_N", "RF_R")
 AGE_CLASSES = 5
 
 
@@ -121,10 +124,11 @@ def app_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def place_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.concat(F.lit("RF_"), F.col("l_returnflag")).alias("place"))
     return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
             .groupBy(F.col("o_custkey").alias("ifa"))
-            .pivot("l_returnflag", list(PLACE_CODES)).agg(F.count(F.lit(1))))
+            .pivot("place", list(PLACE_CODES)).agg(F.count(F.lit(1))))
 
 
 def combined(spark: SparkSession, sf_dir: str, scores: DataFrame, device_price: DataFrame) -> DataFrame:
@@ -147,6 +151,12 @@ def combined(spark: SparkSession, sf_dir: str, scores: DataFrame, device_price:
                     overall_poi.alias("overall_brq_poi"), *place_cols))
 
 
+def device_prices(spark: SparkSession, sf_dir: str, fx_rate: float = STANDIN_CONFIG.fx_rate) -> DataFrame:
+    """Latest priced device per device id over all months."""
+    latest = latest_device(devices(spark, sf_dir), ("ifa",))
+    return priced_devices(latest, fx_rate, month=None).withColumnRenamed("myr_price", "device_price")
+
+
 def recency_band(df: DataFrame, score: str = "r", out: str = "cluster", top: int = 4) -> DataFrame:
     """Rule-given segment labels (score band 0..top) for checking the profile
     operators against SQL, where k-means labels cannot be reproduced."""
