@@ -102,7 +102,11 @@ def percent_ranks(
         m = len(splits) - 1  # finite buckets 0..m-1, NaN -> m
         xcol, bcol, ocol = f"_x{i}", f"_b{i}", f"_o{i}"
         work = work.withColumn(xcol, F.coalesce(F.col(s.column).cast("double"), F.lit(float("nan"))))
-        work = Bucketizer(splits=splits, inputCol=xcol, outputCol=bcol, handleInvalid="keep").transform(work)
+        if bounds:
+            work = Bucketizer(splits=splits, inputCol=xcol, outputCol=bcol,
+                              handleInvalid="keep").transform(work)
+        else:  # one finite bucket; Bucketizer needs at least three splits
+            work = work.withColumn(bcol, F.when(F.isnan(xcol), F.lit(1.0)).otherwise(F.lit(0.0)))
         b = F.col(bcol).cast("int")
         if s.descending:   # NaN first, high buckets first, nulls last
             o = F.when(F.col(s.column).isNull(), F.lit(m + 2)).otherwise(F.lit(m + 1) - b)

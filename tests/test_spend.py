@@ -1,0 +1,73 @@
+"""OP-3..6, OP-9: taxonomy, latest device, category usage, spend."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from conftest import rows
+from fixtures import frames, taxonomy_frames
+from rfmlens.operators.spend import (category_usage, latest_device, monthly_spend, peak_spend,
+                                     priced_devices)
+from rfmlens.operators.taxonomy import app_taxonomy
+from rfmlens.operators.topk import top1_per_key
+
+
+def test_taxonomy_left_joins_keep_uncategorised(spark):
+    tax = app_taxonomy(*taxonomy_frames(spark))
+    assert tax.columns == ["bundle", "app_l1_name", "app_l2_name", "app_l3_name", "lifestage_name"]
+    got = {r.bundle: (r.app_l1_name, r.lifestage_name) for r in tax.collect()}
+    assert got == {"b1": ("Video Streaming", "Young"), "b2": ("Games", "Young"),
+                   "b3": ("Video Streaming", None)}
+
+
+def test_category_usage_equals_cross_product(spark):
+    usage, _, _ = frames(spark)
+    tax = app_taxonomy(*taxonomy_frames(spark))
+    # the reference: explode apps, then connections (cross product), left join, filters
+    brq2 = (usage.select("ifa", "month", F.explode("app"), "connection")
+            .select("ifa", "month", "col.*", F.explode("connection"))
+            .select("ifa", "month", "bundle", "col.req_con_type_desc", "brq_count"))
+    app = brq2.join(tax, "bundle", "left")
+    expected = (app.filter(F.col("app_l1_name") == "Video Streaming")
+                .filter(~F.col("req_con_type_desc").like("WIFI") & ~F.col("req_con_type_desc").like("Unknown"))
+                .groupBy("ifa", "month").agg(F.sum("brq_count").alias("data_streaming")))
+    got = category_usage(usage, tax, "Video Streaming")
+    assert rows(got) == rows(expected.select(*got.columns))
+    # d001 Jan: b1 (2) on 4G only; March: b1 (4) on 4G + b3 (1) on 4G and 3G
+    assert rows(got.where("ifa = 'd001'"), "month", "data_streaming") == [("202101", 2), ("202103", 6)]
+    # d003's channels are null, Unknown and wifi -> only 'wifi' counts (case-sensitive)
+    assert rows(got.where("ifa = 'd003'"), "data_streaming") == [(6,)]
+
+
+def test_latest_device_tie_break_and_price_rules(spark):
+    _, _, dev = frames(spark)
+    latest = latest_device(dev, ("ifa", "month"))
+    picked = {(r.ifa, r.month): r.record_id for r in latest.collect()}
+    assert picked[("d001", "202101")] == 2          # same day, higher record id
+    assert picked[("d005", "202102")] == 5          # later snapshot
+    priced = {(r.ifa, r.month): r.myr_price for r in priced_devices(latest, 4.13).collect()}
+    # zero as '0' or '0.0', null and unparsable prices are dropped
+    assert priced == {("d001", "202101"): 200.0 * 4.13, ("d002", "202101"): 50.0 * 4.13}
+
+
+def test_top1_matches_row_number(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 10.0), ("a", 2, None), ("a", 3, 30.0), ("b", 1, None), ("c", 5, 1.0), ("c", 6, 1.0)],
+        "k string, id int, v double")
+    for desc in (True, False):
+        order = [F.col("v").desc(), F.col("id").desc()] if desc else [F.col("v").asc(), F.col("id").asc()]
+        w = Window.partitionBy("k").orderBy(*order)
+        expected = df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+        got = top1_per_key(df, ["k"], ["v", "id"], descending=desc)
+        assert rows(got, "k", "id", "v") == rows(expected, "k", "id", "v")
+
+
+def test_spend_and_peak(spark):
+    priced = spark.createDataFrame([("d1", "202101", 10.0), ("d1", "202102", 20.0), ("d2", "202101", 5.0)],
+                                   "ifa string, month string, myr_price double")
+    streaming = spark.createDataFrame([("d1", "202101", 7), ("d1", "202102", 1), ("d3", "202101", 4)],
+                                      "ifa string, month string, data_streaming bigint")
+    spend = monthly_spend(priced, streaming)
+    assert rows(spend) == [("d1", "202101", 17.0), ("d1", "202102", 21.0)]
+    assert rows(peak_spend(spend)) == [("d1", 21.0)]
+    nulls = spark.createDataFrame([("d9", "202101", None)], "ifa string, month string, spend double")
+    assert rows(peak_spend(nulls)) == [("d9", None)]
