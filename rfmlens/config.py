@@ -55,6 +55,7 @@ class ClusteringConfig:
     seed: int = 20210501
     n_init: int = 1
     max_iter: int = 20
-    # Fixed layout before fitting so that a fit is repeatable (EXT-2).
-    layout_partitions: int = 8
+    # Partitions of the fixed fitting layout (EXT-2); None derives it from the
+    # row count, which keeps it a function of the data.
+    layout_partitions: int | None = None
     key: str = "ifa"

@@ -28,10 +28,13 @@ def audience_sizes(lists: DataFrame, cluster: str = "cluster", key: str = "ifa")
 
 
 def export_audiences(model: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                     cluster: str = "cluster", key: str = "ifa", label: str | None = None) -> None:
+                     cluster: str = "cluster", key: str = "ifa", label: str | None = None,
+                     files_per_segment: int | None = None) -> None:
     """OP-20/OP-21 (SNK-2, SNK-6, SNK-7): one directory per segment, one job.
 
     For CSV, ``label`` is the header of the id column (the reference uses
-    ``Mobile Device ID``) and each segment is one file, written in parallel.
+    ``Mobile Device ID``). ``files_per_segment=1`` gives the reference's one
+    file per segment; see ``write_segments`` for the cost of that.
     """
-    write_segments(model, path, segment=cluster, key=key, mode=mode, fmt=fmt, label=label)
+    write_segments(model, path, segment=cluster, key=key, mode=mode, fmt=fmt, label=label,
+                   files_per_segment=files_per_segment)

@@ -6,8 +6,9 @@ Distributed MLlib estimators; nothing is collected except the fitted model
 EXT-2, repeatable k-means: k-means|| sampling depends on how rows are laid out
 in partitions, so the same rows under a different partitioning can converge
 to a different local optimum. Before fitting, rows are hash partitioned by
-the device key into a constant number of partitions and sorted by key inside
-each, which makes the layout a function of the data alone. Several seeds can
+the device key into a number of partitions derived from the row count and
+sorted by key inside each, which makes the layout a function of the data
+alone. Several seeds can
 be tried (lowest training cost wins) and clusters are renumbered by the
 lexicographic order of their centres so labels mean the same between runs.
 The device key is carried through ``transform`` instead of re-attaching
@@ -16,6 +17,7 @@ predictions by a generated row id (JN-7).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -66,9 +68,22 @@ def scaled_columns(prepared: DataFrame, names: Sequence[str], key: str = "ifa",
     return prepared.select(key, *cols)
 
 
-def fixed_layout(df: DataFrame, key: str = "ifa", partitions: int = 8) -> DataFrame:
+# Rows per partition of the fitting layout; the partition count is derived
+# from the row count, so it is a function of the data alone (repeatable) and
+# grows with it (a 31M-device table gets ~125 fitting tasks, not 8).
+ROWS_PER_LAYOUT_PARTITION = 250_000
+MIN_LAYOUT_PARTITIONS = 8
+
+
+def layout_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_LAYOUT_PARTITION,
+                      minimum: int = MIN_LAYOUT_PARTITIONS) -> int:
+    return max(minimum, math.ceil(df.count() / rows_per_partition))
+
+
+def fixed_layout(df: DataFrame, key: str = "ifa", partitions: int | None = None) -> DataFrame:
     """Layout that depends only on the data: hash by key, sorted by key."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
+    n = partitions or layout_partitions(df)
+    return df.repartition(n, key).sortWithinPartitions(key)
 
 
 def silhouette(df: DataFrame, prediction: str = "prediction", features: str = SCALED_COL) -> float:
@@ -88,7 +103,7 @@ class Fit:
 
 
 def fit_kmeans(prepared: DataFrame, k: int, seed: int = 20210501, n_init: int = 1,
-               max_iter: int = 20, key: str = "ifa", partitions: int = 8,
+               max_iter: int = 20, key: str = "ifa", partitions: int | None = None,
                laid_out: bool = False) -> Fit:
     """EXT-2: k-means on a fixed layout; best of ``n_init`` seeds; stable labels."""
     data = prepared if laid_out else fixed_layout(prepared.select(key, SCALED_COL), key, partitions)
@@ -119,7 +134,7 @@ def assign(prepared: DataFrame, fit: Fit, out: str = "cluster",
 
 
 def assign_clusters(prepared: DataFrame, k: int = 6, seed: int = 20210501, n_init: int = 1,
-                    max_iter: int = 20, key: str = "ifa", partitions: int = 8,
+                    max_iter: int = 20, key: str = "ifa", partitions: int | None = None,
                     out: str = "cluster") -> DataFrame:
     """OP-16 (ML-3, ML-6): fit and label in one call."""
     fit = fit_kmeans(prepared, k, seed, n_init, max_iter, key, partitions)
@@ -128,7 +143,7 @@ def assign_clusters(prepared: DataFrame, k: int = 6, seed: int = 20210501, n_ini
 
 def silhouette_sweep(prepared: DataFrame, ks: Sequence[int] = tuple(range(2, 10)),
                      seed: int = 20210501, n_init: int = 1, max_iter: int = 20,
-                     key: str = "ifa", partitions: int = 8) -> DataFrame:
+                     key: str = "ifa", partitions: int | None = None) -> DataFrame:
     """OP-15 (ML-4, ML-5): silhouette and training cost for every k.
 
     The scaled features are persisted once for all fits (the reference

@@ -101,7 +101,7 @@ def q_rfm_measures(spark, d):
 
 
 def _measures_ckpt(spark, d) -> DataFrame:
-    return cut_lineage(q_rfm_measures(spark, d))
+    return cut_lineage(q_rfm_measures(spark, d), "measures")
 
 
 def q_dist_recency(spark, d):
@@ -146,7 +146,7 @@ def _wide(spark, d) -> DataFrame:
 
 
 def _rule_clustered(spark, d) -> DataFrame:
-    return cut_lineage(S.recency_band(_wide(spark, d)))
+    return cut_lineage(S.recency_band(_wide(spark, d)), "clustered")
 
 
 def q_features_scaled(spark, d):

@@ -54,7 +54,7 @@ def measures_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
 def scores_frame(inp: ScoringInputs, cfg: ScoringConfig, checkpoint: bool = True) -> DataFrame:
     measures = measures_frame(inp, cfg)
     if checkpoint:
-        measures = cut_lineage(measures)
+        measures = cut_lineage(measures, "measures")
     return rfm_scores(measures, cfg.scale)
 
 

@@ -58,7 +58,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage", parquet: bool = True) -> DataFrame:
+    """Cut the lineage of a frame that several later jobs read.
+
+    Default: a Parquet stage table in the shared folder (columnar, so a later
+    job that needs one column reads one column; survives executor loss).
+    ``parquet=False`` uses a reliable RDD checkpoint in the same folder.
+    Never a local checkpoint: those die with their executor.
+    """
+    spark = df.sparkSession
+    if not parquet:
+        shared_dir(spark)
+        return df.checkpoint(eager=True)
+    path = stage_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

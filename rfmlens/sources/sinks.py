@@ -37,21 +37,27 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: boo
 
 def write_segments(df: DataFrame, path: str, segment: str = "cluster", key: str = "ifa",
                    mode: str = "errorifexists", fmt: str = "parquet",
-                   label: str | None = None) -> None:
+                   label: str | None = None, files_per_segment: int | None = None) -> None:
     """SNK-6/SNK-7: one directory per segment (``segment=<id>``) in one job.
 
-    Rows are distinct (segment, key) pairs. For CSV, rows are first hash
-    partitioned by segment so each segment is written by one task as one
-    file, all segments in parallel; ``label`` renames the key column header.
+    Rows are distinct (segment, key) pairs; ``label`` renames the key column
+    (the CSV header). By default every task writes its share of every
+    segment, so a segment holding a third of all devices is written by all
+    tasks. ``files_per_segment=n`` gives exactly n files per segment, rows
+    spread by a hash of the key; ``1`` reproduces the reference's single file
+    per segment and funnels each segment through one task (small lists only).
     """
     pairs = df.select(segment, key).distinct()
+    if files_per_segment:
+        salt = F.pmod(F.xxhash64(F.col(key)), F.lit(int(files_per_segment)))
+        pairs = pairs.repartition(segment, salt) if files_per_segment > 1 else pairs.repartition(segment)
     if label:
         pairs = pairs.withColumnRenamed(key, label)
+    w = pairs.write.mode(mode).partitionBy(segment)
     if fmt == "csv":
-        (pairs.repartition(segment).write.mode(mode).option("header", "true")
-         .partitionBy(segment).csv(path))
+        w.option("header", "true").csv(path)
     else:
-        pairs.write.mode(mode).partitionBy(segment).parquet(path)
+        w.parquet(path)
 
 
 def read_segments(spark, path: str, fmt: str = "parquet", segment: str = "cluster"):

@@ -66,9 +66,11 @@ def test_segments_csv_and_errorifexists(spark):
     assert rows(spark.read.parquet(root + "/pq"), "cluster", "ifa") == [(0, "d1"), (0, "d2"), (11, "d3")]
     with pytest.raises(Exception):
         write_segments(m, root + "/pq")
-    write_segments(m, root + "/csv", fmt="csv", label="Mobile Device ID")
+    write_segments(m, root + "/csv", fmt="csv", label="Mobile Device ID", files_per_segment=1)
     files = [f for f in os.listdir(root + "/csv/cluster=0") if f.endswith(".csv")]
     assert len(files) == 1                             # one file per segment
+    write_segments(m, root + "/csv3", fmt="csv", files_per_segment=3)
+    assert spark.read.option("header", "true").csv(root + "/csv3").count() == 3
     back = spark.read.option("header", "true").csv(root + "/csv")
     assert "Mobile Device ID" in back.columns and back.count() == 3
     write_csv(m, root + "/report", single_file=True)
