@@ -26,6 +26,7 @@ Ties share the lowest rank, as in ``percent_rank``.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,31 @@ class RankSpec:
         return self.output or f"{self.column}_percentile"
 
 
+def _order_key(df: DataFrame, column: str):
+    """A double that never decreases when the column's value increases.
+
+    Only used to cut the value range into buckets (ranks themselves compare
+    the original values), so ties or rounding in the key are harmless.
+    """
+    c = F.col(column)
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        # zone-free: a cast through the session zone is not monotone across DST gaps
+        epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
+        # first 6 bytes in binary (UTF-8 byte) order, as a 48-bit number
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    return c.cast("double")
+
+
 def _broadcast_rows(df: DataFrame) -> int:
     """Rows of (value, rank) that fit the session's broadcast threshold."""
     raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
@@ -80,8 +107,9 @@ def percent_ranks(
 
     # Pass 1: N, bucket bounds, distinct estimate (one job for all columns).
     aggs = [F.count(F.lit(1)).alias("_n")]
+    keys = [_order_key(df, s.column) for s in specs]
     for i, s in enumerate(specs):
-        x = F.col(s.column).cast("double")
+        x = keys[i]
         if probs:
             aggs.append(F.percentile_approx(x, probs, accuracy).alias(f"_q{i}"))
         aggs.append(F.approx_count_distinct(F.col(s.column), 0.02).alias(f"_d{i}"))
@@ -101,7 +129,7 @@ def percent_ranks(
         splits = [float("-inf")] + bounds + [float("inf")]
         m = len(splits) - 1  # finite buckets 0..m-1, NaN -> m
         xcol, bcol, ocol = f"_x{i}", f"_b{i}", f"_o{i}"
-        work = work.withColumn(xcol, F.coalesce(F.col(s.column).cast("double"), F.lit(float("nan"))))
+        work = work.withColumn(xcol, F.coalesce(keys[i], F.lit(float("nan"))))
         if bounds:
             work = Bucketizer(splits=splits, inputCol=xcol, outputCol=bcol,
                               handleInvalid="keep").transform(work)

@@ -204,6 +204,11 @@ _MONTH_LIST = ", ".join(f"'{m}'" for m in _MONTHS)
 _BANDS = (("0.0", "18-24"), ("1.0", "25-34"), ("2.0", "35-49"), ("3.0", "50+"))
 
 SCAN_SQL = {
+    "percent_rank_scaled": """
+        SELECT l_orderkey, l_linenumber,
+               percent_rank() OVER (ORDER BY l_extendedprice ASC NULLS FIRST) AS price_pct,
+               percent_rank() OVER (ORDER BY l_shipdate DESC NULLS LAST) AS ship_pct
+        FROM lineitem""",
     "month_pruned_scan": f"""
         SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS orders,
                count(DISTINCT o_custkey) AS devices

@@ -17,6 +17,7 @@ from rfmlens.operators.audience import audience_lists, export_audiences
 from rfmlens.operators.checks import uniqueness_check
 from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled_columns,
                                        silhouette, silhouette_sweep)
+from rfmlens.operators.rank import RankSpec, percent_ranks
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
@@ -120,6 +121,14 @@ def q_rfm_scores(spark, d):
     return rfm_scores(_measures_ckpt(spark, d), CFG.scale)
 
 
+def q_percent_rank_scaled(spark, d):
+    """EXT-1 alone over a whole raw table: price ascending, ship date descending."""
+    li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    ranked = percent_ranks(li, [RankSpec("l_extendedprice", False, "price_pct"),
+                                RankSpec("l_shipdate", True, "ship_pct")])
+    return ranked.select("l_orderkey", "l_linenumber", "price_pct", "ship_pct")
+
+
 def q_uniqueness_check(spark, d):
     return uniqueness_check(q_rfm_scores(spark, d), "ifa")
 
@@ -219,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_monetary": q_dist_monetary,
     "rfm_scores": q_rfm_scores,
     "uniqueness_check": q_uniqueness_check,
+    "percent_rank_scaled": q_percent_rank_scaled,
     "month_pruned_scan": q_month_pruned_scan,
     "monthly_roundtrip": q_monthly_roundtrip,
     "features_scaled": q_features_scaled,

@@ -84,6 +84,33 @@ def test_percent_rank_property(spark, values, desc):
     _check_equal(df, "v", desc, 4)
 
 
+def test_non_numeric_columns(spark):
+    rnd = random.Random(11)
+    base = dt.datetime(2021, 3, 14, 1, 0)
+    data = [(i, base + dt.timedelta(minutes=rnd.randint(0, 300)), D(2021, 1, 1) + dt.timedelta(days=rnd.randint(0, 60)),
+             rnd.choice(["", "a", "ab", "b", "ba", "zz", "é", "éa", None]))
+            for i in range(600)]
+    df = spark.createDataFrame(data, "id int, ts timestamp_ntz, d date, s string")
+    for col in ("ts", "d", "s"):
+        for desc in (False, True):
+            _check_equal(df, col, desc, 8)
+
+
+def test_shuffle_join_branch(spark):
+    """With broadcasting disabled the ranked histogram is joined by a shuffle."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rnd = random.Random(5)
+        df = spark.createDataFrame([(i, None if i % 17 == 0 else rnd.randint(0, 400)) for i in range(2000)],
+                                   "id int, v int")
+        got = percent_ranks(df, [("v", True, "p")], buckets=8)
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", True, "p"), "id", "p")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_no_single_partition_in_plan(spark):
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 97).cast("double").alias("v"))
     plan = percent_ranks(df, [("v", True, "p")], buckets=8)._jdf.queryExecution().executedPlan().toString()
