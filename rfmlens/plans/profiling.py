@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from rfmlens.operators.audience import audience_lists, export_audiences
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
+from rfmlens.sources.sinks import write_csv
 
 
 def round_doubles(df: DataFrame, digits: int) -> DataFrame:
@@ -40,3 +41,15 @@ def export(model: DataFrame, root: str, cluster: str = "cluster", key: str = "if
     """Parquet list per segment, CSV copy per segment with the id header."""
     export_audiences(model, f"{root}/parquet", "parquet", mode, cluster, key)
     export_audiences(model, f"{root}/csv", "csv", mode, cluster, key, label)
+
+
+def run(model: DataFrame, out_root: str, means_of: Sequence[str],
+        share_groups: Mapping[str, Sequence[str]], cluster: str = "cluster", key: str = "ifa",
+        mode: str = "overwrite") -> dict[str, DataFrame]:
+    """Profiles written as small CSV reports, plus the audience exports."""
+
+    report = profile_report(model, means_of, share_groups, cluster, key)
+    for name in ("means", "shares", "bands", "median"):
+        write_csv(report[name], f"{out_root}/{name}", mode=mode, single_file=True)
+    export(model, f"{out_root}/ifa_list", cluster, key, mode=mode)
+    return report

@@ -20,6 +20,7 @@ from rfmlens.operators.spend import (category_usage, latest_device, monthly_spen
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import daily_usage, explode_apps, usage_histogram
 from rfmlens.session import cut_lineage
+from rfmlens.sources.sinks import write_csv, write_parquet
 
 
 @dataclass
@@ -65,3 +66,22 @@ def histogram_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
 def distributions(measures: DataFrame, key: str = "ifa") -> dict[str, DataFrame]:
     return {m: value_distribution(measures, m, key)
             for m in ("last_seen", "usage_frequency", "avg_spend")}
+
+
+def run(inp: ScoringInputs, cfg: ScoringConfig, out_root: str, mode: str = "overwrite") -> DataFrame:
+    """The whole scoring job with the reference's outputs.
+
+    Writes: usage histogram and the three distributions (small reports, one
+    CSV file each), monthly spend (Parquet by month), and the scores (Parquet;
+    the reference's single-file CSV would push every device through one task).
+    Returns the scores read back from their written location.
+    """
+
+    spark = inp.usage.sparkSession
+    write_csv(histogram_frame(inp, cfg), f"{out_root}/brq_count", mode=mode, single_file=True)
+    write_parquet(spend_frame(inp, cfg), f"{out_root}/spend_df", mode=mode, partition_by=["month"])
+    measures = cut_lineage(measures_frame(inp, cfg), "measures")
+    for name, dist in distributions(measures, cfg.key).items():
+        write_csv(dist, f"{out_root}/dist_{name}", mode=mode, single_file=True)
+    write_parquet(rfm_scores(measures, cfg.scale), f"{out_root}/output_rfm", mode=mode)
+    return spark.read.parquet(f"{out_root}/output_rfm")
