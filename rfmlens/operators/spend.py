@@ -40,7 +40,7 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
                    category_col: str = "app_l1_name", excluded: Sequence[str] = ("WIFI", "Unknown"),
                    key: str = "ifa", month: str | None = "month", app: str = "app",
                    connection: str = "connection", channel: str = "req_con_type_desc",
-                   check_sizes: bool = True) -> DataFrame:
+                   check_sizes: bool = False) -> DataFrame:
     """OP-5 (GEN-2, JN-4, FLT-1, FLT-4, AGG-3): usage of one app category on data.
 
     The reference explodes apps and connections of each record into their
@@ -51,7 +51,8 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
 
     The category filter rejects apps without a category, so the reference's
     left join becomes an inner join against the category's bundles (a small
-    dimension, broadcast behind a row-count check).
+    dimension: broadcast by the planner's size check, or behind an explicit
+    row-count bound with ``check_sizes``).
     """
     keys = [key] + ([month] if month else [])
     allowed = F.filter(F.col(connection),

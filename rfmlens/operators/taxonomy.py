@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 TAXONOMY_COLUMNS = ("bundle", "app_l1_name", "app_l2_name", "app_l3_name", "lifestage_name")
 
-# Dimension tables above this many rows are joined with a shuffle instead of
-# being broadcast. The check reads at most limit+1 rows.
+# Broadcasting dimensions. By default no hint is given: Spark's planner
+# broadcasts a side whose size estimate (from file statistics) is below
+# spark.sql.autoBroadcastJoinThreshold, and AQE re-checks the actual size at
+# run time. ``check_sizes=True`` adds an explicit row-count bound for inputs
+# whose estimate is unreliable (e.g. produced by a generator); the check runs
+# one small job that reads at most limit+1 rows.
 DIMENSION_BROADCAST_ROWS = 2_000_000
 
 
@@ -23,7 +27,7 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS
 
 
 def app_taxonomy(master: DataFrame, level: DataFrame, lifestage: DataFrame,
-                 check_sizes: bool = True) -> DataFrame:
+                 check_sizes: bool = False) -> DataFrame:
     """Left joins keep every app of the master list, categorised or not."""
     lv = broadcast_if_bounded(level) if check_sizes else level
     ls = broadcast_if_bounded(lifestage) if check_sizes else lifestage
