@@ -13,12 +13,18 @@ so the job is a histogram problem:
    many distinct values) and an approximate distinct count per column;
 2. a second aggregate pass counts rows per (column, bucket); the B+3 totals per
    column come back to the driver and become constant bucket offsets;
-3. per column, the histogram ``groupBy(v).count()`` (map-side combined, so a
-   hot value collapses to one row) is ranked inside its bucket with a window
-   partitioned by bucket, the bucket offset is added, and the small ranked
-   histogram is joined back on the value (null-safe). It is broadcast only
-   when the distinct-count estimate is below the session's broadcast size;
-   otherwise it is a shuffle join, where AQE splits a hot value.
+3. per column, one of three plans, chosen from those numbers:
+   * few distinct values (the estimate fits the session's broadcast size):
+     the histogram ``groupBy(v).count()`` (map-side combined, so a hot value
+     collapses to one row) is ranked inside its bucket with a window
+     partitioned by bucket, the bucket offset is added, and the small ranked
+     histogram is broadcast and joined back on the value (null-safe);
+   * many distinct values and every bucket holds at most ~2N/B rows: rows are
+     ranked directly with ``rank()`` in a window partitioned by bucket (ties
+     never straddle buckets) plus the offset -- one shuffle, no join back;
+   * otherwise the light buckets go the direct way and only the heavy ones
+     (a hot value) through the histogram, so no task ever receives more
+     than the bound.
 
 Null placement follows Spark: ascending puts nulls first, descending last.
 Ties share the lowest rank, as in ``percent_rank``.
@@ -48,6 +54,10 @@ class RankSpec:
         return self.output or f"{self.column}_percentile"
 
 
+# Lower bound of the "heavy bucket" limit (rows); see percent_ranks.
+DIRECT_BUCKET_MIN_ROWS = 100_000
+
+
 def _order_key(df: DataFrame, column: str):
     """A double that never decreases when the column's value increases.
 
@@ -90,7 +100,8 @@ def percent_ranks(
     specs: Sequence[RankSpec | tuple],
     *,
     buckets: int | None = None,
-    accuracy: int = 10000,
+    accuracy: int | None = None,
+    max_bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add one ``percent_rank`` column per spec, computed without SinglePartition.
 
@@ -104,6 +115,8 @@ def percent_ranks(
     nb = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
     nb = max(1, nb)
     probs = [i / nb for i in range(1, nb)]
+    # Bounds only balance the buckets; an error well below 1/nb is enough.
+    accuracy = accuracy or min(10000, max(1000, 20 * nb))
 
     # Pass 1: N, bucket bounds, distinct estimate (one job for all columns).
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -154,9 +167,12 @@ def percent_ranks(
     for r in totals:
         per_spec[r["s"]][r["o"]] = int(r["c"])
 
-    out = df
     bcast_rows = _broadcast_rows(df)
     denom = float(n_rows - 1)
+    # A bucket with more rows than this is "heavy" (it holds a hot value) and
+    # is ranked through its histogram; lighter buckets are ranked directly.
+    limit = max_bucket_rows or max(2 * math.ceil(n_rows / nb), DIRECT_BUCKET_MIN_ROWS)
+    out = work
     for i, s in enumerate(specs):
         counts = per_spec[i]
         offsets, run = [], 0
@@ -165,19 +181,39 @@ def percent_ranks(
             run += c
         ocol = order_cols[i]
         v = F.col(s.column)
-        hist = work.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("_c"))
         vorder = v.desc_nulls_last() if s.descending else v.asc_nulls_first()
-        w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
         offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(ocol) + 1)
-        below = F.coalesce(F.sum("_c").over(w), F.lit(0).cast("long")) + offset
-        pct = (below.cast("double") / F.lit(denom)) if n_rows > 1 else F.lit(0.0)
-        vkey = f"_v{i}"
-        ranked = hist.select(v.alias(vkey), pct.alias(s.out))
+
+        def pct(below):
+            return (below.cast("double") / F.lit(denom)) if n_rows > 1 else F.lit(0.0)
+
+        def via_histogram(rows: DataFrame, source: DataFrame, broadcast: bool) -> DataFrame:
+            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("_c"))
+            w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
+            below = F.coalesce(F.sum("_c").over(w), F.lit(0).cast("long")) + offset
+            vkey = f"_v{i}"
+            ranked = hist.select(v.alias(vkey), pct(below).alias(s.out))
+            if broadcast:
+                ranked = F.broadcast(ranked)
+            return rows.join(ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "inner").drop(vkey)
+
+        def direct(rows: DataFrame) -> DataFrame:
+            below = (F.rank().over(Window.partitionBy(ocol).orderBy(vorder)) - 1).cast("long") + offset
+            return rows.withColumn(s.out, pct(below))
+
         est_distinct = int(stats[f"_d{i}"] or 0) + 1
+        heavy = [o for o, c in enumerate(counts) if c > limit]
         if bcast_rows and est_distinct * 5 // 4 <= bcast_rows:
-            ranked = F.broadcast(ranked)
-        out = out.join(ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "inner").drop(vkey)
-    return out
+            # Few distinct values: tiny ranked histogram, joined map-side.
+            out = via_histogram(out, work, broadcast=True)
+        elif not heavy:
+            # Many distinct values, every bucket provably small: one shuffle.
+            out = direct(out)
+        else:
+            hot = F.col(ocol).isin(heavy)
+            out = direct(out.where(~hot)).unionByName(
+                via_histogram(out.where(hot), work.where(hot), broadcast=False))
+    return out.drop(*order_cols)
 
 
 def percent_rank_window(df: DataFrame, column: str, descending: bool = False, output: str | None = None) -> DataFrame:

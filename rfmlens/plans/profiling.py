@@ -14,12 +14,14 @@ from rfmlens.operators.profile import (band_distribution, category_shares, clust
 from rfmlens.sources.sinks import write_csv
 
 
-def round_doubles(df: DataFrame, digits: int) -> DataFrame:
-    """Round every floating column (report presentation; also makes results
-    independent of the summation order of a distributed average)."""
+def round_doubles(df: DataFrame, digits: int, skip: Sequence[str] = ()) -> DataFrame:
+    """Round floating columns (report presentation; also makes results
+    independent of the summation order of a distributed average). Columns in
+    ``skip`` (exact values such as medians) are left as they are."""
     return df.select(*[
         F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
-        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (DoubleType, FloatType)) and f.name not in skip
+        else F.col(f"`{f.name}`")
         for f in df.schema.fields])
 
 

@@ -96,17 +96,41 @@ def test_non_numeric_columns(spark):
             _check_equal(df, col, desc, 8)
 
 
-def test_shuffle_join_branch(spark):
-    """With broadcasting disabled the ranked histogram is joined by a shuffle."""
+def _no_broadcast(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return old
+
+
+def test_direct_branch(spark):
+    """Many distinct values, small buckets: ranked in place, no join at all."""
+    old = _no_broadcast(spark)
     try:
         rnd = random.Random(5)
         df = spark.createDataFrame([(i, None if i % 17 == 0 else rnd.randint(0, 400)) for i in range(2000)],
                                    "id int, v int")
-        got = percent_ranks(df, [("v", True, "p")], buckets=8)
-        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        got = percent_ranks(df, [("v", True, "p"), ("v", False, "q")], buckets=8)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "SinglePartition" not in plan
         assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", True, "p"), "id", "p")
+        assert rows(got, "id", "q") == rows(percent_rank_window(df, "v", False, "q"), "id", "q")
+        assert got.columns == ["id", "v", "p", "q"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hybrid_branch_hot_value(spark):
+    """A value holding a third of the rows: its bucket goes through the histogram."""
+    old = _no_broadcast(spark)
+    try:
+        rnd = random.Random(9)
+        data = [(i, 7.0 if i % 3 == 0 else (None if i % 29 == 0 else rnd.random() * 100)) for i in range(3000)]
+        df = spark.createDataFrame(data, "id int, v double")
+        for desc in (False, True):
+            got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Union" in plan
+            assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
