@@ -42,6 +42,7 @@ def month_token(path: str | Column) -> Column:
     """FN-5/6: ``yyyyMM`` month token taken from a file path.
 
     The reference picks the 11th ``/``-separated part, which depends on the
-    bucket depth; a six-digit path segment works for any depth.
+    bucket depth; a six-digit path segment (``/202101/`` or a Hive-style
+    ``/month=202101/``) works for any depth.
     """
-    return F.regexp_extract(_c(path), r"/(\d{6})(/|$)", 1)
+    return F.regexp_extract(_c(path), r"/(?:[^/=]+=)?(\d{6})(/|$)", 1)

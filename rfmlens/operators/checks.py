@@ -19,3 +19,13 @@ def uniqueness_check(df: DataFrame, key: str = "ifa") -> DataFrame:
 def row_counts(**frames: DataFrame) -> dict[str, int]:
     """AGG-12: row counts of named frames (the reference's reconciliation prints)."""
     return {name: df.count() for name, df in frames.items()}
+
+
+def row_reconciliation(before: DataFrame, after: DataFrame) -> DataFrame:
+    """AGG-12: rows before and after a step (the reference prints both counts
+    after clustering). One aggregate over both inputs, one row out."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    tagged = (before.select(one.alias("_in"), zero.alias("_out"))
+              .unionByName(after.select(zero.alias("_in"), one.alias("_out"))))
+    return (tagged.agg(F.sum("_in").alias("rows_in"), F.sum("_out").alias("rows_out"))
+            .withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out")))

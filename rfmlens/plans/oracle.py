@@ -213,6 +213,10 @@ SCAN_SQL = {
         SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS orders,
                count(DISTINCT o_custkey) AS devices
         FROM orders WHERE strftime(o_orderdate, '%Y%m') IN ({_MONTH_LIST}) GROUP BY 1""",
+    "legacy_month_scan": f"""
+        SELECT month, count(*) AS rows, count(DISTINCT ifa) AS devices,
+               CAST(sum(brq_count) AS BIGINT) AS brq
+        FROM usage_rec WHERE month IN ({_MONTH_LIST}) GROUP BY month""",
     "monthly_roundtrip": f"""
         SELECT month, count(*) AS rows, count(DISTINCT ifa) AS devices,
                CAST(sum(brq_count) AS BIGINT) AS brq
@@ -222,6 +226,9 @@ SCAN_SQL = {
 PROFILE_SQL = {
     "features_scaled": "SELECT ifa, " + ", ".join(
         f"round(z{i}, 6) AS z_{c}" for i, c in enumerate(_F)) + " FROM z",
+    "feature_row_counts": """
+        SELECT (SELECT count(*) FROM clustered) AS rows_in, (SELECT count(*) FROM feat) AS rows_out,
+               (SELECT count(*) FROM clustered) - (SELECT count(*) FROM feat) AS rows_dropped""",
     "silhouette_given_labels": """
         SELECT round(avg(CASE WHEN n_own = 1 THEN 0.0 WHEN a < b THEN 1 - a / b
                               WHEN a > b THEN b / a - 1 ELSE 0.0 END), 9) AS silhouette

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
 from rfmlens.operators.audience import audience_lists, export_audiences
-from rfmlens.operators.checks import uniqueness_check
+from rfmlens.operators.checks import row_reconciliation, uniqueness_check
 from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled_columns,
                                        silhouette, silhouette_sweep)
 from rfmlens.operators.rank import RankSpec, percent_ranks
@@ -30,7 +30,7 @@ from rfmlens.plans import scoring
 from rfmlens.plans.profiling import round_doubles
 from rfmlens.session import cut_lineage, stage_path
 from rfmlens.sources import standins as S
-from rfmlens.sources.readers import months_predicate, read_monthly
+from rfmlens.sources.readers import months_predicate, read_month_dirs, read_monthly
 from rfmlens.sources.sinks import write_parquet
 
 CFG = S.STANDIN_CONFIG
@@ -150,6 +150,17 @@ def q_monthly_roundtrip(spark, d):
                                      F.sum("brq_count").alias("brq"))
 
 
+def q_legacy_month_scan(spark, d):
+    """SRC-2 legacy glob + SRC-7/FN-5/6: month from each row's file path."""
+    path = stage_path(spark, "usage_by_month")
+    write_parquet(S.usage(spark, d), path, mode="overwrite", partition_by=["month"])
+    raw = read_month_dirs(spark, path, WINDOW_MONTHS, dir_prefix="month=")
+    back = explode_apps(raw, keep=["month"])
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("rows"),
+                                     F.countDistinct("ifa").alias("devices"),
+                                     F.sum("brq_count").alias("brq"))
+
+
 def _wide(spark, d) -> DataFrame:
     return S.combined(spark, d, q_rfm_scores(spark, d), S.device_prices(spark, d))
 
@@ -162,6 +173,13 @@ def q_features_scaled(spark, d):
     return scaled_columns(prepare_features(_wide(spark, d), FEATURES), FEATURES)
 
 
+def q_feature_row_counts(spark, d):
+    """AGG-12 + FLT-6: rows in, rows with all features, rows dropped."""
+    wide = _rule_clustered(spark, d)
+    prepared = prepare_features(wide, FEATURES)
+    return row_reconciliation(wide, prepared)
+
+
 def q_silhouette_given_labels(spark, d):
     prepared = prepare_features(_rule_clustered(spark, d), FEATURES)
     value = silhouette(prepared, prediction="cluster")
@@ -232,7 +250,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "percent_rank_scaled": q_percent_rank_scaled,
     "month_pruned_scan": q_month_pruned_scan,
     "monthly_roundtrip": q_monthly_roundtrip,
+    "legacy_month_scan": q_legacy_month_scan,
     "features_scaled": q_features_scaled,
+    "feature_row_counts": q_feature_row_counts,
     "silhouette_given_labels": q_silhouette_given_labels,
     "silhouette_sweep": q_silhouette_sweep,
     "assign_clusters": q_assign_clusters,

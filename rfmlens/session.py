@@ -40,16 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint directory). Only when neither is set (local tests) a private
     folder is created and registered.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current:
-        # getCheckpointDir returns <dir>/<uuid>; stage tables go next to it.
-        return os.path.dirname(current.rstrip("/"))
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- remote (Connect) sessions have no context
+        sc = None
+    if sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            return configured.rstrip("/")
+        current = sc.getCheckpointDir()
+        if current:
+            # getCheckpointDir returns <dir>/<uuid>; stage tables go next to it.
+            return os.path.dirname(current.rstrip("/"))
     own = tempfile.mkdtemp(prefix="rfmlens-ckpt-")
-    sc.setCheckpointDir(own)
+    if sc is not None:
+        sc.setCheckpointDir(own)
+    else:
+        spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 

@@ -42,12 +42,14 @@ def read_monthly(spark: SparkSession, root: str, months: Sequence[str] | None =
 
 
 def read_month_dirs(spark: SparkSession, root: str, months: Sequence[str],
-                    schema: StructType | None = None, month_col: str = "month") -> DataFrame:
-    """SRC-2 legacy layout: ``root/<yyyyMM>/*.parquet`` with a brace glob, one scan.
+                    schema: StructType | None = None, month_col: str = "month",
+                    dir_prefix: str = "") -> DataFrame:
+    """SRC-2 legacy layout: ``root/<prefix><yyyyMM>/*.parquet`` with a brace glob, one scan.
 
-    SRC-7/FN-5/6: the month comes from the file path of each row.
+    SRC-7/FN-5/6: the month comes from the file path of each row (the glob
+    reads files directly, so no partition column is discovered).
     """
-    pattern = f"{root.rstrip('/')}/{{{','.join(months)}}}/*.parquet"
+    pattern = f"{root.rstrip('/')}/{dir_prefix}{{{','.join(months)}}}/*.parquet"
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)

@@ -43,8 +43,9 @@ def test_legacy_month_dirs_and_lineage(spark):
     assert rows(back, "ifa", "month") == [("d202101", "202101"), ("d202103", "202103")]
     assert read_tree(spark, root).count() == 3
     assert with_source_file(read_tree(spark, root)).where(F.col("filename").contains("/202102/")).count() == 1
-    tok = spark.createDataFrame([("s3a://b/x/y/z/202104/part-0.parquet",)], "p string")
-    assert tok.select(month_token("p")).first()[0] == "202104"
+    tok = spark.createDataFrame([("s3a://b/x/y/z/202104/part-0.parquet",), ("/r/month=202105/p.parquet",),
+                                 ("/r/x202106/p.parquet",)], "p string")
+    assert [r[0] for r in tok.select(month_token("p")).collect()] == ["202104", "202105", ""]
 
 
 def test_months_predicate_pushed(spark, tmp_path):
