@@ -30,3 +30,17 @@ def test_queries_match_oracle_smoke(spark):
     names = [n for n in E.queries() if n not in ROWS_ONLY]
     res = compare(spark, SMOKE, names)
     assert all(v == "ok" for v in res.values()), res
+
+
+def test_registered_plans_scale_properties(spark):
+    """No registered query plans a global single-partition exchange, and the
+    raw scans read only the columns they use."""
+    from rfmlens.plans.inspect import has_single_partition, read_schemas
+    q = E.queries()
+    for name in ("daily_usage", "usage_histogram", "monthly_spend", "rfm_measures", "rfm_scores",
+                 "percent_rank_scaled", "cluster_means", "band_distribution", "mean_vs_median"):
+        df = q[name](spark, SMOKE)
+        assert not has_single_partition(df), name
+        for schema in read_schemas(df):
+            if "l_orderkey" in schema:         # lineitem has 11 columns
+                assert schema.count(":") <= 4, (name, schema)

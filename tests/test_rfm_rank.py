@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
+from rfmlens.plans.inspect import has_single_partition, plan_text
 from rfmlens.operators.rank import RankSpec, percent_rank_window, percent_ranks
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
 
@@ -110,7 +111,7 @@ def test_direct_branch(spark):
         df = spark.createDataFrame([(i, None if i % 17 == 0 else rnd.randint(0, 400)) for i in range(2000)],
                                    "id int, v int")
         got = percent_ranks(df, [("v", True, "p"), ("v", False, "q")], buckets=8)
-        plan = got._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(got)
         assert "Join" not in plan and "SinglePartition" not in plan
         assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", True, "p"), "id", "p")
         assert rows(got, "id", "q") == rows(percent_rank_window(df, "v", False, "q"), "id", "q")
@@ -128,7 +129,7 @@ def test_hybrid_branch_hot_value(spark):
         df = spark.createDataFrame(data, "id int, v double")
         for desc in (False, True):
             got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
-            plan = got._jdf.queryExecution().executedPlan().toString()
+            plan = plan_text(got)
             assert "Union" in plan
             assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
     finally:
@@ -137,10 +138,8 @@ def test_hybrid_branch_hot_value(spark):
 
 def test_no_single_partition_in_plan(spark):
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 97).cast("double").alias("v"))
-    plan = percent_ranks(df, [("v", True, "p")], buckets=8)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-    builtin = percent_rank_window(df, "v", True)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" in builtin
+    assert not has_single_partition(percent_ranks(df, [("v", True, "p")], buckets=8))
+    assert has_single_partition(percent_rank_window(df, "v", True))
 
 
 def test_scores_and_distributions(spark):
