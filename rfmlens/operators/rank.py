@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -83,16 +84,27 @@ def _order_key(df: DataFrame, column: str):
     return c.cast("double")
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def byte_size(text: str) -> int:
+    """Spark byte-size string (``10485760b``, ``64MB``, ``-1``) to bytes."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", str(text))
+    if not m or m.group(2).lower() not in _UNITS:
+        raise ValueError(f"not a byte size: {text!r}")
+    return int(m.group(1)) * _UNITS[m.group(2).lower()]
+
+
 def _broadcast_rows(df: DataFrame) -> int:
-    """Rows of (value, rank) that fit the session's broadcast threshold."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    """Rows of (value, rank) that fit the session's broadcast threshold
+    (~48 bytes per row in the broadcast relation); 0 when disabled."""
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
     try:
-        limit = int(str(raw).lower().rstrip("b"))
+        limit = byte_size(raw)
     except ValueError:
-        limit = 10 * 1024 * 1024
-    if limit <= 0:
-        return 0
-    return limit // 48
+        limit = 10 << 20
+    return max(0, limit) // 48
 
 
 def percent_ranks(

@@ -160,3 +160,9 @@ def test_scores_and_distributions(spark):
     dist = value_distribution(m, "last_seen")
     assert sum(r.ifa_count for r in dist.collect()) == 60
     assert [r.last_seen for r in dist.collect()] == sorted(r.last_seen for r in dist.collect())
+
+
+def test_byte_size():
+    from rfmlens.operators.rank import byte_size
+    assert byte_size("10485760b") == 10485760 and byte_size("64MB") == 64 << 20
+    assert byte_size("-1") == -1 and byte_size("2g") == 2 << 30
