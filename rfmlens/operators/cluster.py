@@ -126,8 +126,8 @@ def assign(prepared: DataFrame, fit: Fit, out: str = "cluster",
            drop_vectors: bool = True) -> DataFrame:
     """OP-16 / ML-6: cluster label on every full row (key and columns carried)."""
     lut = F.array(*[F.lit(x) for x in fit.relabel])
-    scored = fit.model.setPredictionCol("_raw").transform(prepared)
-    scored = scored.withColumn(out, F.element_at(lut, F.col("_raw") + 1).cast("int")).drop("_raw")
+    scored = fit.model.setPredictionCol("__cluster_raw").transform(prepared)
+    scored = scored.withColumn(out, F.element_at(lut, F.col("__cluster_raw") + 1).cast("int")).drop("__cluster_raw")
     if drop_vectors:
         scored = scored.drop(FEATURES_COL, SCALED_COL)
     return scored

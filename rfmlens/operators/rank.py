@@ -153,7 +153,7 @@ def percent_ranks(
         bounds = sorted({b for b in (stats[f"_q{i}"] or []) if b is not None and math.isfinite(b)}) if probs else []
         splits = [float("-inf")] + bounds + [float("inf")]
         m = len(splits) - 1  # finite buckets 0..m-1, NaN -> m
-        xcol, bcol, ocol = f"_x{i}", f"_b{i}", f"_o{i}"
+        xcol, bcol, ocol = f"__rank_x{i}", f"__rank_b{i}", f"__rank_o{i}"
         work = work.withColumn(xcol, F.coalesce(keys[i], F.lit(float("nan"))))
         if bounds:
             work = Bucketizer(splits=splits, inputCol=xcol, outputCol=bcol,
@@ -200,10 +200,10 @@ def percent_ranks(
             return (below.cast("double") / F.lit(denom)) if n_rows > 1 else F.lit(0.0)
 
         def via_histogram(rows: DataFrame, source: DataFrame, broadcast: bool) -> DataFrame:
-            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("_c"))
+            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("__rank_c"))
             w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-            below = F.coalesce(F.sum("_c").over(w), F.lit(0).cast("long")) + offset
-            vkey = f"_v{i}"
+            below = F.coalesce(F.sum("__rank_c").over(w), F.lit(0).cast("long")) + offset
+            vkey = f"__rank_v{i}"
             ranked = hist.select(v.alias(vkey), pct(below).alias(s.out))
             if broadcast:
                 ranked = F.broadcast(ranked)

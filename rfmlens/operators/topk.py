@@ -26,10 +26,10 @@ def top1_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     """
     keys = list(keys)
     payload = [c for c in (payload if payload is not None else df.columns) if c not in keys]
-    order = F.struct(*[F.col(c) for c in order_by])
-    body = F.struct(*[F.col(c) for c in payload])
+    order = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    body = F.struct(*[F.col(f"`{c}`") for c in payload])
     # Struct comparison puts null fields first, so max_by matches a descending
     # window's NULLS LAST and min_by an ascending window's NULLS FIRST.
     pick = F.max_by(body, order) if descending else F.min_by(body, order)
-    return (df.groupBy(*keys).agg(pick.alias("_top"))
-            .select(*keys, *[F.col(f"_top.{c}").alias(c) for c in payload]))
+    return (df.groupBy(*keys).agg(pick.alias("__top"))
+            .select(*keys, *[F.col("__top").getField(c).alias(c) for c in payload]))
