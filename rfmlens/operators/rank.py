@@ -57,6 +57,9 @@ class RankSpec:
 
 # Lower bound of the "heavy bucket" limit (rows); see percent_ranks.
 DIRECT_BUCKET_MIN_ROWS = 100_000
+# Bucket count follows the session's shuffle partitions up to this cap: the
+# bounds and offsets travel as constants in the plan.
+MAX_BUCKETS = 4096
 
 
 def _order_key(df: DataFrame, column: str):
@@ -125,7 +128,7 @@ def percent_ranks(
         return df
     spark = df.sparkSession
     nb = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
-    nb = max(1, nb)
+    nb = max(1, min(nb, MAX_BUCKETS))
     probs = [i / nb for i in range(1, nb)]
     # Bounds only balance the buckets; an error well below 1/nb is enough.
     accuracy = accuracy or min(10000, max(1000, 20 * nb))
