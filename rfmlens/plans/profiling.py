@@ -14,6 +14,16 @@ from rfmlens.operators.profile import (band_distribution, category_shares, clust
 from rfmlens.sources.sinks import write_csv
 
 
+def load_clustered(spark, path: str, cluster: str = "cluster", prediction: str = "prediction") -> DataFrame:
+    """A clustered table written as header CSV (all strings): the k-means
+    label column becomes an int ``cluster`` so segments sort numerically
+    (as text, ``'10' < '2'``); other columns are cast where they are used."""
+    df = spark.read.option("header", "true").csv(path)
+    if prediction in df.columns and cluster not in df.columns:
+        df = df.withColumnRenamed(prediction, cluster)
+    return df.withColumn(cluster, F.col(cluster).try_cast("double").cast("int"))
+
+
 def round_doubles(df: DataFrame, digits: int, skip: Sequence[str] = ()) -> DataFrame:
     """Round floating columns (report presentation; also makes results
     independent of the summation order of a distributed average). Columns in

@@ -9,9 +9,12 @@ distributions -- is cut from its lineage with a reliable checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from rfmlens import schemas
 
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
@@ -20,6 +23,7 @@ from rfmlens.operators.spend import (category_usage, latest_device, monthly_spen
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import daily_usage, explode_apps, usage_histogram
 from rfmlens.session import cut_lineage
+from rfmlens.sources.readers import read_csv_typed, read_monthly, read_tree
 from rfmlens.sources.sinks import write_csv, write_parquet
 
 
@@ -33,6 +37,21 @@ class ScoringInputs:
     app_lifestage: DataFrame
 
 
+def load_inputs(spark: SparkSession, userbase_path: str, usage_root: str, devices_root: str,
+                master_csv: str, level_csv: str, lifestage_csv: str,
+                months: Sequence[str] | None = None) -> ScoringInputs:
+    """Inputs from storage with declared schemas: userbase Parquet (any depth),
+    usage and device snapshots partitioned by ``month=yyyyMM`` (pruned to
+    ``months``), app reference tables as header CSV."""
+    return ScoringInputs(
+        userbase=read_tree(spark, userbase_path, schemas.USERBASE),
+        usage=read_monthly(spark, usage_root, months, schemas.USAGE),
+        devices=read_monthly(spark, devices_root, months, schemas.DEVICE),
+        app_master=read_csv_typed(spark, master_csv, schemas.APP_MASTER),
+        app_level=read_csv_typed(spark, level_csv, schemas.APP_LEVEL),
+        app_lifestage=read_csv_typed(spark, lifestage_csv, schemas.APP_LIFESTAGE))
+
+
 def daily_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
     events = explode_apps(inp.usage, cfg.key)
     return daily_usage(events, inp.userbase, cfg.anchor_day, cfg.daily_excluded, cfg.key)
