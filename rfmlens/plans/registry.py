@@ -162,11 +162,14 @@ def q_legacy_month_scan(spark, d):
 
 
 def _wide(spark, d) -> DataFrame:
-    return S.combined(spark, d, q_rfm_scores(spark, d), S.device_prices(spark, d))
+    """The wide per-device table, staged: the feature and k-means steps read
+    it several times (scaler fit, layout size, fit, transform)."""
+    wide = S.combined(spark, d, q_rfm_scores(spark, d), S.device_prices(spark, d))
+    return cut_lineage(wide, "wide")
 
 
 def _rule_clustered(spark, d) -> DataFrame:
-    return cut_lineage(S.recency_band(_wide(spark, d)), "clustered")
+    return S.recency_band(_wide(spark, d))
 
 
 def q_features_scaled(spark, d):
