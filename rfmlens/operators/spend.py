@@ -36,6 +36,23 @@ def priced_devices(latest: DataFrame, fx_rate: float = 4.13, key: str = "ifa",
             .select(*keys, converted_price(p, fx_rate).alias("myr_price")))
 
 
+def latest_prices(devices: DataFrame, fx_rate: float = 4.13, keys: Sequence[str] = ("ifa", "month"),
+                  order_by: Sequence[str] = ("snapshot_ts", "record_id"),
+                  price: str = "device.price") -> DataFrame:
+    """OP-4 end to end: latest record per key, then its non-zero converted price.
+
+    Only the keys, the ordering columns and the price enter the aggregate, so
+    the scan reads just those (the aggregate hides struct fields from nested
+    column pruning). The zero-price filter runs after the pick, as in the
+    reference: a latest record without a price drops the device for that
+    month rather than falling back to an older record.
+    """
+    slim = devices.select(*keys, *order_by, F.struct(F.col(price).alias("price")).alias("device"))
+    latest = top1_per_key(slim, keys, order_by, descending=True)
+    month = keys[1] if len(keys) > 1 else None
+    return priced_devices(latest, fx_rate, keys[0], month)
+
+
 def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
                    category_col: str = "app_l1_name", excluded: Sequence[str] = ("WIFI", "Unknown"),
                    key: str = "ifa", month: str | None = "month", app: str = "app",

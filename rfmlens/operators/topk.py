@@ -4,8 +4,9 @@
 key. ``max_by(payload, ordering)`` computes the same row with a hash aggregate:
 the partial aggregate runs before the shuffle, so a key holding a third of
 all rows sends one row per map task, not all of its rows, to one reducer.
-The ordering is a struct, compared field by field; ties on every ordering
-field must be broken by the caller (the reference's monthly device files tie
+The ordering is a struct, compared field by field (struct buffers make it a
+sort-based aggregate, partial and final, so it spills instead of failing on
+large groups); ties on every ordering field must be broken by the caller (the reference's monthly device files tie
 on the month for every row of a device, so the pick there is arbitrary).
 """
 

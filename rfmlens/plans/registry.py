@@ -21,8 +21,8 @@ from rfmlens.operators.rank import RankSpec, percent_ranks
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
-from rfmlens.operators.spend import (category_usage, latest_device, monthly_spend, peak_spend,
-                                     priced_devices)
+from rfmlens.operators.spend import (category_usage, latest_device, latest_prices, monthly_spend,
+                                     peak_spend)
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import (enrich_usage, enriched_daily_summary, explode_apps,
                                      usage_histogram)
@@ -81,7 +81,7 @@ def q_latest_device(spark, d):
 
 
 def q_priced_device(spark, d):
-    return priced_devices(latest_device(S.devices(spark, d), ("ifa", "month")), CFG.fx_rate)
+    return latest_prices(S.devices(spark, d), CFG.fx_rate, ("ifa", "month"))
 
 
 def q_category_usage(spark, d):

@@ -18,8 +18,7 @@ from rfmlens import schemas
 
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
-from rfmlens.operators.spend import (category_usage, latest_device, monthly_spend, peak_spend,
-                                     priced_devices)
+from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import daily_usage, explode_apps, usage_histogram
 from rfmlens.session import cut_lineage
@@ -60,7 +59,7 @@ def daily_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
 def spend_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
     """Monthly spend for all months in one plan (the reference's month loop)."""
     taxonomy = app_taxonomy(inp.app_master, inp.app_level, inp.app_lifestage)
-    priced = priced_devices(latest_device(inp.devices, (cfg.key, "month")), cfg.fx_rate, cfg.key)
+    priced = latest_prices(inp.devices, cfg.fx_rate, (cfg.key, "month"))
     streaming = category_usage(inp.usage, taxonomy, cfg.category, cfg.category_col,
                                cfg.spend_excluded, cfg.key)
     return monthly_spend(priced, streaming, cfg.key)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.config import ScoringConfig
-from rfmlens.operators.spend import latest_device, priced_devices
+from rfmlens.operators.spend import latest_prices
 from rfmlens.operators.usage import explode_apps
 
 # Fixed values of the role mapping (test tables -> reference roles).
@@ -153,8 +153,8 @@ def combined(spark: SparkSession, sf_dir: str, scores: DataFrame, device_price:
 
 def device_prices(spark: SparkSession, sf_dir: str, fx_rate: float = STANDIN_CONFIG.fx_rate) -> DataFrame:
     """Latest priced device per device id over all months."""
-    latest = latest_device(devices(spark, sf_dir), ("ifa",))
-    return priced_devices(latest, fx_rate, month=None).withColumnRenamed("myr_price", "device_price")
+    return (latest_prices(devices(spark, sf_dir), fx_rate, ("ifa",))
+            .withColumnRenamed("myr_price", "device_price"))
 
 
 def recency_band(df: DataFrame, score: str = "r", out: str = "cluster", top: int = 4) -> DataFrame:

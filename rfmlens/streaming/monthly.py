@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rfmlens.config import ScoringConfig
-from rfmlens.operators.spend import category_usage, latest_device, monthly_spend, priced_devices
+from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend
 from rfmlens.session import stage_path
 from rfmlens.sources.readers import read_monthly
 from rfmlens.sources.sinks import write_parquet
@@ -30,7 +30,7 @@ def refresh_months(spark: SparkSession, months: list[str], usage_root: str, devi
     """Recompute and replace the spend partitions of ``months`` (batch job)."""
     usage = read_monthly(spark, usage_root, months, usage_schema)
     devices = read_monthly(spark, devices_root, months, device_schema)
-    priced = priced_devices(latest_device(devices, (cfg.key, "month")), cfg.fx_rate, cfg.key)
+    priced = latest_prices(devices, cfg.fx_rate, (cfg.key, "month"))
     streaming = category_usage(usage, taxonomy, cfg.category, cfg.category_col, cfg.spend_excluded, cfg.key)
     write_parquet(monthly_spend(priced, streaming, cfg.key), out_path, mode="overwrite",
                   partition_by=["month"])
