@@ -20,12 +20,10 @@ from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled
 from rfmlens.operators.rank import RankSpec, percent_ranks
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
-from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
-from rfmlens.operators.spend import (category_usage, latest_device, latest_prices, monthly_spend,
-                                     peak_spend)
+from rfmlens.operators.rfm import rfm_base, rfm_scores, value_distribution
+from rfmlens.operators.spend import category_usage, latest_device, latest_prices, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
-from rfmlens.operators.usage import (enrich_usage, enriched_daily_summary, explode_apps,
-                                     usage_histogram)
+from rfmlens.operators.usage import enrich_usage, enriched_daily_summary, explode_apps
 from rfmlens.plans import scoring
 from rfmlens.plans.profiling import round_doubles
 from rfmlens.session import cut_lineage, stage_path
@@ -39,6 +37,8 @@ MEANS_OF = ("r", "vf", "m", "usage_frequency", "avg_spend", "last_seen", "device
             "overall_brq", *S.APP_CATEGORIES, "overall_brq_poi", *S.PLACE_CODES)
 SHARE_GROUPS = {"overall_brq": S.APP_CATEGORIES, "overall_brq_poi": S.PLACE_CODES}
 # Four months ending at the anchor month, like the reference's 2021-01..04.
+# The month list is the parameter of the month-selecting readers under test
+# (SRC-2/3/8); every other query reads all months of the whole tables.
 WINDOW_MONTHS = ("200105", "200106", "200107", "200108")
 REPORT_DIGITS = 6
 
