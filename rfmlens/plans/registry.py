@@ -197,6 +197,13 @@ def q_assign_clusters(spark, d):
     return assign_clusters(prepare_features(_wide(spark, d), FEATURES), k=6)
 
 
+def q_kmeans_profile(spark, d):
+    """The reference's clustering -> profiling chain: k-means labels (k=6),
+    then means and sizes per cluster (rows only: k-means has no SQL form)."""
+    model = cut_lineage(assign_clusters(prepare_features(_wide(spark, d), FEATURES), k=6), "kmeans")
+    return round_doubles(cluster_means(model, MEANS_OF), REPORT_DIGITS)
+
+
 def q_cluster_means(spark, d):
     return round_doubles(cluster_means(_rule_clustered(spark, d), MEANS_OF), REPORT_DIGITS)
 
@@ -259,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_given_labels": q_silhouette_given_labels,
     "silhouette_sweep": q_silhouette_sweep,
     "assign_clusters": q_assign_clusters,
+    "kmeans_profile": q_kmeans_profile,
     "cluster_means": q_cluster_means,
     "category_shares": q_category_shares,
     "band_distribution": q_band_distribution,

@@ -45,6 +45,11 @@ def test_kmeans_repeatable_under_any_layout(spark):
         outs.append(rows(lab, "ifa", "cluster"))
     assert outs[0] == outs[1] == outs[2]
     assert {c for _, c in outs[0]} == {0, 1, 2}
+    # best of several seeds: same pick whether the seeds run concurrently or not
+    from rfmlens.operators.cluster import fit_kmeans
+    a = fit_kmeans(prep, 3, seed=11, n_init=3, parallel=3)
+    b = fit_kmeans(prep, 3, seed=11, n_init=3, parallel=1)
+    assert (a.seed, a.relabel) == (b.seed, b.relabel) and abs(a.cost - b.cost) <= 1e-9 * b.cost
 
 
 def test_silhouette_closed_form_and_sweep(spark):
