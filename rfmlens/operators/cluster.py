@@ -29,6 +29,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfmlens.config import DEFAULT_SEED
+
 FEATURES_COL = "features"
 SCALED_COL = "standardized"
 
@@ -103,7 +105,7 @@ class Fit:
     relabel: list[int]          # old label -> stable label
 
 
-def fit_kmeans(prepared: DataFrame, k: int, seed: int = 20210501, n_init: int = 1,
+def fit_kmeans(prepared: DataFrame, k: int, seed: int = DEFAULT_SEED, n_init: int = 1,
                max_iter: int = 20, key: str = "ifa", partitions: int | None = None,
                laid_out: bool = False, parallel: int = 4) -> Fit:
     """EXT-2: k-means on a fixed layout; best of ``n_init`` seeds; stable labels.
@@ -148,7 +150,7 @@ def assign(prepared: DataFrame, fit: Fit, out: str = "cluster",
     return scored
 
 
-def assign_clusters(prepared: DataFrame, k: int = 6, seed: int = 20210501, n_init: int = 1,
+def assign_clusters(prepared: DataFrame, k: int = 6, seed: int = DEFAULT_SEED, n_init: int = 1,
                     max_iter: int = 20, key: str = "ifa", partitions: int | None = None,
                     out: str = "cluster") -> DataFrame:
     """OP-16 (ML-3, ML-6): fit and label in one call."""
@@ -157,7 +159,7 @@ def assign_clusters(prepared: DataFrame, k: int = 6, seed: int = 20210501, n_ini
 
 
 def silhouette_sweep(prepared: DataFrame, ks: Sequence[int] = tuple(range(2, 10)),
-                     seed: int = 20210501, n_init: int = 1, max_iter: int = 20,
+                     seed: int = DEFAULT_SEED, n_init: int = 1, max_iter: int = 20,
                      key: str = "ifa", partitions: int | None = None,
                      parallel: int = 4) -> DataFrame:
     """OP-15 (ML-4, ML-5): silhouette and training cost for every k.

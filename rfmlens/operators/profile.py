@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfmlens.config import REFERENCE_AGE_BANDS, REFERENCE_MEDIAN_ACCURACY
 from rfmlens.functions.scalar import band_of, safe_ratio, try_double
 
 
@@ -39,8 +40,7 @@ def category_shares(means: DataFrame, groups: Mapping[str, Sequence[str]]) -> Da
 
 
 def band_distribution(model: DataFrame, value: str = "age",
-                      bands: Sequence[tuple[float, str]] = ((0.0, "18-24"), (1.0, "25-34"),
-                                                          (2.0, "35-49"), (3.0, "50+")),
+                      bands: Sequence[tuple[float, str]] = REFERENCE_AGE_BANDS,
                       cluster: str = "cluster", key: str = "ifa",
                       fill_zero: bool = False) -> DataFrame:
     """OP-19 (FN-15, AGG-9, JN-9): devices per band and segment, plus size.
@@ -60,7 +60,7 @@ def band_distribution(model: DataFrame, value: str = "age",
 
 
 def mean_vs_median(model: DataFrame, columns: Sequence[str], cluster: str = "cluster",
-                   accuracy: int = 1000000) -> DataFrame:
+                   accuracy: int = REFERENCE_MEDIAN_ACCURACY) -> DataFrame:
     """OP-22 (AGG-10, AGG-11, JN-10): mean and approximate median per segment.
 
     ``percentile_approx`` at accuracy 1e6 returns an element of the data (the

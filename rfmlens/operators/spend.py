@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfmlens.config import REFERENCE_FX_RATE, REFERENCE_SPEND_EXCLUDED
 from rfmlens.functions.scalar import converted_price, try_double
 from rfmlens.operators.taxonomy import broadcast_if_bounded
 from rfmlens.operators.topk import top1_per_key
@@ -22,7 +23,7 @@ def latest_device(devices: DataFrame, keys: Sequence[str] = ("ifa", "month"),
     return top1_per_key(devices, keys, order_by, descending=True)
 
 
-def priced_devices(latest: DataFrame, fx_rate: float = 4.13, key: str = "ifa",
+def priced_devices(latest: DataFrame, fx_rate: float = REFERENCE_FX_RATE, key: str = "ifa",
                    month: str | None = "month", price: str = "device.price") -> DataFrame:
     """OP-4 tail (PRJ-2, FLT-2, FN-8): devices with a non-zero price, converted.
 
@@ -36,7 +37,7 @@ def priced_devices(latest: DataFrame, fx_rate: float = 4.13, key: str = "ifa",
             .select(*keys, converted_price(p, fx_rate).alias("myr_price")))
 
 
-def latest_prices(devices: DataFrame, fx_rate: float = 4.13, keys: Sequence[str] = ("ifa", "month"),
+def latest_prices(devices: DataFrame, fx_rate: float = REFERENCE_FX_RATE, keys: Sequence[str] = ("ifa", "month"),
                   order_by: Sequence[str] = ("snapshot_ts", "record_id"),
                   price: str = "device.price") -> DataFrame:
     """OP-4 end to end: latest record per key, then its non-zero converted price.
@@ -54,7 +55,7 @@ def latest_prices(devices: DataFrame, fx_rate: float = 4.13, keys: Sequence[str]
 
 
 def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
-                   category_col: str = "app_l1_name", excluded: Sequence[str] = ("WIFI", "Unknown"),
+                   category_col: str = "app_l1_name", excluded: Sequence[str] = REFERENCE_SPEND_EXCLUDED,
                    key: str = "ifa", month: str | None = "month", app: str = "app",
                    connection: str = "connection", channel: str = "req_con_type_desc",
                    check_sizes: bool = False) -> DataFrame:

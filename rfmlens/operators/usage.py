@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfmlens.config import REFERENCE_DAILY_EXCLUDED
 from rfmlens.functions.dates import days_before, month_start, months_before, usage_day
 from rfmlens.functions.scalar import channel_allowed
 
@@ -88,7 +89,7 @@ def usage_histogram(events: DataFrame, userbase: DataFrame, key: str = "ifa",
 
 
 def daily_usage(events: DataFrame, userbase: DataFrame, anchor_day: dt.date,
-                excluded: Sequence[str] = ("WIFI",), key: str = "ifa",
+                excluded: Sequence[str] = REFERENCE_DAILY_EXCLUDED, key: str = "ifa",
                 channel: str = "req_con_type_desc", count_col: str = "brq_count") -> DataFrame:
     """OP-7: usage per device and day over the allowed-channel userbase rows.
 

@@ -12,6 +12,7 @@ double -> bigint casts truncate (Spark semantics) via ``trunc``.
 
 from __future__ import annotations
 
+from rfmlens.config import REFERENCE_AGE_BANDS, REFERENCE_AUDIENCE_LABEL
 from rfmlens.sources.standins import APP_CATEGORIES, PLACE_CODES, STANDIN_CONFIG
 
 _C = STANDIN_CONFIG
@@ -201,7 +202,7 @@ SCORING_SQL = {
 
 _MONTHS = ("200105", "200106", "200107", "200108")
 _MONTH_LIST = ", ".join(f"'{m}'" for m in _MONTHS)
-_BANDS = (("0.0", "18-24"), ("1.0", "25-34"), ("2.0", "35-49"), ("3.0", "50+"))
+_BANDS = tuple((repr(float(v)), label) for v, label in REFERENCE_AGE_BANDS)
 
 SCAN_SQL = {
     "percent_rank_scaled": """
@@ -253,7 +254,7 @@ PROFILE_SQL = {
     "audience_lists": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
     "audience_parquet": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
     "audience_csv": f"""
-        SELECT DISTINCT cluster, CAST(ifa AS VARCHAR) AS "Mobile Device ID"
+        SELECT DISTINCT cluster, CAST(ifa AS VARCHAR) AS "{REFERENCE_AUDIENCE_LABEL}"
         FROM clustered WHERE ifa IS NOT NULL""",
 }
 

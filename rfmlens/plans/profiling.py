@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from rfmlens.config import REFERENCE_AUDIENCE_LABEL
 from rfmlens.operators.audience import audience_lists, export_audiences
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
@@ -49,7 +50,7 @@ def profile_report(model: DataFrame, means_of: Sequence[str],
 
 
 def export(model: DataFrame, root: str, cluster: str = "cluster", key: str = "ifa",
-           label: str = "Mobile Device ID", mode: str = "errorifexists") -> None:
+           label: str = REFERENCE_AUDIENCE_LABEL, mode: str = "errorifexists") -> None:
     """Parquet list per segment, CSV copy per segment with the id header."""
     export_audiences(model, f"{root}/parquet", "parquet", mode, cluster, key)
     export_audiences(model, f"{root}/csv", "csv", mode, cluster, key, label)

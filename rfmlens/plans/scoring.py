@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from rfmlens import schemas
-
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
 from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend, peak_spend

@@ -28,7 +28,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmlens.config import ScoringConfig
+from rfmlens.config import REFERENCE_FX_RATE, ScoringConfig
 from rfmlens.operators.spend import latest_prices
 from rfmlens.operators.usage import explode_apps
 
@@ -39,7 +39,7 @@ STANDIN_CONFIG = ScoringConfig(
     spend_excluded=("5-LOW", "4-NOT SPECIFIED"),
     category_col="lifestage_name",
     category="AMERICA",
-    fx_rate=4.13,
+    fx_rate=REFERENCE_FX_RATE,
     scale=5.0,
 )
 APP_CATEGORIES = ("click", "error", "purchase", "signup", "view")
