@@ -193,6 +193,8 @@ SCORING_SQL = {
         GROUP BY usage_frequency ORDER BY usage_frequency""",
     "dist_monetary": """
         SELECT avg_spend, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY avg_spend ORDER BY avg_spend""",
+    "report_csv_roundtrip": """
+        SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen""",
     "rfm_scores": "SELECT * FROM scores",
     "uniqueness_check": """
         SELECT count(ifa) AS rows, count(DISTINCT ifa) AS distinct_keys,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
 from rfmlens.operators.audience import audience_lists, export_audiences
@@ -28,8 +29,8 @@ from rfmlens.plans import scoring
 from rfmlens.plans.profiling import round_doubles
 from rfmlens.session import cut_lineage, stage_path
 from rfmlens.sources import standins as S
-from rfmlens.sources.readers import months_predicate, read_month_dirs, read_monthly
-from rfmlens.sources.sinks import write_parquet
+from rfmlens.sources.readers import months_predicate, read_csv_typed, read_month_dirs, read_monthly
+from rfmlens.sources.sinks import write_csv, write_parquet
 
 CFG = S.STANDIN_CONFIG
 FEATURES = REFERENCE_FEATURES
@@ -117,6 +118,15 @@ def q_dist_monetary(spark, d):
     return value_distribution(q_rfm_measures(spark, d), "avg_spend")
 
 
+def q_report_csv_roundtrip(spark, d):
+    """SNK-3/4 + SRC-5: a small report written as one CSV file with a header,
+    read back with a declared schema (no inference pass)."""
+    path = stage_path(spark, "r_dist")
+    write_csv(q_dist_recency(spark, d), path, single_file=True)
+    return read_csv_typed(spark, path, StructType([StructField("last_seen", IntegerType()),
+                                                   StructField("ifa_count", LongType())]))
+
+
 def q_rfm_scores(spark, d):
     return rfm_scores(_measures_ckpt(spark, d), CFG.scale)
 
@@ -255,6 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_recency": q_dist_recency,
     "dist_frequency": q_dist_frequency,
     "dist_monetary": q_dist_monetary,
+    "report_csv_roundtrip": q_report_csv_roundtrip,
     "rfm_scores": q_rfm_scores,
     "uniqueness_check": q_uniqueness_check,
     "percent_rank_scaled": q_percent_rank_scaled,
