@@ -58,7 +58,7 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
                    category_col: str = "app_l1_name", excluded: Sequence[str] = REFERENCE_SPEND_EXCLUDED,
                    key: str = "ifa", month: str | None = "month", app: str = "app",
                    connection: str = "connection", channel: str = "req_con_type_desc",
-                   check_sizes: bool = False) -> DataFrame:
+                   check_sizes: bool = True) -> DataFrame:
     """OP-5 (GEN-2, JN-4, FLT-1, FLT-4, AGG-3): usage of one app category on data.
 
     The reference explodes apps and connections of each record into their
@@ -68,9 +68,12 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
     app's count by it: the same sum without emitting the pairs.
 
     The category filter rejects apps without a category, so the reference's
-    left join becomes an inner join against the category's bundles (a small
-    dimension: broadcast by the planner's size check, or behind an explicit
-    row-count bound with ``check_sizes``).
+    left join becomes an inner join against the category's bundles. That list
+    is derived from joined dimensions, whose size Spark estimates as the
+    product of its inputs, so the planner would shuffle the whole usage table
+    by app (and a popular app would be one hot task). It is therefore
+    broadcast explicitly behind a proven row-count bound (one small job);
+    only a category beyond the bound falls back to a shuffle join.
     """
     keys = [key] + ([month] if month else [])
     allowed = F.filter(F.col(connection),

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 TAXONOMY_COLUMNS = ("bundle", "app_l1_name", "app_l2_name", "app_l3_name", "lifestage_name")
 
-# Broadcasting dimensions. By default no hint is given: Spark's planner
-# broadcasts a side whose size estimate (from file statistics) is below
-# spark.sql.autoBroadcastJoinThreshold, and AQE re-checks the actual size at
-# run time. ``check_sizes=True`` adds an explicit row-count bound for inputs
-# whose estimate is unreliable (e.g. produced by a generator); the check runs
-# one small job that reads at most limit+1 rows.
+# Broadcasting dimensions. Tables read straight from files are left to the
+# planner, which broadcasts a side whose size estimate (file statistics) is
+# below spark.sql.autoBroadcastJoinThreshold. Derived dimensions (joins,
+# filters of joins) get estimates that compound as products, so they are
+# broadcast explicitly behind a row-count bound: one small job that reads at
+# most limit+1 rows.
 DIMENSION_BROADCAST_ROWS = 2_000_000
 
 

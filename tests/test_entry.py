@@ -44,3 +44,7 @@ def test_registered_plans_scale_properties(spark):
         for schema in read_schemas(df):
             if "l_orderkey" in schema:         # lineitem has 11 columns
                 assert schema.count(":") <= 4, (name, schema)
+    # usage is never shuffled by app: the category's bundle list is broadcast
+    from rfmlens.plans.inspect import exchanges
+    for name in ("category_usage", "monthly_spend", "rfm_measures"):
+        assert not any("bundle" in e for e in exchanges(q[name](spark, SMOKE))), name
