@@ -58,3 +58,42 @@ def test_scoring_from_storage_layout(spark):
     direct = scoring.scores_frame(ScoringInputs(ub, usage, devices, master, level, lifestage), cfg)
     assert got.count() > 0
     assert rows(got) == rows(direct.select(*got.columns))
+
+
+def test_cli_score_cluster_profile(spark):
+    """The three jobs through the command line, on fixture files in the real layout."""
+    import datetime as dt
+
+    from fixtures import frames, taxonomy_frames
+    from rfmlens.plans import cli
+
+    root = tempfile.mkdtemp(prefix="rfmlens-cli-")
+    usage, ub, devices = frames(spark)
+    master, level, lifestage = taxonomy_frames(spark)
+    ub.write.parquet(f"{root}/user_base/part1")
+    usage.write.partitionBy("month").parquet(f"{root}/usage")
+    devices.write.partitionBy("month").parquet(f"{root}/device")
+    for name, df in (("master", master), ("level", level), ("lifestage", lifestage)):
+        df.coalesce(1).write.option("header", "true").csv(f"{root}/{name}")
+    cli.main(["score", "--userbase", f"{root}/user_base", "--usage", f"{root}/usage",
+              "--devices", f"{root}/device", "--app-master", f"{root}/master",
+              "--app-level", f"{root}/level", "--app-lifestage", f"{root}/lifestage",
+              "--out", f"{root}/rfm", "--months", "202101,202102,202103,202104"], spark)
+    scores = spark.read.parquet(f"{root}/rfm/output_rfm")
+    assert scores.count() >= 1
+    # a wide table around the scored device (60 rows, enough to cluster)
+    first = scores.first()
+    wide = spark.createDataFrame(
+        [("d%d" % i, first.avg_spend + i, float(i % 4), first.last_seen + i % 7, i * 3.0,
+          first.usage_frequency, i % 5) for i in range(60)],
+        "ifa string, avg_spend double, prediction double, last_seen int, device_price double, "
+        "usage_frequency double, overall_brq long")
+    wide.write.parquet(f"{root}/wide")
+    cli.main(["cluster", "--wide", f"{root}/wide", "--out", f"{root}/cl", "--ks", "2,3", "--k", "3",
+              "--sweep", "--min-k", "2"], spark)
+    model = spark.read.parquet(f"{root}/cl/clustered")
+    assert model.count() == 60 and "cluster" in model.columns
+    cli.main(["profile", "--clustered", f"{root}/cl/clustered", "--out", f"{root}/prof",
+              "--means-of", "avg_spend,device_price,overall_brq"], spark)
+    assert spark.read.option("header", "true").csv(f"{root}/prof/means").count() == \
+        model.select("cluster").distinct().count()
