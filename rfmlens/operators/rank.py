@@ -46,9 +46,14 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class RankSpec:
+    """One percent rank. ``keep_nulls`` ranks nulls as Spark's window does
+    (first ascending, last descending, counted in N); without it null rows get
+    a null rank and N counts the non-null rows only."""
+
     column: str
     descending: bool = False
     output: str | None = None
+    keep_nulls: bool = True
 
     @property
     def out(self) -> str:
@@ -152,6 +157,7 @@ def percent_ranks(
     work = df
     order_cols = []
     widths = []
+    null_slots = []
     for i, s in enumerate(specs):
         bounds = sorted({b for b in (stats[f"_q{i}"] or []) if b is not None and math.isfinite(b)}) if probs else []
         splits = [float("-inf")] + bounds + [float("inf")]
@@ -171,6 +177,7 @@ def percent_ranks(
         work = work.withColumn(ocol, o).drop(xcol, bcol)
         order_cols.append(ocol)
         widths.append(m + 3)
+        null_slots.append(m + 2 if s.descending else 0)
 
     # Pass 2: rows per (column, bucket) -> constant offsets.
     longform = work.select(
@@ -183,13 +190,16 @@ def percent_ranks(
         per_spec[r["s"]][r["o"]] = int(r["c"])
 
     bcast_rows = _broadcast_rows(df)
-    denom = float(n_rows - 1)
     # A bucket with more rows than this is "heavy" (it holds a hot value) and
     # is ranked through its histogram; lighter buckets are ranked directly.
     limit = max_bucket_rows or max(2 * math.ceil(n_rows / nb), DIRECT_BUCKET_MIN_ROWS)
     out = work
     for i, s in enumerate(specs):
-        counts = per_spec[i]
+        counts = list(per_spec[i])
+        n_ranked = n_rows
+        if not s.keep_nulls:
+            n_ranked -= counts[null_slots[i]]
+            counts[null_slots[i]] = 0
         offsets, run = [], 0
         for c in counts:
             offsets.append(run)
@@ -199,8 +209,9 @@ def percent_ranks(
         vorder = v.desc_nulls_last() if s.descending else v.asc_nulls_first()
         offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(ocol) + 1)
 
-        def pct(below):
-            return (below.cast("double") / F.lit(denom)) if n_rows > 1 else F.lit(0.0)
+        def pct(below, n=n_ranked, keep=s.keep_nulls, col=s.column):
+            value = (below.cast("double") / F.lit(float(n - 1))) if n > 1 else F.lit(0.0)
+            return value if keep else F.when(F.col(col).isNotNull(), value)
 
         def via_histogram(rows: DataFrame, source: DataFrame, broadcast: bool) -> DataFrame:
             hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("__rank_c"))

@@ -57,13 +57,18 @@ SCORE_SPECS = (("r", "last_seen", True),
                ("m", "avg_spend", False))
 
 
-def rfm_scores(measures: DataFrame, scale: float = 5.0, buckets: int | None = None) -> DataFrame:
+def rfm_scores(measures: DataFrame, scale: float = 5.0, buckets: int | None = None,
+               rank_nulls: bool = False) -> DataFrame:
     """OP-12 (WIN-3..6 via EXT-1, FN-13): four percentiles and 0..scale scores.
 
-    Runs two small aggregate jobs eagerly; checkpoint ``measures`` first when
-    it is expensive (the scoring plan does).
+    A null measure gets a null score and is not counted (SURVEY T14: in the
+    reference's descending recency window a null would rank best);
+    ``rank_nulls=True`` ranks nulls exactly as the window does. Runs two small
+    aggregate jobs eagerly; stage ``measures`` first when it is expensive
+    (the scoring plan does).
     """
-    specs = [RankSpec(col, desc, f"{p}_percentile") for p, col, desc in SCORE_SPECS]
+    specs = [RankSpec(col, desc, f"{p}_percentile", keep_nulls=rank_nulls)
+             for p, col, desc in SCORE_SPECS]
     ranked = percent_ranks(measures, specs, buckets=buckets)
     cols = list(measures.columns)
     return ranked.select(*cols,

@@ -26,6 +26,12 @@ def _not_like_all(col: str, values) -> str:
     return " AND ".join(f"NOT ({col} LIKE '{v}')" for v in values)
 
 
+def _pr(col: str, direction: str) -> str:
+    """percent_rank among non-null values; null values get a null rank (T14)."""
+    return (f"CASE WHEN {col} IS NULL THEN NULL ELSE percent_rank() OVER "
+            f"(PARTITION BY {col} IS NULL ORDER BY {col} {direction}) END")
+
+
 BASE_CTES = f"""
 ub AS (
   SELECT DISTINCT o_custkey AS ifa, o_orderpriority AS req_con_type_desc,
@@ -93,10 +99,10 @@ rfm AS (
   FROM base b JOIN peak p ON b.ifa = p.ifa),
 ranked AS (
   SELECT *,
-    percent_rank() OVER (ORDER BY last_seen DESC NULLS LAST) AS r_percentile,
-    percent_rank() OVER (ORDER BY usage_frequency ASC NULLS FIRST) AS vf_percentile,
-    percent_rank() OVER (ORDER BY brq_frequency ASC NULLS FIRST) AS bf_percentile,
-    percent_rank() OVER (ORDER BY avg_spend ASC NULLS FIRST) AS m_percentile
+    {_pr("last_seen", "DESC")} AS r_percentile,
+    {_pr("usage_frequency", "ASC")} AS vf_percentile,
+    {_pr("brq_frequency", "ASC")} AS bf_percentile,
+    {_pr("avg_spend", "ASC")} AS m_percentile
   FROM rfm),
 scores AS (
   SELECT *, r_percentile * {_SCALE} AS r, vf_percentile * {_SCALE} AS vf,

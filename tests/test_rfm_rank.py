@@ -166,3 +166,14 @@ def test_byte_size():
     from rfmlens.operators.rank import byte_size
     assert byte_size("10485760b") == 10485760 and byte_size("64MB") == 64 << 20
     assert byte_size("-1") == -1 and byte_size("2g") == 2 << 30
+
+
+def test_nulls_excluded_from_ranking(spark):
+    rnd = random.Random(3)
+    data = [(i, None if i % 9 == 0 else float(rnd.randint(0, 50))) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, v double")
+    for desc in (False, True):
+        got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls=False)], buckets=8)
+        exp = percent_rank_window(df.where("v is not null"), "v", desc, "p")
+        assert rows(got.where("v is not null"), "id", "p") == rows(exp, "id", "p")
+        assert got.where("v is null and p is not null").count() == 0
