@@ -36,7 +36,8 @@ SCALED_COL = "standardized"
 
 
 def prepare_features(df: DataFrame, features: Sequence[str], key: str = "ifa",
-                     keep: Sequence[str] | None = None, rename: dict | None = None) -> DataFrame:
+                     keep: Sequence[str] | None = None, rename: dict | None = None,
+                     with_mean: bool = False, with_std: bool = True) -> DataFrame:
     """OP-14: cast to float, drop incomplete rows, assemble, scale (no centring).
 
     ``try_cast`` first, then the null drop, so unparsable values remove the row
@@ -44,6 +45,8 @@ def prepare_features(df: DataFrame, features: Sequence[str], key: str = "ifa",
     ``keep`` columns ride along unchanged (all other columns by default).
     ``rename`` maps feature names for the output frame; by default the age
     class ``prediction`` becomes ``age`` because k-means writes ``prediction``.
+    The scaler defaults are the reference's (no centring, unit sample
+    standard deviation, SURVEY T16).
     """
     features = list(features)
     keep = [c for c in (keep if keep is not None else df.columns) if c not in features and c != key]
@@ -51,7 +54,7 @@ def prepare_features(df: DataFrame, features: Sequence[str], key: str = "ifa",
     clean = casted.na.drop(subset=features)
     assembled = VectorAssembler(inputCols=features, outputCol=FEATURES_COL).transform(clean)
     scaler = StandardScaler(inputCol=FEATURES_COL, outputCol=SCALED_COL,
-                            withMean=False, withStd=True).fit(assembled)
+                            withMean=with_mean, withStd=with_std).fit(assembled)
     out = scaler.transform(assembled)
     rename = {"prediction": "age"} if rename is None else rename
     for old, new in rename.items():

@@ -26,15 +26,16 @@ def rfm_base(daily: DataFrame, key: str = "ifa") -> DataFrame:
         .withColumn("duration_months", F.col("max_period") - F.col("min_period") + F.lit(1)))
 
 
-def rfm_measures(base: DataFrame, spend: DataFrame, key: str = "ifa") -> DataFrame:
+def rfm_measures(base: DataFrame, spend: DataFrame, key: str = "ifa", how: str = "inner") -> DataFrame:
     """OP-10 (JN-6, FN-11, FN-12): per-month rates and rounded average spend.
 
-    Inner join: only devices with a spend keep a measure. Both inputs are
+    Inner join by default: only devices with a spend keep a measure; ``how=
+    "left"`` keeps every active device with a null spend (SURVEY T4). Both inputs are
     aggregated by ``key`` with the session's shuffle partitioning, so the join
     reuses that partitioning instead of shuffling again.
     """
     d = F.col("duration_months")
-    return (base.join(spend, key, "inner")
+    return (base.join(spend, key, how)
             .select(key, "last_seen",
                     (F.col("data_usage_freq") / d).alias("usage_frequency"),
                     (F.col("brq_count") / d).alias("brq_frequency"),

@@ -92,10 +92,14 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
 
 
 def monthly_spend(priced: DataFrame, streaming: DataFrame, key: str = "ifa",
-                  month: str | None = "month") -> DataFrame:
-    """OP-6 (JN-5, FN-9): device price + category usage, for devices with both."""
+                  month: str | None = "month", how: str = "inner") -> DataFrame:
+    """OP-6 (JN-5, FN-9): device price + category usage, for devices with both.
+
+    ``how`` widens the population (SURVEY T4); a missing side gives a null
+    spend, as ``+`` with null does.
+    """
     keys = [key] + ([month] if month else [])
-    return (priced.join(streaming, keys, "inner")
+    return (priced.join(streaming, keys, how)
             .select(*keys, (F.col("myr_price") + F.col("data_streaming")).alias("spend")))
 
 

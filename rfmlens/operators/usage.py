@@ -90,17 +90,22 @@ def usage_histogram(events: DataFrame, userbase: DataFrame, key: str = "ifa",
 
 def daily_usage(events: DataFrame, userbase: DataFrame, anchor_day: dt.date,
                 excluded: Sequence[str] = REFERENCE_DAILY_EXCLUDED, key: str = "ifa",
-                channel: str = "req_con_type_desc", count_col: str = "brq_count") -> DataFrame:
+                channel: str = "req_con_type_desc", count_col: str = "brq_count",
+                dedupe_channels: bool = False) -> DataFrame:
     """OP-7: usage per device and day over the allowed-channel userbase rows.
 
     Grouped first at (device, day) -- partial aggregation before the shuffle,
     and a hot device is spread over its days -- then joined 1:1 to the
-    per-device count of allowed userbase rows.
+    per-device count of allowed userbase rows. As in the reference, a day's
+    usage counts once per allowed userbase row (SURVEY T1);
+    ``dedupe_channels=True`` counts it once for any device with at least one.
     """
     anchor_month = anchor_day.replace(day=1)
     per_day = (events.withColumn("date", usage_day("last_seen"))
                .groupBy(key, "date").agg(F.sum(count_col).alias("_day_sum")))
     links = channel_links(userbase, key, channel, excluded, name="_links")
+    if dedupe_channels:
+        links = links.select(key, F.lit(1).cast("long").alias("_links"))
     return (per_day.join(links, key, "inner")
             .select(key, "date",
                     months_before(anchor_month, month_start("date")).alias("period_months"),

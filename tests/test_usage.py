@@ -79,3 +79,10 @@ def test_histogram_equals_pair_form(spark):
     assert rows(got) == rows(expected)
     # totals add up to the number of devices with usage and a userbase row
     assert sum(r.ifa_count for r in got.collect()) == 3
+
+
+def test_daily_usage_dedupe_channels(spark):
+    usage, ub, _ = frames(spark)
+    got = daily_usage(explode_apps(usage), ub, ANCHOR, ("WIFI",), dedupe_channels=True)
+    # d001 has two allowed userbase rows; deduplicated, the day's usage counts once
+    assert rows(got.where("ifa = 'd001' and date = '2021-01-26'"), "sum_brq_daily") == [(7,)]
