@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def uniqueness_check(df: DataFrame, key: str = "ifa") -> DataFrame:
-    """One row: non-null keys, distinct keys, and whether they are equal.
+    """One row: rows, distinct keys (a null key counts as one value, like
+    ``distinct().count()``), and whether they are equal.
 
     One aggregate job instead of the reference's two ``count`` actions.
     """
-    return df.agg(F.count(key).alias("rows"),
-                  F.countDistinct(key).alias("distinct_keys")).withColumn(
-        "is_unique", F.col("rows") == F.col("distinct_keys"))
+    has_null = F.max(F.col(key).isNull().cast("long"))
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  (F.countDistinct(key) + F.coalesce(has_null, F.lit(0).cast("long"))).alias("distinct_keys")
+                  ).withColumn("is_unique", F.col("rows") == F.col("distinct_keys"))
 
 
 def row_counts(**frames: DataFrame) -> dict[str, int]:

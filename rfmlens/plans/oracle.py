@@ -203,8 +203,9 @@ SCORING_SQL = {
         SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen""",
     "rfm_scores": "SELECT * FROM scores",
     "uniqueness_check": """
-        SELECT count(ifa) AS rows, count(DISTINCT ifa) AS distinct_keys,
-               count(ifa) = count(DISTINCT ifa) AS is_unique FROM scores""",
+        SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT ifa FROM scores)) AS distinct_keys,
+               count(*) = (SELECT count(*) FROM (SELECT DISTINCT ifa FROM scores)) AS is_unique
+        FROM scores""",
 }
 
 

@@ -71,3 +71,12 @@ def test_spend_and_peak(spark):
     assert rows(peak_spend(spend)) == [("d1", 21.0)]
     nulls = spark.createDataFrame([("d9", "202101", None)], "ifa string, month string, spend double")
     assert rows(peak_spend(nulls)) == [("d9", None)]
+
+
+def test_uniqueness_check_counts_null_key_once(spark):
+    from rfmlens.operators.checks import uniqueness_check
+    df = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "ifa string")
+    r = uniqueness_check(df).first()
+    assert (r.rows, r.distinct_keys, r.is_unique) == (4, 3, False)
+    r = uniqueness_check(df.where("ifa is not null")).first()
+    assert (r.rows, r.distinct_keys, r.is_unique) == (2, 2, True)
