@@ -191,6 +191,7 @@ SCORING_SQL = {
     "category_usage": "SELECT * FROM streaming",
     "monthly_spend": "SELECT * FROM spend",
     "peak_spend": "SELECT * FROM peak",
+    "spend_stream": "SELECT * FROM spend",
     "rfm_measures": "SELECT * FROM rfm",
     "dist_recency": """
         SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen ORDER BY last_seen""",

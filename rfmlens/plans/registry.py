@@ -171,6 +171,27 @@ def q_legacy_month_scan(spark, d):
                                      F.sum("brq_count").alias("brq"))
 
 
+def q_spend_stream(spark, d):
+    """Structured Streaming: usage and device snapshots land by month; the
+    stream recomputes the months it sees (available-now trigger) and must
+    equal the batch monthly spend."""
+    from pyspark.sql.types import StringType
+    from rfmlens.streaming import monthly_spend_stream
+    usage_path, dev_path = stage_path(spark, "usage_in"), stage_path(spark, "devices_in")
+    write_parquet(S.usage(spark, d), usage_path, mode="overwrite", partition_by=["month"])
+    write_parquet(S.devices(spark, d), dev_path, mode="overwrite", partition_by=["month"])
+    schema = spark.read.parquet(usage_path).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name == "month" else f for f in schema.fields])
+    dev_schema = spark.read.parquet(dev_path).schema
+    dev_schema = StructType([StructField(f.name, StringType()) if f.name == "month" else f
+                             for f in dev_schema.fields])
+    out = stage_path(spark, "spend_out")
+    q = monthly_spend_stream(spark, usage_path, schema, dev_path, q_app_taxonomy(spark, d), out, CFG,
+                             checkpoint=stage_path(spark, "spend_ckpt"), device_schema=dev_schema)
+    q.awaitTermination()
+    return read_monthly(spark, out).select("ifa", "month", "spend")
+
+
 def _wide(spark, d) -> DataFrame:
     """The wide per-device table, staged: the feature and k-means steps read
     it several times (scaler fit, layout size, fit, transform)."""
@@ -261,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_usage": q_category_usage,
     "monthly_spend": q_monthly_spend,
     "peak_spend": q_peak_spend,
+    "spend_stream": q_spend_stream,
     "rfm_measures": q_rfm_measures,
     "dist_recency": q_dist_recency,
     "dist_frequency": q_dist_frequency,
