@@ -57,3 +57,28 @@ def test_category_usage_equals_cross_product(spark, records):
            .groupBy("ifa", "month").agg(F.sum("brq_count").alias("data_streaming")))
     got = category_usage(usage, tax, "Video Streaming")
     assert rows(got) == rows(ref.select(*got.columns))
+
+
+def test_hot_device_through_scoring(spark):
+    """A device with a third of all usage rows: daily use equals the pair
+    form, and the ranks equal percent_rank."""
+    from rfmlens.operators.rank import percent_rank_window
+    from rfmlens.operators.rfm import rfm_base
+    records = []
+    for i in range(900):
+        dev = "hot" if i % 3 == 0 else "d%03d" % (i % 97)
+        records.append((dev, [("b1", dt.datetime(2021, 1 + i % 4, 1 + i % 27, i % 24), i % 11)],
+                        [("4G",)], "2021%02d" % (1 + i % 4)))
+    usage = spark.createDataFrame(records, USAGE)
+    ub = spark.createDataFrame([(d, c, "x") for d in ["hot"] + ["d%03d" % k for k in range(97)]
+                                for c in ("4G", "WIFI", "3G")], USERBASE)
+    got = daily_usage(explode_apps(usage), ub, ANCHOR, ("WIFI",))
+    brq = usage.select("ifa", F.explode("app")).select("ifa", "col.last_seen", "col.brq_count")
+    main = with_usage_dates(ub.join(brq, "ifa"), ANCHOR)
+    ref = (main.filter(~F.col("req_con_type_desc").like("WIFI"))
+           .groupBy("ifa", "date", "period_months", "days_since").agg(F.sum("brq_count").alias("sum_brq_daily")))
+    assert rows(got) == rows(ref.select(*got.columns))
+    base = rfm_base(got)
+    from rfmlens.operators.rank import percent_ranks
+    ranked = percent_ranks(base, [("last_seen", True, "p")], buckets=8, max_bucket_rows=10)
+    assert rows(ranked, "ifa", "p") == rows(percent_rank_window(base, "last_seen", True, "p"), "ifa", "p")
