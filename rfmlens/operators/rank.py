@@ -23,8 +23,10 @@ so the job is a histogram problem:
      ranked directly with ``rank()`` in a window partitioned by bucket (ties
      never straddle buckets) plus the offset -- one shuffle, no join back;
    * otherwise the light buckets go the direct way and only the heavy ones
-     (a hot value) through the histogram, so no task ever receives more
-     than the bound.
+     through the histogram: their hot values (more rows than the bound; at
+     most B/2 of them) get the rank map-side from a broadcast, the rest join
+     by a shuffle with at most the bound per value. No task ever receives a
+     hot value's rows, with or without AQE.
 
 Null placement follows Spark: ascending puts nulls first, descending last.
 Ties share the lowest rank, as in ``percent_rank``.
@@ -227,18 +229,46 @@ def percent_ranks(
             below = (F.rank().over(Window.partitionBy(ocol).orderBy(vorder)) - 1).cast("long") + offset
             return rows.withColumn(s.out, pct(below))
 
+        def heavy_path(rows: DataFrame, source: DataFrame) -> DataFrame:
+            """Heavy buckets: values with more than ``limit`` rows (at most
+            n_rows / limit <= nb / 2 of them) take their rank from a broadcast
+            of their ranked histogram rows, map-side; the other values of
+            those buckets (each at most ``limit`` rows) join by a shuffle."""
+            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("__rank_c"))
+            w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
+            below = F.coalesce(F.sum("__rank_c").over(w), F.lit(0).cast("long")) + offset
+            vkey = f"__rank_v{i}"
+            ranked = hist.select(v.alias(vkey), pct(below).alias(s.out), "__rank_c")
+            hot_ranked = F.broadcast(ranked.where(F.col("__rank_c") > limit).select(
+                vkey, F.col(s.out).alias("__hot_p"), F.lit(True).alias("__is_hot")))
+            tagged = rows.join(hot_ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "left").drop(vkey)
+            hot_rows = (tagged.where(F.col("__is_hot")).withColumn(s.out, F.col("__hot_p"))
+                        .drop("__hot_p", "__is_hot"))
+            cold_ranked = ranked.where(F.col("__rank_c") <= limit).select(vkey, s.out)
+            cold_rows = (tagged.where(F.col("__is_hot").isNull()).drop("__hot_p", "__is_hot")
+                         .join(cold_ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "inner").drop(vkey))
+            return hot_rows.unionByName(cold_rows)
+
         est_distinct = int(stats[f"_d{i}"] or 0) + 1
         heavy = [o for o, c in enumerate(counts) if c > limit]
         if bcast_rows and est_distinct * 5 // 4 <= bcast_rows:
             # Few distinct values: tiny ranked histogram, joined map-side.
             out = via_histogram(out, work, broadcast=True)
-        elif not heavy:
+            continue
+        # Unranked nulls need no window: split them off before ranking.
+        nulls = None
+        ranked_rows, source = out, work
+        if not s.keep_nulls:
+            nulls = out.where(v.isNull()).withColumn(s.out, F.lit(None).cast("double"))
+            ranked_rows, source = out.where(v.isNotNull()), work.where(v.isNotNull())
+        if not heavy:
             # Many distinct values, every bucket provably small: one shuffle.
-            out = direct(out)
+            result = direct(ranked_rows)
         else:
-            hot = F.col(ocol).isin(heavy)
-            out = direct(out.where(~hot)).unionByName(
-                via_histogram(out.where(hot), work.where(hot), broadcast=False))
+            in_heavy = F.col(ocol).isin(heavy)
+            result = direct(ranked_rows.where(~in_heavy)).unionByName(
+                heavy_path(ranked_rows.where(in_heavy), source.where(in_heavy)))
+        out = result if nulls is None else result.unionByName(nulls)
     return out.drop(*order_cols)
 
 

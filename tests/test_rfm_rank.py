@@ -129,9 +129,19 @@ def test_hybrid_branch_hot_value(spark):
         df = spark.createDataFrame(data, "id int, v double")
         for desc in (False, True):
             got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
-            plan = plan_text(got)
-            assert "Union" in plan
+            plan = plan_text(got, "simple")
+            assert "Union" in plan and "BroadcastHashJoin" in plan and "LeftOuter" in plan
             assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
+        # a third of the rows null: ranked like the window, or left unranked
+        data = [(i, None if i % 3 == 0 else rnd.random() * 100) for i in range(3000)]
+        df = spark.createDataFrame(data, "id int, v double")
+        for desc in (False, True):
+            got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
+            assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
+            got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls=False)], buckets=16, max_bucket_rows=300)
+            exp = percent_rank_window(df.where("v is not null"), "v", desc, "p")
+            assert rows(got.where("v is not null"), "id", "p") == rows(exp, "id", "p")
+            assert got.where("v is null").where("p is null").count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
