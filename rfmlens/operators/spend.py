@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rfmlens.config import REFERENCE_FX_RATE, REFERENCE_SPEND_EXCLUDED
 from rfmlens.functions.scalar import converted_price, try_double
-from rfmlens.operators.taxonomy import broadcast_if_bounded
+from rfmlens.operators.skew import join_per_key
+from rfmlens.operators.taxonomy import bounded
 from rfmlens.operators.topk import top1_per_key
 
 
@@ -73,7 +74,8 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
     product of its inputs, so the planner would shuffle the whole usage table
     by app (and a popular app would be one hot task). It is therefore
     broadcast explicitly behind a proven row-count bound (one small job);
-    only a category beyond the bound falls back to a shuffle join.
+    only a category beyond the bound falls back to a shuffle join, with
+    popular apps split off and joined map-side (``operators.skew``).
     """
     keys = [key] + ([month] if month else [])
     allowed = F.filter(F.col(connection),
@@ -84,9 +86,13 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
             .select(*keys, F.col("_a.bundle").alias("bundle"),
                     F.col("_a.brq_count").alias("brq_count"), "_w"))
     bundles = taxonomy.where(F.col(category_col) == F.lit(category)).select("bundle")
-    if check_sizes:
-        bundles = broadcast_if_bounded(bundles)
-    return (apps.join(bundles, "bundle", "inner")
+    if not check_sizes:
+        joined = apps.join(bundles, "bundle", "inner")
+    elif bounded(bundles):
+        joined = apps.join(F.broadcast(bundles), "bundle", "inner")
+    else:  # a huge category: shuffle join, popular apps split off map-side
+        joined = join_per_key(apps, bundles, "bundle", "inner")
+    return (joined
             .groupBy(*keys)
             .agg(F.sum(F.col("brq_count") * F.col("_w")).alias("data_streaming")))
 
