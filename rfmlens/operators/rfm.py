@@ -44,10 +44,18 @@ def rfm_measures(base: DataFrame, spend: DataFrame, key: str = "ifa", how: str =
                     "brq_count"))
 
 
-def value_distribution(measures: DataFrame, measure: str, key: str = "ifa") -> DataFrame:
-    """OP-11 (AGG-6 + SRT-1): distinct devices per value of one measure, by value."""
-    return (measures.groupBy(measure).agg(F.countDistinct(key).alias("ifa_count"))
-            .orderBy(F.col(measure).asc()))
+def value_distribution(measures: DataFrame, measure: str, key: str = "ifa",
+                       unique_keys: bool = False) -> DataFrame:
+    """OP-11 (AGG-6 + SRT-1): distinct devices per value of one measure, by value.
+
+    ``unique_keys=True`` declares one row per key (true of ``rfm_measures``
+    output, grouped by key and joined 1:1), so a plain count gives the same
+    number as ``countDistinct`` without its extra shuffle of (value, key)
+    pairs -- the redundant-distinct removal Catalyst cannot do for lack of
+    key metadata.
+    """
+    n = F.count(key) if unique_keys else F.countDistinct(key)
+    return measures.groupBy(measure).agg(n.alias("ifa_count")).orderBy(F.col(measure).asc())
 
 
 # Score columns: (prefix, measure, descending). Recency ranks descending days,

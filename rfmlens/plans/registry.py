@@ -21,7 +21,7 @@ from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled
 from rfmlens.operators.rank import RankSpec, percent_ranks
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
-from rfmlens.operators.rfm import rfm_base, rfm_scores, value_distribution
+from rfmlens.operators.rfm import rfm_base, rfm_scores
 from rfmlens.operators.spend import category_usage, latest_device, latest_prices, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import enrich_usage, enriched_daily_summary, explode_apps
@@ -107,15 +107,15 @@ def _measures_ckpt(spark, d) -> DataFrame:
 
 
 def q_dist_recency(spark, d):
-    return value_distribution(q_rfm_measures(spark, d), "last_seen")
+    return scoring.distributions(q_rfm_measures(spark, d))["last_seen"]
 
 
 def q_dist_frequency(spark, d):
-    return value_distribution(q_rfm_measures(spark, d), "usage_frequency")
+    return scoring.distributions(q_rfm_measures(spark, d))["usage_frequency"]
 
 
 def q_dist_monetary(spark, d):
-    return value_distribution(q_rfm_measures(spark, d), "avg_spend")
+    return scoring.distributions(q_rfm_measures(spark, d))["avg_spend"]
 
 
 def q_report_csv_roundtrip(spark, d):

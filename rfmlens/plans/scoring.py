@@ -81,7 +81,8 @@ def histogram_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
 
 
 def distributions(measures: DataFrame, key: str = "ifa") -> dict[str, DataFrame]:
-    return {m: value_distribution(measures, m, key)
+    """OP-11 x 3 over ``rfm_measures`` output (one row per key by construction)."""
+    return {m: value_distribution(measures, m, key, unique_keys=True)
             for m in ("last_seen", "usage_frequency", "avg_spend")}
 
 

@@ -169,6 +169,7 @@ def test_scores_and_distributions(spark):
     assert s.select("ifa").distinct().count() == 60
     dist = value_distribution(m, "last_seen")
     assert sum(r.ifa_count for r in dist.collect()) == 60
+    assert rows(value_distribution(m, "last_seen", unique_keys=True)) == rows(dist)
     assert [r.last_seen for r in dist.collect()] == sorted(r.last_seen for r in dist.collect())
 
 
