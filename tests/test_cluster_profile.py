@@ -112,3 +112,15 @@ def test_audiences(spark):
     assert lists.count() == 6
     assert audience_all(m).count() == 6
     assert rows(audience_sizes(lists)) == [(0, 2), (1, 1), (10, 1), (2, 2)]
+
+
+def test_load_clustered_csv_sorts_clusters_numerically(spark, tmp_path):
+    from rfmlens.plans.profiling import load_clustered
+    p = str(tmp_path / "clustered")
+    spark.createDataFrame([("d1", "10", "5.0"), ("d2", "2", "7.5"), ("d3", "0", "1"), ("d4", "2", "x")],
+                          "ifa string, prediction string, avg_spend string") \
+        .coalesce(1).write.option("header", "true").csv(p)
+    model = load_clustered(spark, p)
+    means = cluster_means(model, ("avg_spend",)).collect()
+    assert [r.cluster for r in means] == [0, 2, 10]          # not '0' < '10' < '2'
+    assert {r.cluster: r.avg_spend for r in means} == {0: 1.0, 2: 7.5, 10: 5.0}   # 'x' -> null, ignored
