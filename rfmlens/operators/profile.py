@@ -39,6 +39,12 @@ def category_shares(means: DataFrame, groups: Mapping[str, Sequence[str]]) -> Da
     return out
 
 
+def band_values(model: DataFrame, value: str = "age",
+                bands: Sequence[tuple[float, str]] = REFERENCE_AGE_BANDS, out: str = "age") -> DataFrame:
+    """FN-15 + PRJ-10: the distinct band labels present (null for unmapped)."""
+    return model.select(band_of(try_double(F.col(f"`{value}`")), bands).alias(out)).distinct()
+
+
 def band_distribution(model: DataFrame, value: str = "age",
                       bands: Sequence[tuple[float, str]] = REFERENCE_AGE_BANDS,
                       cluster: str = "cluster", key: str = "ifa",

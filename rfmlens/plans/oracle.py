@@ -253,6 +253,8 @@ PROFILE_SQL = {
            f"{'overall_brq' if c in APP_CATEGORIES else 'overall_brq_poi'} AS DOUBLE))", c)
         for c in _MEANS_OF)
         + ", count(ifa) AS ifa_count FROM clustered GROUP BY cluster ORDER BY cluster",
+    "band_values": "SELECT DISTINCT CASE " + " ".join(
+        f"WHEN prediction = {v} THEN '{b}'" for v, b in _BANDS) + " END AS age FROM clustered",
     "band_distribution": "SELECT cluster, " + ", ".join(
         f"nullif(count(*) FILTER (WHERE prediction = {v}), 0) AS \"{b}\"" for v, b in _BANDS)
         + ", count(ifa) AS ifa_count FROM clustered GROUP BY cluster ORDER BY cluster",

@@ -19,8 +19,8 @@ from rfmlens.operators.checks import row_reconciliation, uniqueness_check
 from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled_columns,
                                        silhouette, silhouette_sweep)
 from rfmlens.operators.rank import RankSpec, percent_ranks
-from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
-                                       mean_vs_median)
+from rfmlens.operators.profile import (band_distribution, band_values, category_shares,
+                                       cluster_means, mean_vs_median)
 from rfmlens.operators.rfm import rfm_base, rfm_scores
 from rfmlens.operators.spend import category_usage, latest_device, latest_prices, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
@@ -244,6 +244,10 @@ def q_category_shares(spark, d):
     return round_doubles(category_shares(means, SHARE_GROUPS), REPORT_DIGITS)
 
 
+def q_band_values(spark, d):
+    return band_values(_rule_clustered(spark, d), value="prediction")
+
+
 def q_band_distribution(spark, d):
     return band_distribution(_rule_clustered(spark, d), value="prediction")
 
@@ -302,6 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_profile": q_kmeans_profile,
     "cluster_means": q_cluster_means,
     "category_shares": q_category_shares,
+    "band_values": q_band_values,
     "band_distribution": q_band_distribution,
     "mean_vs_median": q_mean_vs_median,
     "audience_lists": q_audience_lists,
