@@ -63,7 +63,8 @@ def enrich_usage(events: DataFrame, userbase: DataFrame, anchor_day: dt.date,
     the reference's many-to-many join repeats the row; joining this frame to
     the userbase on ``key`` gives the reference's ``main_df`` row for row.
     The output keeps every usage row, so devices with more than
-    ``hot_threshold_rows`` rows are joined map-side (``operators.skew``).
+    ``hot_threshold_rows`` rows are joined map-side (``operators.skew``); one
+    keys-only counting job finds them.
     """
     links = channel_links(userbase, key, name="ub_rows")
     joined = join_per_key(events, links, key, "inner", threshold_rows=hot_threshold_rows)
@@ -78,9 +79,11 @@ def enriched_daily_summary(enriched: DataFrame, key: str = "ifa") -> DataFrame:
 
 
 def usage_histogram(events: DataFrame, userbase: DataFrame, key: str = "ifa",
-                    count_col: str = "brq_count") -> DataFrame:
+                    count_col: str = "brq_count", count_name: str = "ifa_count") -> DataFrame:
     """OP-2: devices per total usage, over distinct (device, count) pairs.
 
+    ``count_name`` names the device count (the reference's report calls it
+    ``ifa``).
     The distinct is map-side combined before the shuffle, so a hot device
     contributes at most one row per distinct count value.
     """
@@ -88,7 +91,7 @@ def usage_histogram(events: DataFrame, userbase: DataFrame, key: str = "ifa",
     known = userbase.select(key).distinct()
     totals = (pairs.join(known, key, "left_semi")
               .groupBy(key).agg(F.sum(count_col).alias("sum_brq")))
-    return (totals.groupBy("sum_brq").agg(F.count(key).alias("ifa_count"))
+    return (totals.groupBy("sum_brq").agg(F.count(key).alias(count_name))
             .orderBy("sum_brq"))
 
 
