@@ -82,10 +82,9 @@ def usage_histogram(events: DataFrame, userbase: DataFrame, key: str = "ifa",
                     count_col: str = "brq_count", count_name: str = "ifa_count") -> DataFrame:
     """OP-2: devices per total usage, over distinct (device, count) pairs.
 
-    ``count_name`` names the device count (the reference's report calls it
-    ``ifa``).
     The distinct is map-side combined before the shuffle, so a hot device
-    contributes at most one row per distinct count value.
+    contributes at most one row per distinct count value. ``count_name``
+    names the device count (the reference's report calls it ``ifa``).
     """
     pairs = events.select(key, count_col).distinct()
     known = userbase.select(key).distinct()
