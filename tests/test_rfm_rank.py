@@ -188,3 +188,25 @@ def test_nulls_excluded_from_ranking(spark):
         exp = percent_rank_window(df.where("v is not null"), "v", desc, "p")
         assert rows(got.where("v is not null"), "id", "p") == rows(exp, "id", "p")
         assert got.where("v is null and p is not null").count() == 0
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 3), st.integers(-1000, 1000)), min_size=1, max_size=80),
+       st.booleans(), st.booleans(), st.integers(1, 12), st.integers(2, 15))
+def test_percent_rank_all_branches_property(spark, values, desc, keep_nulls, buckets, max_rows):
+    """Direct, hybrid (hot values broadcast) and histogram branches against
+    the single-partition window, with broadcasting off to reach them all."""
+    old = _no_broadcast(spark)
+    try:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int")
+        got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls)], buckets=buckets,
+                            max_bucket_rows=max_rows)
+        if keep_nulls:
+            assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
+        else:
+            exp = percent_rank_window(df.where("v is not null"), "v", desc, "p")
+            assert rows(got.where("v is not null"), "id", "p") == rows(exp, "id", "p")
+            assert got.where("v is null and p is not null").count() == 0
+        assert got.count() == len(values)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
