@@ -42,6 +42,7 @@ SHARE_GROUPS = {"overall_brq": S.APP_CATEGORIES, "overall_brq_poi": S.PLACE_CODE
 # (SRC-2/3/8); every other query reads all months of the whole tables.
 WINDOW_MONTHS = ("200105", "200106", "200107", "200108")
 REPORT_DIGITS = 6
+STREAM_TIMEOUT_S = 3600
 
 
 def scoring_inputs(spark: SparkSession, d: str) -> scoring.ScoringInputs:
@@ -188,7 +189,9 @@ def q_spend_stream(spark, d):
     out = stage_path(spark, "spend_out")
     q = monthly_spend_stream(spark, usage_path, schema, dev_path, q_app_taxonomy(spark, d), out, CFG,
                              checkpoint=stage_path(spark, "spend_ckpt"), device_schema=dev_schema)
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_S):   # available-now: stops once caught up
+        q.stop()
+        raise TimeoutError(f"spend stream still running after {STREAM_TIMEOUT_S} s")
     return read_monthly(spark, out).select("ifa", "month", "spend")
 
 
