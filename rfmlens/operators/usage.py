@@ -31,11 +31,14 @@ from rfmlens.operators.skew import HOT_KEY_ROWS, join_per_key
 
 
 def explode_apps(usage: DataFrame, key: str = "ifa", array_col: str = "app",
-                 fields: Sequence[str] = ("last_seen", "brq_count"),
+                 fields: Sequence[str] | None = ("last_seen", "brq_count"),
                  keep: Sequence[str] = ()) -> DataFrame:
-    """GEN-1 + PRJ-2: one row per array element; empty or null arrays drop the row."""
-    return (usage.select(key, *keep, F.explode(array_col).alias("col"))
-            .select(key, *keep, *[F.col(f"col.{f}").alias(f) for f in fields]))
+    """GEN-1 + PRJ-2/3: one row per array element; empty or null arrays drop
+    the row. ``fields=None`` expands every struct field (``col.*``)."""
+    exploded = usage.select(key, *keep, F.explode(array_col).alias("col"))
+    if fields is None:
+        return exploded.select(key, *keep, "col.*")
+    return exploded.select(key, *keep, *[F.col(f"col.{f}").alias(f) for f in fields])
 
 
 def with_usage_dates(events: DataFrame, anchor_day: dt.date, ts: str = "last_seen") -> DataFrame:

@@ -40,6 +40,7 @@ def test_explode_drops_empty_and_null_arrays(spark):
     assert ev.columns == ["ifa", "last_seen", "brq_count"]
     assert ev.where("ifa = 'd002'").count() == 0
     assert ev.count() == 9
+    assert explode_apps(usage, fields=None).columns == ["ifa", "bundle", "last_seen", "brq_count"]
 
 
 def test_daily_usage_equals_pair_form(spark):
