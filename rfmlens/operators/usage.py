@@ -109,9 +109,16 @@ def daily_usage(events: DataFrame, userbase: DataFrame, anchor_day: dt.date,
     usage counts once per allowed userbase row (SURVEY T1);
     ``dedupe_channels=True`` counts it once for any device with at least one.
     """
-    anchor_month = anchor_day.replace(day=1)
     per_day = (events.withColumn("date", usage_day("last_seen"))
                .groupBy(key, "date").agg(F.sum(count_col).alias("_day_sum")))
+    return daily_from_day_sums(per_day, userbase, anchor_day, excluded, key, channel, dedupe_channels)
+
+
+def daily_from_day_sums(per_day: DataFrame, userbase: DataFrame, anchor_day: dt.date,
+                        excluded: Sequence[str] = REFERENCE_DAILY_EXCLUDED, key: str = "ifa",
+                        channel: str = "req_con_type_desc", dedupe_channels: bool = False) -> DataFrame:
+    """OP-7 second half: (key, date, _day_sum) x allowed userbase rows per key."""
+    anchor_month = anchor_day.replace(day=1)
     links = channel_links(userbase, key, channel, excluded, name="_links")
     if dedupe_channels:
         links = links.select(key, F.lit(1).cast("long").alias("_links"))

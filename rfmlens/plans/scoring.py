@@ -13,13 +13,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rfmlens import schemas
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
 from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend, peak_spend
-from rfmlens.operators.taxonomy import app_taxonomy
-from rfmlens.operators.usage import daily_usage, explode_apps, usage_histogram
+from rfmlens.functions.dates import usage_day
+from rfmlens.operators.taxonomy import app_taxonomy, bounded
+from rfmlens.operators.usage import daily_from_day_sums, daily_usage, explode_apps, usage_histogram
 from rfmlens.session import cut_lineage
 from rfmlens.sources.readers import read_csv_typed, read_monthly, read_tree
 from rfmlens.sources.sinks import write_csv, write_parquet
@@ -64,9 +66,60 @@ def spend_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
     return monthly_spend(priced, streaming, cfg.key)
 
 
-def measures_frame(inp: ScoringInputs, cfg: ScoringConfig) -> DataFrame:
-    base = rfm_base(daily_frame(inp, cfg), cfg.key)
-    return rfm_measures(base, peak_spend(spend_frame(inp, cfg), cfg.key), cfg.key)
+def usage_sums(inp: ScoringInputs, cfg: ScoringConfig) -> tuple[DataFrame, DataFrame]:
+    """Both usage aggregates from ONE scan of the nested usage table.
+
+    Daily use needs sum(count) per (device, day) over every app; category
+    spend needs sum(count x allowed connections x category rows) per
+    (device, month). Reading the usage table once and aggregating with
+    GROUPING SETS ((device, day), (device, month)) gives both with one
+    shuffle -- at scale the usage scan is the dominant cost. Runs one job
+    (the staged sums). The category's
+    bundles are broadcast as (bundle, taxonomy rows) behind a row bound, so a
+    duplicated taxonomy row multiplies category usage as the reference's left
+    join does without duplicating rows for daily use.
+    """
+    k = cfg.key
+    taxonomy = app_taxonomy(inp.app_master, inp.app_level, inp.app_lifestage)
+    cat = (taxonomy.where(F.col(cfg.category_col) == F.lit(cfg.category))
+           .groupBy("bundle").agg(F.count(F.lit(1)).alias("__n_cat")))
+    cat = F.broadcast(cat) if bounded(cat) else cat
+    allowed = F.filter(F.col("connection"), lambda c: c["req_con_type_desc"].isNotNull()
+                       & ~c["req_con_type_desc"].isin(list(cfg.spend_excluded)))
+    weight = F.when(F.col("connection").isNull(), F.lit(0)).otherwise(F.size(allowed))
+    rows = (inp.usage.select(k, "month", weight.alias("__w"), F.explode("app").alias("__a"))
+            .select(k, "month", "__w", F.col("__a.bundle").alias("bundle"),
+                    F.col("__a.brq_count").alias("brq_count"),
+                    usage_day(F.col("__a.last_seen")).alias("date"))
+            .join(cat, "bundle", "left"))
+    in_cat = F.col("__n_cat").isNotNull() & (F.col("__w") > 0)
+    sums = (rows.groupingSets([[k, "date"], [k, "month"]], k, "date", "month")
+            .agg(F.sum("brq_count").alias("_day_sum"),
+                 F.sum(F.when(in_cat, F.col("brq_count") * F.col("__w") * F.col("__n_cat")))
+                 .alias("data_streaming"),
+                 F.count(F.when(in_cat, F.lit(1))).alias("__cat_rows"),
+                 F.grouping("month").alias("__g_month")))
+    # Each consumer needs different columns, so Catalyst would prune the two
+    # branches differently and scan usage twice; staging the (small, day- and
+    # month-grain) result once keeps it at one scan.
+    sums = cut_lineage(sums, "usage_sums")
+    per_day = sums.where(F.col("__g_month") == 1).select(k, "date", "_day_sum")
+    streaming = (sums.where((F.col("__g_month") == 0) & (F.col("__cat_rows") > 0))
+                 .select(k, "month", "data_streaming"))
+    return per_day, streaming
+
+
+def measures_frame(inp: ScoringInputs, cfg: ScoringConfig, fused: bool = True) -> DataFrame:
+    """RFM measures; ``fused`` reads the usage table once for both the daily
+    and the spend side (``usage_sums``)."""
+    if not fused:
+        base = rfm_base(daily_frame(inp, cfg), cfg.key)
+        return rfm_measures(base, peak_spend(spend_frame(inp, cfg), cfg.key), cfg.key)
+    per_day, streaming = usage_sums(inp, cfg)
+    daily = daily_from_day_sums(per_day, inp.userbase, cfg.anchor_day, cfg.daily_excluded, cfg.key)
+    priced = latest_prices(inp.devices, cfg.fx_rate, (cfg.key, "month"))
+    spend = monthly_spend(priced, streaming, cfg.key)
+    return rfm_measures(rfm_base(daily, cfg.key), peak_spend(spend, cfg.key), cfg.key)
 
 
 def scores_frame(inp: ScoringInputs, cfg: ScoringConfig, checkpoint: bool = True) -> DataFrame:
