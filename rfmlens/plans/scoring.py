@@ -109,9 +109,26 @@ def usage_sums(inp: ScoringInputs, cfg: ScoringConfig) -> tuple[DataFrame, DataF
     return per_day, streaming
 
 
-def measures_frame(inp: ScoringInputs, cfg: ScoringConfig, fused: bool = True) -> DataFrame:
-    """RFM measures; ``fused`` reads the usage table once for both the daily
-    and the spend side (``usage_sums``)."""
+# Usage inputs spanning at least this many files (~32 GB of 128 MB files)
+# are read once for both sums (``usage_sums``); smaller ones are cheaper to
+# read twice than to stage.
+FUSED_SCAN_MIN_FILES = 256
+
+
+def fuse_usage_scan(usage: DataFrame) -> bool:
+    """Large usage input? Decided from the already-listed file index."""
+    try:
+        return len(usage.inputFiles()) >= FUSED_SCAN_MIN_FILES
+    except Exception:  # noqa: BLE001 -- sources without a file list
+        return False
+
+
+def measures_frame(inp: ScoringInputs, cfg: ScoringConfig, fused: bool | None = None) -> DataFrame:
+    """RFM measures. ``fused`` reads the usage table once for both the daily
+    and the spend side (``usage_sums``: one scan, one staging job); by default
+    it is chosen from the size of the usage input (``fuse_usage_scan``)."""
+    if fused is None:
+        fused = fuse_usage_scan(inp.usage)
     if not fused:
         base = rfm_base(daily_frame(inp, cfg), cfg.key)
         return rfm_measures(base, peak_spend(spend_frame(inp, cfg), cfg.key), cfg.key)
