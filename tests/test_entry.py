@@ -48,3 +48,17 @@ def test_registered_plans_scale_properties(spark):
     from rfmlens.plans.inspect import exchanges
     for name in ("category_usage", "monthly_spend", "rfm_measures"):
         assert not any("bundle" in e for e in exchanges(q[name](spark, SMOKE))), name
+
+
+def test_rows_only_queries_smoke(spark):
+    """The k-means queries (no SQL form) run and keep their invariants."""
+    q = E.queries()
+    sweep = q["silhouette_sweep"](spark, SMOKE).orderBy("k").collect()
+    assert [r.k for r in sweep] == list(range(2, 10))
+    assert all(-1.0 <= r.silhouette <= 1.0 for r in sweep)
+    labelled = q["assign_clusters"](spark, SMOKE)
+    n = labelled.count()
+    assert n > 0 and labelled.select("ifa").distinct().count() == n
+    assert {r.cluster for r in labelled.select("cluster").distinct().collect()} <= set(range(6))
+    prof = q["kmeans_profile"](spark, SMOKE).collect()
+    assert sum(r.ifa_count for r in prof) == n
