@@ -40,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint directory). Only when neither is set (local tests) a private
     folder is created and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        configured = None
     if configured:
         return configured.rstrip("/")
     try:
@@ -58,8 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="rfmlens-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(own)
-    else:
-        spark.conf.set("spark.checkpoint.dir", own)
+    # (spark.checkpoint.dir is a launch-time setting; a remote session without
+    # one still gets Parquet stage tables in ``own``.)
     return own
 
 

@@ -76,3 +76,36 @@ def test_segments_csv_and_errorifexists(spark):
     assert "Mobile Device ID" in back.columns and back.count() == 3
     write_csv(m, root + "/report", single_file=True)
     assert read_csv_typed(spark, root + "/report").count() == 4
+
+
+def test_shared_dir_resolution_order():
+    """Session setting first, then the context's checkpoint folder; a private
+    folder only when neither exists (spark.checkpoint.dir is launch-time, so
+    the session objects are stand-ins here)."""
+    from rfmlens.session import shared_dir, stage_path
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Ctx:
+        def __init__(self, conf, ckpt=None):
+            self._conf, self.ckpt = Conf(conf), ckpt
+        def getConf(self):
+            return self._conf
+        def getCheckpointDir(self):
+            return self.ckpt
+        def setCheckpointDir(self, d):
+            self.ckpt = d
+
+    class Sess:
+        def __init__(self, conf, ctx):
+            self.conf, self.sparkContext = Conf(conf), ctx
+
+    assert shared_dir(Sess({"spark.checkpoint.dir": "s3a://b/ck/"}, Ctx({}))) == "s3a://b/ck"
+    assert shared_dir(Sess({}, Ctx({"spark.checkpoint.dir": "hdfs:///ck"}))) == "hdfs:///ck"
+    assert shared_dir(Sess({}, Ctx({}, "hdfs:///ck/0a1b2c"))) == "hdfs:///ck"
+    ctx = Ctx({})
+    own = shared_dir(Sess({}, ctx))
+    assert ctx.ckpt == own and os.path.isdir(own)
+    assert stage_path(Sess({"spark.checkpoint.dir": "s3a://b/ck"}, Ctx({})), "m").startswith("s3a://b/ck/stages/m-")
