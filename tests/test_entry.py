@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from rfmlens.plans import oracle, registry
 
 SMOKE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test tables not present")
@@ -20,14 +21,15 @@ def test_entry_schema(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registry.queries(), oracle.oracle_sql()
     assert set(q) - set(o) == ROWS_ONLY
     assert set(o) <= set(q)
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
 
 
 def test_queries_match_oracle_smoke(spark):
     from tools.compare_oracle import compare
-    names = [n for n in E.queries() if n not in ROWS_ONLY]
+    names = [n for n in registry.queries() if n not in ROWS_ONLY]
     res = compare(spark, SMOKE, names)
     assert all(v == "ok" for v in res.values()), res
 
