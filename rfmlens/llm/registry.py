@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import pieces, warc
+from rfmlens.llm import pieces, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_topk": topk.op2_topk,
         "op9_pieces": pieces.op9_pieces,
     }
 
@@ -19,4 +20,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
+        "op2_topk": topk.OP2_SQL,
     }
