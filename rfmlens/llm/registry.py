@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import pieces, topk, warc
+from rfmlens.llm import langid, pieces, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_topk": topk.op2_topk,
+        "op5_quality": quality.op5_quality,
+        "op6_langid": langid.op6_langid,
         "op9_pieces": pieces.op9_pieces,
     }
 
