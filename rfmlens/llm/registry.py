@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import langid, pieces, quality, topk, warc
+from rfmlens.llm import decontam, langid, pieces, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_langid": langid.op6_langid,
         "op9_pieces": pieces.op9_pieces,
+        "op10_decontamination": decontam.op10_decontamination,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
         "op2_topk": topk.OP2_SQL,
+        "op10_decontamination": decontam.OP10_SQL,
     }
