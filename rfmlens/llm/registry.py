@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import decontam, langid, pieces, quality, topk, warc
+from rfmlens.llm import decontam, langid, lm, pieces, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_topk": topk.op2_topk,
+        "op3_lm": lm.op3_lm,
         "op5_quality": quality.op5_quality,
         "op6_langid": langid.op6_langid,
         "op9_pieces": pieces.op9_pieces,
