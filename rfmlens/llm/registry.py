@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import decontam, langid, licenses, lm, pieces, quality, topk, warc
+from rfmlens.llm import decontam, html, langid, licenses, lm, pieces, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm": lm.op3_lm,
         "op5_quality": quality.op5_quality,
         "op6_langid": langid.op6_langid,
+        "op7_html": html.op7_html,
         "op8_licenses": licenses.op8_licenses,
         "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontam.op10_decontamination,
