@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.session import cut_lineage, stage_path
 
-__all__ = ["HOT_SHARE", "cut_lineage", "fold", "lookup", "stage_path", "words"]
+__all__ = ["HOT_SHARE", "cut_lineage", "fold", "lookup", "shared_code", "stage_path", "words"]
 
 #: A key is hot when it holds more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
@@ -17,6 +19,21 @@ HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_code(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``run`` after the Python workers were told where this package is, for sessions that were started elsewhere.
+
+    Executors on other machines need the package installed or given by ``--py-files``, as any Python code on Spark.
+    """
+    def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return run(spark, sf_dir)
+
+    return told
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z only; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

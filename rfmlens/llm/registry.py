@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import decontam, html, langid, licenses, lm, pieces, quality, topk, warc
+from rfmlens.llm import decontam, html, langid, licenses, lm, neardup, pieces, quality, topk, warc
+from rfmlens.llm.common import shared_code
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_warc": warc.op1_warc,
         "op2_topk": topk.op2_topk,
         "op3_lm": lm.op3_lm,
+        "op4_minhash": neardup.op4_minhash,
         "op5_quality": quality.op5_quality,
         "op6_langid": langid.op6_langid,
         "op7_html": html.op7_html,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontam.op10_decontamination,
     }
+    return {name: shared_code(run) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
