@@ -22,7 +22,6 @@ only if no id is reachable, and it is then kept; an empty table gives no rows; o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -245,7 +244,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) ->
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, version, n_shingles, component_id and kept of every row.
+    """doc_id, version, n_shingles, component_id, kept and group (a number for each component, null without shingles) of every row.
 
     Sets of shingles are linked if ``100 * intersection >= percent * union``.
     """
@@ -263,19 +262,40 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     labels = cut_lineage(components(links), "labels")
     more = cut_lineage(confirm(open_pairs(members, labels, signatures), nodes=nodes, **args), "links")
     if more.head(1):
-        joined = [x.select(F.col("node").alias("a"), F.col("label").alias("b")) for x in (labels,)]
-        labels = cut_lineage(components(reduce(DataFrame.union, [*joined, more])), "labels")
+        labels = cut_lineage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
     # the smallest id of each component, and of each set with copies
     part = nodes.select("node", "low", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     part = cut_lineage(part, "parts")
     low = cut_lineage(part.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k"), F.sum("k").alias("rows")).where("rows > 1").drop("rows"), "lows")
     ids = lookup(part.select("node", "label", F.col("k").alias("copies")), low, ["label"], "k", part.count(), F.col("node"))
-    ids = cut_lineage(ids.where("component_id is not null").select("node", "component_id", F.col("copies").alias("k")), "components")
+    ids = ids.where("copies > 1 or label != node or component_id is not null")
+    ids = cut_lineage(ids.select("node", "label", "component_id", F.col("copies").alias("k")), "components")
     out = lookup(rows.select("doc_id", "version", "n", "node"), ids, ["node"], "k", rows.count(), F.struct("doc_id", "version"))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "version", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "version", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                      F.coalesce("label", "node").alias("group"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id (then of the smallest hash of the text); texts without shingles stay."""
+    rows = cut_lineage(groups(docs, size, percent, id_col, text_col).where("group is not null").select("doc_id", "version", "group"), "groups")
+    first = cut_lineage(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("r"),
+                                                  F.count(F.lit(1)).alias("k")).where("k > 1"), "firsts")
+    near = lookup(rows, first, ["group"], "k", rows.count(), F.struct("doc_id", "version")).where("r is not null")
+    same = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("version") == F.col("r.version"))
+    near = cut_lineage(near.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), same.alias("stays")), "decisions")
+    drop = near.where("not stays").select("__id", "__version").distinct()
+    repeated = near.where("stays").groupBy("__id", "__version").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    here = [F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(text_col).cast("string")) == F.col("__version")]
+    drop = cut_lineage(drop, "drop")
+    out = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, here, "left_anti")
+    repeated = cut_lineage(repeated, "repeated")
+    if repeated.head(1):  # rows that share id and text: one of them stays
+        again = out.join(repeated, here, "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(repeated, here, "left_anti").unionByName(again)
+    return out
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all whole texts of ``documents`` under links of at least 0.8 on two-word shingles."""
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("version")
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("version", "group")

@@ -308,8 +308,8 @@ def _coder(model: bytes) -> Coder:
 
 
 def code_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
-                   full: bool = False) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256; with ``full`` also the ids and the decoded text."""
+                   more: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and of ``ids`` and ``decoded`` (the text) those that ``more`` names."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -324,12 +324,15 @@ def code_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_c
                 n, ids, text, raw, out = zip(*coder.code(part.column("text").to_pylist()), strict=True)
                 cols = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids),
                         "decoded_sha256": pa.array(text)}
-                if full:
-                    cols["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in raw], pa.list_(pa.int32()))
+                if "ids" in more:
+                    ends = np.cumsum([0, *n]).astype(np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(raw), "<i4"))
+                if "decoded" in more:
                     cols["decoded"] = pa.array([x.decode() for x in out], pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return rows.mapInArrow(run, schema + (", ids array<int>, decoded string" if full else ""))
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    return rows.mapInArrow(run, schema + "".join(f", {c} {t}" for c, t in kinds.items() if c in more))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,10 +51,11 @@ def test_decode_of_broken_bytes():
 def test_frame(spark):
     rows = [(i, t, "x") for i, t in enumerate(EDGE)] + [(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    got = P.code_documents(docs, MODEL, full=True).collect()
+    got = P.code_documents(docs, MODEL, more=("ids", "decoded")).collect()
     want = {r[1]: [1, *SP.encode(r[1] or ""), 2] for r in rows}
     assert len(got) == len(rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == sorted((r[0] is None, r[0] or 0, want[r[1]]) for r in rows)
+    assert all(r.decoded == SP.decode(r.ids) for r in got)
     assert P.code_documents(docs.where("false"), MODEL).count() == 0
 
 
