@@ -111,9 +111,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_00
     def describe(text: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in text])
 
-    got = labelled_sample(docs, labels, train, sample).select(describe("text").alias("x"), "good").orderBy("good", "x").toPandas()
+    got = labelled_sample(docs, labels, train, sample).select(describe("text").alias("x"), "good").toPandas()  # ``sample`` rows
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(features("")))
-    return fit(x, got["good"].to_numpy(bool), quantile=quantile)
+    order = np.lexsort((*x.T, got["good"].to_numpy(bool)))  # the same rows give the same model, however they arrive
+    return fit(x[order], got["good"].to_numpy(bool)[order], quantile=quantile)
 
 
 def score_quality(docs: DataFrame, model: Ranking, text_col: str = "text", out: str = "score") -> DataFrame:
