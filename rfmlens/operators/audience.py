@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from rfmlens.sources.sinks import write_segments
 
 
-def audience_lists(model: DataFrame, cluster: str = "cluster", key: str = "ifa") -> DataFrame:
+def audience_lists(model: DataFrame, cluster: str = "cluster", key: str = "ifa",
+                   drop_null_ids: bool = False) -> DataFrame:
     """OP-20 (AGG-14): distinct (segment, device) pairs, every segment at once.
 
     The reference filters one literal cluster name at a time; the segments
-    here come from the data.
+    here come from the data. A null id stays, as in the reference's
+    ``distinct()``, unless ``drop_null_ids``; lists and exports agree.
     """
-    return model.where(F.col(key).isNotNull()).select(cluster, key).distinct()
+    rows = model.where(F.col(key).isNotNull()) if drop_null_ids else model
+    return rows.select(cluster, key).distinct()
 
 
-def audience_all(model: DataFrame, key: str = "ifa") -> DataFrame:
+def audience_all(model: DataFrame, key: str = "ifa", drop_null_ids: bool = False) -> DataFrame:
     """OP-20 (AGG-14): the overall distinct device list."""
-    return model.where(F.col(key).isNotNull()).select(key).distinct()
+    rows = model.where(F.col(key).isNotNull()) if drop_null_ids else model
+    return rows.select(key).distinct()
 
 
 def audience_sizes(lists: DataFrame, cluster: str = "cluster", key: str = "ifa") -> DataFrame:
@@ -29,12 +33,12 @@ def audience_sizes(lists: DataFrame, cluster: str = "cluster", key: str = "ifa")
 
 def export_audiences(model: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                      cluster: str = "cluster", key: str = "ifa", label: str | None = None,
-                     files_per_segment: int | None = None) -> None:
+                     files_per_segment: int | None = None, drop_null_ids: bool = False) -> None:
     """OP-20/OP-21 (SNK-2, SNK-6, SNK-7): one directory per segment, one job.
 
     For CSV, ``label`` is the header of the id column (the reference uses
     ``Mobile Device ID``). ``files_per_segment=1`` gives the reference's one
     file per segment; see ``write_segments`` for the cost of that.
     """
-    write_segments(model, path, segment=cluster, key=key, mode=mode, fmt=fmt, label=label,
+    write_segments(model.where(F.col(key).isNotNull()) if drop_null_ids else model, path, segment=cluster, key=key, mode=mode, fmt=fmt, label=label,
                    files_per_segment=files_per_segment)

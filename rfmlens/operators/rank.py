@@ -6,44 +6,37 @@ strictly before its value:
 
     pct(v) = below(v) / (N - 1),   N = 1 -> 0.0
 
-so the job is a histogram problem:
-
-1. one aggregate pass gives N, approximate value quantiles (bucket bounds,
-   row-weighted, so a bucket holds about N/B rows and therefore at most that
-   many distinct values) and an approximate distinct count per column;
-2. a second aggregate pass counts rows per (column, bucket); the B+3 totals per
-   column come back to the driver and become constant bucket offsets;
-3. per column, one of three plans, chosen from those numbers:
-   * few distinct values (the estimate fits the session's broadcast size):
-     the histogram ``groupBy(v).count()`` (map-side combined, so a hot value
-     collapses to one row) is ranked inside its bucket with a window
-     partitioned by bucket, the bucket offset is added, and the small ranked
-     histogram is broadcast and joined back on the value (null-safe);
-   * many distinct values and every bucket holds at most ~2N/B rows: rows are
-     ranked directly with ``rank()`` in a window partitioned by bucket (ties
-     never straddle buckets) plus the offset -- one shuffle, no join back;
-   * otherwise the light buckets go the direct way and only the heavy ones
-     through the histogram: their hot values (more rows than the bound; at
-     most B/2 of them) get the rank map-side from a broadcast, the rest join
-     by a shuffle with at most the bound per value. No task ever receives a
-     hot value's rows, with or without AQE.
-
-Null placement follows Spark: ascending puts nulls first, descending last.
-Ties share the lowest rank, as in ``percent_rank``.
+so the job is a histogram problem, solved in one way for every type and size:
+
+1. the histogram ``groupBy(v).count()``, map-side combined, so a hot value is
+   one row from here on;
+2. its rows are range partitioned on the full value (Spark samples the bounds),
+   which gives ranges of about the same number of distinct values, and staged
+   with their range number;
+3. the totals per range, one number for each, become the offsets of the
+   ranges, and a running sum inside each range gives ``below`` for each value;
+4. the ranked values are joined back to the rows. Each value knows its number
+   of rows, so hot values are joined map-side and all others by a shuffle
+   (``operators.skew.join_counted``); Spark broadcasts the whole table if its
+   size is below the session's threshold.
+
+Null placement follows Spark: ascending puts nulls first, descending last; NaN
+is above every number, and -0.0 equals 0.0. Ties share the lowest rank, as in
+``percent_rank``.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import math
-import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from rfmlens.operators.skew import join_counted
+from rfmlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -62,59 +55,23 @@ class RankSpec:
         return self.output or f"{self.column}_percentile"
 
 
-# Lower bound of the "heavy bucket" limit (rows); see percent_ranks.
-DIRECT_BUCKET_MIN_ROWS = 100_000
-# Bucket count follows the session's shuffle partitions up to this cap: the
-# bounds and offsets travel as constants in the plan.
-MAX_BUCKETS = 4096
-
-
-def _order_key(df: DataFrame, column: str):
-    """A double that never decreases when the column's value increases.
-
-    Only used to cut the value range into buckets (ranks themselves compare
-    the original values), so ties or rounding in the key are harmless.
-    """
-    c = F.col(column)
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        # zone-free: a cast through the session zone is not monotone across DST gaps
-        epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, c).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
-        # first 6 bytes in binary (UTF-8 byte) order, as a 48-bit number
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int").cast("double")
-    return c.cast("double")
-
-
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
-
-
-def byte_size(text: str) -> int:
-    """Spark byte-size string (``10485760b``, ``64MB``, ``-1``) to bytes."""
-    m = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", str(text))
-    if not m or m.group(2).lower() not in _UNITS:
-        raise ValueError(f"not a byte size: {text!r}")
-    return int(m.group(1)) * _UNITS[m.group(2).lower()]
-
-
-def _broadcast_rows(df: DataFrame) -> int:
-    """Rows of (value, rank) that fit the session's broadcast threshold
-    (~48 bytes per row in the broadcast relation); 0 when disabled."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
-    try:
-        limit = byte_size(raw)
-    except ValueError:
-        limit = 10 << 20
-    return max(0, limit) // 48
+def ranked_values(df: DataFrame, spec: RankSpec, ranges: int) -> tuple[DataFrame, int]:
+    """(value, count, rank) of every distinct value, and the number of ranked rows."""
+    values = df.select(F.col(f"`{spec.column}`").alias("__v"))
+    if not spec.keep_nulls:
+        values = values.where(F.col("__v").isNotNull())
+    order = F.col("__v").desc_nulls_last() if spec.descending else F.col("__v").asc_nulls_first()
+    placed = cut_lineage(
+        values.groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
+        .repartitionByRange(ranges, order).withColumn("__p", F.spark_partition_id()), "rank_values")
+    totals = sorted((r[0], int(r[1])) for r in placed.groupBy("__p").agg(F.sum("__c")).collect())  # <= ranges rows
+    ends = list(accumulate(c for _, c in totals))
+    n = ends[-1] if ends else 0
+    offsets = df.sparkSession.createDataFrame([(p, e - c) for (p, c), e in zip(totals, ends)], "__p int, __o long")
+    before = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("__c").over(before), F.lit(0)) + F.col("__o")
+    pct = below.cast("double") / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
+    return placed.join(F.broadcast(offsets), "__p").select("__v", "__c", pct.alias(spec.out)), n
 
 
 def percent_ranks(
@@ -122,154 +79,25 @@ def percent_ranks(
     specs: Sequence[RankSpec | tuple],
     *,
     buckets: int | None = None,
-    accuracy: int | None = None,
-    max_bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add one ``percent_rank`` column per spec, computed without SinglePartition.
 
-    Runs two small aggregate jobs eagerly (bounds, bucket totals); persist or
-    checkpoint ``df`` first when it is expensive to recompute.
+    Stages one histogram per spec (the specs' jobs run at the same time);
+    persist or stage ``df`` first when it is expensive to recompute.
+    ``buckets`` is the number of ranges, by default the session's shuffle
+    partitions.
     """
     specs = [s if isinstance(s, RankSpec) else RankSpec(*s) for s in specs]
     if not specs:
         return df
-    spark = df.sparkSession
-    nb = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
-    nb = max(1, min(nb, MAX_BUCKETS))
-    probs = [i / nb for i in range(1, nb)]
-    # Bounds only balance the buckets; an error well below 1/nb is enough.
-    accuracy = accuracy or min(10000, max(1000, 20 * nb))
-
-    # Pass 1: N, bucket bounds, distinct estimate (one job for all columns).
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    keys = [_order_key(df, s.column) for s in specs]
-    for i, s in enumerate(specs):
-        x = keys[i]
-        if probs:
-            aggs.append(F.percentile_approx(x, probs, accuracy).alias(f"_q{i}"))
-        aggs.append(F.approx_count_distinct(F.col(s.column), 0.02).alias(f"_d{i}"))
-    stats = df.agg(*aggs).first()
-    n_rows = int(stats["_n"])
-    if n_rows == 0:
-        for s in specs:
-            df = df.withColumn(s.out, F.lit(None).cast("double"))
-        return df
-
-    # Bucket ids: a function of the value alone (fixed splits).
-    work = df
-    order_cols = []
-    widths = []
-    null_slots = []
-    for i, s in enumerate(specs):
-        bounds = sorted({b for b in (stats[f"_q{i}"] or []) if b is not None and math.isfinite(b)}) if probs else []
-        splits = [float("-inf")] + bounds + [float("inf")]
-        m = len(splits) - 1  # finite buckets 0..m-1, NaN -> m
-        xcol, bcol, ocol = f"__rank_x{i}", f"__rank_b{i}", f"__rank_o{i}"
-        work = work.withColumn(xcol, F.coalesce(keys[i], F.lit(float("nan"))))
-        if bounds:
-            work = Bucketizer(splits=splits, inputCol=xcol, outputCol=bcol,
-                              handleInvalid="keep").transform(work)
-        else:  # one finite bucket; Bucketizer needs at least three splits
-            work = work.withColumn(bcol, F.when(F.isnan(xcol), F.lit(1.0)).otherwise(F.lit(0.0)))
-        b = F.col(bcol).cast("int")
-        if s.descending:   # NaN first, high buckets first, nulls last
-            o = F.when(F.col(s.column).isNull(), F.lit(m + 2)).otherwise(F.lit(m + 1) - b)
-        else:              # nulls first, low buckets first, NaN last
-            o = F.when(F.col(s.column).isNull(), F.lit(0)).otherwise(b + 1)
-        work = work.withColumn(ocol, o).drop(xcol, bcol)
-        order_cols.append(ocol)
-        widths.append(m + 3)
-        null_slots.append(m + 2 if s.descending else 0)
-
-    # Pass 2: rows per (column, bucket) -> constant offsets.
-    longform = work.select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(o).alias("o"))
-                            for i, o in enumerate(order_cols)])).alias("t")
-    )
-    totals = longform.groupBy("t.s", "t.o").agg(F.count(F.lit(1)).alias("c")).collect()
-    per_spec = [[0] * w for w in widths]
-    for r in totals:
-        per_spec[r["s"]][r["o"]] = int(r["c"])
-
-    bcast_rows = _broadcast_rows(df)
-    # A bucket with more rows than this is "heavy" (it holds a hot value) and
-    # is ranked through its histogram; lighter buckets are ranked directly.
-    limit = max_bucket_rows or max(2 * math.ceil(n_rows / nb), DIRECT_BUCKET_MIN_ROWS)
-    out = work
-    for i, s in enumerate(specs):
-        counts = list(per_spec[i])
-        n_ranked = n_rows
-        if not s.keep_nulls:
-            n_ranked -= counts[null_slots[i]]
-            counts[null_slots[i]] = 0
-        offsets, run = [], 0
-        for c in counts:
-            offsets.append(run)
-            run += c
-        ocol = order_cols[i]
-        v = F.col(s.column)
-        vorder = v.desc_nulls_last() if s.descending else v.asc_nulls_first()
-        offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(ocol) + 1)
-
-        def pct(below, n=n_ranked, keep=s.keep_nulls, col=s.column):
-            value = (below.cast("double") / F.lit(float(n - 1))) if n > 1 else F.lit(0.0)
-            return value if keep else F.when(F.col(col).isNotNull(), value)
-
-        def via_histogram(rows: DataFrame, source: DataFrame, broadcast: bool) -> DataFrame:
-            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("__rank_c"))
-            w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-            below = F.coalesce(F.sum("__rank_c").over(w), F.lit(0).cast("long")) + offset
-            vkey = f"__rank_v{i}"
-            ranked = hist.select(v.alias(vkey), pct(below).alias(s.out))
-            if broadcast:
-                ranked = F.broadcast(ranked)
-            return rows.join(ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "inner").drop(vkey)
-
-        def direct(rows: DataFrame) -> DataFrame:
-            below = (F.rank().over(Window.partitionBy(ocol).orderBy(vorder)) - 1).cast("long") + offset
-            return rows.withColumn(s.out, pct(below))
-
-        def heavy_path(rows: DataFrame, source: DataFrame) -> DataFrame:
-            """Heavy buckets: values with more than ``limit`` rows (at most
-            n_rows / limit <= nb / 2 of them) take their rank from a broadcast
-            of their ranked histogram rows, map-side; the other values of
-            those buckets (each at most ``limit`` rows) join by a shuffle."""
-            hist = source.groupBy(s.column, ocol).agg(F.count(F.lit(1)).alias("__rank_c"))
-            w = Window.partitionBy(ocol).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-            below = F.coalesce(F.sum("__rank_c").over(w), F.lit(0).cast("long")) + offset
-            vkey = f"__rank_v{i}"
-            ranked = hist.select(v.alias(vkey), pct(below).alias(s.out), "__rank_c")
-            hot_ranked = F.broadcast(ranked.where(F.col("__rank_c") > limit).select(
-                vkey, F.col(s.out).alias("__hot_p"), F.lit(True).alias("__is_hot")))
-            tagged = rows.join(hot_ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "left").drop(vkey)
-            hot_rows = (tagged.where(F.col("__is_hot")).withColumn(s.out, F.col("__hot_p"))
-                        .drop("__hot_p", "__is_hot"))
-            cold_ranked = ranked.where(F.col("__rank_c") <= limit).select(vkey, s.out)
-            cold_rows = (tagged.where(F.col("__is_hot").isNull()).drop("__hot_p", "__is_hot")
-                         .join(cold_ranked, F.col(s.column).eqNullSafe(F.col(vkey)), "inner").drop(vkey))
-            return hot_rows.unionByName(cold_rows)
-
-        est_distinct = int(stats[f"_d{i}"] or 0) + 1
-        heavy = [o for o, c in enumerate(counts) if c > limit]
-        if bcast_rows and est_distinct * 5 // 4 <= bcast_rows:
-            # Few distinct values: tiny ranked histogram, joined map-side.
-            out = via_histogram(out, work, broadcast=True)
-            continue
-        # Unranked nulls need no window: split them off before ranking.
-        nulls = None
-        ranked_rows, source = out, work
-        if not s.keep_nulls:
-            nulls = out.where(v.isNull()).withColumn(s.out, F.lit(None).cast("double"))
-            ranked_rows, source = out.where(v.isNotNull()), work.where(v.isNotNull())
-        if not heavy:
-            # Many distinct values, every bucket provably small: one shuffle.
-            result = direct(ranked_rows)
-        else:
-            in_heavy = F.col(ocol).isin(heavy)
-            result = direct(ranked_rows.where(~in_heavy)).unionByName(
-                heavy_path(ranked_rows.where(in_heavy), source.where(in_heavy)))
-        out = result if nulls is None else result.unionByName(nulls)
-    return out.drop(*order_cols)
+    ranges = max(1, int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with ThreadPoolExecutor(max_workers=min(4, len(specs))) as pool:
+        ranked = list(pool.map(lambda s: ranked_values(df, s, ranges), specs))
+    out = df
+    for s, (values, n) in zip(specs, ranked):
+        values = values.withColumnRenamed("__v", s.column)
+        out = join_counted(out, values, s.column, "__c", n, how="left", null_safe=s.keep_nulls)
+    return out
 
 
 def percent_rank_window(df: DataFrame, column: str, descending: bool = False, output: str | None = None) -> DataFrame:

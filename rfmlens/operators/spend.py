@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from rfmlens.config import REFERENCE_FX_RATE, REFERENCE_SPEND_EXCLUDED
 from rfmlens.functions.scalar import converted_price, try_double
-from rfmlens.operators.skew import join_per_key
-from rfmlens.operators.taxonomy import bounded
+from rfmlens.operators.taxonomy import sized
 from rfmlens.operators.topk import top1_per_key
 
 
@@ -58,8 +57,7 @@ def latest_prices(devices: DataFrame, fx_rate: float = REFERENCE_FX_RATE, keys:
 def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
                    category_col: str = "app_l1_name", excluded: Sequence[str] = REFERENCE_SPEND_EXCLUDED,
                    key: str = "ifa", month: str | None = "month", app: str = "app",
-                   connection: str = "connection", channel: str = "req_con_type_desc",
-                   check_sizes: bool = True) -> DataFrame:
+                   connection: str = "connection", channel: str = "req_con_type_desc") -> DataFrame:
     """OP-5 (GEN-2, JN-4, FLT-1, FLT-4, AGG-3): usage of one app category on data.
 
     The reference explodes apps and connections of each record into their
@@ -70,12 +68,9 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
 
     The category filter rejects apps without a category, so the reference's
     left join becomes an inner join against the category's bundles. That list
-    is derived from joined dimensions, whose size Spark estimates as the
-    product of its inputs, so the planner would shuffle the whole usage table
-    by app (and a popular app would be one hot task). It is therefore
-    broadcast explicitly behind a proven row-count bound (one small job);
-    only a category beyond the bound falls back to a shuffle join, with
-    popular apps split off and joined map-side (``operators.skew``).
+    is staged (``taxonomy.sized``), so the planner knows its bytes: below the
+    session's broadcast threshold the usage rows never move; beyond it both
+    sides are plain shuffles, where AQE splits a popular app's partition.
     """
     keys = [key] + ([month] if month else [])
     allowed = F.filter(F.col(connection),
@@ -86,12 +81,7 @@ def category_usage(usage: DataFrame, taxonomy: DataFrame, category: str,
             .select(*keys, F.col("_a.bundle").alias("bundle"),
                     F.col("_a.brq_count").alias("brq_count"), "_w"))
     bundles = taxonomy.where(F.col(category_col) == F.lit(category)).select("bundle")
-    if not check_sizes:
-        joined = apps.join(bundles, "bundle", "inner")
-    elif bounded(bundles):
-        joined = apps.join(F.broadcast(bundles), "bundle", "inner")
-    else:  # a huge category: shuffle join, popular apps split off map-side
-        joined = join_per_key(apps, bundles, "bundle", "inner")
+    joined = apps.join(sized(bundles, "category_bundles"), "bundle", "inner")
     return (joined
             .groupBy(*keys)
             .agg(F.sum(F.col("brq_count") * F.col("_w")).alias("data_streaming")))

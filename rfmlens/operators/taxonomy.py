@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from rfmlens.session import cut_lineage
 
 TAXONOMY_COLUMNS = ("bundle", "app_l1_name", "app_l2_name", "app_l3_name", "lifestage_name")
 
-# Broadcasting dimensions. Tables read straight from files are left to the
-# planner, which broadcasts a side whose size estimate (file statistics) is
-# below spark.sql.autoBroadcastJoinThreshold. Derived dimensions (joins,
-# filters of joins) get estimates that compound as products, so they are
-# broadcast explicitly behind a row-count bound: one small job that reads at
-# most limit+1 rows.
-DIMENSION_BROADCAST_ROWS = 2_000_000
 
+def sized(df: DataFrame, name: str = "dimension") -> DataFrame:
+    """A derived dimension with a true size estimate.
 
-def bounded(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    Spark broadcasts a side whose estimate is below the session's
+    ``spark.sql.autoBroadcastJoinThreshold``. Estimates of tables read from
+    files are their bytes; those of joins compound as products and are far
+    too high. Staging the small result gives it a file size, and the
+    planner, not this library, decides by it.
+    """
+    return cut_lineage(df, name)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if bounded(df, max_rows) else df
-
-
-def app_taxonomy(master: DataFrame, level: DataFrame, lifestage: DataFrame,
-                 check_sizes: bool = False) -> DataFrame:
+def app_taxonomy(master: DataFrame, level: DataFrame, lifestage: DataFrame) -> DataFrame:
     """Left joins keep every app of the master list, categorised or not."""
-    lv = broadcast_if_bounded(level) if check_sizes else level
-    ls = broadcast_if_bounded(lifestage) if check_sizes else lifestage
-    return (master.join(lv, "app_level_id", "left")
-            .join(ls, "app_lifestage_id", "left")
+    return (master.join(level, "app_level_id", "left")
+            .join(lifestage, "app_lifestage_id", "left")
             .select(*TAXONOMY_COLUMNS))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rfmlens.config import REFERENCE_DAILY_EXCLUDED
 from rfmlens.functions.dates import days_before, month_start, months_before, usage_day
 from rfmlens.functions.scalar import channel_allowed
-from rfmlens.operators.skew import HOT_KEY_ROWS, join_per_key
+from rfmlens.operators.skew import join_per_key
 
 
 def explode_apps(usage: DataFrame, key: str = "ifa", array_col: str = "app",
@@ -59,18 +59,18 @@ def channel_links(userbase: DataFrame, key: str = "ifa", channel: str = "req_con
 
 
 def enrich_usage(events: DataFrame, userbase: DataFrame, anchor_day: dt.date,
-                 key: str = "ifa", hot_threshold_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                 key: str = "ifa") -> DataFrame:
     """OP-1: usage rows of userbase devices with the date columns.
 
     ``ub_rows`` is the number of userbase rows of the device, i.e. how often
     the reference's many-to-many join repeats the row; joining this frame to
     the userbase on ``key`` gives the reference's ``main_df`` row for row.
-    The output keeps every usage row, so devices with more than
-    ``hot_threshold_rows`` rows are joined map-side (``operators.skew``); one
-    keys-only counting job finds them.
+    The output keeps every usage row, so devices that hold a large share of
+    the rows are joined map-side (``operators.skew``); one keys-only counting
+    job finds them.
     """
     links = channel_links(userbase, key, name="ub_rows")
-    joined = join_per_key(events, links, key, "inner", threshold_rows=hot_threshold_rows)
+    joined = join_per_key(events, links, key, "inner")
     return with_usage_dates(joined, anchor_day)
 
 

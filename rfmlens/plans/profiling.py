@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL
-from rfmlens.operators.audience import audience_lists, export_audiences
+from rfmlens.operators.audience import audience_all, audience_lists, export_audiences
 from rfmlens.operators.profile import (band_distribution, category_shares, cluster_means,
                                        mean_vs_median)
-from rfmlens.sources.sinks import write_csv
+from rfmlens.sources.sinks import write_csv, write_parquet
 
 
 def load_clustered(spark, path: str, cluster: str = "cluster", prediction: str = "prediction") -> DataFrame:
@@ -51,9 +51,12 @@ def profile_report(model: DataFrame, means_of: Sequence[str],
 
 def export(model: DataFrame, root: str, cluster: str = "cluster", key: str = "ifa",
            label: str = REFERENCE_AUDIENCE_LABEL, mode: str = "errorifexists") -> None:
-    """Parquet list per segment, CSV copy per segment with the id header."""
+    """Parquet list per segment and overall, CSV copies with the id header."""
     export_audiences(model, f"{root}/parquet", "parquet", mode, cluster, key)
     export_audiences(model, f"{root}/csv", "csv", mode, cluster, key, label)
+    everyone = audience_all(model, key)
+    write_parquet(everyone, f"{root}/all/parquet", mode)
+    write_csv(everyone.withColumnRenamed(key, label), f"{root}/all/csv", mode)
 
 
 def run(model: DataFrame, out_root: str, means_of: Sequence[str],

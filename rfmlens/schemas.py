@@ -1,6 +1,7 @@
 """Declared schemas of the real inputs (the reference declares none; see
-FIXTURES.md). Reading with a schema skips inference and makes a missing or
-renamed column an error at the scan instead of deep inside a plan."""
+FIXTURES.md). The readers check them against the file's own schema by name and
+cast, so a missing or renamed column or field raises before any job runs, and
+a price may be text or a number upstream."""
 
 from __future__ import annotations
 
@@ -33,7 +34,7 @@ DEVICE = StructType([
     StructField("device", StructType([
         StructField("device_name", StringType()),
         StructField("device_model", StringType()),
-        StructField("price", StringType()),      # text or number upstream; parsed with try_cast
+        StructField("price", StringType()),      # text or number upstream; parsed as a number
     ])),
     StructField("month", StringType()),
     StructField("snapshot_ts", TimestampType()),  # tie-break the reference lacks

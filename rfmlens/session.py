@@ -8,6 +8,7 @@ session names none (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and stage tables.
 
     Read from the session (``spark.checkpoint.dir`` or an already set
-    checkpoint directory). Only when neither is set (local tests) a private
-    folder is created and registered.
+    checkpoint directory). Only a local session that has neither (tests) gets
+    a private folder; on a cluster that raises, because each executor would
+    write to its own disk.
     """
     try:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,11 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
         if current:
             # getCheckpointDir returns <dir>/<uuid>; stage tables go next to it.
             return os.path.dirname(current.rstrip("/"))
+    master = sc.master if sc is not None else "remote"
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="rfmlens-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(own)
-    # (spark.checkpoint.dir is a launch-time setting; a remote session without
-    # one still gets Parquet stage tables in ``own``.)
+    sc.setCheckpointDir(own)
     return own
 
 

@@ -15,28 +15,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from rfmlens.functions.dates import month_token
 
 
 def read_tree(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
     """SRC-1: every Parquet file below ``root`` (any depth)."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(root)
+    df = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    return df if schema is None else conform(df, schema, root)
 
 
 def read_monthly(spark: SparkSession, root: str, months: Sequence[str] | None = None,
                  schema: StructType | None = None, month_col: str = "month") -> DataFrame:
     """SRC-2/3/4/8: a ``month=yyyyMM`` partitioned table, pruned to ``months``."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     # Partition discovery types 202101 as an integer; keep the yyyyMM text.
-    df = reader.parquet(root).withColumn(month_col, F.col(month_col).cast("string"))
-    if months:
+    df = spark.read.parquet(root).withColumn(month_col, F.col(month_col).cast("string"))
+    if schema is not None:
+        df = conform(df, schema, root)
+    if months is not None:   # an empty list selects nothing
         df = df.where(F.col(month_col).isin([str(m) for m in months]))
     return df
 
@@ -50,11 +47,12 @@ def read_month_dirs(spark: SparkSession, root: str, months: Sequence[str],
     reads files directly, so no partition column is discovered).
     """
     pattern = f"{root.rstrip('/')}/{dir_prefix}{{{','.join(months)}}}/*.parquet"
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.parquet(pattern)
-    return df.withColumn(month_col, month_token(F.col("_metadata.file_path")))
+    df = spark.read.parquet(pattern)
+    token = month_token(F.col("_metadata.file_path"))
+    if schema is None:
+        return df.withColumn(month_col, token)
+    return conform(df.select("*", token.alias(month_col)), StructType(
+        [*[f for f in schema.fields if f.name != month_col], StructField(month_col, StringType())]), root)
 
 
 def with_source_file(df: DataFrame, name: str = "filename") -> DataFrame:
@@ -62,9 +60,58 @@ def with_source_file(df: DataFrame, name: str = "filename") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_path"))
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """SRC-5: the columns of ``schema`` from a CSV with a header, by name.
+
+    A declared schema binds CSV columns by position, whatever the header
+    says. So the file is read as text, the declared names are selected (in any
+    order, from a wider file) and cast; a missing name raises.
+    """
+    raw = spark.read.option("header", "true").csv(path)
+    require_columns(raw, schema.names, path)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def require_columns(df: DataFrame, names: Sequence[str], where: str) -> None:
+    """Raise unless every name is a column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    if missing := [n for n in names if n.lower() not in have]:
+        raise ValueError(f"{where} lacks the columns {', '.join(missing)}")
+
+
+def conform(df: DataFrame, schema: StructType, where: str = "the input") -> DataFrame:
+    """The columns of ``schema`` by name, cast to its types (structs field by
+    field); a missing column or field raises instead of reading as null."""
+    require_columns(df, schema.names, where)
+    return df.select(*[_conform(F.col(f"`{f.name}`"), df.schema[_own(df, f.name)].dataType, f, where) for f in schema.fields])
+
+
+def _own(df: DataFrame, name: str) -> str:
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
+def _conform(c: Column, have: DataType, want: StructField, where: str) -> Column:
+    def cast(value: Column, h: DataType, w: DataType, name: str) -> Column:
+        if isinstance(w, StructType) and isinstance(h, StructType):
+            own = {f.name.lower(): f for f in h.fields}
+            if missing := [f.name for f in w.fields if f.name.lower() not in own]:
+                raise ValueError(f"{where}: {name} lacks the fields {', '.join(missing)}")
+            made = F.struct(*[cast(value.getField(own[f.name.lower()].name), own[f.name.lower()].dataType, f.dataType, f"{name}.{f.name}").alias(f.name)
+                              for f in w.fields])
+            return F.when(value.isNotNull(), made)
+        if isinstance(w, ArrayType) and isinstance(h, ArrayType):
+            return F.transform(value, lambda x: cast(x, h.elementType, w.elementType, f"{name}[]"))
+        return value if h == w else value.cast(w)
+    return cast(c, have, want.dataType, want.name).alias(want.name)
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | None = None,
                    header: bool = True) -> DataFrame:
-    """SRC-5: CSV with a header; typed when a schema is given, else all strings."""
+    """SRC-5: CSV with a header; typed when a schema is given, else all strings.
+
+    The schema binds by position: for files that this library wrote. Files
+    from elsewhere are read with ``read_csv_by_name``.
+    """
     reader = spark.read.option("header", str(header).lower())
     if schema is not None:
         reader = reader.schema(schema)

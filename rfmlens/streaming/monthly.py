@@ -1,10 +1,12 @@
-"""Incremental monthly spend over arriving usage files (the reference's month
-loop, SRC-3 + OP-6 + SNK-1, as a Structured Streaming job).
+"""Incremental monthly spend over arriving files (the reference's month loop,
+SRC-3 + OP-6 + SNK-1, as a Structured Streaming job).
 
-New usage files land under ``usage_root/month=yyyyMM/``. The file stream only
-tells which months changed; each micro-batch then recomputes those months
-from the complete month partitions (a month's files may arrive over several
-batches) and replaces just those output partitions (dynamic overwrite). A
+New usage files land under ``usage_root/month=yyyyMM/`` and device snapshots
+under ``devices_root/month=yyyyMM/``, in any order. Both folders are streams,
+which only tell which (month, device) keys changed; each micro-batch
+recomputes those keys from the complete partitions of their months (a month's
+files may arrive over several batches), keeps the other rows of the months'
+output, and replaces just those output partitions (dynamic overwrite). A
 rerun of a batch after a failure rewrites the same partitions, so the sink is
 idempotent; the stream's progress lives in its checkpoint location in the
 shared folder.
@@ -12,28 +14,52 @@ shared folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend
-from rfmlens.session import stage_path
-from rfmlens.sources.readers import read_monthly
+from rfmlens.session import cut_lineage, stage_path
 from rfmlens.sources.sinks import write_parquet
 
 
-def refresh_months(spark: SparkSession, months: list[str], usage_root: str, devices_root: str,
-                   taxonomy: DataFrame, out_path: str, cfg: ScoringConfig,
-                   usage_schema: StructType | None = None,
-                   device_schema: StructType | None = None) -> None:
-    """Recompute and replace the spend partitions of ``months`` (batch job)."""
-    usage = read_monthly(spark, usage_root, months, usage_schema)
-    devices = read_monthly(spark, devices_root, months, device_schema)
-    priced = latest_prices(devices, cfg.fx_rate, (cfg.key, "month"))
-    streaming = category_usage(usage, taxonomy, cfg.category, cfg.category_col, cfg.spend_excluded, cfg.key)
-    write_parquet(monthly_spend(priced, streaming, cfg.key), out_path, mode="overwrite",
-                  partition_by=["month"])
+def _months_of(spark: SparkSession, root: str, schema: StructType | None, months: list[str]) -> DataFrame | None:
+    """The rows of ``months`` below ``root``; None where nothing has arrived yet."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        df = reader.parquet(root)
+    except AnalysisException:
+        return None
+    return df.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
+
+
+def refresh_keys(spark: SparkSession, changed: DataFrame, usage_root: str, devices_root: str,
+                 taxonomy: DataFrame, out_path: str, cfg: ScoringConfig,
+                 usage_schema: StructType, device_schema: StructType) -> None:
+    """Recompute the spend of the ``changed`` (key, month) pairs (batch job).
+
+    ``changed`` is read several times: pass a staged table.
+    """
+    keys = [cfg.key, "month"]
+    # One row per touched month (as many as the calendar has, not the data).
+    months = sorted(r[0] for r in changed.select("month").distinct().collect())
+    if not months:
+        return
+    usage = _months_of(spark, usage_root, usage_schema, months)
+    devices = _months_of(spark, devices_root, device_schema, months)
+    if usage is None or devices is None:
+        return  # nothing has both sides yet; the other side's files bring the keys again
+    priced = latest_prices(devices.join(changed, keys, "left_semi"), cfg.fx_rate, keys)
+    streaming = category_usage(usage.join(changed, keys, "left_semi"), taxonomy, cfg.category,
+                               cfg.category_col, cfg.spend_excluded, cfg.key)
+    spend = monthly_spend(priced, streaming, cfg.key)
+    before = _months_of(spark, out_path, None, months)
+    if before is not None:
+        spend = spend.unionByName(before.join(changed, keys, "left_anti").select(*spend.columns))
+    write_parquet(cut_lineage(spend, "spend"), out_path, mode="overwrite", partition_by=["month"])
 
 
 def monthly_spend_stream(spark: SparkSession, usage_root: str, usage_schema: StructType,
@@ -43,21 +69,25 @@ def monthly_spend_stream(spark: SparkSession, usage_root: str, usage_schema: Str
                          device_schema: StructType | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what has arrived and stops.
 
-    ``usage_schema`` must include the ``month`` partition column (string).
+    The schemas must include the ``month`` partition column (string);
+    ``device_schema`` is by default the declared one.
     """
-    reader = spark.readStream.schema(usage_schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    source = reader.parquet(usage_root)
+    from rfmlens.schemas import DEVICE
+    device_schema = device_schema or DEVICE
+
+    def watch(root: str, schema: StructType) -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        return reader.parquet(root).select(cfg.key, "month")
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        # One row per touched month (bounded by the calendar, not the data).
-        months = sorted(r[0] for r in batch.select("month").distinct().collect())
-        if months:
-            refresh_months(spark, months, usage_root, devices_root, taxonomy, out_path, cfg,
-                           usage_schema, device_schema)
+        changed = cut_lineage(batch.distinct(), "changed")
+        refresh_keys(spark, changed, usage_root, devices_root, taxonomy, out_path, cfg,
+                     usage_schema, device_schema)
 
-    writer = (source.select("month").writeStream.foreachBatch(on_batch)
+    source = watch(usage_root, usage_schema).union(watch(devices_root, device_schema))
+    writer = (source.writeStream.foreachBatch(on_batch)
               .option("checkpointLocation", checkpoint or stage_path(spark, "spend_stream_ckpt")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -80,5 +80,5 @@ def test_hot_device_through_scoring(spark):
     assert rows(got) == rows(ref.select(*got.columns))
     base = rfm_base(got)
     from rfmlens.operators.rank import percent_ranks
-    ranked = percent_ranks(base, [("last_seen", True, "p")], buckets=8, max_bucket_rows=10)
+    ranked = percent_ranks(base, [("last_seen", True, "p")], buckets=8)
     assert rows(ranked, "ifa", "p") == rows(percent_rank_window(base, "last_seen", True, "p"), "ifa", "p")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from rfmlens.plans.inspect import has_single_partition, plan_text
-from rfmlens.operators.rank import RankSpec, percent_rank_window, percent_ranks
+from rfmlens.operators.rank import RankSpec, percent_rank_window, percent_ranks, ranked_values
 from rfmlens.operators.rfm import rfm_base, rfm_measures, rfm_scores, value_distribution
 
 D = dt.date
@@ -103,16 +103,14 @@ def _no_broadcast(spark):
     return old
 
 
-def test_direct_branch(spark):
-    """Many distinct values, small buckets: ranked in place, no join at all."""
+def test_many_distinct_values_without_broadcast(spark):
     old = _no_broadcast(spark)
     try:
         rnd = random.Random(5)
         df = spark.createDataFrame([(i, None if i % 17 == 0 else rnd.randint(0, 400)) for i in range(2000)],
                                    "id int, v int")
         got = percent_ranks(df, [("v", True, "p"), ("v", False, "q")], buckets=8)
-        plan = plan_text(got)
-        assert "Join" not in plan and "SinglePartition" not in plan
+        assert "SinglePartition" not in plan_text(got)
         assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", True, "p"), "id", "p")
         assert rows(got, "id", "q") == rows(percent_rank_window(df, "v", False, "q"), "id", "q")
         assert got.columns == ["id", "v", "p", "q"]
@@ -120,25 +118,25 @@ def test_direct_branch(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_hybrid_branch_hot_value(spark):
-    """A value holding a third of the rows: its bucket goes through the histogram."""
+def test_hot_values_and_nulls_without_broadcast(spark):
+    """A value (or null) holding a third of the rows is joined map-side."""
     old = _no_broadcast(spark)
     try:
         rnd = random.Random(9)
         data = [(i, 7.0 if i % 3 == 0 else (None if i % 29 == 0 else rnd.random() * 100)) for i in range(3000)]
         df = spark.createDataFrame(data, "id int, v double")
         for desc in (False, True):
-            got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
+            got = percent_ranks(df, [("v", desc, "p")], buckets=16)
             plan = plan_text(got, "simple")
-            assert "Union" in plan and "BroadcastHashJoin" in plan and "LeftOuter" in plan
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan and "__salt" in plan
             assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
         # a third of the rows null: ranked like the window, or left unranked
         data = [(i, None if i % 3 == 0 else rnd.random() * 100) for i in range(3000)]
         df = spark.createDataFrame(data, "id int, v double")
         for desc in (False, True):
-            got = percent_ranks(df, [("v", desc, "p")], buckets=16, max_bucket_rows=300)
+            got = percent_ranks(df, [("v", desc, "p")], buckets=16)
             assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
-            got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls=False)], buckets=16, max_bucket_rows=300)
+            got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls=False)], buckets=16)
             exp = percent_rank_window(df.where("v is not null"), "v", desc, "p")
             assert rows(got.where("v is not null"), "id", "p") == rows(exp, "id", "p")
             assert got.where("v is null").where("p is null").count() == 1000
@@ -146,6 +144,29 @@ def test_hybrid_branch_hot_value(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_signed_zeros_rank_as_one_value(spark):
+    data = [(i, -0.0 if i < 5 else 0.0) for i in range(10)] + [(10 + i, float(v)) for i, v in enumerate(range(-10, 11)) if v]
+    df = spark.createDataFrame(data, "id int, v double")
+    for threshold in ("10485760b", "-1"):
+        old = _no_broadcast(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            for desc in (False, True):
+                got = percent_ranks(df, [("v", desc, "p")], buckets=4)
+                assert got.count() == 30
+                assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_text_with_a_long_common_prefix_is_spread(spark):
+    df = spark.range(0, 5000).select(F.col("id"), F.format_string("device-%05d", F.col("id") % 4000).alias("v"))
+    values, n = ranked_values(df, RankSpec("v", False, "p"), 8)
+    assert n == 5000 and values.count() == 4000
+    got = percent_ranks(df, [("v", False, "p")], buckets=8)
+    assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", False, "p"), "id", "p")
+
+
 def test_no_single_partition_in_plan(spark):
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 97).cast("double").alias("v"))
     assert not has_single_partition(percent_ranks(df, [("v", True, "p")], buckets=8))
@@ -173,12 +194,6 @@ def test_scores_and_distributions(spark):
     assert [r.last_seen for r in dist.collect()] == sorted(r.last_seen for r in dist.collect())
 
 
-def test_byte_size():
-    from rfmlens.operators.rank import byte_size
-    assert byte_size("10485760b") == 10485760 and byte_size("64MB") == 64 << 20
-    assert byte_size("-1") == -1 and byte_size("2g") == 2 << 30
-
-
 def test_nulls_excluded_from_ranking(spark):
     rnd = random.Random(3)
     data = [(i, None if i % 9 == 0 else float(rnd.randint(0, 50))) for i in range(500)]
@@ -192,15 +207,14 @@ def test_nulls_excluded_from_ranking(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(-3, 3), st.integers(-1000, 1000)), min_size=1, max_size=80),
-       st.booleans(), st.booleans(), st.integers(1, 12), st.integers(2, 15))
-def test_percent_rank_all_branches_property(spark, values, desc, keep_nulls, buckets, max_rows):
-    """Direct, hybrid (hot values broadcast) and histogram branches against
-    the single-partition window, with broadcasting off to reach them all."""
+       st.booleans(), st.booleans(), st.integers(1, 12))
+def test_percent_rank_all_branches_property(spark, values, desc, keep_nulls, buckets):
+    """Hot and other values against the single-partition window, with
+    broadcasting off to reach the shuffle join."""
     old = _no_broadcast(spark)
     try:
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int")
-        got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls)], buckets=buckets,
-                            max_bucket_rows=max_rows)
+        got = percent_ranks(df, [RankSpec("v", desc, "p", keep_nulls)], buckets=buckets)
         if keep_nulls:
             assert rows(got, "id", "p") == rows(percent_rank_window(df, "v", desc, "p"), "id", "p")
         else:

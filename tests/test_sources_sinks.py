@@ -1,5 +1,6 @@
 """SRC-*/SNK-*: partitioned writes, pruned reads, segment exports."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -50,7 +51,7 @@ def test_legacy_month_dirs_and_lineage(spark):
 
 
 def test_months_predicate_pushed(spark, tmp_path):
-    import datetime as dt
+
     p = str(tmp_path / "t")
     spark.createDataFrame([(dt.datetime(2021, m, 3),) for m in range(1, 13)], "ts timestamp_ntz").write.parquet(p)
     df = spark.read.parquet(p).where(months_predicate("ts", ["202102", "202103", "202107"]))
@@ -89,8 +90,8 @@ def test_shared_dir_resolution_order():
             return dict.get(self, k, default)
 
     class Ctx:
-        def __init__(self, conf, ckpt=None):
-            self._conf, self.ckpt = Conf(conf), ckpt
+        def __init__(self, conf, ckpt=None, master="local[8]"):
+            self._conf, self.ckpt, self.master = Conf(conf), ckpt, master
         def getConf(self):
             return self._conf
         def getCheckpointDir(self):
@@ -108,4 +109,47 @@ def test_shared_dir_resolution_order():
     ctx = Ctx({})
     own = shared_dir(Sess({}, ctx))
     assert ctx.ckpt == own and os.path.isdir(own)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Sess({}, Ctx({}, master=master)))
     assert stage_path(Sess({"spark.checkpoint.dir": "s3a://b/ck"}, Ctx({})), "m").startswith("s3a://b/ck/stages/m-")
+
+
+def test_csv_columns_are_bound_by_name(spark):
+    from pyspark.sql import types as T
+    from rfmlens.sources.readers import read_csv_by_name
+    root = _tmp()
+    spark.createDataFrame([("Netflix", "l1", "b1", "s1", "3")], "app_name string, app_level_id string, bundle string, app_lifestage_id string, n string"
+                          ).write.option("header", "true").csv(root + "/wide")
+    schema = T.StructType([T.StructField("bundle", T.StringType()), T.StructField("app_level_id", T.StringType()), T.StructField("n", T.LongType())])
+    assert [tuple(r) for r in read_csv_by_name(spark, root + "/wide", schema).collect()] == [("b1", "l1", 3)]
+    with pytest.raises(ValueError, match="no_such"):
+        read_csv_by_name(spark, root + "/wide", T.StructType([T.StructField("no_such", T.StringType())]))
+
+
+def test_parquet_names_and_types_are_checked(spark):
+    from rfmlens import schemas
+    from rfmlens.sources.readers import conform, read_monthly
+    root = _tmp()
+    good = spark.createDataFrame([("d1", ("a", "b", 19.5), "202101", dt.datetime(2021, 1, 2), 4)],
+                                 "ifa string, device struct<device_name: string, device_model: string, price: double>, month string, "
+                                 "snapshot_ts timestamp, record_id long")
+    good.write.partitionBy("month").parquet(root + "/good")
+    (r,) = read_monthly(spark, root + "/good", None, schemas.DEVICE).collect()
+    assert r.device.price == "19.5" and r.month == "202101"
+    for bad in (good.withColumnRenamed("ifa", "id"), good.drop("record_id"),
+                good.withColumn("device", F.struct(F.col("device.device_name")))):
+        with pytest.raises(ValueError):
+            conform(bad, schemas.DEVICE)
+    assert read_monthly(spark, root + "/good", []).count() == 0
+    assert read_monthly(spark, root + "/good", ["202101"]).count() == 1
+
+
+def test_null_ids_in_lists_and_exports_agree(spark):
+    from rfmlens.operators.audience import audience_all, audience_lists, export_audiences
+    root = _tmp()
+    m = spark.createDataFrame([("d1", 0), (None, 0), (None, 1), ("d1", 0)], "ifa string, cluster int")
+    for drop, n, everyone in ((False, 3, 2), (True, 1, 1)):
+        export_audiences(m, f"{root}/{drop}", drop_null_ids=drop)
+        assert spark.read.parquet(f"{root}/{drop}").count() == audience_lists(m, drop_null_ids=drop).count() == n
+        assert audience_all(m, drop_null_ids=drop).count() == everyone

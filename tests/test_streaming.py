@@ -29,7 +29,8 @@ def test_stream_refreshes_touched_months(spark):
     devices.write.partitionBy("month").parquet(f"{root}/devices")
     out, ckpt = f"{root}/spend", f"{root}/ckpt"
 
-    q = monthly_spend_stream(spark, f"{root}/usage", schema, f"{root}/devices", tax, out, cfg, ckpt)
+    q = monthly_spend_stream(spark, f"{root}/usage", schema, f"{root}/devices", tax, out, cfg, ckpt,
+                             device_schema=devices.schema)
     q.awaitTermination(120)
     dev = read_monthly(spark, f"{root}/devices")
     expected = _batch_spend(first, dev, tax, cfg)
@@ -40,10 +41,38 @@ def test_stream_refreshes_touched_months(spark):
     late = spark.createDataFrame([("d001", [("b1", dt.datetime(2021, 1, 28), 10)], [("4G",)], "202101")], USAGE)
     arriving = usage.where("month in ('202103')").unionByName(late)
     arriving.write.mode("append").partitionBy("month").parquet(f"{root}/usage")
-    q = monthly_spend_stream(spark, f"{root}/usage", schema, f"{root}/devices", tax, out, cfg, ckpt)
+    q = monthly_spend_stream(spark, f"{root}/usage", schema, f"{root}/devices", tax, out, cfg, ckpt,
+                             device_schema=devices.schema)
     q.awaitTermination(120)
     expected = _batch_spend(first.unionByName(arriving), dev, tax, cfg)
     assert rows(expected.where("ifa = 'd001' and month = '202101'"), "spend") == [(838.0,)]
     got = read_monthly(spark, out).select("ifa", "month", "spend")
     assert rows(got) == rows(expected.select("ifa", "month", "spend"))
     assert os.path.isdir(ckpt)
+
+
+def test_devices_that_arrive_after_the_usage(spark):
+    root = tempfile.mkdtemp(prefix="rfmlens-stream-")
+    usage, _, devices = frames(spark)
+    tax = app_taxonomy(*taxonomy_frames(spark))
+    cfg = ScoringConfig()
+    out, ckpt = f"{root}/spend", f"{root}/ckpt"
+    usage.write.partitionBy("month").parquet(f"{root}/usage")
+    os.makedirs(f"{root}/devices")
+
+    def run():
+        q = monthly_spend_stream(spark, f"{root}/usage", USAGE, f"{root}/devices", tax, out, cfg, ckpt,
+                                 device_schema=devices.schema)
+        q.awaitTermination()
+
+    run()
+    first = devices.where("month = '202101'")
+    first.write.mode("append").partitionBy("month").parquet(f"{root}/devices")
+    run()
+    expected = _batch_spend(usage, first, tax, cfg)
+    assert expected.count() > 0
+    assert rows(read_monthly(spark, out).select("ifa", "month", "spend")) == rows(expected.select("ifa", "month", "spend"))
+    devices.where("month <> '202101'").write.mode("append").partitionBy("month").parquet(f"{root}/devices")
+    run()
+    expected = _batch_spend(usage, devices, tax, cfg)
+    assert rows(read_monthly(spark, out).select("ifa", "month", "spend")) == rows(expected.select("ifa", "month", "spend"))
