@@ -58,7 +58,6 @@ class ClusteringConfig:
     seed: int = DEFAULT_SEED
     n_init: int = 1
     max_iter: int = 20
-    # Partitions of the fixed fitting layout (EXT-2); None derives it from the
-    # row count, which keeps it a function of the data.
-    layout_partitions: int | None = None
+    # Partitions of the fixed fitting layout (EXT-2).
+    layout_partitions: int = 32
     key: str = "ifa"

@@ -6,9 +6,9 @@ Distributed MLlib estimators; nothing is collected except the fitted model
 EXT-2, repeatable k-means: k-means|| sampling depends on how rows are laid out
 in partitions, so the same rows under a different partitioning can converge
 to a different local optimum. Before fitting, rows are hash partitioned by
-the device key into a number of partitions derived from the row count and
+the device key into a given number of partitions and
 sorted by key inside each, which makes the layout a function of the data
-alone. Several seeds can
+and that parameter. Several seeds can
 be tried (lowest training cost wins) and clusters are renumbered by the
 lexicographic order of their centres so labels mean the same between runs.
 The device key is carried through ``transform`` instead of re-attaching
@@ -17,7 +17,6 @@ predictions by a generated row id (JN-7).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -74,22 +73,15 @@ def scaled_columns(prepared: DataFrame, names: Sequence[str], key: str = "ifa",
     return prepared.select(key, *cols)
 
 
-# Rows per partition of the fitting layout; the partition count is derived
-# from the row count, so it is a function of the data alone (repeatable) and
-# grows with it (a 31M-device table gets ~125 fitting tasks, not 8).
-ROWS_PER_LAYOUT_PARTITION = 250_000
-MIN_LAYOUT_PARTITIONS = 8
-
-
-def layout_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_LAYOUT_PARTITION,
-                      minimum: int = MIN_LAYOUT_PARTITIONS) -> int:
-    return max(minimum, math.ceil(df.count() / rows_per_partition))
+# Partitions of the fitting layout. The labels depend on the layout, so it is
+# one parameter that the results carry, not a function of the session or of the
+# data's size: raise it (``layout_partitions``) for a larger table.
+LAYOUT_PARTITIONS = 32
 
 
 def fixed_layout(df: DataFrame, key: str = "ifa", partitions: int | None = None) -> DataFrame:
-    """Layout that depends only on the data: hash by key, sorted by key."""
-    n = partitions or layout_partitions(df)
-    return df.repartition(n, key).sortWithinPartitions(key)
+    """Layout that depends only on the data and the parameter: hash by key, sorted by key."""
+    return df.repartition(partitions or LAYOUT_PARTITIONS, key).sortWithinPartitions(key)
 
 
 def silhouette(df: DataFrame, prediction: str = "prediction", features: str = SCALED_COL) -> float:
@@ -179,7 +171,8 @@ def silhouette_sweep(prepared: DataFrame, ks: Sequence[int] = tuple(range(2, 10)
     def one(k: int) -> tuple[int, float, float]:
         fit = fit_kmeans(data, k, seed, n_init, max_iter, key, partitions, laid_out=True)
         # sums reduced in task order vary in the last bits; report stable digits
-        return int(k), round(silhouette(fit.model.transform(data)), 12), round(fit.cost, 6)
+        return (int(k), round(silhouette(fit.model.transform(data)), 12), round(fit.cost, 6),
+                int(partitions or LAYOUT_PARTITIONS))
 
     try:
         data.count()  # materialise the layout once before the fits share it
@@ -190,7 +183,35 @@ def silhouette_sweep(prepared: DataFrame, ks: Sequence[int] = tuple(range(2, 10)
             rows = [one(k) for k in ks]
     finally:
         data.unpersist()
-    return spark.createDataFrame(rows, "k int, silhouette double, training_cost double")
+    return spark.createDataFrame(rows, "k int, silhouette double, training_cost double, layout_partitions int")
+
+
+def nearest(prepared: DataFrame, centres: Sequence[Sequence[float]], out: str = "nearest") -> DataFrame:
+    """Index of the nearest centre (squared Euclidean distance, ties to the first) of every row."""
+    v = vector_to_array(F.col(SCALED_COL))
+    dist = [sum(((v[i] - F.lit(float(x))) * (v[i] - F.lit(float(x))) for i, x in enumerate(c)), F.lit(0.0)) for c in centres]
+    return prepared.withColumn(out, (F.array_position(F.array(*dist), F.array_min(F.array(*dist))) - 1).cast("int"))
+
+
+def lloyd(prepared: DataFrame, centres: Sequence[Sequence[float]], steps: int) -> tuple[DataFrame, list[list[float]]]:
+    """ML-3 from given centres: a fixed number of Lloyd steps.
+
+    Returns (centre number, rows and coordinates of the last step; the centres).
+    Each step is one aggregate of k rows; a centre without rows stays.
+    """
+    spark = prepared.sparkSession
+    centres = [list(map(float, c)) for c in centres]
+    width = len(centres[0])
+    rows = []
+    for _ in range(steps):
+        v = vector_to_array(F.col(SCALED_COL))
+        rows = (nearest(prepared.select(SCALED_COL), centres).select("nearest", *[v[i].alias(f"z{i}") for i in range(width)])
+                .groupBy("nearest").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"z{i}").alias(f"z{i}") for i in range(width)]).collect())
+        for r in rows:
+            centres[r["nearest"]] = [float(r[f"z{i}"]) for i in range(width)]
+    table = [(int(r["nearest"]), int(r["n"]), *centres[r["nearest"]]) for r in rows]
+    schema = "centre int, n long" + "".join(f", z{i} double" for i in range(width))
+    return spark.createDataFrame(table, schema), centres
 
 
 def choose_k(sweep: DataFrame, min_k: int = 4) -> int:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rfmlens.config import ClusteringConfig
-from rfmlens.operators.cluster import (assign, choose_k, fit_kmeans, prepare_features,
+from rfmlens.operators.cluster import (SCALED_COL, assign, choose_k, fit_kmeans, prepare_features,
                                        silhouette_sweep)
 
 
@@ -20,12 +20,16 @@ def cluster_table(wide: DataFrame, cfg: ClusteringConfig = ClusteringConfig(),
                   sweep: bool = False, min_k: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """Returns (clustered table, sweep or None). With ``sweep`` the k is the
     best silhouette of k >= ``min_k`` (ML-7), else ``cfg.k``."""
-    prepared = prepare_features(wide, cfg.features, cfg.key).persist()
+    prepared = prepare_features(wide, cfg.features, cfg.key)
+    vectors = prepared.select(cfg.key, SCALED_COL).persist()   # what the fits read
     sweep_df = None
     k = cfg.k
-    if sweep:
-        sweep_df = silhouette_sweep(prepared, cfg.ks, cfg.seed, cfg.n_init, cfg.max_iter,
-                                    cfg.key, cfg.layout_partitions)
-        k = choose_k(sweep_df, min_k) or cfg.k
-    fit = fit_kmeans(prepared, k, cfg.seed, cfg.n_init, cfg.max_iter, cfg.key, cfg.layout_partitions)
+    try:
+        if sweep:
+            sweep_df = silhouette_sweep(vectors, cfg.ks, cfg.seed, cfg.n_init, cfg.max_iter,
+                                        cfg.key, cfg.layout_partitions)
+            k = choose_k(sweep_df, min_k) or cfg.k
+        fit = fit_kmeans(vectors, k, cfg.seed, cfg.n_init, cfg.max_iter, cfg.key, cfg.layout_partitions)
+    finally:
+        vectors.unpersist()
     return assign(prepared, fit), sweep_df

@@ -40,8 +40,15 @@ ub AS (
 usage_rec AS (
   SELECT o.o_custkey AS ifa, l.l_suppkey AS bundle, o.o_orderdate AS last_seen,
          CAST(trunc(l.l_quantity) AS BIGINT) AS brq_count,
-         o.o_orderpriority AS conn, strftime(o.o_orderdate, '%Y%m') AS month
+         o.o_orderkey, strftime(o.o_orderdate, '%Y%m') AS month
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+connections AS (
+  SELECT o_orderkey, unnest([o_orderpriority, CASE o_orderstatus WHEN 'F' THEN '1-URGENT' WHEN 'O' THEN '5-LOW' END]) AS req_con_type_desc
+  FROM orders),
+prices AS (
+  SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' AND o_orderpriority = '3-MEDIUM' THEN 0.0
+                 WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN NULL ELSE o_totalprice END AS price
+  FROM orders),
 main_df AS (
   SELECT ub.ifa, ub.req_con_type_desc, ub.req_carrier_name, u.last_seen, u.brq_count,
          CAST(u.last_seen AS DATE) AS date,
@@ -62,7 +69,7 @@ base AS (
   FROM daily GROUP BY ifa),
 tax AS (
   SELECT m.bundle, lv.app_l1_name, lv.app_l2_name, lv.app_l3_name, ls.lifestage_name
-  FROM (SELECT s_suppkey AS bundle, s_nationkey AS app_level_id FROM supplier) m
+  FROM (SELECT s_suppkey AS bundle, CASE WHEN s_acctbal >= 0 THEN s_nationkey END AS app_level_id FROM supplier) m
   LEFT JOIN (SELECT n_nationkey AS app_level_id, n_name AS app_l1_name, lower(n_name) AS app_l2_name,
                     substr(n_name, 1, 3) AS app_l3_name, n_regionkey AS app_lifestage_id FROM nation) lv
     ON m.app_level_id = lv.app_level_id
@@ -70,16 +77,16 @@ tax AS (
     ON lv.app_lifestage_id = ls.app_lifestage_id),
 dev_ranked AS (
   SELECT o_custkey AS ifa, strftime(o_orderdate, '%Y%m') AS month, o_orderstatus AS device_name,
-         o_orderpriority AS device_model, o_totalprice AS price,
+         o_orderpriority AS device_model, price,
          row_number() OVER (PARTITION BY o_custkey, strftime(o_orderdate, '%Y%m')
                             ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-  FROM orders),
+  FROM prices),
 dev AS (SELECT ifa, month, device_name, device_model, price FROM dev_ranked WHERE rn = 1),
 priced AS (SELECT ifa, month, price * CAST({_FX} AS DOUBLE) AS myr_price FROM dev WHERE price <> 0.0),
 app_conn AS (
-  SELECT u.ifa, u.month, u.bundle, u.brq_count, u.conn AS req_con_type_desc,
+  SELECT u.ifa, u.month, u.bundle, u.brq_count, c.req_con_type_desc,
          t.app_l1_name, t.lifestage_name
-  FROM usage_rec u LEFT JOIN tax t ON u.bundle = t.bundle),
+  FROM usage_rec u JOIN connections c ON u.o_orderkey = c.o_orderkey LEFT JOIN tax t ON u.bundle = t.bundle),
 streaming AS (
   SELECT ifa, month, CAST(sum(brq_count) AS BIGINT) AS data_streaming
   FROM app_conn
@@ -112,8 +119,7 @@ scores AS (
 
 
 _F = ("avg_spend", "prediction", "last_seen", "device_price", "usage_frequency", "overall_brq")
-_APP_SUM = " + ".join(f"coalesce(ap.{c}, 0)" for c in APP_CATEGORIES)
-_POI_SUM = " + ".join(f"coalesce(pl.{c}, 0)" for c in PLACE_CODES)
+_APP_SUM, _POI_SUM = "coalesce(ap.n, 0)", "coalesce(pl.n, 0)"
 _MEANS_OF = ("r", "vf", "m", "usage_frequency", "avg_spend", "last_seen", "device_price",
              "overall_brq", *APP_CATEGORIES, "overall_brq_poi", *PLACE_CODES)
 
@@ -121,15 +127,15 @@ PROFILE_CTES = f"""
 age AS (SELECT c_custkey AS ifa, CAST(((c_nationkey % 5) + 5) % 5 AS DOUBLE) AS prediction FROM customer),
 devp AS (
   SELECT ifa, price * CAST({_FX} AS DOUBLE) AS device_price FROM (
-    SELECT o_custkey AS ifa, o_totalprice AS price,
+    SELECT o_custkey AS ifa, price,
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-    FROM orders) WHERE rn = 1 AND price <> 0.0),
+    FROM prices) WHERE rn = 1 AND price <> 0.0),
 apps AS (
-  SELECT user_id AS ifa, {", ".join(f"count(*) FILTER (WHERE event_type = '{c}') AS {c}" for c in APP_CATEGORIES)}
+  SELECT user_id AS ifa, {", ".join(f"count(*) FILTER (WHERE event_type = '{c}') AS {c}" for c in APP_CATEGORIES)}, count(*) AS n
   FROM events GROUP BY user_id),
 places AS (
   SELECT o.o_custkey AS ifa,
-         {", ".join(f"count(*) FILTER (WHERE 'RF_' || l.l_returnflag = '{c}') AS {c}" for c in PLACE_CODES)}
+         {", ".join(f"count(*) FILTER (WHERE 'RF_' || l.l_returnflag = '{c}') AS {c}" for c in PLACE_CODES)}, count(*) AS n
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
 wide AS (
   SELECT s.*, a.prediction, dp.device_price, {_APP_SUM} AS overall_brq,
@@ -174,6 +180,17 @@ def _r(expr: str, alias: str) -> str:
 
 SCORING_SQL = {
     "explode_usage": "SELECT ifa, last_seen, brq_count FROM usage_rec",
+    "explode_star": "SELECT ifa, bundle, last_seen, brq_count FROM usage_rec",
+    "explode_cross": """
+        SELECT ifa, month, bundle, req_con_type_desc, count(*) AS pairs, CAST(sum(brq_count) AS BIGINT) AS brq
+        FROM app_conn GROUP BY ifa, month, bundle, req_con_type_desc""",
+    "userbase_tree": """
+        SELECT req_con_type_desc, req_carrier_name, count(*) AS n FROM ub GROUP BY ALL""",
+    "csv_by_name": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "choose_k": """
+        SELECT CAST(k AS INTEGER) AS k FROM (
+          SELECT l_linenumber + 1 AS k, round(avg(l_discount), 9) AS silhouette FROM lineitem GROUP BY l_linenumber)
+        WHERE k >= 4 ORDER BY silhouette DESC, k LIMIT 1""",
     "enrich_usage": """
         SELECT ifa, date, month, period_months, days_since, count(*) AS main_rows,
                CAST(sum(brq_count) AS BIGINT) AS main_brq
@@ -202,6 +219,11 @@ SCORING_SQL = {
         SELECT avg_spend, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY avg_spend ORDER BY avg_spend""",
     "report_csv_roundtrip": """
         SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen""",
+    "report_overwrite": """
+        SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen""",
+    "report_order": """
+        SELECT row_number() OVER (ORDER BY last_seen) - 1 AS pos, last_seen, count(DISTINCT ifa) AS ifa_count
+        FROM rfm GROUP BY last_seen""",
     "rfm_scores": "SELECT * FROM scores",
     "uniqueness_check": """
         SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT ifa FROM scores)) AS distinct_keys,
@@ -220,6 +242,14 @@ SCAN_SQL = {
                percent_rank() OVER (ORDER BY l_extendedprice ASC NULLS FIRST) AS price_pct,
                percent_rank() OVER (ORDER BY l_shipdate DESC NULLS LAST) AS ship_pct
         FROM lineitem""",
+    "percent_rank_signed": """
+        SELECT l_orderkey, l_linenumber,
+               percent_rank() OVER (ORDER BY CASE WHEN l_linenumber % 2 = 0 THEN -l_discount ELSE l_discount END) AS pct
+        FROM lineitem""",
+    "percent_rank_text": """
+        SELECT l_orderkey, l_linenumber,
+               percent_rank() OVER (ORDER BY 'device-of-the-order-with-number-' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0')) AS pct
+        FROM lineitem""",
     "month_pruned_scan": f"""
         SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS orders,
                count(DISTINCT o_custkey) AS devices
@@ -234,7 +264,26 @@ SCAN_SQL = {
         FROM usage_rec WHERE month IN ({_MONTH_LIST}) GROUP BY month""",
 }
 
+def _lloyd(steps: int) -> str:
+    """Lloyd steps from the means of the rule-given segments, unrolled."""
+    zs = range(len(_F))
+    means = ", ".join(f"avg(z{i}) AS m{i}" for i in zs)
+    out = [f"c0 AS (SELECT cluster AS c, {means} FROM z GROUP BY cluster)"]
+    dist = " + ".join(f"(z.z{i} - m{i}) * (z.z{i} - m{i})" for i in zs)
+    for s in range(1, steps + 1):
+        out.append(f"a{s} AS (SELECT * FROM (SELECT z.*, c, row_number() OVER (PARTITION BY z.ifa ORDER BY {dist}, c) AS rn "
+                   f"FROM z CROSS JOIN c{s - 1}) WHERE rn = 1)")
+        out.append(f"c{s} AS (SELECT c, count(*) AS n, {means} FROM a{s} GROUP BY c)")
+    cols = ", ".join(f"round(m{i}, 6) AS {f}" for i, f in enumerate(_F))
+    return f"SELECT * FROM (WITH {', '.join(out)} SELECT c AS cluster, n AS ifa_count, {cols} FROM c{steps})"
+
+
 PROFILE_SQL = {
+    "kmeans_from_centres": _lloyd(3),
+    "assignment_check": """
+        SELECT count(*) AS rows, count(DISTINCT ifa) AS distinct_keys, CAST(0 AS BIGINT) AS not_nearest FROM feat""",
+    "audience_all": "SELECT DISTINCT ifa FROM clustered",
+    "clustered_csv": "SELECT ifa, cluster, avg_spend, overall_brq FROM clustered",
     "features_scaled": "SELECT ifa, " + ", ".join(
         f"round(z{i}, 6) AS z_{c}" for i, c in enumerate(_F)) + " FROM z",
     "feature_row_counts": """
@@ -263,11 +312,11 @@ PROFILE_SQL = {
         f"{_r(f'avg({c}) / quantile_disc({c}, 0.5)', f'mean_to_median_{c}')}"
         for c in ("avg_spend", "device_price"))
         + " FROM clustered GROUP BY cluster ORDER BY cluster",
-    "audience_lists": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
-    "audience_parquet": "SELECT DISTINCT cluster, ifa FROM clustered WHERE ifa IS NOT NULL",
+    "audience_lists": "SELECT DISTINCT cluster, ifa FROM clustered",
+    "audience_parquet": "SELECT DISTINCT cluster, ifa FROM clustered",
     "audience_csv": f"""
         SELECT DISTINCT cluster, CAST(ifa AS VARCHAR) AS "{REFERENCE_AUDIENCE_LABEL}"
-        FROM clustered WHERE ifa IS NOT NULL""",
+        FROM clustered""",
 }
 
 

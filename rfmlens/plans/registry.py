@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
-from rfmlens.operators.audience import audience_lists, export_audiences
+from rfmlens.operators.audience import audience_all, audience_lists, export_audiences
 from rfmlens.operators.checks import row_reconciliation, uniqueness_check
-from rfmlens.operators.cluster import (assign_clusters, prepare_features, scaled_columns,
-                                       silhouette, silhouette_sweep)
+from rfmlens.operators.cluster import (SCALED_COL, assign, assign_clusters, choose_k, fit_kmeans, lloyd,
+                                       nearest, prepare_features, scaled_columns, silhouette,
+                                       silhouette_sweep)
 from rfmlens.operators.rank import RankSpec, percent_ranks
 from rfmlens.operators.profile import (band_distribution, band_values, category_shares,
                                        cluster_means, mean_vs_median)
@@ -26,10 +27,13 @@ from rfmlens.operators.spend import category_usage, latest_device, latest_prices
 from rfmlens.operators.taxonomy import app_taxonomy
 from rfmlens.operators.usage import enrich_usage, enriched_daily_summary, explode_apps
 from rfmlens.plans import scoring
-from rfmlens.plans.profiling import round_doubles
+from rfmlens.functions.scalar import try_double
+from rfmlens.plans.profiling import load_clustered, round_doubles
 from rfmlens.session import cut_lineage, stage_path
 from rfmlens.sources import standins as S
-from rfmlens.sources.readers import months_predicate, read_csv_typed, read_month_dirs, read_monthly
+from rfmlens.schemas import USERBASE
+from rfmlens.sources.readers import (months_predicate, read_csv_by_name, read_csv_typed, read_month_dirs,
+                                     read_monthly, read_tree)
 from rfmlens.sources.sinks import write_csv, write_parquet
 
 CFG = S.STANDIN_CONFIG
@@ -42,7 +46,6 @@ SHARE_GROUPS = {"overall_brq": S.APP_CATEGORIES, "overall_brq_poi": S.PLACE_CODE
 # (SRC-2/3/8); every other query reads all months of the whole tables.
 WINDOW_MONTHS = ("200105", "200106", "200107", "200108")
 REPORT_DIGITS = 6
-STREAM_TIMEOUT_S = 3600
 
 
 def scoring_inputs(spark: SparkSession, d: str) -> scoring.ScoringInputs:
@@ -56,6 +59,39 @@ def q_explode_usage(spark, d):
     return explode_apps(S.usage(spark, d))
 
 
+def q_explode_star(spark, d):
+    """PRJ-3: every field of the exploded struct."""
+    return explode_apps(S.usage(spark, d), fields=None)
+
+
+def q_explode_cross(spark, d):
+    """GEN-2 as written: a record's apps times its connections (a handful each), counted."""
+    pairs = S.usage(spark, d).select("ifa", "month", "connection", F.explode("app").alias("a")).select(
+        "ifa", "month", "a.bundle", "a.brq_count", F.explode("connection").alias("c"))
+    return pairs.groupBy("ifa", "month", "bundle", F.col("c.req_con_type_desc").alias("req_con_type_desc")).agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("brq_count").alias("brq"))
+
+
+def q_userbase_tree(spark, d):
+    """SRC-1: files at different depths below one root."""
+    root = stage_path(spark, "userbase")
+    ub = cut_lineage(S.userbase(spark, d), "userbase")
+    done = F.col("req_carrier_name") == "F"
+    write_parquet(ub.where(done), f"{root}/part1/done")
+    write_parquet(ub.where(~done), f"{root}/part2")
+    return read_tree(spark, root, USERBASE).groupBy("req_con_type_desc", "req_carrier_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_csv_by_name(spark, d):
+    """SRC-5: declared columns out of a wider CSV whose columns stand in another order."""
+    path = stage_path(spark, "supplier_csv")
+    s = S.table(spark, d, "supplier")
+    first = [c for c in s.columns if c not in ("s_suppkey", "s_name", "s_acctbal")]
+    write_csv(s.select("s_acctbal", *first, "s_suppkey", F.lit("x").alias("extra"), "s_name"), path)
+    types = {f.name: f for f in s.schema.fields}
+    return read_csv_by_name(spark, path, StructType([types[c] for c in ("s_suppkey", "s_name", "s_acctbal")]))
+
+
 def q_enrich_usage(spark, d):
     enriched = enrich_usage(S.usage_events(spark, d), S.userbase(spark, d), CFG.anchor_day)
     return enriched_daily_summary(enriched)
@@ -79,7 +115,8 @@ def q_app_taxonomy(spark, d):
 
 def q_latest_device(spark, d):
     latest = latest_device(S.devices(spark, d), ("ifa", "month"))
-    return latest.select("ifa", "month", "device.device_name", "device.device_model", "device.price")
+    return latest.select("ifa", "month", "device.device_name", "device.device_model",
+                         try_double(F.col("device.price")).alias("price"))
 
 
 def q_priced_device(spark, d):
@@ -128,6 +165,25 @@ def q_report_csv_roundtrip(spark, d):
                                                    StructField("ifa_count", LongType())]))
 
 
+def q_report_overwrite(spark, d):
+    """SNK-3: a report written over an earlier one."""
+    path = stage_path(spark, "report")
+    dist = cut_lineage(q_dist_recency(spark, d), "dist")
+    write_csv(dist.withColumn("ifa_count", F.lit(0)), path, mode="overwrite")
+    write_csv(dist, path, mode="overwrite", single_file=True)
+    return read_csv_typed(spark, path, StructType([StructField("last_seen", IntegerType()),
+                                                   StructField("ifa_count", LongType())]))
+
+
+def q_report_order(spark, d):
+    """SRT-1: the rows of the single-file report are in order."""
+    path = stage_path(spark, "report")
+    write_csv(q_dist_recency(spark, d), path, single_file=True)
+    back = read_csv_typed(spark, path, StructType([StructField("last_seen", IntegerType()),
+                                                   StructField("ifa_count", LongType())]))
+    return back.select(F.monotonically_increasing_id().alias("pos"), "last_seen", "ifa_count")
+
+
 def q_rfm_scores(spark, d):
     return rfm_scores(_measures_ckpt(spark, d), CFG.scale)
 
@@ -140,6 +196,20 @@ def q_percent_rank_scaled(spark, d):
     return ranked.select("l_orderkey", "l_linenumber", "price_pct", "ship_pct")
 
 
+def q_percent_rank_signed(spark, d):
+    """EXT-1 on a column with both zeros, which rank as one value."""
+    x = F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_discount")).otherwise(F.col("l_discount"))
+    li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    return percent_ranks(li, [RankSpec("x", False, "pct")]).drop("x")
+
+
+def q_percent_rank_text(spark, d):
+    """EXT-1 on text with a long common prefix."""
+    x = F.concat(F.lit("device-of-the-order-with-number-"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    return percent_ranks(li, [RankSpec("x", False, "pct")]).drop("x")
+
+
 def q_uniqueness_check(spark, d):
     return uniqueness_check(q_rfm_scores(spark, d), "ifa")
 
@@ -189,9 +259,7 @@ def q_spend_stream(spark, d):
     out = stage_path(spark, "spend_out")
     q = monthly_spend_stream(spark, usage_path, schema, dev_path, q_app_taxonomy(spark, d), out, CFG,
                              checkpoint=stage_path(spark, "spend_ckpt"), device_schema=dev_schema)
-    if not q.awaitTermination(STREAM_TIMEOUT_S):   # available-now: stops once caught up
-        q.stop()
-        raise TimeoutError(f"spend stream still running after {STREAM_TIMEOUT_S} s")
+    q.awaitTermination()   # available-now: stops once caught up, raises if it failed
     return read_monthly(spark, out).select("ifa", "month", "spend")
 
 
@@ -231,6 +299,35 @@ def q_assign_clusters(spark, d):
     return assign_clusters(prepare_features(_wide(spark, d), FEATURES), k=6)
 
 
+def q_kmeans_from_centres(spark, d):
+    """ML-3: three Lloyd steps from the means of the rule-given segments."""
+    prepared = cut_lineage(prepare_features(_rule_clustered(spark, d), FEATURES), "prepared")
+    z = scaled_columns(prepared.select("ifa", "cluster", SCALED_COL), FEATURES, digits=None)
+    z = z.join(prepared.select("ifa", "cluster"), "ifa")
+    start = z.groupBy("cluster").agg(*[F.avg(f"z_{c}").alias(c) for c in FEATURES]).orderBy("cluster").collect()
+    steps, _ = lloyd(prepared, [[r[c] for c in FEATURES] for r in start], 3)
+    number = spark.createDataFrame([(i, r["cluster"]) for i, r in enumerate(start)], "centre int, cluster int")
+    return steps.join(number, "centre").select(
+        "cluster", F.col("n").alias("ifa_count"), *[F.round(f"z{i}", REPORT_DIGITS).alias(c) for i, c in enumerate(FEATURES)])
+
+
+def q_assignment_check(spark, d):
+    """ML-6, OP-16: every row has one label, that of the nearest returned centre."""
+    prepared = cut_lineage(prepare_features(_wide(spark, d), FEATURES), "prepared")
+    fit = fit_kmeans(prepared, 6)
+    centres = sorted(tuple(map(float, c)) for c in fit.model.clusterCenters())   # labels are numbered in this order
+    told = nearest(assign(prepared, fit, drop_vectors=False), centres)
+    return told.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ifa").alias("distinct_keys"),
+                    F.count(F.when(F.col("cluster") != F.col("nearest"), 1)).alias("not_nearest"))
+
+
+def q_choose_k(spark, d):
+    """ML-7 on a sweep table made from the line items: the best k of at least 4."""
+    sweep = S.table(spark, d, "lineitem").groupBy((F.col("l_linenumber") + 1).alias("k")).agg(
+        F.round(F.avg("l_discount"), 9).alias("silhouette"))
+    return spark.createDataFrame([(choose_k(sweep),)], "k int")
+
+
 def q_kmeans_profile(spark, d):
     """The reference's clustering -> profiling chain: k-means labels (k=6),
     then means and sizes per cluster (rows only: k-means has no SQL form)."""
@@ -277,8 +374,25 @@ def q_audience_csv(spark, d):
     return spark.read.option("header", "true").csv(path)
 
 
+def q_audience_all(spark, d):
+    return audience_all(_rule_clustered(spark, d))
+
+
+def q_clustered_csv(spark, d):
+    """SNK-5: the clustered table as CSV with a header, read back as text and cast."""
+    path = stage_path(spark, "clustered_csv")
+    write_csv(_rule_clustered(spark, d).drop("features", "standardized"), path)
+    back = load_clustered(spark, path)
+    return back.select(F.col("ifa").cast("bigint").alias("ifa"), "cluster", F.col("avg_spend").cast("double").alias("avg_spend"),
+                       F.col("overall_brq").cast("bigint").alias("overall_brq"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_usage": q_explode_usage,
+    "explode_star": q_explode_star,
+    "explode_cross": q_explode_cross,
+    "userbase_tree": q_userbase_tree,
+    "csv_by_name": q_csv_by_name,
     "enrich_usage": q_enrich_usage,
     "usage_histogram": q_usage_histogram,
     "daily_usage": q_daily_usage,
@@ -295,9 +409,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_frequency": q_dist_frequency,
     "dist_monetary": q_dist_monetary,
     "report_csv_roundtrip": q_report_csv_roundtrip,
+    "report_overwrite": q_report_overwrite,
+    "report_order": q_report_order,
     "rfm_scores": q_rfm_scores,
     "uniqueness_check": q_uniqueness_check,
     "percent_rank_scaled": q_percent_rank_scaled,
+    "percent_rank_signed": q_percent_rank_signed,
+    "percent_rank_text": q_percent_rank_text,
     "month_pruned_scan": q_month_pruned_scan,
     "monthly_roundtrip": q_monthly_roundtrip,
     "legacy_month_scan": q_legacy_month_scan,
@@ -306,6 +424,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_given_labels": q_silhouette_given_labels,
     "silhouette_sweep": q_silhouette_sweep,
     "assign_clusters": q_assign_clusters,
+    "kmeans_from_centres": q_kmeans_from_centres,
+    "assignment_check": q_assignment_check,
+    "choose_k": q_choose_k,
     "kmeans_profile": q_kmeans_profile,
     "cluster_means": q_cluster_means,
     "category_shares": q_category_shares,
@@ -313,6 +434,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "band_distribution": q_band_distribution,
     "mean_vs_median": q_mean_vs_median,
     "audience_lists": q_audience_lists,
+    "audience_all": q_audience_all,
+    "clustered_csv": q_clustered_csv,
     "audience_parquet": q_audience_parquet,
     "audience_csv": q_audience_csv,
 }

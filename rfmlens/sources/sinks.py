@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
                   partition_by: Sequence[str] | None = None) -> None:
     """SNK-1/SNK-2: Parquet; ``mode='overwrite'`` with partitions replaces only
-    the partitions present in ``df`` (dynamic partition overwrite)."""
+    the partitions present in ``df`` (dynamic partition overwrite).
+
+    Partitioned rows are rebalanced by the partition columns first, so a
+    partition is written by as many tasks as it has advisory partition sizes
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), not by every task.
+    """
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
         if mode == "overwrite":
             w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
@@ -43,7 +48,7 @@ def write_segments(df: DataFrame, path: str, segment: str = "cluster", key: str
     Rows are distinct (segment, key) pairs; ``label`` renames the key column
     (the CSV header). By default every task writes its share of every
     segment, so a segment holding a third of all devices is written by all
-    tasks. ``files_per_segment=n`` gives exactly n files per segment, rows
+    tasks. ``files_per_segment=n`` gives at most n files per segment, rows
     spread by a hash of the key; ``1`` reproduces the reference's single file
     per segment and funnels each segment through one task (small lists only).
     """

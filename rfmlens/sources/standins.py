@@ -11,10 +11,14 @@ the given tables; nothing is collected.
 | device id ``ifa``                 | ``o_custkey``                                  |
 | userbase row (several per device) | distinct (custkey, orderpriority, orderstatus) |
 | connection type / WIFI / Unknown  | ``o_orderpriority`` / 5-LOW / 4-NOT SPECIFIED  |
-| nested usage record               | one per line item: app = [supplier, order     |
-|                                   | date, quantity], connection = [priority]      |
-| device snapshot (price)           | order: status, priority, total price          |
-| app master -> level -> lifestage  | supplier -> nation -> region                  |
+| nested usage record               | one per order: app = its line items (supplier, |
+|                                   | order date, quantity), connection = [priority, |
+|                                   | a channel by status]; and one per customer     |
+|                                   | whose app array is null or empty               |
+| device snapshot (price)           | order: status, priority, total price as text  |
+|                                   | (some null, zero or not a number)             |
+| app master -> level -> lifestage  | supplier -> nation -> region; suppliers in     |
+|                                   | debt have no level                            |
 | streaming category                | ``lifestage_name = 'AMERICA'``                 |
 | age class 0..3 (4 = unmapped)     | ``pmod(c_nationkey, 5)``                       |
 | app category counts               | ``events`` per user and event type            |
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.config import REFERENCE_FX_RATE, ScoringConfig
@@ -61,30 +65,58 @@ def userbase(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def second_channel() -> Column:
+    """The second connection of an order's record: allowed, excluded or null."""
+    return F.when(F.col("o_orderstatus") == "F", "1-URGENT").when(F.col("o_orderstatus") == "O", "5-LOW")
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested monthly usage records: ifa, app array, connection array, month."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-            .select(F.col("o_custkey").alias("ifa"),
-                    F.array(F.struct(F.col("l_suppkey").alias("bundle"),
-                                     F.col("o_orderdate").alias("last_seen"),
-                                     F.col("l_quantity").cast("bigint").alias("brq_count"))).alias("app"),
-                    F.array(F.struct(F.col("o_orderpriority").alias("req_con_type_desc"))).alias("connection"),
-                    F.date_format("o_orderdate", "yyyyMM").alias("month")))
+    """Nested monthly usage records: ifa, app array, connection array, month.
+
+    An order has a handful of line items, so its arrays are small.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    lines = (table(spark, sf_dir, "lineitem")
+             .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+             .agg(F.collect_list(F.struct(F.col("l_suppkey").alias("bundle"),
+                                          F.col("l_quantity").cast("bigint").alias("brq_count"))).alias("lines")))
+    channel = lambda c: F.struct(c.alias("req_con_type_desc"))
+    app = F.transform("lines", lambda x: F.struct(x["bundle"].alias("bundle"), F.col("o_orderdate").alias("last_seen"),
+                                                  x["brq_count"].alias("brq_count")))
+    records = o.join(lines, "o_orderkey", "left").select(
+        F.col("o_custkey").alias("ifa"), app.alias("app"),
+        F.array(channel(F.col("o_orderpriority")), channel(second_channel())).alias("connection"),
+        F.date_format("o_orderdate", "yyyyMM").alias("month"))
+    app_type = records.schema["app"].dataType
+    idle = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("ifa"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None)).otherwise(F.array()).cast(app_type).alias("app"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(None)).otherwise(
+            F.array(channel(F.lit("1-URGENT")))).alias("connection"),
+        F.lit("200108").alias("month"))
+    return records.unionByName(idle)
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_apps(usage(spark, sf_dir))
 
 
+def price_text() -> Column:
+    """Prices as text: of some orders null, zero or not a number."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return (F.when(status == "P", "n/a")
+            .when((status == "O") & (priority == "3-MEDIUM"), "0")
+            .when((status == "O") & (priority == "2-HIGH"), F.lit(None))
+            .otherwise(F.col("o_totalprice").cast("string")))
+
+
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly device snapshots with an explicit tie-break (record id)."""
     return (table(spark, sf_dir, "orders")
             .select(F.col("o_custkey").alias("ifa"),
                     F.struct(F.col("o_orderstatus").alias("device_name"),
                              F.col("o_orderpriority").alias("device_model"),
-                             F.col("o_totalprice").alias("price")).alias("device"),
+                             price_text().alias("price")).alias("device"),
                     F.date_format("o_orderdate", "yyyyMM").alias("month"),
                     F.col("o_orderdate").alias("snapshot_ts"),
                     F.col("o_orderkey").alias("record_id")))
@@ -92,7 +124,8 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("bundle"), F.col("s_nationkey").alias("app_level_id"))
+        F.col("s_suppkey").alias("bundle"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey")).alias("app_level_id"))
 
 
 def app_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +149,10 @@ def age_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def app_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user: events per category (explicit pivot values, no discovery job)."""
+    """Per user: events per category, and of all categories (also unlisted ones)."""
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("ifa"), "event_type")
-    return (ev.groupBy("ifa").pivot("event_type", list(APP_CATEGORIES))
-            .agg(F.count(F.lit(1))))
+    return ev.groupBy("ifa").agg(*[F.nullif(F.count(F.when(F.col("event_type") == c, 1)), F.lit(0)).alias(c) for c in APP_CATEGORIES],
+                                 F.count(F.lit(1)).alias("overall_brq"))
 
 
 def place_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +161,8 @@ def place_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", F.concat(F.lit("RF_"), F.col("l_returnflag")).alias("place"))
     return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
             .groupBy(F.col("o_custkey").alias("ifa"))
-            .pivot("place", list(PLACE_CODES)).agg(F.count(F.lit(1))))
+            .agg(*[F.nullif(F.count(F.when(F.col("place") == c, 1)), F.lit(0)).alias(c) for c in PLACE_CODES],
+                 F.count(F.lit(1)).alias("overall_brq_poi")))
 
 
 def combined(spark: SparkSession, sf_dir: str, scores: DataFrame, device_price: DataFrame) -> DataFrame:
@@ -139,8 +173,7 @@ def combined(spark: SparkSession, sf_dir: str, scores: DataFrame, device_price:
     zero = F.lit(0).cast("bigint")
     app_cols = [F.coalesce(F.col(c), zero).alias(c) for c in APP_CATEGORIES]
     place_cols = [F.coalesce(F.col(c), zero).alias(c) for c in PLACE_CODES]
-    overall = sum((F.coalesce(F.col(c), zero) for c in APP_CATEGORIES), zero)
-    overall_poi = sum((F.coalesce(F.col(c), zero) for c in PLACE_CODES), zero)
+    overall, overall_poi = (F.coalesce(F.col(c), zero) for c in ("overall_brq", "overall_brq_poi"))
     return (scores
             .join(age_classes(spark, sf_dir), "ifa", "left")
             .join(device_price, "ifa", "left")
@@ -160,4 +193,5 @@ def device_prices(spark: SparkSession, sf_dir: str, fx_rate: float = STANDIN_CON
 def recency_band(df: DataFrame, score: str = "r", out: str = "cluster", top: int = 4) -> DataFrame:
     """Rule-given segment labels (score band 0..top) for checking the profile
     operators against SQL, where k-means labels cannot be reproduced."""
-    return df.withColumn(out, F.least(F.floor(F.col(score)).cast("int"), F.lit(top)))
+    band = F.floor(F.col(score)).cast("int")
+    return df.withColumn(out, F.when(band.isNotNull(), F.least(band, F.lit(top))))
