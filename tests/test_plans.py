@@ -20,6 +20,10 @@ def test_jobs_end_to_end(spark):
     n = scores.count()
     assert n > 0 and scores.select("ifa").distinct().count() == n
     assert os.path.isdir(f"{out}/rfm/spend_df") and os.path.isdir(f"{out}/rfm/dist_avg_spend")
+    (check,) = spark.read.parquet(f"{out}/rfm/checks").collect()
+    assert check.rows == check.distinct_keys == check.measures == n and check.is_unique
+    main = spark.read.parquet(f"{out}/rfm/main_df")
+    assert {"ub_rows", "date", "period_months", "days_since", "_day_sum"} <= set(main.columns) and main.count() > 0
     wide = S.combined(spark, SMOKE, scores, S.device_prices(spark, SMOKE))
     model, sweep = clustering.cluster_table(wide, ClusteringConfig(ks=(2, 3, 4), k=3), sweep=True, min_k=3)
     assert sweep.count() == 3
@@ -28,6 +32,8 @@ def test_jobs_end_to_end(spark):
     report = profiling.run(model, f"{out}/profile", MEANS_OF, SHARE_GROUPS)
     assert report["means"].count() == k
     assert sum(r.ifa_count for r in report["means"].collect()) == model.count()
+    everyone = spark.read.parquet(f"{out}/profile/ifa_list/all/parquet")
+    assert everyone.count() == model.select("ifa").distinct().count()
     back = spark.read.option("header", "true").csv(f"{out}/profile/ifa_list/csv")
     assert back.count() == model.select("ifa").distinct().count()
 
@@ -125,3 +131,28 @@ def test_fused_usage_scan_equals_separate_operators(spark):
         # measures plan itself only reads the stage
         assert sum("l_orderkey" in x for x in plan_schemas) == 0
         assert sum("l_orderkey" in x for x in read_schemas(measures_frame(inp_smoke, CFG))) == 2
+
+
+def test_scoring_job_reads_usage_twice(spark):
+    """Once for the day and category sums, once for the histogram."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+    from fixtures import frames, taxonomy_frames
+    from rfmlens.config import ScoringConfig
+    from rfmlens.plans.scoring import ScoringInputs
+
+    usage, ub, devices = frames(spark)
+    reads = spark.sparkContext.accumulator(0)
+    n = usage.count()
+
+    @F.udf("string")
+    def seen(x):
+        reads.add(1)
+        return x
+
+    counted = usage.withColumn("ifa", seen.asNondeterministic()("ifa"))
+    out = tempfile.mkdtemp(prefix="rfmlens-scan-")
+    cfg = ScoringConfig(anchor_day=dt.date(2021, 4, 30))
+    got = scoring.run(ScoringInputs(ub, counted, devices, *taxonomy_frames(spark)), cfg, out)
+    assert got.count() > 0 and reads.value <= 2 * n

@@ -153,3 +153,11 @@ def test_null_ids_in_lists_and_exports_agree(spark):
         export_audiences(m, f"{root}/{drop}", drop_null_ids=drop)
         assert spark.read.parquet(f"{root}/{drop}").count() == audience_lists(m, drop_null_ids=drop).count() == n
         assert audience_all(m, drop_null_ids=drop).count() == everyone
+
+
+def test_partitioned_writes_make_few_files(spark):
+    root = _tmp()
+    df = spark.range(0, 6000, numPartitions=8).select("id", F.format_string("2021%02d", F.col("id") % 12 + 1).alias("month"))
+    write_parquet(df, root + "/m", mode="overwrite", partition_by=["month"])
+    files = [f for d, _, names in os.walk(root + "/m") for f in names if f.endswith(".parquet")]
+    assert 12 <= len(files) <= 24 and read_monthly(spark, root + "/m").count() == 6000
