@@ -13,7 +13,12 @@ licences with one canonical text the first name counts; null ids and repeated ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.llm.common import cut_lineage
@@ -77,28 +82,50 @@ KNOWN = [
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("organisation", "organization"),
              ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("per cent", "percent"),
              ("copyright owner", "copyright holder"), ("http ", "https ")]
+MARKS = re.compile(r"[^\w\n ]+|_+")
 COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]|by )|\(c\)|©)[^\n]*"
 
-
-def canonical_lines(text: Column) -> Column:
-    """The canonical text, still in lines; copyright lines are empty."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "\n")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+COPYRIGHT_LINE = re.compile(COPYRIGHT)
 
 
-def canonical(lines: Column) -> Column:
-    """One line out of all."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+def canonical_lines(text: str | None) -> list[str]:
+    """The canonical form of each line; copyright lines are empty."""
+    t = (text or "").lower()
+    if "copyright" in t or "(c)" in t or "©" in t:
+        t = COPYRIGHT_LINE.sub("\n", t)
+    t = "\n".join([" ".join(x.split()) for x in MARKS.sub(" ", t).split("\n")])
+    for a, b in SPELLINGS:
+        t = t.replace(a, b)
+    return t.split("\n")
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """row, doc_id, digest (of the whole text), empty (is its canonical form) and line (a digest for each line) of row, doc_id, text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+                whole, empty, size, lines = [], [], [0], []
+                for t in part.column("text").to_pylist():
+                    found = canonical_lines(t)
+                    c = " ".join(filter(None, found)).encode("utf-8", "replace")
+                    whole.append(sha256(c).digest())
+                    empty.append(not c)
+                    lines += [sha256(x.encode("utf-8", "replace")).digest() for x in found if x]
+                    size.append(len(lines))
+                yield pa.RecordBatch.from_pydict({
+                    "row": part.column("row"), "doc_id": part.column("doc_id"), "digest": pa.array(whole, pa.binary()), "empty": empty,
+                    "lines": pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(lines, pa.binary()))})
+
+    return texts.mapInArrow(run, "row long, doc_id long, digest binary, empty boolean, lines array<binary>")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """digest, license: one row for each canonical text that isn't empty."""
-    c = canonical(canonical_lines(F.col("text")))
-    return (known.select("name", c.alias("c")).where("c <> '' and name is not null").groupBy(F.sha2("c", 256).alias("digest"))
-            .agg(F.min("name").alias("license")))
+    rows = known.where("name is not null").select(F.monotonically_increasing_id().alias("row"), F.col("name").cast("string").alias("name"),
+                                                  F.col("text").cast("string").alias("text"))
+    rows = cut_lineage(rows, "known")
+    found = digests(rows.select("row", F.lit(None).cast("long").alias("doc_id"), "text")).where("not empty")
+    return found.join(rows.select("row", "name"), "row").groupBy("digest").agg(F.min("name").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,14 +133,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     table = cut_lineage(known_digests(known if known is not None else spark.createDataFrame(KNOWN, "name string, text string")), "licenses")
     hint = F.broadcast if table.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       canonical_lines(F.col(text_col).cast("string")).alias("lines"))
-    rows = rows.select("row", "doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"),
-                       F.explode(F.transform(F.split("lines", "\n"), lambda x: F.sha2(F.trim(x), 256))).alias("line"))
+    rows = digests(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    rows = rows.select("row", "doc_id", "digest", F.explode_outer("lines").alias("line"))
     rows = rows.join(hint(table.select(F.col("digest").alias("line"), F.col("license").alias("notice"))), "line", "left")
     rows = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"),
                                    F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("notice").alias("n_notices"))
-    return rows.join(hint(table), "digest", "left").select("doc_id", "digest", "license", "notices", "n_notices")
+    return rows.join(hint(table), "digest", "left").select("doc_id", F.lower(F.hex("digest")).alias("digest"), "license", "notices", "n_notices")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +150,7 @@ def _sql() -> str:
     def lines(c: str) -> str:
         t = f"regexp_replace(lower(coalesce({c}, '')), '{COPYRIGHT}', '\n', 'g')"
         t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g')"
+        t = f"trim(regexp_replace({t}, ' *\n *', '\n', 'g'))"
         for a, b in SPELLINGS:
             t = f"replace({t}, '{a}', '{b}')"
         return t
