@@ -7,9 +7,10 @@
 3. A bucket of m nodes isn't expanded into its pairs. Its hub, the node that shares most buckets with others, is paired with the m - 1
    others; pairs whose signatures agree too little are dropped, the others are confirmed on full sets.
 4. Confirmed links are joined into components by alternating large-star and small-star.
-5. Where a bucket still holds several components, the nodes outside of its largest one are compared with all
-   others: signatures meet in blocks of bounded size, which emit only the pairs that agree enough, and these are confirmed as before. So
-   no pair that shares a bucket is left out unless it is connected already. The components are then joined anew.
+5. Where a bucket still holds several components, the nodes outside of its largest one are compared with the
+   largest one and with each other, once for all buckets that have the same largest one. Their sets meet in blocks of bounded size,
+   which verify signatures, confirm on full sets and emit links alone. So no pair that shares a bucket is left out
+   unless it is connected already. The components are then joined anew.
 
 No step collects links, and no key with many rows meets in one task: sums combine before the shuffle, and rows of
 a key are joined by ``common.lookup`` or in salted chunks. Tables that are read twice are written to the shared folder.
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from rfmlens.llm.common import cut_lineage, lookup
 
 BANDS, ROWS = 36, 5
-#: The signature by which pairs are verified first: so many minima, of which so many must agree.
-SIGNATURE, AGREE = 64, 32
+#: The signature by which pairs are verified first: the lower halves of all minima, of which so many must agree. Of 180, sets of
+#: similarity 0.8 agree on fewer than 114 with a probability below 10^-6.
+SIGNATURE, AGREE = BANDS * ROWS, 114
 #: Nodes of a bucket that meet in a block, and shingles of the sets that meet in one.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Texts wanted for confirmation are named to all tasks if they are at most so many rows of five numbers, else by a shuffle.
@@ -78,6 +80,10 @@ def bands(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def signature(m: np.ndarray) -> bytes:
+    return m.astype(np.uint16).tobytes()
+
+
 def name_of(s: np.ndarray) -> int:
     """Fingerprint of a set."""
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -100,7 +106,7 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
                     n.append(len(s))
                     node.append(name_of(s) if len(s) else None)
                     band.append(bands(m) if len(s) else None)
-                    sign.append(m[:SIGNATURE].tobytes() if len(s) else None)
+                    sign.append(signature(m) if len(s) else None)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "version": part.column("version"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()),
                     "bands": pa.array(band, pa.list_(pa.int64())), "signature": pa.array(sign, pa.binary())})
@@ -127,7 +133,7 @@ def buckets(sketches: DataFrame) -> DataFrame:
 
 def agree(a: pd.Series, b: pd.Series) -> pd.Series:
     """Do two signatures agree enough?"""
-    p, q = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), SIGNATURE) for v in (a, b))
+    p, q = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), SIGNATURE) for v in (a, b))
     return pd.Series((p == q).sum(axis=1) >= AGREE, dtype=bool)
 
 
@@ -140,6 +146,38 @@ def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return with_a.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").where(F.pandas_udf(agree, "boolean")("sa", "sb")).select("a", "b")
 
 
+def with_texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` with the text of its doc_id and version; one text's rows come together."""
+    wanted = cut_lineage(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = _texts(docs, id_col, text_col)
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["version"] == wanted["version"])
+    return rows.join(wanted, same).drop("doc_id", "version")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches and the set of each row's text."""
+    before, s = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+            found = []
+            for t in part.column("text").to_pylist():
+                if before is None or t != before:
+                    before, s = t, shingles(t, size)
+                found.append(s)
+            yield part, found
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Do two sorted sets reach the similarity?"""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose full sets reach the similarity; ``a`` may occur in many."""
     sized = cut_lineage(pairs.join(nodes.select(F.col("node").alias("b"), "doc_id", "version", "n"), "b"), "sized-pairs")
@@ -149,22 +187,12 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
         "doc_id", "version", "a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("other"))
     own = load.join(nodes.select(F.col("node").alias("a"), "doc_id", "version"), "a").select(
         "doc_id", "version", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("other"))
-    wanted = cut_lineage(others.unionByName(own), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = _texts(docs, id_col, text_col)
-    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["version"] == wanted["version"])).select("text", "a", "chunk", "other")
+    rows = with_texts(others.unionByName(own), docs, id_col, text_col)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, s = None, b""
-        for batch in batches:
-            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                found = []
-                for t in part.column("text").to_pylist():
-                    if t is not before and t != before:  # rows of one text come together
-                        before, s = t, shingles(t, size).tobytes()
-                    found.append(s)
-                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "chunk": part.column("chunk"), "other": part.column("other"), "s": pa.array(found, pa.binary())})
+        for part, found in _sets(batches, size):
+            yield pa.RecordBatch.from_pydict({"a": part.column("a"), "chunk": part.column("chunk"), "other": part.column("other"),
+                                              "s": pa.array([x.tobytes() for x in found], pa.binary())})
 
     def meet(x: pa.Table) -> pa.Table:
         x = x.combine_chunks()
@@ -173,12 +201,8 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
         mine = next((read(k) for k, b in enumerate(other) if b is None), None)
         hits = set()
         for k, b in enumerate(other):
-            if b is not None and mine is not None and b not in hits:
-                small, large = sorted((mine, read(k)), key=len)
-                if 100 * len(small) >= percent * len(large):
-                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(small) + len(large) - both):
-                        hits.add(b)
+            if b is not None and mine is not None and b not in hits and similar(mine, read(k), percent):
+                hits.add(b)
         return pa.table({"a": pa.array([x["a"][0].as_py()] * len(hits), pa.int64()), "b": pa.array(sorted(hits), pa.int64())})
 
     return rows.mapInArrow(sets, "a long, chunk long, other long, s binary").groupBy("a", "chunk").applyInArrow(meet, "a long, b long")
@@ -211,36 +235,84 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of nodes with different labels that share a bucket, other than with its hub, and whose signatures agree enough."""
+def open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """unit, node, label, open: what has to meet after the hubs.
+
+    A unit is the largest component of some bucket that holds several; its rows are the nodes outside of it
+    that share such a bucket (open) and its own nodes.
+    """
     rows = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = cut_lineage(rows.select("h", "node", "size", "hub", "label"), "labelled")
-    per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size")).groupBy("h").agg(
-        F.max_by("label", F.struct("k", "label")).alias("major"), F.max("size").alias("k"), F.count(F.lit(1)).alias("parts"))
-    # a bucket of one component has nothing open; nor has one whose hub has met all there is
-    still = cut_lineage(per.where("parts > 1").drop("parts"), "open")
-    rows = lookup(rows, still, ["h"], "k", rows.count(), F.col("node")).where("major is not null")
-    rows = rows.where("node != hub").join(signatures.select("node", "signature"), "node").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK))).withColumn(
-        "own", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = cut_lineage(rows, "open-members")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cols = ["h", "x", "y", "node", "label", "signature"]
-    left = rows.where("label != major").withColumn("x", F.col("own")).withColumn("y", every).select(*cols)
-    right = rows.withColumn("y", F.col("own")).withColumn("x", every).select(*cols)
-
-    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(p) and len(q):
-            s, t = (np.frombuffer(b"".join(x["signature"].to_pylist()), np.uint32).reshape(len(x), SIGNATURE) for x in (p, q))
-            n, m, i, j = (x[c].to_numpy() for c in ("node", "label") for x in (p, q))
-            ok = np.zeros((len(s), len(t)), np.uint8)
-            for k in range(SIGNATURE):
-                ok += s[:, k, None] == t[None, :, k]
-            r, c = np.nonzero((ok >= AGREE) & (i[:, None] != j[None, :]))
-            a, b = np.maximum(n[r], m[c]), np.minimum(n[r], m[c])
-        return pa.table({"a": a, "b": b})
-
-    return left.groupBy("h", "x", "y").cogroup(right.groupBy("h", "x", "y")).applyInArrow(meet, "a long, b long").distinct()
+    rows = cut_lineage(rows.select("h", "node", "label"), "labelled")
+    per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(
+        F.max_by("label", F.struct("k", "label")).alias("unit"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts"))
+    still = cut_lineage(per.where("parts > 1").drop("parts"), "open-buckets")
+    out = lookup(rows, still, ["h"], "k", rows.count(), F.col("node")).where("unit is not null and label != unit")
+    out = cut_lineage(out.select("unit", "node", "label").distinct().withColumn("open", F.lit(True)), "open")
+    units = cut_lineage(out.select(F.col("unit").alias("label")).distinct(), "units")
+    own = rows.select("node", "label").distinct().join(units, "label", "left_semi")
+    # nodes of a unit in no open bucket of three share none with its open nodes
+    return out.unionByName(own.select(F.col("label").alias("unit"), "node", "label", F.lit(False).alias("open")))
+
+
+def confirm_open(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) by which the open nodes of each unit join its own nodes or each other.
+
+    Blocks of nodes meet; a pair whose nodes were connected by an earlier link of the same block is skipped.
+    """
+    rows = cut_lineage(rows.join(nodes.select("node", "doc_id", "version", "n"), "node"), "open-nodes")
+    per = rows.groupBy("unit").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("n"))) / F.lit(BLOCK_SHINGLES)),
+                                                F.lit(1)).cast("long").alias(name) for name, c in (("xs", F.col("open")), ("ys", F.lit(True)))],
+                                   F.count(F.lit(1)).alias("k"))
+    per = cut_lineage(per, "unit-blocks")
+    rows = lookup(rows, per, ["unit"], "k", rows.count(), F.col("node"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    cols = ["doc_id", "version", "unit", "x", "y", "left", "node", "label", "open"]
+    left = rows.where("open").withColumn("x", own("xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True)).select(*cols)
+    right = rows.withColumn("y", own("ys")).withColumn("x", every("xs")).withColumn("left", F.lit(False)).select(*cols)
+    texts = with_texts(left.unionByName(right), docs, id_col, text_col)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, sign = None, b""
+        for part, found in _sets(batches, size):
+            signs = []
+            for s in found:
+                if s is not before:
+                    before, sign = s, signature(minima(s))
+                signs.append(sign)
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in cols[2:]}, "signature": pa.array(signs, pa.binary()),
+                                              "s": pa.array([s.tobytes() for s in found], pa.binary())})
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side = t["left"].to_numpy()
+        p, q = np.flatnonzero(side), np.flatnonzero(~side)
+        node, label, is_open = (t[c].to_numpy() for c in ("node", "label", "open"))
+        sign = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint16).reshape(len(t), SIGNATURE)
+        same = np.zeros((len(p), len(q)), np.uint8)
+        for k in range(SIGNATURE):
+            same += sign[p, k, None] == sign[None, q, k]
+        # of two open nodes, the smaller is left once
+        ok = (same >= AGREE) & (label[p][:, None] != label[q][None, :]) & (~is_open[q][None, :] | (node[p][:, None] < node[q][None, :]))
+        i, j = np.nonzero(ok)
+        order = np.lexsort((node[q[j]], node[p[i]], -same[i, j].astype(int)))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        s, links = t["s"], []
+        for a, b in zip(p[i[order]].tolist(), q[j[order]].tolist(), strict=True):
+            x, y = root(int(label[a])), root(int(label[b]))
+            if x != y and similar(np.frombuffer(s[a].as_buffer(), np.uint64), np.frombuffer(s[b].as_buffer(), np.uint64), percent):
+                up[x] = y
+                links.append((int(node[a]), int(node[b])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return texts.mapInArrow(sets, "unit long, x long, y long, left boolean, node long, label long, open boolean, signature binary, s binary").groupBy(
+        "unit", "x", "y").applyInArrow(meet, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +332,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     stars = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = cut_lineage(confirm(alike(stars, signatures), nodes=nodes, **args), "links")
     labels = cut_lineage(components(links), "labels")
-    more = cut_lineage(confirm(open_pairs(members, labels, signatures), nodes=nodes, **args), "links")
+    more = cut_lineage(confirm_open(open_rows(members, labels), nodes=nodes, **args), "links")
     if more.head(1):
         labels = cut_lineage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
     # the smallest id of each component, and of each set with copies

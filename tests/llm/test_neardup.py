@@ -108,17 +108,46 @@ def test_components(spark):
     assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_open_pairs_of_one_bucket(spark):
-    """Nodes that the hub didn't connect meet each other."""
-    rng = np.random.default_rng(1)
-    shared = rng.integers(0, 1 << 32, N.SIGNATURE, dtype=np.uint32)
-    other = rng.integers(0, 1 << 32, N.SIGNATURE, dtype=np.uint32)
-    rows = [(7, k, 6, 0) for k in range(6)]
-    members = spark.createDataFrame(rows, "h long, node long, size long, hub long")
-    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)], "node long, label long")
-    sign = spark.createDataFrame([(k, bytearray((shared if k in (2, 3, 4) else other if k == 5 else rng.permutation(shared)).tobytes())) for k in range(6)],
-                                 "node long, signature binary")
-    assert {tuple(r) for r in N.open_pairs(members, labels, sign).collect()} == {(3, 2), (4, 2)}
+def test_what_the_hub_left_open(spark, monkeypatch):
+    """Nodes outside of a bucket's largest component meet it and each other, whatever the blocks."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in range(int(rng.integers(1, 14))):
+            w[int(rng.integers(0, 200))] = f"x{i}_{j}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [N.shingles(t, 2) for _, t in rows]
+    ids = [N.name_of(s) for s in sets]
+    first = ids[0]
+    # of one bucket: the first ten are its largest component, the others are alone
+    members = spark.createDataFrame([(7, x, 40, first) for x in ids], "h long, node long, size long, hub long")
+    labels = spark.createDataFrame([(x, first) for x in ids[:10]], "node long, label long")
+    nodes = N.sketch(docs, 2).select("node", "doc_id", "version", "n")
+    up = {x: first if k < 10 else x for k, x in enumerate(ids)}
+
+    def root(up, x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    want = dict(up)
+    for i, j in combinations(range(40), 2):
+        if N.similar(sets[i], sets[j], 80):
+            want[root(want, ids[i])] = root(want, ids[j])
+    for block in (512, 6):
+        monkeypatch.setattr(N, "BLOCK", block)
+        open_rows = N.open_rows(members, labels)
+        assert {r.unit for r in open_rows.collect()} == {first} and open_rows.where("open").count() == 30
+        links = N.confirm_open(open_rows, nodes, docs, 2, 80, "doc_id", "text").collect()
+        got = dict(up)
+        for a, b in links:
+            assert N.similar(sets[ids.index(a)], sets[ids.index(b)], 80)
+            got[root(got, a)] = root(got, b)
+        part = lambda u: {frozenset(x for x in ids if root(u, x) == root(u, y)) for y in ids}
+        assert part(got) == part(want) and len(part(want)) < 30
 
 
 def test_minima_estimate_similarity():
