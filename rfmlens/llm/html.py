@@ -8,10 +8,9 @@ least) and holds a tag; as the element around a token occurs wherever the token
 nest by their paths. They are the host's template: its texts are boilerplate, and what lies between its elements are slots.
 The slot with the most text outside of the template is the host's main slot.
 
-Pass 2 reads the pages again with their host's template and extracts the slots. Slots inside an article (or else the
-article body, the main element, an element named as content) hold the main text, whatever they have in common with other
-pages; on pages without such an element it is the main slot, without the template's texts, and the page's top
-heading. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
+Pass 2 reads the pages again with their host's template and extracts the slots, without the template's texts. Slots inside an
+article (or else the article body, the main element, an element named as content) rank first; on pages without such an element
+it is the main slot and the page's top heading. A page, or its marked content, that is all template is a copy of others and is kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
 their elements, roles and class names and belong to no slot. A header inside an article keeps its headings.
 
 A block is the text between two block-level tags; a line break is white space, as are cells of a row.
@@ -240,11 +239,15 @@ def text_token(b: Block) -> int:
 
 def extract(blocks: list[Block], texts: frozenset[int], main: int | None) -> str:
     """The slots' text: ``texts`` are the template's text tokens and ``main`` the host's main slot."""
+    left = [b for b in blocks if text_token(b) not in texts] if texts else blocks
+    left = left or blocks  # a page that is all template is one of several copies
     kinds = functools.reduce(int.__or__, (b.kinds for b in blocks), 0)
-    if kinds:
+    for want in (ARTICLE, BODY, MAIN, NAMED):
+        if any(b.kinds & want for b in left):
+            return "\n".join(b.text for b in left if b.kinds & want)
+    if kinds:  # copies again: all marked text is template
         want = 1 << kinds.bit_length() - 1
         return "\n".join(b.text for b in blocks if b.kinds & want)
-    left = [b for b in blocks if text_token(b) not in texts]
     if not any(b.within(main) for b in left):
         size: dict[int, int] = {}
         for b in left:
