@@ -3,14 +3,16 @@
 Pass 1 reads every page as tokens: a tag token is an element with the path of elements above it, a text token the text of a block with its
 path. Each token has an occurrence vector, its number of occurrences on every page of the host, which is kept as the
 exclusive or of a hash of (page, number) and so adds up in any order. Tokens of a host with the same vector form an
-equivalence class. A class is valid if it occurs on at least ``SHARE`` of the host's pages (and on ``LEAST`` at
-least) and holds a tag; as the element around a token occurs wherever the token does, valid classes
-nest by their paths. They are the host's template: its texts are boilerplate, and what lies between its elements are slots.
-The slot with the most text outside of the template is the host's main slot.
+equivalence class. A text token is valid if its class holds a tag and it occurs on at least ``SHARE`` of the pages of its type (and on
+``LEAST`` at least); these are the pages that hold the slot, an element with all those above it, so types of pages are told apart by
+their roots and slots nest by their paths. Valid text tokens are the host's template, i.e. boilerplate; what lies between its elements
+are slots. The slot with the most text outside of the template is the host's main slot; slots whose other text is mostly labels
+(few words and no sentence: dates, counters, links) are boilerplate, too.
 
 Pass 2 reads the pages again with their host's template and extracts the slots, without the template's texts. Slots inside an
 article (or else the article body, the main element, an element named as content) rank first; on pages without such an element
-it is the main slot and the page's top heading. A page, or its marked content, that is all template is a copy of others and is kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
+it is every slot but those of labels, and the page's top heading. A page, or its marked content, that is all template is a copy of others
+and is kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
 their elements, roles and class names and belong to no slot. A header inside an article keeps its headings.
 
 A block is the text between two block-level tags; a line break is white space, as are cells of a row.
@@ -233,12 +235,17 @@ def read(page: str) -> tuple[dict[int, int], list[Block]]:
     return tags, blocks
 
 
+def prose(text: str) -> bool:
+    """Not a mere label: several words, a sentence's end, or long (for languages without spaces)."""
+    return len(text) >= 40 or text.rstrip("\"'”’»)]").endswith((".", "!", "?", "…", "。", "！", "？")) or text.count(" ") >= 4
+
+
 def text_token(b: Block) -> int:
     return digest("text", b.slot, b.text)
 
 
-def extract(blocks: list[Block], texts: frozenset[int], main: int | None) -> str:
-    """The slots' text: ``texts`` are the template's text tokens and ``main`` the host's main slot."""
+def extract(blocks: list[Block], texts: frozenset[int], main: int | None, labels: frozenset[int] = frozenset()) -> str:
+    """The slots' text: ``texts`` are the template's text tokens, ``main`` the host's heaviest slot and ``labels`` its slots of labels."""
     left = [b for b in blocks if text_token(b) not in texts] if texts else blocks
     left = left or blocks  # a page that is all template is one of several copies
     kinds = functools.reduce(int.__or__, (b.kinds for b in blocks), 0)
@@ -253,7 +260,7 @@ def extract(blocks: list[Block], texts: frozenset[int], main: int | None) -> str
         for b in left:
             size[b.slot] = size.get(b.slot, 0) + len(b.text)
         main = max(size, key=size.__getitem__, default=0)
-    return "\n".join(b.text for b in left if b.top or b.within(main))
+    return "\n".join(b.text for b in left if b.top or b.slot not in labels or b.within(main))
 
 
 def vector(row: int, number: int) -> int:
@@ -269,13 +276,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-TOKENS = "host string, token long, is_text boolean, slot long, chars long, support long, vector long"
+TOKENS = "host string, token long, is_text boolean, slot long, chars long, prose long, support long, vector long"
 #: A token that every page has once.
 PAGE = 1
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """host, token, is_text, slot, chars (of pages without marked content), support (pages), vector."""
+    """host, token, is_text, slot, chars and those in prose (of pages without marked content), support (pages), vector."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in TOKENS.split(", ")]
         seen: dict[tuple[str, int], list[int]] = {}
@@ -283,7 +290,7 @@ def tokens(rows: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if seen:
                 cols = [*zip(*seen, strict=True), *zip(*seen.values(), strict=True)]
-                kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+                kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
                 seen.clear()
 
@@ -291,40 +298,49 @@ def tokens(rows: DataFrame) -> DataFrame:
             for row, host, page in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "html")), strict=True):
                 tags, blocks = read(page or "")
                 marked = any(b.kinds for b in blocks)
-                found: dict[int, list[int]] = {PAGE: [False, 0, 0, 1]}  # is_text, slot, chars, occurrences
+                found: dict[int, list[int]] = {PAGE: [False, 0, 0, 0, 1]}  # is_text, slot, chars, chars in prose, occurrences
                 for t, k in tags.items():
-                    found[t] = [False, 0, 0, k]
+                    found[t] = [False, 0, 0, 0, k]
                 for b in blocks:
-                    x = found.setdefault(text_token(b), [True, b.slot, 0, 0])
-                    x[2] += 0 if marked else len(b.text)
-                    x[3] += 1
-                for t, (is_text, slot, chars, k) in found.items():
-                    x = seen.setdefault((host, t), [is_text, slot, 0, 0, 0])
+                    x = found.setdefault(text_token(b), [True, b.slot, 0, 0, 0])
+                    if not marked:
+                        x[2] += len(b.text)
+                        x[3] += len(b.text) * prose(b.text)
+                    x[4] += 1
+                for t, (is_text, slot, chars, told, k) in found.items():
+                    x = seen.setdefault((host, t), [is_text, slot, 0, 0, 0, 0])
                     x[2] += chars
-                    x[3] += 1
-                    x[4] ^= vector(row, k)
+                    x[3] += told
+                    x[4] += 1
+                    x[5] ^= vector(row, k)
                 if len(seen) > HELD:
                     yield from out()
         yield from out()
 
     return rows.mapInArrow(count, TOKENS).groupBy("host", "token").agg(
         F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.sum("chars").alias("chars"),
-        F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
+        F.sum("prose").alias("prose"), F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
 
 
 def templates(seen: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, n (pages), texts (the template's text tokens), main (slot with the most other text)."""
+    """host, n (pages), texts (the template's text tokens), main (slot with the most other text), labels (slots whose other text is labels)."""
     hosts = cut_lineage(seen.where(F.col("token") == PAGE).select("host", F.col("support").alias("n")), "hosts")
-    often = seen.where(F.col("support") >= least).groupBy("host", "vector").agg(
-        F.max("support").alias("support"), F.max(~F.col("is_text")).alias("has_tag"),
-        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    valid = often.where("has_tag and size(texts) > 0").join(hosts, "host").where(F.col("support") >= share * F.col("n"))
-    # at least ``share`` of the pages hold each, so a host has at most its mean number of blocks / share of them
-    texts = cut_lineage(valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts")), "template")
+    often = seen.where(F.col("support") >= least)
+    tags = often.where(~F.col("is_text"))
+    # pages of a type are those that hold the slot: its path names the page's root and all elements down to it
+    held = tags.select("host", F.when(F.col("token") == PAGE, 0).otherwise(F.col("token")).alias("slot"), F.col("support").alias("of"))
+    valid = often.where("is_text").join(tags.select("host", "vector").distinct(), ["host", "vector"], "left_semi").join(
+        held, ["host", "slot"]).where(F.col("support") >= share * F.col("of"))
+    # at least ``share`` of a slot's pages hold each, so a slot has at most its mean number of blocks / share of them
+    texts = cut_lineage(valid.groupBy("host").agg(F.collect_list("token").alias("texts")), "template")
     known = texts.select("host", F.explode("texts").alias("token"))
-    main = seen.where(F.col("is_text") & (F.col("chars") > 0)).join(known, ["host", "token"], "left_anti").groupBy("host", "slot").agg(
-        F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("slot", F.struct("chars", "slot")).alias("main"))
-    return hosts.join(texts, "host", "left").join(main, "host", "left")
+    slots = seen.where(F.col("is_text") & (F.col("chars") > 0)).join(known, ["host", "token"], "left_anti").groupBy("host", "slot").agg(
+        F.sum("chars").alias("chars"), F.sum("prose").alias("prose"))
+    # slots of fewer pages than make a template are told apart by nothing and stay
+    slots = slots.join(held, ["host", "slot"], "left").groupBy("host").agg(
+        F.max_by("slot", F.struct("chars", "slot")).alias("main"),
+        F.collect_list(F.when((F.col("prose") * 2 < F.col("chars")) & F.col("of").isNotNull(), F.col("slot"))).alias("labels"))
+    return hosts.join(texts, "host", "left").join(slots, "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -339,12 +355,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                found = [extract(read(page or "")[1], frozenset(texts or ()), main) for page, texts, main in
-                         zip(*(part.column(c).to_pylist() for c in ("html", "texts", "main")), strict=True)]
+                found = [extract(read(page or "")[1], frozenset(texts or ()), main, frozenset(labels or ())) for page, texts, main, labels in
+                         zip(*(part.column(c).to_pylist() for c in ("html", "texts", "main", "labels")), strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string()),
                                                   "n_chars": pa.array(list(map(len, found)), pa.int64())})
 
-    return rows.select("page_id", "url", "html", "texts", "main").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "texts", "main", "labels").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

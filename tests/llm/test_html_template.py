@@ -15,3 +15,20 @@ def test_boilerplate_inside_an_article_is_template(spark):
     page = "<body><article><h1>Title {}</h1><p>Sign up for our letter today.</p><p>{}</p></article></body>"
     assert extracted(spark, [page.format(i, b) for i, b in enumerate(body)]) == [f"Title {i}\n{b}" for i, b in enumerate(body)]
     assert extracted(spark, [page.format(0, body[0])] * 4) == [f"Title 0\nSign up for our letter today.\n{body[0]}"] * 4
+
+
+def test_every_slot_of_a_page_without_marked_content(spark):
+    """op7_html: a text split over sibling containers is kept whole; slots of labels aren't."""
+    page = ("<body><div class=top>Our site</div><div class=lead><p>Lead {0} of the day, told in short.</p></div>"
+            "<div class=bodytext><p>Body {0} is longer than all the others are, and says so.</p></div><div class=stamp>Seen {0}</div>"
+            "<div class=part-b><p>Part {0} ends what was begun above.</p></div></body>")
+    want = "Lead {0} of the day, told in short.\nBody {0} is longer than all the others are, and says so.\nPart {0} ends what was begun above."
+    assert extracted(spark, [page.format(i) for i in range(6)]) == [want.format(i) for i in range(6)]
+    assert extracted(spark, [page.format(0)]) == ["Our site\n" + want.format(0).replace("\nPart", "\nSeen 0\nPart")]  # nothing to compare with
+
+
+def test_host_with_three_types_of_pages(spark):
+    """op7_html: a type of a third of the host's pages has its template."""
+    page = "<body class=type{0}><div class=b><p>Notes of type {0}, as always.</p><p>Own text {1} of a page of this type.</p></div></body>"
+    got = extracted(spark, [page.format("xyz"[i % 3], i) for i in range(12)])
+    assert got == [f"Own text {i} of a page of this type." for i in range(12)]
