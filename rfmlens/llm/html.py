@@ -13,7 +13,9 @@ Pass 2 reads the pages again with their host's template and extracts the slots,
 article (or else the article body, the main element, an element named as content) rank first; on pages without such an element
 it is every slot but those of labels, and the page's top heading. A page, or its marked content, that is all template is a copy of others
 and is kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
-their elements, roles and class names and belong to no slot. A header inside an article keeps its headings.
+their elements, roles and whole class names, outside of content by whole ids, and belong to no slot; one word of a name is only a hint: such an
+element is left out if its position is in the template and it doesn't hold most of the text. An article in an element
+that is left out by its name counts where the page has no other. A header inside an article keeps its headings.
 
 A block is the text between two block-level tags; a line break is white space, as are cells of a row.
 
@@ -84,22 +86,48 @@ def path_of(parent: int, key: str) -> int:
     return digest("path", parent, key)
 
 
-@functools.lru_cache(20_000)
-def describe(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
-    """Key in a path; is it outside of every slot; is it a header; kind of content."""
-    a = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
-    named: set[str] = set()
-    for t in f"{a.get('class', '')} {a.get('id', '')}".split():
+@dataclass(slots=True, frozen=True)
+class Element:
+    key: str  # in a path
+    outside: bool  # of every slot, by its element or role
+    header: bool
+    kind: int  # of content
+    cut: bool  # a whole class token is in NAMES
+    cut_id: bool  # so is the whole id
+    remark: bool  # a whole class token is in REMARKS
+    remark_id: bool
+    hint: bool  # a word of a class token is in NAMES or HEADERS
+    hint_id: bool
+
+
+def word_sets(names: str) -> tuple[set[str], set[str]]:
+    """Whole tokens (without digits at their ends) and the words of all tokens."""
+    whole, words = set(), set()
+    for t in names.split():
+        whole.add(t.lower().strip("0123456789-_"))
         parts = [x for x in re.split(r"[^a-z]+", CAMEL.sub(r"\1 \2", t).lower()) if x]
         if parts and parts[0] not in ("no", "has", "with", "without"):
-            named |= set(parts)
+            words |= set(parts)
+    return whole, words
+
+
+@functools.lru_cache(20_000)
+def describe(tag: str, attributes: str) -> Element:
+    a = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
+    (classes, words), (ids, id_words) = word_sets(a.get("class", "")), word_sets(a.get("id", ""))
     role, prop = a.get("role", "").lower(), a.get("itemprop", "").lower()
-    kind = ARTICLE * (tag == "article") | BODY * (prop == "articlebody") | MAIN * (tag == "main" or role == "main") | NAMED * bool(named & CONTENT)
-    remark = bool(named & REMARKS)
-    outside = tag in OUTSIDE or role in ROLES or bool(named & NAMES) and tag not in ("html", "body", "main", "article") or remark and tag == "article"
-    header = tag == "header" or bool(named & HEADERS) and tag not in ("html", "body", "main", "article")
+    root = tag in ("html", "body", "main", "article")
+    cut, cut_id = bool(classes & NAMES) and not root, bool(ids & NAMES) and not root and tag not in HEADING
+    remark = bool(classes & REMARKS)
+    hint, hint_id = bool(words & (NAMES | HEADERS)) and not root, bool(id_words & (NAMES | HEADERS)) and not root and tag not in HEADING
+    kind = ARTICLE * (tag == "article") | BODY * (prop == "articlebody") | MAIN * (tag == "main" or role == "main")
+    if (words | id_words) & CONTENT and not hint and not hint_id:
+        kind |= NAMED
+    outside = tag in OUTSIDE or role in ROLES or remark and tag == "article"
+    header = tag == "header" or bool(classes & HEADERS) and not root
     key = " ".join([tag, re.sub(r"\d+", "", a.get("class", "")), re.sub(r"\d+", "", a.get("id", ""))]).strip()
-    return key, outside, header, 0 if outside else kind
+    return Element(key, outside, header, kind, cut, cut_id, remark, bool(ids & REMARKS) and not root and tag not in HEADING,
+                   hint and not kind, hint_id and not kind)
 
 
 @dataclass(slots=True)
@@ -109,6 +137,14 @@ class Block:
     slot: int  # path of the nearest element that holds blocks
     around: tuple  # that path and, in the same way, those of the elements around it
     top: bool  # first-level heading
+    wrapped: bool = False  # in an article inside of an element that is cut by its name
+    hints: tuple = ()  # path of the nearest element with a word of NAMES, and in the same way those around it
+
+    def hinted(self) -> Iterator[int]:
+        at = self.hints
+        while at:
+            yield at[0]
+            at = at[1]
 
     def within(self, path: int | None) -> bool:
         at = self.around
@@ -117,12 +153,17 @@ class Block:
         return bool(at)
 
 
-def read(page: str) -> tuple[dict[int, int], list[Block]]:
-    """Occurrences of each tag token, and the blocks that lie in slots."""
+#: How an open element is left out: not, by its name, by its element or role; or an article within one that is left out by its name.
+KEPT, CUT, HARD, WRAPPED = range(4)
+
+
+def read(page: str) -> tuple[dict[int, int], list[Block], dict[int, tuple[int, bool]]]:
+    """Occurrences of each tag token, the blocks that lie in slots, and of each tag token the path around it and if a word of NAMES hints at it."""
     tags: dict[int, int] = {}
     blocks: list[Block] = []
-    # open elements: tag, path, outside, kinds, in an article's header, holders
-    stack: list[tuple[str, int, bool, int, bool, tuple]] = [("", 0, False, 0, False, (0, ()))]
+    around: dict[int, tuple[int, bool]] = {}
+    # open elements: tag, path, how it's left out, kinds, in an article's header, holders, hints
+    stack: list[tuple[str, int, int, int, bool, tuple, tuple]] = [("", 0, KEPT, 0, False, (0, ()), ())]
     parts: list[str] = []
     headings = firsts = heads = 0  # open headings, first-level headings and heads
 
@@ -131,12 +172,12 @@ def read(page: str) -> tuple[dict[int, int], list[Block]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, _, _, kinds, _, holders = stack[-1]
-                blocks.append(Block(text, kinds, holders[0], holders, firsts > 0))
+                _, _, out, kinds, _, holders, hints = stack[-1]
+                blocks.append(Block(text, kinds, holders[0], holders, firsts > 0, out == WRAPPED, hints))
 
     def add(text: str) -> None:
         top = stack[-1]
-        if text and not top[2] and (headings or not top[4]):
+        if text and top[2] in (KEPT, WRAPPED) and (headings or not top[4]):
             parts.append(unescape(text) if "&" in text else text)
 
     def close(to: int) -> None:
@@ -197,13 +238,14 @@ def read(page: str) -> tuple[dict[int, int], list[Block]]:
             elif name == "p":
                 end_block()
             continue
-        key, outside, header, kind = describe(name, m[3] or "")
+        e = describe(name, m[3] or "")
         top = stack[-1]
         if name in RAW:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else n
-            path = path_of(top[1], key)
+            path = path_of(top[1], e.key)
             tags[path] = tags.get(path, 0) + 1
+            around[path] = (top[1], False)
             continue
         if name in VOID:
             if name == "hr":
@@ -212,7 +254,9 @@ def read(page: str) -> tuple[dict[int, int], list[Block]]:
             elif name == "br":
                 parts.append(" ")
             continue
-        if not block and not outside:
+        in_article = top[3] & (ARTICLE | BODY)
+        cut = e.cut or e.cut_id and (not top[3] or e.remark_id and not in_article)  # ids inside of content are often made from headings
+        if not block and not e.outside and not cut:
             continue  # inline markup
         if block:
             imply(name)
@@ -220,19 +264,36 @@ def read(page: str) -> tuple[dict[int, int], list[Block]]:
                 parts.append(" ")
             elif parts:
                 end_block()
-        _, path, out, kinds, in_header, holders = stack[-1]
-        path = path_of(path, key)
+        _, parent, out, kinds, in_header, holders, hints = stack[-1]
+        path = path_of(parent, e.key)
+        hint = not cut and (e.hint or e.hint_id and not kinds or e.remark_id and bool(in_article))
         tags[path] = tags.get(path, 0) + 1
-        if header and not outside:
-            in_header, outside = (True, False) if kinds & (ARTICLE | BODY | MAIN) else (in_header, True)
+        around[path] = (parent, hint)
+        outside, kind = e.outside, 0 if e.outside or cut else e.kind
+        if e.header and not outside and not cut:
+            in_header, outside, cut = (True, False, False) if kinds & (ARTICLE | BODY | MAIN) else (in_header, name == "header", name != "header")
+        if outside or out == HARD or cut and (e.remark or e.remark_id):
+            out = HARD
+        elif cut:
+            out = CUT
+        elif out == CUT and kind & (ARTICLE | BODY | MAIN):
+            out = WRAPPED
+        if kind:
+            hints = ()
+        elif hint:
+            hints = (path, hints)
         if name in COUNTED:
             headings += name in HEADING
             firsts += name == "h1"
             heads += name == "head"
-        stack.append((name, path, out or outside, kinds | kind, in_header, holders if name in INNER else (path, holders)))
+        stack.append((name, path, out, kinds | kind, in_header, holders if name in INNER else (path, holders), hints))
     end_block()
     close(1)
-    return tags, blocks
+    if any(b.wrapped for b in blocks):  # teasers, unless the page has no other article and less other text
+        rest = [b for b in blocks if not b.wrapped]
+        if any(b.kinds for b in rest) or 2 * sum(len(b.text) for b in rest) > sum(len(b.text) for b in blocks):
+            blocks = rest
+    return tags, blocks, around
 
 
 def prose(text: str) -> bool:
@@ -244,8 +305,28 @@ def text_token(b: Block) -> int:
     return digest("text", b.slot, b.text)
 
 
-def extract(blocks: list[Block], texts: frozenset[int], main: int | None, labels: frozenset[int] = frozenset()) -> str:
-    """The slots' text: ``texts`` are the template's text tokens, ``main`` the host's heaviest slot and ``labels`` its slots of labels."""
+def uncut(blocks: list[Block], main: int | None, cuts: frozenset[int]) -> list[Block]:
+    """Without the elements ``cuts``, but for those around the main slot or most of the page's text or of its marked text."""
+    total: dict[int, int] = {}
+    within: dict[tuple[int, int], int] = {}
+    keep: set[int] = set()
+    for b in blocks:
+        total[b.kinds] = total.get(b.kinds, 0) + len(b.text)
+        for h in b.hinted():
+            if h in cuts:
+                within[h, b.kinds] = within.get((h, b.kinds), 0) + len(b.text)
+                if b.within(main):
+                    keep.add(h)
+    keep |= {h for (h, kinds), n in within.items() if 2 * n > total[kinds]}
+    return [b for b in blocks if not any(h in cuts and h not in keep for h in b.hinted())]
+
+
+def extract(blocks: list[Block], texts: frozenset[int], main: int | None, labels: frozenset[int] = frozenset(),
+            cuts: frozenset[int] = frozenset()) -> str:
+    """The slots' text: ``texts`` are the template's text tokens, ``main`` the host's heaviest slot, ``labels`` its slots of labels and
+    ``cuts`` the elements of the template with a word of NAMES."""
+    if cuts and any(b.hints for b in blocks):
+        blocks = uncut(blocks, main, cuts)
     left = [b for b in blocks if text_token(b) not in texts] if texts else blocks
     left = left or blocks  # a page that is all template is one of several copies
     kinds = functools.reduce(int.__or__, (b.kinds for b in blocks), 0)
@@ -276,13 +357,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-TOKENS = "host string, token long, is_text boolean, slot long, chars long, prose long, support long, vector long"
+TOKENS = "host string, token long, is_text boolean, slot long, hinted boolean, chars long, prose long, support long, vector long"
 #: A token that every page has once.
 PAGE = 1
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """host, token, is_text, slot, chars and those in prose (of pages without marked content), support (pages), vector."""
+    """host, token, is_text, slot (of a tag the path around it), hinted, chars and those in prose (of pages without marked content), support (pages), vector."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in TOKENS.split(", ")]
         seen: dict[tuple[str, int], list[int]] = {}
@@ -290,40 +371,42 @@ def tokens(rows: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if seen:
                 cols = [*zip(*seen, strict=True), *zip(*seen.values(), strict=True)]
-                kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
+                kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
                 seen.clear()
 
         for batch in batches:
             for row, host, page in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "html")), strict=True):
-                tags, blocks = read(page or "")
+                tags, blocks, around = read(page or "")
                 marked = any(b.kinds for b in blocks)
-                found: dict[int, list[int]] = {PAGE: [False, 0, 0, 0, 1]}  # is_text, slot, chars, chars in prose, occurrences
+                found: dict[int, list[int]] = {PAGE: [False, 0, False, 0, 0, 1]}  # is_text, slot, hinted, chars, chars in prose, occurrences
                 for t, k in tags.items():
-                    found[t] = [False, 0, 0, 0, k]
+                    found[t] = [False, *around[t], 0, 0, k]
                 for b in blocks:
-                    x = found.setdefault(text_token(b), [True, b.slot, 0, 0, 0])
+                    x = found.setdefault(text_token(b), [True, b.slot, bool(b.hints), 0, 0, 0])
                     if not marked:
-                        x[2] += len(b.text)
-                        x[3] += len(b.text) * prose(b.text)
-                    x[4] += 1
-                for t, (is_text, slot, chars, told, k) in found.items():
-                    x = seen.setdefault((host, t), [is_text, slot, 0, 0, 0, 0])
-                    x[2] += chars
-                    x[3] += told
-                    x[4] += 1
-                    x[5] ^= vector(row, k)
+                        x[3] += len(b.text)
+                        x[4] += len(b.text) * prose(b.text)
+                    x[5] += 1
+                for t, (is_text, slot, hinted, chars, told, k) in found.items():
+                    x = seen.setdefault((host, t), [is_text, slot, False, 0, 0, 0, 0])
+                    x[2] |= hinted
+                    x[3] += chars
+                    x[4] += told
+                    x[5] += 1
+                    x[6] ^= vector(row, k)
                 if len(seen) > HELD:
                     yield from out()
         yield from out()
 
     return rows.mapInArrow(count, TOKENS).groupBy("host", "token").agg(
-        F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.sum("chars").alias("chars"),
+        F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.max("hinted").alias("hinted"), F.sum("chars").alias("chars"),
         F.sum("prose").alias("prose"), F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
 
 
 def templates(seen: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, n (pages), texts (the template's text tokens), main (slot with the most other text), labels (slots whose other text is labels)."""
+    """host, n (pages), texts (the template's text tokens), main (slot with the most other text), labels (slots whose other text is labels),
+    cuts (elements with a word of NAMES, by the same support)."""
     hosts = cut_lineage(seen.where(F.col("token") == PAGE).select("host", F.col("support").alias("n")), "hosts")
     often = seen.where(F.col("support") >= least)
     tags = often.where(~F.col("is_text"))
@@ -335,12 +418,14 @@ def templates(seen: DataFrame, share: float = SHARE, least: int = LEAST) -> Data
     texts = cut_lineage(valid.groupBy("host").agg(F.collect_list("token").alias("texts")), "template")
     known = texts.select("host", F.explode("texts").alias("token"))
     slots = seen.where(F.col("is_text") & (F.col("chars") > 0)).join(known, ["host", "token"], "left_anti").groupBy("host", "slot").agg(
-        F.sum("chars").alias("chars"), F.sum("prose").alias("prose"))
+        F.sum("chars").alias("chars"), F.sum("prose").alias("prose"), F.max("hinted").alias("hinted"))
     # slots of fewer pages than make a template are told apart by nothing and stay
     slots = slots.join(held, ["host", "slot"], "left").groupBy("host").agg(
-        F.max_by("slot", F.struct("chars", "slot")).alias("main"),
+        F.max_by("slot", F.struct(F.col("chars") * F.when(F.col("hinted"), 1).otherwise(10), "slot")).alias("main"),
         F.collect_list(F.when((F.col("prose") * 2 < F.col("chars")) & F.col("of").isNotNull(), F.col("slot"))).alias("labels"))
-    return hosts.join(texts, "host", "left").join(slots, "host", "left")
+    cuts = tags.where("hinted").join(held, ["host", "slot"]).where(F.col("support") >= share * F.col("of")).groupBy("host").agg(
+        F.collect_list("token").alias("cuts"))
+    return hosts.join(texts, "host", "left").join(slots, "host", "left").join(cuts, "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -355,12 +440,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                found = [extract(read(page or "")[1], frozenset(texts or ()), main, frozenset(labels or ())) for page, texts, main, labels in
-                         zip(*(part.column(c).to_pylist() for c in ("html", "texts", "main", "labels")), strict=True)]
+                found = [extract(read(page or "")[1], frozenset(texts or ()), main, frozenset(labels or ()), frozenset(cuts or ())) for page, texts, main, labels, cuts in
+                         zip(*(part.column(c).to_pylist() for c in ("html", "texts", "main", "labels", "cuts")), strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string()),
                                                   "n_chars": pa.array(list(map(len, found)), pa.int64())})
 
-    return rows.select("page_id", "url", "html", "texts", "main", "labels").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "texts", "main", "labels", "cuts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

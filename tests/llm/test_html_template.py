@@ -32,3 +32,22 @@ def test_host_with_three_types_of_pages(spark):
     page = "<body class=type{0}><div class=b><p>Notes of type {0}, as always.</p><p>Own text {1} of a page of this type.</p></div></body>"
     got = extracted(spark, [page.format("xyz"[i % 3], i) for i in range(12)])
     assert got == [f"Own text {i} of a page of this type." for i in range(12)]
+
+
+def test_one_word_of_a_name_cuts_nothing():
+    """op7_html: ids made from headings, and wrappers of the article."""
+    text = lambda page: H.extract(H.read(page)[1], frozenset(), None)
+    inner = "<h2 id=navigation>How to steer</h2><p>a</p><section id=related-work><p>b</p></section><div id=social-impact>c</div><section id=related>d</section>"
+    for page in (f"<article>{inner}</article>", f"<div role=main>{inner}</div>", f"<div class=layout-two-sidebars><article>{inner}</article></div>",
+                 f"<div class=sidebar><article>{inner}</article></div>", f"<div class=layout-two-sidebars><div class=x>{inner.replace('id=related>', '>')}</div></div>"):
+        assert text(page) == "How to steer\na\nb\nc\nd"
+    assert text("<article>a<div class=share>x</div></article><div class=sidebar><article>teaser</article></div>") == "a"
+    assert text("<div class=related><article>teaser</article></div><div class=x>the longer text</div>") == "the longer text"
+
+
+def test_one_word_of_a_name_cuts_what_repeats(spark):
+    """op7_html: by position over the host's pages, but no wrapper of the text."""
+    page = ("<body><div class=layout-two-sidebars><div class=x><p>Own text {0} of a page of this host, which is long.</p>{1}</div>"
+            "<div class=share-box><p>Told {0} times to friends.</p></div></div></body>")
+    got = extracted(spark, [page.format(i, "<div id=related-work><p>It was done before.</p></div>" * (i == 0)) for i in range(6)])
+    assert got == [f"Own text {i} of a page of this host, which is long." + "\nIt was done before." * (i == 0) for i in range(6)]
