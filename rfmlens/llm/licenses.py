@@ -2,9 +2,11 @@
 
 A text is made canonical: lower case, no copyright lines, letters and digits only (the rest separates words), and one of
 several equivalent spellings. Its SHA-256 is then looked up among the digests of known licences. The same
-lookup covers every line as an entire text of its own, which finds the one-line notices that documents carry.
+lookup covers every line as an entire text of its own, which finds the one-line notices that documents carry, and every paragraph of
+several lines (up to an empty line, whatever its line breaks and comment marks), which finds file headers.
 
-Known licences are a table of names and texts: by default short licences and notices, otherwise any table. It is broadcast if it
+Known licences are a table of names and texts: by default short licences and notices, file headers, SPDX tags and the digests of full
+texts (``license_texts``), otherwise any table. It is broadcast if it
 has at most ``BROADCAST_ROWS`` rows, and joined by a shuffle otherwise.
 
 Cases: a null text counts as empty; a text that is empty in its canonical form has a digest but no licence; of
@@ -16,12 +18,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmlens.llm.common import cut_lineage
+from rfmlens.llm.license_texts import DIGESTS, HEADERS, SPDX
 
 BROADCAST_ROWS = 10_000
 
@@ -99,8 +103,15 @@ def canonical_lines(text: str | None) -> list[str]:
     return t.split("\n")
 
 
+def paragraphs(lines: list[str]) -> Iterator[str]:
+    """The paragraphs of more than one line."""
+    for filled, part in groupby(lines, bool):
+        if filled and len(found := list(part)) > 1:
+            yield " ".join(found)
+
+
 def digests(texts: DataFrame) -> DataFrame:
-    """row, doc_id, digest (of the whole text), empty (is its canonical form) and line (a digest for each line) of row, doc_id, text."""
+    """row, doc_id, digest (of the whole text), empty (is its canonical form) and lines (a digest for each line and each longer paragraph) of row, doc_id, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
@@ -111,6 +122,7 @@ def digests(texts: DataFrame) -> DataFrame:
                     whole.append(sha256(c).digest())
                     empty.append(not c)
                     lines += [sha256(x.encode("utf-8", "replace")).digest() for x in found if x]
+                    lines += [sha256(x.encode("utf-8", "replace")).digest() for x in paragraphs(found)]
                     size.append(len(lines))
                 yield pa.RecordBatch.from_pydict({
                     "row": part.column("row"), "doc_id": part.column("doc_id"), "digest": pa.array(whole, pa.binary()), "empty": empty,
@@ -129,9 +141,15 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, license (of the whole text), notices (names found on lines, sorted, with commas) and n_notices (such lines)."""
+    """doc_id, digest, license (of the whole text), notices (names found on lines, sorted, with commas) and n_notices (such lines and paragraphs)."""
     spark = docs.sparkSession
-    table = cut_lineage(known_digests(known if known is not None else spark.createDataFrame(KNOWN, "name string, text string")), "licenses")
+    if known is not None:
+        table = known_digests(known)
+    else:
+        full = spark.createDataFrame([(bytes.fromhex(d), n) for n, d in DIGESTS], "digest binary, license string")
+        table = known_digests(spark.createDataFrame([*KNOWN, *HEADERS, *SPDX], "name string, text string")).union(full).groupBy("digest").agg(
+            F.min("license").alias("license"))
+    table = cut_lineage(table, "licenses")
     hint = F.broadcast if table.count() <= BROADCAST_ROWS else (lambda x: x)
     rows = digests(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     rows = rows.select("row", "doc_id", "digest", F.explode_outer("lines").alias("line"))
