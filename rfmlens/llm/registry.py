@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm import decontam, html, langid, licenses, lm, neardup, pieces, quality, topk, warc
+from rfmlens.llm import (decontam, html, langid, licenses, lm, neardup, pieces, quality, resample, shards, topk, tries,
+                         warc)
 from rfmlens.llm.common import shared_code
 
 
@@ -22,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8_licenses,
         "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontam.op10_decontamination,
+        "op11_sharding": shards.op11_sharding,
+        "op12_resampling": resample.op12_resampling,
+        "op13_prefix_trie": tries.op13_prefix_trie,
     }
     return {name: shared_code(run) for name, run in found.items()}
 
