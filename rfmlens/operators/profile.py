@@ -14,8 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rfmlens.config import REFERENCE_AGE_BANDS, REFERENCE_MEDIAN_ACCURACY
+from rfmlens.config import REFERENCE_AGE_BANDS
 from rfmlens.functions.scalar import band_of, safe_ratio, try_double
+from rfmlens.operators.quantiles import exact_quantiles
 
 
 def cluster_means(model: DataFrame, columns: Sequence[str], cluster: str = "cluster",
@@ -32,11 +33,10 @@ def category_shares(means: DataFrame, groups: Mapping[str, Sequence[str]]) -> Da
     A ratio of means, as in the reference (not a mean of ratios); a zero
     total gives null instead of an ANSI division error.
     """
-    out = means
-    for total, members in groups.items():
-        for c in members:
-            out = out.withColumn(c, safe_ratio(F.col(f"`{c}`"), F.col(f"`{total}`")))
-    return out
+    total_of = {c.lower(): total for total, members in groups.items() for c in members}
+    return means.select(*[
+        safe_ratio(F.col(f"`{c}`"), F.col(f"`{total_of[c.lower()]}`")).alias(c) if c.lower() in total_of else F.col(f"`{c}`")
+        for c in means.columns])
 
 
 def band_values(model: DataFrame, value: str = "age",
@@ -66,18 +66,22 @@ def band_distribution(model: DataFrame, value: str = "age",
 
 
 def mean_vs_median(model: DataFrame, columns: Sequence[str], cluster: str = "cluster",
-                   accuracy: int = REFERENCE_MEDIAN_ACCURACY) -> DataFrame:
-    """OP-22 (AGG-10, AGG-11, JN-10): mean and approximate median per segment.
+                   accuracy: int | None = None) -> DataFrame:
+    """OP-22 (AGG-10, AGG-11, JN-10): mean and median per segment.
 
-    ``percentile_approx`` at accuracy 1e6 returns an element of the data (the
-    lower middle for even counts), exact up to a million rows per segment.
+    The median is an element of the data (the lower middle for even counts)
+    and exact whatever the segment's size (``operators.quantiles``). With
+    ``accuracy`` it is Spark's ``percentile_approx``, as in the reference: one
+    aggregate, exact up to ``accuracy`` rows per segment.
     """
-    aggs = []
-    for c in columns:
-        x = try_double(F.col(f"`{c}`"))
-        aggs += [F.avg(x).alias(f"mean_{c}"),
-                 F.percentile_approx(x, 0.5, accuracy).alias(f"median_{c}")]
-    out = model.groupBy(cluster).agg(*aggs)
-    for c in columns:
-        out = out.withColumn(f"mean_to_median_{c}", safe_ratio(F.col(f"mean_{c}"), F.col(f"median_{c}")))
-    return out.orderBy(cluster)
+    mean = {c: F.avg(try_double(F.col(f"`{c}`"))).alias(f"mean_{c}") for c in columns}
+    if accuracy:
+        out = model.groupBy(cluster).agg(*mean.values(), *[
+            F.percentile_approx(try_double(F.col(f"`{c}`")), 0.5, accuracy).alias(f"median_{c}") for c in columns])
+    else:
+        medians = exact_quantiles(model, columns, cluster).withColumnRenamed(cluster, "__segment")
+        means = model.groupBy(cluster).agg(*mean.values())   # a row per segment on both sides
+        out = means.join(medians, F.col(f"`{cluster}`").eqNullSafe(F.col("__segment")))
+    cells = [F.col(f"{kind}_{c}") for c in columns for kind in ("mean", "median")]
+    ratios = [safe_ratio(F.col(f"mean_{c}"), F.col(f"median_{c}")).alias(f"mean_to_median_{c}") for c in columns]
+    return out.select(cluster, *cells, *ratios).orderBy(cluster)
