@@ -58,6 +58,4 @@ class ClusteringConfig:
     seed: int = DEFAULT_SEED
     n_init: int = 1
     max_iter: int = 20
-    # Partitions of the fixed fitting layout (EXT-2).
-    layout_partitions: int = 32
     key: str = "ifa"

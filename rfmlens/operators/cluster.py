@@ -48,18 +48,25 @@ def prepare_features(df: DataFrame, features: Sequence[str], key: str = "ifa",
     standard deviation, SURVEY T16).
     """
     features = list(features)
-    keep = [c for c in (keep if keep is not None else df.columns) if c not in features and c != key]
-    casted = df.select(key, *keep, *[F.col(c).try_cast("float").alias(c) for c in features])
-    clean = casted.na.drop(subset=features)
+    clean = complete_features(df, features, key, keep)
     assembled = VectorAssembler(inputCols=features, outputCol=FEATURES_COL).transform(clean)
     scaler = StandardScaler(inputCol=FEATURES_COL, outputCol=SCALED_COL,
                             withMean=with_mean, withStd=with_std).fit(assembled)
-    out = scaler.transform(assembled)
+    return renamed_features(scaler.transform(assembled), rename)
+
+
+def complete_features(df: DataFrame, features: Sequence[str], key: str = "ifa",
+                      keep: Sequence[str] | None = None) -> DataFrame:
+    """FLT-6, PRJ-8: features as floats, rows that lack one dropped; ``keep`` columns (all others by default) unchanged."""
+    keep = [c for c in (keep if keep is not None else df.columns) if c not in features and c != key]
+    casted = df.select(key, *keep, *[F.col(c).try_cast("float").alias(c) for c in features])
+    return casted.na.drop(subset=list(features))
+
+
+def renamed_features(df: DataFrame, rename: dict | None = None) -> DataFrame:
+    """PRJ-6: by default the age class ``prediction`` becomes ``age``."""
     rename = {"prediction": "age"} if rename is None else rename
-    for old, new in rename.items():
-        if old in out.columns:
-            out = out.withColumnRenamed(old, new)
-    return out
+    return df.withColumnsRenamed({old: new for old, new in rename.items() if old in df.columns})
 
 
 def scaled_columns(prepared: DataFrame, names: Sequence[str], key: str = "ifa",
