@@ -5,6 +5,9 @@
   ``PartitionFilters`` instead of one scan per month in a driver loop.
 * Legacy layouts with the month only in a path segment (``.../202101/x.parquet``)
   are read with a glob and get the month from ``_metadata.file_path``.
+* Months written by different producers may hold a column as text, double or decimal: one inferred schema then fails on the first
+  file of another type. With a declared schema, files are grouped by the schema of their footers, each group is read with
+  its own types and conformed, and the groups are united.
 * CSV is read with a declared schema; no inference pass.
 """
 
@@ -12,7 +15,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
@@ -29,15 +36,85 @@ def read_tree(spark: SparkSession, root: str, schema: StructType | None = None)
 def read_monthly(spark: SparkSession, root: str, months: Sequence[str] | None = None,
                  schema: StructType | None = None, month_col: str = "month") -> DataFrame:
     """SRC-2/3/4/8: a ``month=yyyyMM`` partitioned table, pruned to ``months``."""
+    if schema is not None:
+        return read_conformed(spark, root, schema, months, month_col)
     # Partition discovery types 202101 as an integer; keep the yyyyMM text.
     df = spark.read.parquet(root).withColumn(month_col, F.col(month_col).cast("string"))
-    if schema is not None:
-        df = conform(df, schema, root)
     if months is not None:   # an empty list selects nothing
         df = df.where(F.col(month_col).isin([str(m) for m in months]))
     return df
 
 
+def has_files(spark: SparkSession, root: str) -> bool:
+    """Whether there is a Parquet file below ``root``; any other fault raises."""
+    return bool(_files(spark, root))
+
+
+def _files(spark: SparkSession, root: str) -> list[str]:
+    """Parquet files below ``root`` (from the file index, nothing is read); none where the folder is missing."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    try:
+        return sorted(listing.load(root).inputFiles())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[StructType, list[str]]]:
+    """Files of equal types: (schema without partition columns, paths to read).
+
+    Footers are merged by one Spark job for as many files as agree: all at once, else folder by folder, else file by file.
+    """
+    def merged(paths: Sequence[str]) -> StructType | None:
+        try:
+            return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*paths).schema
+        except (PySparkException, Py4JJavaError) as e:
+            if "MERGE" not in str(e).upper():
+                raise
+            return None
+
+    if not files:
+        return []
+    folders: dict[str, list[str]] = {}
+    for f in files:
+        folders.setdefault(f.rsplit("/", 1)[0], []).append(f)
+    whole = merged(sorted(folders))
+    if whole is not None:
+        return [(whole, list(files))]
+
+    def of(folder: str) -> list[tuple[StructType, list[str]]]:
+        own = merged([folder])
+        return [(own, folders[folder])] if own is not None else [(merged([f]), [f]) for f in folders[folder]]
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        found = [g for gs in pool.map(of, sorted(folders)) for g in gs]
+    groups: dict[str, tuple[StructType, list[str]]] = {}
+    for schema, paths in found:
+        groups.setdefault(schema.json(), (schema, []))[1].extend(paths)
+    return list(groups.values())
+
+
+def read_conformed(spark: SparkSession, root: str, schema: StructType, months: Sequence[str] | None = None,
+                   month_col: str = "month") -> DataFrame:
+    """A ``month=yyyyMM`` table with the names and types of ``schema``, whatever types a month was written with.
+
+    A column or field that a file's schema lacks raises. Only the files of ``months`` are listed, so nothing else is read.
+    """
+    token = f"/{month_col}="
+    wanted = None if months is None else {str(m) for m in months}
+    files = [f for f in _files(spark, root) if wanted is None or f.rsplit(token, 1)[-1].split("/")[0] in wanted]
+    by_partition = any(token in f for f in files)
+    parts = []
+    for own, paths in schema_groups(spark, files):
+        month = StructField(month_col, StringType())
+        full = StructType([f for f in own.fields if f.name != month_col] + [month]) if by_partition else own
+        parts.append(conform(spark.read.schema(full).option("basePath", root).parquet(*paths), schema, root))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_month_dirs(spark: SparkSession, root: str, months: Sequence[str],
                     schema: StructType | None = None, month_col: str = "month",
                     dir_prefix: str = "") -> DataFrame:

@@ -6,7 +6,8 @@ under ``devices_root/month=yyyyMM/``, in any order. Both folders are streams,
 which only tell which (month, device) keys changed; each micro-batch
 recomputes those keys from the complete partitions of their months (a month's
 files may arrive over several batches), keeps the other rows of the months'
-output, and replaces just those output partitions (dynamic overwrite). A
+output, and replaces just those output partitions (dynamic overwrite; a month
+that has lost its last row is emptied). A
 rerun of a batch after a failure rewrites the same partitions, so the sink is
 idempotent; the stream's progress lives in its checkpoint location in the
 shared folder.
@@ -14,28 +15,17 @@ shared folder.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend
 from rfmlens.session import cut_lineage, stage_path
+from rfmlens.sources.readers import has_files, read_conformed, read_monthly
 from rfmlens.sources.sinks import write_parquet
 
 
-def _months_of(spark: SparkSession, root: str, schema: StructType | None, months: list[str]) -> DataFrame | None:
-    """The rows of ``months`` below ``root``; None where nothing has arrived yet."""
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        df = reader.parquet(root)
-    except AnalysisException:
-        return None
-    return df.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
-
-
 def refresh_keys(spark: SparkSession, changed: DataFrame, usage_root: str, devices_root: str,
                  taxonomy: DataFrame, out_path: str, cfg: ScoringConfig,
                  usage_schema: StructType, device_schema: StructType) -> None:
@@ -48,18 +38,25 @@ def refresh_keys(spark: SparkSession, changed: DataFrame, usage_root: str, devic
     months = sorted(r[0] for r in changed.select("month").distinct().collect())
     if not months:
         return
-    usage = _months_of(spark, usage_root, usage_schema, months)
-    devices = _months_of(spark, devices_root, device_schema, months)
-    if usage is None or devices is None:
+    if not has_files(spark, usage_root) or not has_files(spark, devices_root):
         return  # nothing has both sides yet; the other side's files bring the keys again
+    usage = read_conformed(spark, usage_root, usage_schema, months)
+    devices = read_conformed(spark, devices_root, device_schema, months)
     priced = latest_prices(devices.join(changed, keys, "left_semi"), cfg.fx_rate, keys)
     streaming = category_usage(usage.join(changed, keys, "left_semi"), taxonomy, cfg.category,
                                cfg.category_col, cfg.spend_excluded, cfg.key)
     spend = monthly_spend(priced, streaming, cfg.key)
-    before = _months_of(spark, out_path, None, months)
-    if before is not None:
+    held: set[str] = set()
+    if has_files(spark, out_path):
+        before = read_monthly(spark, out_path, months)
+        held = {r[0] for r in before.select("month").distinct().collect()}   # months again
         spend = spend.unionByName(before.join(changed, keys, "left_anti").select(*spend.columns))
-    write_parquet(cut_lineage(spend, "spend"), out_path, mode="overwrite", partition_by=["month"])
+    spend = cut_lineage(spend, "spend")
+    write_parquet(spend, out_path, mode="overwrite", partition_by=["month"])
+    # Dynamic overwrite leaves a month alone that has no rows any more: empty it.
+    kept = {r[0] for r in spend.select("month").distinct().collect()}
+    for month in sorted(held - kept):
+        spend.drop("month").limit(0).coalesce(1).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/month={month}")
 
 
 def monthly_spend_stream(spark: SparkSession, usage_root: str, usage_schema: StructType,
@@ -70,13 +67,15 @@ def monthly_spend_stream(spark: SparkSession, usage_root: str, usage_schema: Str
     """Start the stream; ``available_now`` processes what has arrived and stops.
 
     The schemas must include the ``month`` partition column (string);
-    ``device_schema`` is by default the declared one.
+    ``device_schema`` is by default the declared one. Both are conformed to:
+    files may hold other types (a price as text, double or decimal), and a
+    missing column raises. The streams themselves read the key and the month.
     """
     from rfmlens.schemas import DEVICE
     device_schema = device_schema or DEVICE
 
     def watch(root: str, schema: StructType) -> DataFrame:
-        reader = spark.readStream.schema(schema)
+        reader = spark.readStream.schema(StructType([schema[cfg.key], schema["month"]]))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
         return reader.parquet(root).select(cfg.key, "month")
