@@ -55,25 +55,47 @@ class RankSpec:
         return self.output or f"{self.column}_percentile"
 
 
-def ranked_values(df: DataFrame, spec: RankSpec, ranges: int) -> tuple[DataFrame, int]:
-    """(value, count, rank) of every distinct value, and the number of ranked rows."""
+def value_counts(df: DataFrame, spec: RankSpec) -> DataFrame:
+    """The histogram that a rank needs: (value ``__v``, rows ``__c``), map-side combined."""
     values = df.select(F.col(f"`{spec.column}`").alias("__v"))
     if not spec.keep_nulls:
         values = values.where(F.col("__v").isNotNull())
+    return values.groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
+
+
+def changed_counts(counts: DataFrame, gone: DataFrame, come: DataFrame, spec: RankSpec) -> DataFrame:
+    """The histogram after the rows ``gone`` left and the rows ``come`` were added: signed counts of the changed rows are merged
+    into the stored ones, so a refresh reads the histogram and the change, never the unchanged rows."""
+    change = value_counts(come, spec).unionByName(value_counts(gone, spec).select("__v", (-F.col("__c")).alias("__c")))
+    return counts.select("__v", "__c").unionByName(change).groupBy("__v").agg(F.sum("__c").alias("__c")).where(F.col("__c") != 0)
+
+
+def ranked_counts(counts: DataFrame, spec: RankSpec, ranges: int) -> tuple[DataFrame, int]:
+    """(value, count, rank) of every distinct value of a histogram, and the number of ranked rows."""
     order = F.col("__v").desc_nulls_last() if spec.descending else F.col("__v").asc_nulls_first()
-    placed = cut_lineage(
-        values.groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
-        .repartitionByRange(ranges, order).withColumn("__p", F.spark_partition_id()), "rank_values")
+    placed = cut_lineage(counts.repartitionByRange(ranges, order).withColumn("__p", F.spark_partition_id()), "rank_values")
     totals = sorted((r[0], int(r[1])) for r in placed.groupBy("__p").agg(F.sum("__c")).collect())  # <= ranges rows
     ends = list(accumulate(c for _, c in totals))
     n = ends[-1] if ends else 0
-    offsets = df.sparkSession.createDataFrame([(p, e - c) for (p, c), e in zip(totals, ends)], "__p int, __o long")
+    offsets = counts.sparkSession.createDataFrame([(p, e - c) for (p, c), e in zip(totals, ends)], "__p int, __o long")
     before = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__c").over(before), F.lit(0)) + F.col("__o")
     pct = below.cast("double") / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
     return placed.join(F.broadcast(offsets), "__p").select("__v", "__c", pct.alias(spec.out)), n
 
 
+def ranks_from_counts(df: DataFrame, stored: Sequence[tuple[RankSpec, DataFrame]], buckets: int | None = None) -> DataFrame:
+    """Percent ranks of the rows of ``df`` among the rows that the stored histograms count (``df`` itself, or any part of them)."""
+    ranges = max(1, int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with ThreadPoolExecutor(max_workers=min(4, max(1, len(stored)))) as pool:
+        ranked = list(pool.map(lambda x: ranked_counts(x[1], x[0], ranges), stored))
+    out = df
+    for (s, _), (values, n) in zip(stored, ranked):
+        values = values.withColumnRenamed("__v", s.column)
+        out = join_counted(out, values, s.column, "__c", n, how="left", null_safe=s.keep_nulls)
+    return out
+
+
 def percent_ranks(
     df: DataFrame,
     specs: Sequence[RankSpec | tuple],
@@ -90,14 +112,7 @@ def percent_ranks(
     specs = [s if isinstance(s, RankSpec) else RankSpec(*s) for s in specs]
     if not specs:
         return df
-    ranges = max(1, int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    with ThreadPoolExecutor(max_workers=min(4, len(specs))) as pool:
-        ranked = list(pool.map(lambda s: ranked_values(df, s, ranges), specs))
-    out = df
-    for s, (values, n) in zip(specs, ranked):
-        values = values.withColumnRenamed("__v", s.column)
-        out = join_counted(out, values, s.column, "__c", n, how="left", null_safe=s.keep_nulls)
-    return out
+    return ranks_from_counts(df, [(s, value_counts(df, s)) for s in specs], buckets)
 
 
 def percent_rank_window(df: DataFrame, column: str, descending: bool = False, output: str | None = None) -> DataFrame:

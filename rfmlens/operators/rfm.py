@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfmlens.operators.rank import RankSpec, percent_ranks
+from rfmlens.session import cut_lineage
+from rfmlens.sources.sinks import write_parquet
 
 
 MEASURE_COLUMNS = ("last_seen", "usage_frequency", "brq_frequency", "data_usage_freq",
@@ -26,6 +30,45 @@ def rfm_base(daily: DataFrame, key: str = "ifa") -> DataFrame:
         .withColumn("duration_months", F.col("max_period") - F.col("min_period") + F.lit(1)))
 
 
+def rfm_months(daily: DataFrame, key: str = "ifa") -> DataFrame:
+    """AGG-5 as keyed state: one row for each device and month of its days, from which ``rfm_base_of`` gives the base.
+
+    A day lies in one month, so a month's rows replace each other as a whole: a late or
+    corrected month is recomputed and overwritten alone, and extremes stay right when its days disappear, which
+    no running minimum could undo.
+    """
+    return daily.groupBy(key, F.date_format("date", "yyyyMM").alias("month")).agg(
+        F.min("date").alias("earliest_date"), F.max("date").alias("latest_date"),
+        F.max("days_since").alias("first_seen"), F.min("days_since").alias("last_seen"),
+        F.min("period_months").alias("min_period"), F.max("period_months").alias("max_period"),
+        F.count("date").alias("data_usage_freq"), F.sum("sum_brq_daily").alias("brq_count"))
+
+
+def rfm_base_of(months: DataFrame, key: str = "ifa") -> DataFrame:
+    """OP-8 from the state of ``rfm_months``: the same rows as ``rfm_base`` of all days."""
+    return (months.groupBy(key).agg(
+        F.min("earliest_date").alias("earliest_date"), F.max("latest_date").alias("latest_date"),
+        F.max("first_seen").alias("first_seen"), F.min("last_seen").alias("last_seen"),
+        F.min("min_period").alias("min_period"), F.max("max_period").alias("max_period"),
+        F.sum("data_usage_freq").alias("data_usage_freq"), F.sum("brq_count").alias("brq_count"))
+        .withColumn("duration_months", F.col("max_period") - F.col("min_period") + F.lit(1)))
+
+
+def refresh_rfm_months(state_path: str, daily: DataFrame, months: Sequence[str], key: str = "ifa") -> None:
+    """Replace the ``months`` (yyyyMM) of the stored state by those of ``daily``, which holds all days of these months.
+
+    A month without days any more is emptied; other months are neither read nor written.
+    """
+    spark = daily.sparkSession
+    wanted = [str(m) for m in months]
+    new = cut_lineage(rfm_months(daily, key).where(F.col("month").isin(wanted)), "rfm_months")
+    write_parquet(new, state_path, mode="overwrite", partition_by=["month"])
+    # Dynamic overwrite only replaces months with rows.
+    kept = {r[0] for r in new.select("month").distinct().collect()}   # months, of those asked for
+    for month in sorted(set(wanted) - kept):
+        spark.createDataFrame([], new.drop("month").schema).coalesce(1).write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/month={month}")
+
+
 def rfm_measures(base: DataFrame, spend: DataFrame, key: str = "ifa", how: str = "inner") -> DataFrame:
     """OP-10 (JN-6, FN-11, FN-12): per-month rates and rounded average spend.
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfmlens.operators.order import global_row_number
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
                   partition_by: Sequence[str] | None = None) -> None:
@@ -42,23 +44,37 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: boo
 
 def write_segments(df: DataFrame, path: str, segment: str = "cluster", key: str = "ifa",
                    mode: str = "errorifexists", fmt: str = "parquet",
-                   label: str | None = None, files_per_segment: int | None = None) -> None:
+                   label: str | None = None, files_per_segment: int | None = None,
+                   rows_per_file: int | None = None) -> None:
     """SNK-6/SNK-7: one directory per segment (``segment=<id>``) in one job.
 
     Rows are distinct (segment, key) pairs; ``label`` renames the key column
-    (the CSV header). By default every task writes its share of every
-    segment, so a segment holding a third of all devices is written by all
-    tasks. ``files_per_segment=n`` gives at most n files per segment, rows
-    spread by a hash of the key; ``1`` reproduces the reference's single file
-    per segment and funnels each segment through one task (small lists only).
+    (the CSV header). By default the pairs are rebalanced, so a segment is
+    written by as many tasks as it has advisory partition sizes.
+    ``rows_per_file=n`` gives a segment of r rows exactly ceil(r / n) files:
+    its pairs are numbered over ranges (``operators.order``) and every
+    n of them in a row are a file. ``files_per_segment=n`` gives at most n
+    files per segment, rows spread by a hash of the key; ``1`` reproduces the
+    reference's single file per segment and funnels each segment through one
+    task (small lists only).
     """
     pairs = df.select(segment, key).distinct()
-    if files_per_segment:
+    if rows_per_file:
+        n = int(rows_per_file)
+        numbered = global_row_number(pairs, [key], within=[segment], out="file", first=0)
+        numbered = numbered.withColumn("file", F.floor(F.col("file") / F.lit(n)))
+        # A task that holds several files of a segment has them in order, so all but the last are full: the writer cuts at n rows.
+        pairs = numbered.repartition(segment, "file").sortWithinPartitions(segment, "file").drop("file")
+    elif files_per_segment:
         salt = F.pmod(F.xxhash64(F.col(key)), F.lit(int(files_per_segment)))
         pairs = pairs.repartition(segment, salt) if files_per_segment > 1 else pairs.repartition(segment)
+    else:
+        pairs = pairs.hint("rebalance", segment)
     if label:
         pairs = pairs.withColumnRenamed(key, label)
     w = pairs.write.mode(mode).partitionBy(segment)
+    if rows_per_file:
+        w = w.option("maxRecordsPerFile", int(rows_per_file))
     if fmt == "csv":
         w.option("header", "true").csv(path)
     else:
