@@ -12,7 +12,7 @@ double -> bigint casts truncate (Spark semantics) via ``trunc``.
 
 from __future__ import annotations
 
-from rfmlens.config import REFERENCE_AGE_BANDS, REFERENCE_AUDIENCE_LABEL
+from rfmlens.config import DEFAULT_SEED, REFERENCE_AGE_BANDS, REFERENCE_AUDIENCE_LABEL, REFERENCE_SWEEP_KS
 from rfmlens.sources.standins import APP_CATEGORIES, PLACE_CODES, STANDIN_CONFIG
 
 _C = STANDIN_CONFIG
@@ -195,6 +195,10 @@ SCORING_SQL = {
         SELECT ifa, date, month, period_months, days_since, count(*) AS main_rows,
                CAST(sum(brq_count) AS BIGINT) AS main_brq
         FROM main_df GROUP BY ifa, date, month, period_months, days_since""",
+    "enrich_usage_colocated": """
+        SELECT ifa, date, month, period_months, days_since, count(*) AS main_rows,
+               CAST(sum(brq_count) AS BIGINT) AS main_brq
+        FROM main_df GROUP BY ifa, date, month, period_months, days_since""",
     "usage_histogram": """
         SELECT sum_brq, count(ifa) AS ifa_count FROM (
           SELECT ifa, CAST(sum(brq_count) AS BIGINT) AS sum_brq
@@ -209,6 +213,10 @@ SCORING_SQL = {
     "monthly_spend": "SELECT * FROM spend",
     "peak_spend": "SELECT * FROM peak",
     "spend_stream": "SELECT * FROM spend",
+    "spend_stream_mixed": "SELECT * FROM spend",
+    "mixed_month_schemas": "SELECT * FROM priced",
+    "rank_after_delta": "SELECT ifa, spend, percent_rank() OVER (ORDER BY spend) AS pct FROM peak",
+    "rfm_base_incremental": "SELECT * FROM base",
     "rfm_measures": "SELECT * FROM rfm",
     "dist_recency": """
         SELECT last_seen, count(DISTINCT ifa) AS ifa_count FROM rfm GROUP BY last_seen ORDER BY last_seen""",
@@ -237,6 +245,17 @@ _MONTH_LIST = ", ".join(f"'{m}'" for m in _MONTHS)
 _BANDS = tuple((repr(float(v)), label) for v, label in REFERENCE_AGE_BANDS)
 
 SCAN_SQL = {
+    "median_exact": "SELECT l_returnflag, " + ", ".join(
+        f"quantile_disc({c}, {q}) AS {n}_{c}" for c in ("l_extendedprice", "l_quantity")
+        for n, q in (("lower", 0.25), ("median", 0.5), ("upper", 0.75))) + " FROM lineitem GROUP BY l_returnflag",
+    "global_row_number": """
+        SELECT l_orderkey, l_linenumber, l_returnflag,
+               row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos,
+               row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos_in_flag
+        FROM lineitem""",
+    "distinct_sketches": """
+        SELECT strftime(o_orderdate, '%Y') AS year, count(DISTINCT o_custkey) AS devices, true AS within_3_percent
+        FROM orders GROUP BY 1""",
     "percent_rank_scaled": """
         SELECT l_orderkey, l_linenumber,
                percent_rank() OVER (ORDER BY l_extendedprice ASC NULLS FIRST) AS price_pct,
@@ -278,7 +297,68 @@ def _lloyd(steps: int) -> str:
     return f"SELECT * FROM (WITH {', '.join(out)} SELECT c AS cluster, n AS ifa_count, {cols} FROM c{steps})"
 
 
+def _fixed_point_kmeans(ks: tuple[int, ...], select: str, seed: int = DEFAULT_SEED, steps: int = 20) -> str:
+    """Seeding and Lloyd steps in whole numbers, unrolled; ``select`` reads p (points), own (ifa, k, j, d) and fin (k, j, centre)."""
+    w = range(len(_F))
+    cols, table = lambda f: ", ".join(f(i) for i in w), []
+    add = lambda name, body: table.append(f"{name} AS MATERIALIZED ({body})")
+    dist = " + ".join(f"(p.z{i} - c.z{i}) * (p.z{i} - c.z{i})" for i in w)
+    whole = "CAST(4294967296 AS DOUBLE)"
+    add("q", "SELECT ifa, " + cols(lambda i: f"CAST(floor(x{i} * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS q{i}") + " FROM feat")
+    add("mo", "SELECT CAST(count(*) AS HUGEINT) AS n, " + cols(lambda i: f"sum(q{i}) AS s{i}, sum(CAST(q{i} AS HUGEINT) * q{i}) AS t{i}") + " FROM q")
+    add("fa", "SELECT " + cols(lambda i: f"CASE WHEN n * t{i} > s{i} * s{i} THEN CAST(4096 AS DOUBLE) / "
+                                         f"sqrt(CAST(n * t{i} - s{i} * s{i} AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) ELSE 0 END AS f{i}") + " FROM mo")
+    add("p", "SELECT ifa, " + cols(lambda i: f"CAST(floor(CAST(q{i} AS DOUBLE) * f{i}) AS BIGINT) AS z{i}") + " FROM q CROSS JOIN fa")
+    for r in range(max(ks)):
+        u = (f"(CAST(CAST('0x' || substr(md5(CAST(ifa AS VARCHAR) || ':{seed}:{r}'), 1, 8) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / {whole}")
+        far = ("SELECT p.*, 1 AS w FROM p" if r == 0 else
+               f"SELECT p.ifa, {cols(lambda i: f'p.z{i}')}, min({dist}) AS w FROM p CROSS JOIN s{r - 1} c GROUP BY ALL")
+        pick = (f"SELECT {r} AS j, {cols(lambda i: f'z{i}')} FROM ({far}) WHERE w > 0 ORDER BY (-ln({u})) / CAST(w AS DOUBLE), ifa LIMIT 1")
+        add(f"s{r}", f"SELECT * FROM ({pick})" if r == 0 else f"SELECT * FROM s{r - 1} UNION ALL SELECT * FROM ({pick})")
+    add("c0", f"SELECT k.k, c.* FROM s{max(ks) - 1} c CROSS JOIN (SELECT unnest([{', '.join(map(str, ks))}]) AS k) k WHERE c.j < k.k")
+    near = lambda c: (f"SELECT ifa, k, dj % 64 AS j, dj // 64 AS d, {cols(lambda i: f'z{i}')} FROM ("
+                      f"SELECT p.ifa, c.k, {cols(lambda i: f'p.z{i}')}, min(CAST({dist} AS HUGEINT) * 64 + c.j) AS dj FROM p CROSS JOIN {c} c GROUP BY ALL)")
+    for t in range(1, steps + 1):
+        add(f"m{t}", f"SELECT k, j, count(*) AS n, {cols(lambda i: f'sum(z{i}) AS s{i}')} FROM ({near(f'c{t - 1}')}) GROUP BY k, j")
+        add(f"c{t}", "SELECT c.k, c.j, " + cols(lambda i: f"CAST(CASE WHEN n IS NULL THEN c.z{i} ELSE (s{i} - ((s{i} % n) + n) % n) // n END AS BIGINT) AS z{i}")
+            + f" FROM c{t - 1} c LEFT JOIN m{t} m ON c.k = m.k AND c.j = m.j")
+    add("fin", f"SELECT k, row_number() OVER (PARTITION BY k ORDER BY {cols(lambda i: f'z{i}')}) - 1 AS j, {cols(lambda i: f'z{i}')} FROM c{steps}")
+    add("own", near("fin"))
+    return f"SELECT * FROM (WITH {', '.join(table)} {select})"
+
+
+_Z = range(len(_F))
+_SWEEP_SELECT = f"""
+, st AS MATERIALIZED (
+  SELECT k, j, CAST(count(*) AS DOUBLE) AS n, CAST(sum({" + ".join(f"z{i} * z{i}" for i in _Z)}) AS DOUBLE) AS q,
+         {", ".join(f"CAST(sum(z{i}) AS DOUBLE) AS t{i}" for i in _Z)} FROM own GROUP BY k, j),
+di AS (
+  SELECT o.ifa, o.k, o.j, st.j AS other, st.n,
+         CAST({" + ".join(f"z{i} * z{i}" for i in _Z)} AS DOUBLE) * st.n + st.q
+         - CAST(2 AS DOUBLE) * ({" + ".join(f"CAST(z{i} AS DOUBLE) * t{i}" for i in _Z)}) AS e
+  FROM own o JOIN st ON o.k = st.k),
+ab AS (
+  SELECT ifa, k, max(CASE WHEN j = other THEN n END) AS n, max(CASE WHEN j = other THEN e / greatest(n - 1, 1) END) AS a,
+         min(CASE WHEN j <> other THEN e / n END) AS b
+  FROM di GROUP BY ifa, k),
+sil AS (
+  SELECT k, CAST(sum(CAST(floor((CASE WHEN n = 1 THEN 0 WHEN a < b THEN CAST(1 AS DOUBLE) - a / b WHEN a > b THEN b / a - CAST(1 AS DOUBLE) ELSE 0 END)
+                                * CAST(1000000000 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / 1000000000 / count(*) AS silhouette
+  FROM ab GROUP BY k),
+cost AS (SELECT k, CAST(sum(d) AS DOUBLE) / 16777216 AS training_cost FROM own GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, silhouette, training_cost FROM sil JOIN cost USING (k)"""
+
+
 PROFILE_SQL = {
+    "kmeans_hashed": _fixed_point_kmeans((6,), "SELECT ifa, CAST(j AS INTEGER) AS cluster FROM own"),
+    "sweep_from_centres": _fixed_point_kmeans(REFERENCE_SWEEP_KS, _SWEEP_SELECT),
+    "audience_files": """
+        SELECT cluster, CAST((count(DISTINCT ifa) + 39) // 40 AS BIGINT) AS files, count(DISTINCT ifa) AS rows,
+               least(count(DISTINCT ifa), 40) AS most
+        FROM clustered GROUP BY cluster""",
+    "profile_order": """
+        SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY cluster) - 1 AS pos, cluster
+        FROM (SELECT DISTINCT cluster FROM clustered) CROSS JOIN (SELECT unnest(['means', 'bands', 'medians']) AS profile)""",
     "kmeans_from_centres": _lloyd(3),
     "assignment_check": """
         SELECT count(*) AS rows, count(DISTINCT ifa) AS distinct_keys, CAST(0 AS BIGINT) AS not_nearest FROM feat""",

@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
-from rfmlens.operators.audience import audience_all, audience_lists, export_audiences
+from rfmlens.operators import kmeans
+from rfmlens.operators.audience import audience_all, audience_lists, export_audiences, key_sketches, merged_counts
+from rfmlens.operators.colocated import join_stored, store_by_key
 from rfmlens.operators.checks import row_reconciliation, uniqueness_check
 from rfmlens.operators.cluster import (SCALED_COL, assign, assign_clusters, choose_k, fit_kmeans, lloyd,
                                        nearest, prepare_features, scaled_columns, silhouette,
                                        silhouette_sweep)
-from rfmlens.operators.rank import RankSpec, percent_ranks
+from rfmlens.operators.order import global_row_number
+from rfmlens.operators.quantiles import exact_quantiles
+from rfmlens.operators.rank import RankSpec, changed_counts, percent_ranks, ranks_from_counts, value_counts
 from rfmlens.operators.profile import (band_distribution, band_values, category_shares,
                                        cluster_means, mean_vs_median)
-from rfmlens.operators.rfm import rfm_base, rfm_scores
+from rfmlens.operators.rfm import refresh_rfm_months, rfm_base, rfm_base_of, rfm_scores
 from rfmlens.operators.spend import category_usage, latest_device, latest_prices, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
-from rfmlens.operators.usage import enrich_usage, enriched_daily_summary, explode_apps
+from rfmlens.operators.usage import channel_links, enrich_usage, enriched_daily_summary, explode_apps, with_usage_dates
 from rfmlens.plans import scoring
 from rfmlens.functions.scalar import try_double
 from rfmlens.plans.profiling import load_clustered, round_doubles
@@ -387,6 +391,142 @@ def q_clustered_csv(spark, d):
                        F.col("overall_brq").cast("bigint").alias("overall_brq"))
 
 
+def q_median_exact(spark, d):
+    """AGG-10 at any size: quartiles of whole raw columns by a column of few values."""
+    return exact_quantiles(S.table(spark, d, "lineitem"), ("l_extendedprice", "l_quantity"), "l_returnflag",
+                           (0.25, 0.5, 0.75), ("lower", "median", "upper"))
+
+
+def q_global_row_number(spark, d):
+    """JN-7, FN-18: positions over all rows and within a column of few values, without a window over them."""
+    li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    by = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]
+    over_all = global_row_number(li, by, out="pos")
+    return global_row_number(over_all, by, within=["l_returnflag"], out="pos_in_flag").drop("l_extendedprice")
+
+
+def q_kmeans_hashed(spark, d):
+    """ML-3, OP-16: the fit that the clustering job runs, from its own start centres to the labels."""
+    points = kmeans.points_of(_wide(spark, d), FEATURES)
+    return kmeans.label(points, kmeans.fit(points, 6))
+
+
+def q_sweep_from_centres(spark, d):
+    """ML-4, ML-5, OP-15: every k from the same sequence of start centres, all in the same passes."""
+    return kmeans.sweep(kmeans.points_of(_wide(spark, d), FEATURES), REFERENCE_SWEEP_KS).drop("steps")
+
+
+def _mixed_devices(spark, d) -> str:
+    """Snapshots by month, the price as text, double or decimal by month."""
+    root = stage_path(spark, "devices_mixed")
+    devices = S.devices(spark, d)
+    kind = F.col("month").cast("int") % 3
+    number = F.col("device.price").try_cast("double")
+    for k, price in enumerate((F.col("device.price"), number, number.cast("decimal(18,2)"))):
+        write_parquet(devices.where(kind == k).withColumn("device", F.col("device").withField("price", price)), root,
+                      mode="append", partition_by=["month"])
+    return root
+
+
+def q_mixed_month_schemas(spark, d):
+    """SRC-2, SRC-4: months whose files hold the price in different types."""
+    return latest_prices(read_monthly(spark, _mixed_devices(spark, d), schema=S.devices(spark, d).schema), CFG.fx_rate, ("ifa", "month"))
+
+
+def q_spend_stream_mixed(spark, d):
+    """The monthly stream over snapshots of mixed types, and with months that lose their spend: a snapshot that came first and
+    is replaced by a later one without a price must leave nothing behind."""
+    from rfmlens.streaming import monthly_spend_stream
+    usage_path, dev_path = stage_path(spark, "usage_in"), _mixed_devices(spark, d)
+    usage, devices = S.usage(spark, d), S.devices(spark, d)
+    write_parquet(usage, usage_path, mode="overwrite", partition_by=["month"])
+    out, ckpt = stage_path(spark, "spend_out"), stage_path(spark, "spend_ckpt")
+    early = devices.withColumns({"device": F.col("device").withField("price", F.lit("1.0")),
+                                 "snapshot_ts": F.col("snapshot_ts") - F.expr("interval 1 hour")}).where("month < '199401'")
+    early_path = stage_path(spark, "devices_early")
+    write_parquet(early, early_path, mode="overwrite", partition_by=["month"])
+
+    def run(path: str, checkpoint: str) -> None:
+        monthly_spend_stream(spark, usage_path, usage.schema, path, q_app_taxonomy(spark, d), out, CFG, checkpoint=checkpoint,
+                             device_schema=devices.schema).awaitTermination()
+
+    run(early_path, stage_path(spark, "spend_ckpt"))
+    run(dev_path, ckpt)
+    return read_monthly(spark, out).select("ifa", "month", "spend")
+
+
+def q_rank_after_delta(spark, d):
+    """WIN-3..6 incrementally: the stored histogram of the earlier months' peaks and the signed counts of the devices that the last
+    three months change."""
+    spend = cut_lineage(q_monthly_spend(spark, d), "spend")
+    months = sorted(r[0] for r in spend.select("month").distinct().collect())   # calendar months
+    late = F.col("month") >= F.lit(months[-3:][0] if months else "")
+    spec = RankSpec("spend", False, "pct", keep_nulls=False)
+    stored = cut_lineage(peak_spend(spend.where(~late)), "peaks")
+    counts = cut_lineage(value_counts(stored, spec), "peak_counts")
+    changed = spend.where(late).select("ifa").distinct()
+    come = cut_lineage(peak_spend(spend.join(changed, "ifa", "left_semi")), "new_peaks")
+    counts = changed_counts(counts, stored.join(changed, "ifa", "left_semi"), come, spec)
+    now = stored.join(changed, "ifa", "left_anti").unionByName(come)
+    return ranks_from_counts(now, [(spec, cut_lineage(counts, "peak_counts"))])
+
+
+def q_rfm_base_incremental(spark, d):
+    """AGG-5, OP-8 as state by device and month: a month that came in part is corrected, a late one added, a wrong one emptied."""
+    state = stage_path(spark, "rfm_months")
+    daily = cut_lineage(q_daily_usage(spark, d), "daily")
+    month = F.date_format("date", "yyyyMM")
+    months = sorted(r[0] for r in daily.select(month).distinct().collect())   # calendar months
+    part = daily.where((month != F.lit(months[-2])) | (F.col("ifa") % 2 == 0))
+    wrong = daily.where(month == F.lit(months[0])).withColumn("date", F.lit("1900-01-31").cast("date"))
+    refresh_rfm_months(state, part.unionByName(wrong), [*months[:-1], "190001"])
+    refresh_rfm_months(state, daily, months[-2:])
+    refresh_rfm_months(state, daily, ["190001"])
+    return rfm_base_of(spark.read.parquet(state).drop("month"))
+
+
+AUDIENCE_ROWS = 40
+
+
+def q_audience_files(spark, d):
+    """SNK-6, SNK-7: files of a given number of ids, counted from the files themselves."""
+    path = stage_path(spark, "audience_files")
+    export_audiences(_rule_clustered(spark, d), path, "csv", label=REFERENCE_AUDIENCE_LABEL, rows_per_file=AUDIENCE_ROWS)
+    rows = spark.read.option("header", "true").csv(path).select("cluster", F.col("_metadata.file_path").alias("f"))
+    per_file = rows.groupBy("cluster", "f").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.groupBy("cluster").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"), F.max("n").alias("most"))
+
+
+def q_enrich_usage_colocated(spark, d):
+    """JN-1, OP-1 for the monthly job: usage and userbase counts stored in buckets of the device, joined without an exchange."""
+    usage = store_by_key(S.usage_events(spark, d), "ifa", 16, "usage_by_device")
+    links = store_by_key(channel_links(S.userbase(spark, d), name="ub_rows"), "ifa", 16, "links_by_device")
+    return enriched_daily_summary(with_usage_dates(join_stored(spark, usage, links), CFG.anchor_day))
+
+
+def q_distinct_sketches(spark, d):
+    """AGG-1, AGG-6, AGG-13 mergeable: devices of each year from stored monthly sketches, held against the exact count."""
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("ifa"), F.date_format("o_orderdate", "yyyyMM").alias("month"))
+    stored = cut_lineage(key_sketches(o, ["month"]), "sketches").withColumn("year", F.substring("month", 1, 4))
+    exact = o.groupBy(F.substring("month", 1, 4).alias("year")).agg(F.countDistinct("ifa").alias("devices"))
+    near = F.abs(F.col("n_keys") - F.col("devices")) <= 0.03 * F.col("devices")
+    return merged_counts(stored, ["year"]).join(exact, "year").select("year", "devices", near.alias("within_3_percent"))
+
+
+def q_profile_order(spark, d):
+    """SRT-2, SRT-3: positions of the segments in the written profiles."""
+    model = _rule_clustered(spark, d)
+    out = None
+    for name, profile in (("means", cluster_means(model, ("r",))), ("bands", band_distribution(model, value="prediction")),
+                          ("medians", mean_vs_median(model, ("avg_spend",)))):
+        path = stage_path(spark, f"profile_{name}")
+        write_csv(profile.select("cluster"), path, single_file=True)
+        back = read_csv_typed(spark, path, StructType([StructField("cluster", IntegerType())])).select(
+            F.lit(name).alias("profile"), F.monotonically_increasing_id().alias("pos"), "cluster")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_usage": q_explode_usage,
     "explode_star": q_explode_star,
@@ -438,6 +578,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clustered_csv": q_clustered_csv,
     "audience_parquet": q_audience_parquet,
     "audience_csv": q_audience_csv,
+    "median_exact": q_median_exact,
+    "global_row_number": q_global_row_number,
+    "kmeans_hashed": q_kmeans_hashed,
+    "sweep_from_centres": q_sweep_from_centres,
+    "mixed_month_schemas": q_mixed_month_schemas,
+    "spend_stream_mixed": q_spend_stream_mixed,
+    "rank_after_delta": q_rank_after_delta,
+    "rfm_base_incremental": q_rfm_base_incremental,
+    "audience_files": q_audience_files,
+    "enrich_usage_colocated": q_enrich_usage_colocated,
+    "distinct_sketches": q_distinct_sketches,
+    "profile_order": q_profile_order,
 }
 
 
