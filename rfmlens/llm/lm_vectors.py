@@ -1,257 +1,209 @@
-"""Word vectors of a log-bilinear model over all words that training holds ``LEAST`` times, by noise-contrastive estimation in the tasks.
+"""Vectors of the log-bilinear model of ``lm``: word classes, training in rounds of Spark jobs, exact sums within the classes.
 
-The class model of ``lm`` gives every token a probability; the vectors correct it by ``exp(f)``, where f is the product of the word's vector
-with that of the two words before it, plus a bias. So any two such words have their own say, whatever their class.
+Pairs. One pass counts the pairs of neighbouring words over all training texts; a word without a vector is REST, and texts end in END. What the
+training reads afterwards is this table, at most (VECTORS + 2) ** 2 rows, grouped by the word before.
 
-Training. Each task reads its texts in pieces of ``PIECE`` tokens and draws the noise from the tokens of the piece, i.e. from the frequencies. The
-odds of a token against the noise are those of its class, as the share within the rest cancels out, times exp(f). All tasks begin with the same
-vectors (by the word's hash); a word's vectors are the mean over the tasks, weighted by its tokens there.
+Classes. Words are halved again and again at the median of the main direction of their neighbours' shares, until a class holds about
+the square root of their number. So classes are of one size and hold words of like contexts (of one language, first of all).
 
-Use. Texts are dealt into parts; each part is joined to the vectors of its words only, so no task or driver holds the vocabulary.
-The corrected probabilities are divided by their sum: exact over the classes' own words, the end and words without vectors, and by a priority sample
-of ``SAMPLE`` words, the same for all texts, over the rest.
+Vectors. P(word | its class, word before) is proportional to the word's share of its class times ``exp(f)``, where f is the product of the
+vector of the word before with the word's own, plus a bias. Noise-contrastive estimation tells the word from ``NOISE`` others drawn from its class by
+their shares. Training goes in rounds: the vectors are broadcast, each task sums the gradients of its rows of the table, and the step
+is taken once a round on the driver. Rows are dealt to ``SLICES`` tasks by the word before and noise is drawn by a generator seeded by that word and
+the round, so neither the number of partitions of the input nor their order changes the vectors.
+
+Sums. ``log_sums`` gives the logarithm of each class's sum for each word before, by batched matrix products over all words: probabilities are normalised exactly.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rfmlens.llm import lm
 from rfmlens.llm.common import cut_lineage
 
-LEAST = 5
-WIDTH = 8
-PIECE, BATCH, NOISE = 500_000, 1024, 64
-RATE, DECAY = 0.05, 1e-3
-#: Texts in a part.
-PART = 20_000
-SAMPLE = 128
-#: Tokens of a text that are normalised at once.
-AT_ONCE = 5_000
-SIZE = 2 * WIDTH + 1
-END = b" "
-
-
-def key_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-def start(keys: np.ndarray) -> np.ndarray:
-    """First vectors as contexts, from the keys alone."""
-    x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5))
-
-
-def context(r: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-    return r[near] + 0.5 * np.roll(r[far], 1, axis=1)
+#: Words with vectors of their own: the most frequent ones of training.
+VECTORS = 8192
+WIDTH, NOISE, ROUNDS, RATE, PRIOR = 16, 4, 16, 0.25, 1.0
+SLICES = 4
+#: Frequent words whose shares as neighbours tell the classes.
+NEIGHBOURS = 64
+#: Tokens whose pairs a task counts at once; pairs whose gradients it sums at once.
+COUNTED, SUMMED = 2_000_000, 50_000
 
 
-class Trainer:
-    """Vectors of the words that one task meets."""
-
-    def __init__(self, odds: np.ndarray, classes: int, seed: int = 7):
-        self.odds, self.classes, self.rng = odds, classes, np.random.default_rng(seed)
-        self.r, self.q, self.sr, self.sq, self.n = (np.zeros((0, k), np.float32) for k in (WIDTH, WIDTH + 1, WIDTH, WIDTH + 1, 1))
-
-    def grow(self, keys: np.ndarray) -> None:
-        new = len(keys)
-        self.r = np.concatenate([self.r, start(keys)])
-        self.q, self.sr, self.sq, self.n = (np.concatenate([x, np.full((new, x.shape[1]), v, np.float32)]) for x, v in
-                                            ((self.q, 0), (self.sr, 1e-2), (self.sq, 1e-2), (self.n, 0)))
-
-    def piece(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, place: np.ndarray, kind: np.ndarray) -> None:
-        """far, near, word: places of words; place: of the classes before in the table of odds; kind: the word's class."""
-        self.n[:, 0] += np.bincount(word, minlength=len(self.n))
-        order = self.rng.permutation(len(word))
-        for at in (order[a:a + BATCH] for a in range(0, len(order), BATCH)):
-            drawn = self.rng.integers(0, len(word), NOISE)
-            f, e, w, x = far[at], near[at], word[at], word[drawn]
-            h = np.concatenate([context(self.r, f, e), np.ones((len(at), 1), np.float32)], axis=1)
-            odds = self.odds[place[at]]
-            real = 1 / (1 + NOISE * np.exp(-np.clip((h * self.q[w]).sum(axis=1) + odds[np.arange(len(at)), kind[at]], -30, 30)))
-            false = 1 / (1 + NOISE * np.exp(-np.clip(h @ self.q[x].T + odds[:, kind[drawn]], -30, 30)))
-            up = (1 - real).astype(np.float32)[:, None]
-            false = false.astype(np.float32)
-            gh = (up * self.q[w] - false @ self.q[x])[:, :WIDTH]
-            self.step(self.q, self.sq, np.concatenate([w, x]), np.concatenate([up * h, -(false.T @ h)]))
-            self.step(self.r, self.sr, np.concatenate([e, f]), np.concatenate([gh, 0.5 * np.roll(gh, -1, axis=1)]))
-
-    def step(self, x: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        at, g = at[first], np.add.reduceat(g[order], first, axis=0)
-        if x is self.q:
-            g = g - DECAY * x[at]
-        s[at] += g * g
-        x[at] += RATE * g / np.sqrt(s[at])
-
-
-def train(rows: DataFrame, model: lm.Model) -> DataFrame:
-    """h, n (training tokens), v (vectors as context and as word, bias) of all words with ``LEAST`` training tokens."""
-    classes, rest_class = lm.CLASSES, lm.REST
-    n = np.bincount(model.kind[:-1], model.n, classes)
-    n[lm.END], n[rest_class] = model.ends, model.rest
-    odds = model.table * np.log(10) - np.log(np.maximum(n, 0.5) / max(1, model.tokens))
-    told = rows.sparkSession.sparkContext.broadcast(({w: int(k) for w, k in zip(model.words, model.kind[:-1], strict=True) if k != rest_class},
-                                                     odds.astype(np.float32)))
+def word_pairs(rows: DataFrame, words: list[bytes], split) -> DataFrame:  # noqa: ANN001
+    """(a, b, n): how often b comes right after a, by the places of the words in ``words``; len(words) is REST, len(words) + 1 END."""
+    told = rows.sparkSession.sparkContext.broadcast(words)
+    rest, end = len(words), len(words) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, table = told.value
-        t = Trainer(table, classes)
-        ids: dict[bytes, int] = {END: 0}
-        kind, keys, held, size = [lm.END], array("q", [key_of(END)]), [], 0
-        t.grow(np.array(keys, np.int64))
+        find, held, size = {w: i for i, w in enumerate(told.value)}.get, [], 0
 
-        def learn() -> None:
-            new = len(keys) - len(t.n)
-            if new:
-                t.grow(np.array(keys[-new:], np.int64))
-            k = np.array(kind)
-            x = [np.concatenate(c) for c in zip(*((a[:-2], a[1:-1], a[2:]) for a in held), strict=True)]
-            t.piece(*x, k[x[0]] * classes + k[x[1]], k[x[2]])
+        def out() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(keys), 50_000):
-                b = slice(a, a + 50_000)
-                w = np.concatenate([t.r[b], t.q[b]], axis=1) * t.n[b]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(np.array(keys[b], np.int64)), "n": t.n[b, 0].astype(np.float64)}
-                                                 | {f"v{i}": w[:, i] for i in range(SIZE)})
+            return pa.RecordBatch.from_pydict({"a": pa.array((code // (end + 1)).astype(np.int32)), "b": pa.array((code % (end + 1)).astype(np.int32)), "n": pa.array(n, pa.int64())})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                w = lm.split(text)
-                a = np.zeros(len(w) + 3, np.int64)
-                a[2:-1] = np.fromiter(map(ids.get, w, repeat(-1)), np.int64, len(w))
-                for i in np.flatnonzero(a < 0).tolist():
-                    x = w[i - 2]
-                    k = ids.get(x)
-                    if k is None:
-                        k = ids[x] = len(keys)
-                        keys.append(key_of(x))
-                        kind.append(kinds.get(x, rest_class))
-                    a[i] = k
-                held.append(a)
-                size += len(a)
-                if size >= PIECE:
-                    learn()
+                w = split(text)
+                x = np.full(len(w) + 2, end)
+                x[1:-1] = np.fromiter(map(find, w, repeat(rest)), np.int64, len(w))
+                held.append(x[:-1] * (end + 1) + x[1:])
+                size += len(x)
+                if size > COUNTED:
+                    yield out()
                     size = 0
         if held:
-            learn()
-        yield from out()
-
-    names = [f"v{i}" for i in range(SIZE)]
-    got = rows.where("train").select("text").mapInArrow(run, "h long, n double, " + ", ".join(f"{v} float" for v in names))
-    got = got.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in names]).where(F.col("n") >= LEAST)
-    return cut_lineage(got.select("h", "n", F.array(*[(F.col(v) / F.col("n")).cast("float") for v in names]).alias("v")), "lm-vectors")
-
-
-def classes_and_sample(vectors: DataFrame, model: lm.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the classes' words (zero for others); those of the sampled words of the rest, and their shares of the rest."""
-    named = {key_of(END): lm.END} | {key_of(w): int(k) for w, k in zip(model.words, model.kind[:-1], strict=True) if k != lm.REST}
-    of = np.zeros((lm.CLASSES, SIZE), np.float32)
-    is_named = F.col("h").isin(list(named))
-    for r in vectors.where(is_named).collect():
-        of[named[r.h]] = r.v
-    u = (F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    rest = vectors.where(~is_named)
-    mass = (rest.agg(F.sum("n")).first()[0] or 0) * (1 - model.unseen) / max(1, model.rest)
-    got = rest.withColumn("priority", F.col("n") / u).orderBy(F.desc("priority"), "h").limit(SAMPLE + 1).collect()
-    least = got[SAMPLE].priority if len(got) > SAMPLE else 0
-    got = got[:SAMPLE]
-    weight = np.array([max(r.n, least) for r in got])
-    return of, np.array([r.v for r in got], np.float32).reshape(-1, SIZE), (weight / max(weight.sum(), 1) * mass if got else weight).astype(np.float32)
-
-
-def gains(rows: DataFrame, vectors: DataFrame, model: lm.Model) -> DataFrame:
-    """The rows with ``gain``, the sum over a text's tokens of f less the logarithm of the corrected probabilities' sum, by ln 10."""
-    kinds = {w: int(k) for w, k in zip(model.words, model.kind[:-1], strict=True) if k != lm.REST}
-    told = rows.sparkSession.sparkContext.broadcast((kinds, (10**model.table).astype(np.float32), *classes_and_sample(vectors, model)))
-    vectors = vectors.select("h", "v")
-    parts = max(1, -(-rows.count() // PART))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for p, words in seen.items():
-                h = pa.array([key_of(w) for w in words], pa.int64())
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p] * len(h), pa.int64()), "h": h})
-            seen.clear()
-
-        for batch in batches:
-            for p, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(p, {END}).update(lm.split(text))
-            if sum(map(len, seen.values())) > lm.HELD:
-                yield from out()
-        yield from out()
-
-    need = rows.select("part", "text").mapInArrow(needed, "part long, h long").distinct().join(vectors, "h")
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
-    both = need.select("part", F.lit(0).alias("is_text"), *blank, "h", "v").union(rows.select(
-        "part", F.lit(1).alias("is_text"), "doc_id", "text", "train", F.lit(None).cast("long"), F.lit(None).cast("array<float>")))
-    both = both.repartition(F.col("part")).sortWithinPartitions("part", "is_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, probable, of, sample, share = told.value
-        both_q, both_b = np.concatenate([of, sample])[:, WIDTH:-1].T.copy(), np.concatenate([of, sample])[:, -1]
-        at: int | None = None
-        ids: dict[int, int] = {}
-        vs: list[np.ndarray] = []
-        table = np.zeros((1, SIZE), np.float32)
-        words: dict[bytes, int] = {}
-        for batch in batches:
-            part, is_text = batch.column("part").to_numpy(), batch.column("is_text").to_numpy()
-            cuts = np.flatnonzero((part[1:] != part[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                if a == b:
-                    continue
-                if part[a] != at:
-                    at, ids, vs, words, table = part[a], {}, [], {}, np.zeros((1, SIZE), np.float32)
-                piece = batch.slice(a, b - a)
-                if not is_text[a]:
-                    for h in piece.column("h").to_pylist():
-                        ids[h] = len(ids) + 1
-                    vs.append(piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE).astype(np.float32))
-                    continue
-                if vs:
-                    table, vs = np.concatenate([np.zeros((1, SIZE), np.float32), *vs]), []
-                for c in range(0, piece.num_rows, 500):
-                    some = piece.slice(c, 500)
-                    gain = []
-                    for text in some.column("text").to_pylist():
-                        w = lm.split(text)
-                        for x in {x for x in w if x not in words}:
-                            if k := ids.get(key_of(x)):
-                                words[x] = k
-                        end = ids.get(key_of(END), 0)
-                        k = np.full(len(w) + 3, end)
-                        k[2:-1] = np.fromiter(map(words.get, w, repeat(0)), np.int64, len(w))
-                        c = np.full(len(k), lm.END)
-                        c[2:-1] = np.fromiter(map(kinds.get, w, repeat(lm.REST)), np.int64, len(w))
-                        total = 0.0
-                        for i in range(0, len(w) + 1, AT_ONCE):
-                            j = min(i + AT_ONCE, len(w) + 1)
-                            v = table[k[i:j + 2]]
-                            h = v[1:-1, :WIDTH] + 0.5 * np.roll(v[:-2, :WIDTH], 1, axis=1)
-                            f = (h * v[2:, WIDTH:-1]).sum(axis=1) + v[2:, -1]
-                            e = np.exp(h @ both_q + both_b)
-                            p = probable[c[i:j] * lm.CLASSES + c[i + 1:j + 1]]
-                            e[:, lm.REST] = 1 - share.sum() + e[:, lm.CLASSES:] @ share
-                            total += float((f - np.log((p * e[:, :lm.CLASSES]).sum(axis=1))).sum(dtype=np.float64))
-                        gain.append(total / np.log(10))
-                    yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "text": some.column("text"), "train": some.column("train"),
-                                                      "gain": pa.array(gain, pa.float64())})
-
-    return cut_lineage(both.mapInArrow(run, "doc_id long, text string, train boolean, gain double"), "lm-gains")
+            yield out()
+
+    got = rows.where("train").select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return cut_lineage(got, "lm-pairs")
+
+
+def neighbour_shares(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Square roots of the shares of the frequent words among those after and before each word (rows: all ids, columns: frequent ones, REST, END)."""
+    top = min(NEIGHBOURS, size)
+    column = np.full(size + 2, -1)
+    column[:top] = np.arange(top)
+    column[size:] = [top, top + 1]
+    is_top = lambda c: (F.col(c) < top) | (F.col(c) >= size)
+    got = pairs.where(is_top("a") | is_top("b")).toArrow()  # at most 2 * (NEIGHBOURS + 2) * (VECTORS + 2) rows
+    a, b, n = (got[c].to_numpy() for c in ("a", "b", "n"))
+    out = []
+    for x, y in ((a, b), (b, a)):
+        m = np.zeros((size + 2, top + 2))
+        ok = column[y] >= 0
+        m[x[ok], column[y[ok]]] = n[ok]
+        out.append(np.sqrt(m / np.maximum(m.sum(axis=1, keepdims=True), 1)))
+    return out[0], out[1]
+
+
+def classes_of(shares: np.ndarray) -> np.ndarray:
+    """Class of each row: classes of about the square root of their number, of equal size but for one."""
+    kind = np.zeros(len(shares), np.int64)
+    groups = [np.arange(len(shares))]
+    for _ in range(round(np.log2(max(1, len(shares))) / 2)):
+        halves = []
+        for g in groups:
+            x = shares[g] - shares[g].mean(axis=0)
+            way = np.linalg.svd(x, full_matrices=False)[2][0]
+            way = way * np.sign(way[np.argmax(np.abs(way))])
+            order = g[np.argsort(np.round(x @ way, 9), kind="stable")]
+            halves += [order[:(len(g) + 1) // 2], order[(len(g) + 1) // 2:]]
+        groups = [g for g in halves if len(g)]
+    for k, g in enumerate(groups):
+        kind[g] = k
+    return kind
+
+
+def main_parts(shares: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """First vectors of the words before: the main parts of what follows them, of unit spread."""
+    x = shares - shares.mean(axis=0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    out = np.zeros((len(shares), width))
+    k = min(width, u.shape[1])
+    out[:, :k] = u[:, :k] * np.sign(u[np.argmax(np.abs(u[:, :k]), axis=0), np.arange(k)])
+    return out / np.maximum(out.std(axis=0), 1e-9) * (out.std(axis=0) > 1e-9) / np.sqrt(width) * 2
+
+
+def gradients(a: np.ndarray, b: np.ndarray, n: np.ndarray, noise: np.ndarray, r: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of r (rows as ``a``) and of q (vectors and bias, summed by word) for pairs (a, b) of weight n and their noise words."""
+    width = r.shape[1]
+    h = np.concatenate([r[a], np.ones((len(a), 1))], axis=1)
+    word = np.concatenate([b[:, None], noise], axis=1)
+    f = np.einsum("id,ijd->ij", h, q[word]) - np.log(noise.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    g = -p * n[:, None]
+    g[:, 0] += n
+    gr = np.einsum("ij,ijd->id", g, q[word][:, :, :width])
+    at, gq = word.ravel(), np.zeros_like(q)
+    for d in range(width + 1):
+        gq[:, d] = np.bincount(at, (g * h[:, d:d + 1]).ravel(), len(q))
+    return gr, gq
+
+
+def train(pairs: DataFrame, kind: np.ndarray, n: np.ndarray, r: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the words before (all ids) and of the words (with a bias); ``kind`` and ``n``: class and count of each word."""
+    spark, size, width, rounds = pairs.sparkSession, len(kind), r.shape[1], rounds or ROUNDS
+    q = np.zeros((size, width + 1))
+    if not size:
+        return r, q
+    order = np.argsort(kind, kind="stable")
+    upto = np.concatenate(([0.0], np.cumsum(n[order].astype(np.float64))))
+    place = np.concatenate(([0], np.cumsum(np.bincount(kind))))
+    rows = pairs.where(F.col("b") < size).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("x"))  # at most VECTORS each
+    rows = rows.select("a", F.transform("x", lambda x: x["b"]).alias("b"), F.transform("x", lambda x: x["n"].cast("double")).alias("n"))
+    rows = cut_lineage(rows.repartitionById(SLICES, F.col("a") % SLICES).sortWithinPartitions("a"), "lm-contexts")
+    fixed = spark.sparkContext.broadcast((kind, order, upto, place))
+
+    def round_of(t: int, r: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        told = spark.sparkContext.broadcast((r, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (r, q), (kind, order, upto, place) = told.value, fixed.value
+            total, gr = np.zeros_like(q), np.zeros_like(r)
+            for batch in batches:
+                a, size_of = batch.column("a").to_numpy(), np.diff(batch.column("b").offsets.to_numpy())
+                b, n = batch.column("b").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+                ends = np.cumsum(size_of)
+                at = 0
+                while at < len(a):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SUMMED)))
+                    some = slice(int(ends[at - 1]) if at else 0, int(ends[to - 1]))
+                    u = np.concatenate([np.random.default_rng([t, int(x)]).random((int(k), NOISE)) for x, k in zip(a[at:to], size_of[at:to], strict=True)])
+                    c = kind[b[some]]
+                    low, high = upto[place[c]][:, None], upto[place[c + 1]][:, None]
+                    drawn = np.searchsorted(upto, low + u * (high - low), side="right") - 1
+                    noise = order[np.clip(drawn, place[c][:, None], place[c + 1][:, None] - 1)]
+                    whose = np.repeat(a[at:to], size_of[at:to])
+                    x, y = gradients(whose, b[some], n[some], noise, r, q)
+                    for d in range(r.shape[1]):
+                        gr[:, d] += np.bincount(whose, x[:, d], len(r))
+                    total += y
+                    at = to
+            own = np.flatnonzero(np.abs(gr).sum(axis=1))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([own.astype(np.int32).tobytes()]), "gr": pa.array([gr[own].astype(np.float32).tobytes()]),
+                                              "gq": pa.array([total.astype(np.float32).tobytes()])})
+
+        got = rows.mapInArrow(run, "a binary, gr binary, gq binary").collect()  # SLICES rows or fewer, of the vectors' size
+        told.destroy()
+        gr, gq = np.zeros_like(r), np.zeros_like(q)
+        for x in sorted(got, key=lambda x: bytes(x.a)):
+            gr[np.frombuffer(x.a, np.int32)] += np.frombuffer(x.gr, np.float32).reshape(-1, width)
+            gq += np.frombuffer(x.gq, np.float32).reshape(q.shape)
+        return gr, gq
+
+    m, v = [np.zeros_like(r), np.zeros_like(q)], [np.zeros_like(r), np.zeros_like(q)]
+    first = r.copy()
+    for t in range(1, rounds + 1):
+        gr, gq = round_of(t, r, q)
+        rate = RATE * (1 - 0.9 * (t - 1) / rounds)
+        step = []
+        for i, g in enumerate((gr - PRIOR * (r - first), gq - PRIOR * q)):
+            m[i], v[i] = 0.8 * m[i] + 0.2 * g, 0.95 * v[i] + 0.05 * g * g
+            step.append(rate * (m[i] / (1 - 0.8**t)) / (np.sqrt(v[i] / (1 - 0.95**t)) + 1e-6))
+        r, q = r + 0.25 * step[0], q + step[1]
+    return r.astype(np.float32).astype(np.float64), q.astype(np.float32).astype(np.float64)
+
+
+def log_sums(r: np.ndarray, q: np.ndarray, kind: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the share of each word in its class, and of each class's sum for each word before."""
+    size, classes = len(kind), int(kind.max()) + 1 if len(kind) else 0
+    if not size:
+        return np.zeros(0), np.zeros((len(r), 0))
+    share = np.log(n / np.bincount(kind, n)[kind])
+    order = np.argsort(kind, kind="stable")
+    place = np.concatenate(([0], np.cumsum(np.bincount(kind))))[:-1]
+    out = np.zeros((len(r), classes))
+    for a in range(0, len(r), 256):
+        f = r[a:a + 256] @ q[order, :-1].T + (q[order, -1] + share[order])
+        top = np.maximum.reduceat(f, place, axis=1)
+        out[a:a + 256] = np.log(np.add.reduceat(np.exp(f - top[:, kind[order]]), place, axis=1)) + top
+    return share, out
