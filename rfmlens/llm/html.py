@@ -13,10 +13,15 @@ Pass 2 reads the pages again with their host's template and extracts the slots,
 article (or else the article body, the main element, an element named as content) rank first; on pages without such an element
 it is every slot but those of labels, and the page's top heading. A page, or its marked content, that is all template is a copy of others
 and is kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by
-their elements, roles and whole class names, outside of content by whole ids, and belong to no slot; one word of a name is only a hint: such an
-element is left out if its position is in the template and it doesn't hold most of the text. An article in an element
+their elements, roles and whole class names, outside of content by whole ids, and belong to no slot; one word of a name is only a hint: inside of
+marked content such an element loses what the template has of its text and nothing else (papers and manuals repeat
+sections like "related-work"), on other pages it is left out if its position is in the template, it lies outside of the main slot
+and it doesn't hold most of the text. An article in an element
 that is left out by its name counts where the page has no other. A header inside an article keeps its headings.
 
+What is gathered for a host is bounded: slots of labels and hinted elements count if they are on 1 / HOT_SHARE of its pages,
+so there are at most HOT_SHARE times a page's mean number of them.
+
 A block is the text between two block-level tags; a line break is white space, as are cells of a row.
 
 Cases: a null or blank page has the empty text; pages whose URL is null or has no host form one host of their own; null ids and
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmlens.llm.common import cut_lineage, lookup
+from rfmlens.llm.common import HOT_SHARE, cut_lineage, lookup
 
 SHARE, LEAST = 0.5, 3
 HELD = 200_000
@@ -306,18 +311,17 @@ def text_token(b: Block) -> int:
 
 
 def uncut(blocks: list[Block], main: int | None, cuts: frozenset[int]) -> list[Block]:
-    """Without the elements ``cuts``, but for those around the main slot or most of the page's text or of its marked text."""
-    total: dict[int, int] = {}
-    within: dict[tuple[int, int], int] = {}
+    """Without the elements ``cuts``, but for those around the main slot or in it, or most of the page's text."""
+    total = sum(len(b.text) for b in blocks)
+    within: dict[int, int] = {}
     keep: set[int] = set()
     for b in blocks:
-        total[b.kinds] = total.get(b.kinds, 0) + len(b.text)
         for h in b.hinted():
             if h in cuts:
-                within[h, b.kinds] = within.get((h, b.kinds), 0) + len(b.text)
+                within[h] = within.get(h, 0) + len(b.text)
                 if b.within(main):
                     keep.add(h)
-    keep |= {h for (h, kinds), n in within.items() if 2 * n > total[kinds]}
+    keep |= {h for h, n in within.items() if 2 * n > total}
     return [b for b in blocks if not any(h in cuts and h not in keep for h in b.hinted())]
 
 
@@ -325,7 +329,7 @@ def extract(blocks: list[Block], texts: frozenset[int], main: int | None, labels
             cuts: frozenset[int] = frozenset()) -> str:
     """The slots' text: ``texts`` are the template's text tokens, ``main`` the host's heaviest slot, ``labels`` its slots of labels and
     ``cuts`` the elements of the template with a word of NAMES."""
-    if cuts and any(b.hints for b in blocks):
+    if cuts and any(b.hints for b in blocks) and not any(b.kinds for b in blocks):
         blocks = uncut(blocks, main, cuts)
     left = [b for b in blocks if text_token(b) not in texts] if texts else blocks
     left = left or blocks  # a page that is all template is one of several copies
@@ -420,10 +424,11 @@ def templates(seen: DataFrame, share: float = SHARE, least: int = LEAST) -> Data
     slots = seen.where(F.col("is_text") & (F.col("chars") > 0)).join(known, ["host", "token"], "left_anti").groupBy("host", "slot").agg(
         F.sum("chars").alias("chars"), F.sum("prose").alias("prose"), F.max("hinted").alias("hinted"))
     # slots of fewer pages than make a template are told apart by nothing and stay
+    held = held.join(hosts, "host").withColumn("common", F.col("of") * HOT_SHARE >= F.col("n")).drop("n")
     slots = slots.join(held, ["host", "slot"], "left").groupBy("host").agg(
         F.max_by("slot", F.struct(F.col("chars") * F.when(F.col("hinted"), 1).otherwise(10), "slot")).alias("main"),
-        F.collect_list(F.when((F.col("prose") * 2 < F.col("chars")) & F.col("of").isNotNull(), F.col("slot"))).alias("labels"))
-    cuts = tags.where("hinted").join(held, ["host", "slot"]).where(F.col("support") >= share * F.col("of")).groupBy("host").agg(
+        F.collect_list(F.when((F.col("prose") * 2 < F.col("chars")) & F.col("common"), F.col("slot"))).alias("labels"))
+    cuts = tags.where("hinted").join(held, ["host", "slot"]).where((F.col("support") >= share * F.col("of")) & F.col("common")).groupBy("host").agg(
         F.collect_list("token").alias("cuts"))
     return hosts.join(texts, "host", "left").join(slots, "host", "left").join(cuts, "host", "left")
 

@@ -51,3 +51,28 @@ def test_one_word_of_a_name_cuts_what_repeats(spark):
             "<div class=share-box><p>Told {0} times to friends.</p></div></div></body>")
     got = extracted(spark, [page.format(i, "<div id=related-work><p>It was done before.</p></div>" * (i == 0)) for i in range(6)])
     assert got == [f"Own text {i} of a page of this host, which is long." + "\nIt was done before." * (i == 0) for i in range(6)]
+
+
+def test_sections_named_alike_on_all_pages_keep_their_own_text(spark):
+    """op7_html: inside of content only repeated text is cut, whatever an element's position or name; papers, manuals and Markdown sites."""
+    paper = "<body><article><h1>Paper {0}</h1><p>We show {0}.</p><section class=related-work><p>Others did {0} before.</p><p>See also the survey.</p></section></article></body>"
+    want = "Paper {0}\nWe show {0}.\nOthers did {0} before."
+    assert extracted(spark, [paper.format(i) for i in range(6)]) == [want.format(i) for i in range(6)]
+    manual = ("<body><div role=main><div class=section id=module-{0}><h1>Module {0}</h1><p>What it does in case {0}.</p><div class=section id=sharing-data>"
+              "<h2>Sharing {0}</h2><p>How to share {0}.</p></div><div class=section id=menu-design><p>Menus of {0}.</p></div></div></div></body>")
+    want = "Module {0}\nWhat it does in case {0}.\nSharing {0}\nHow to share {0}.\nMenus of {0}."
+    assert extracted(spark, [manual.format(i) for i in range(6)]) == [want.format(i) for i in range(6)]
+    notes = ("<body><div class=top>My notes</div><div class=text><h1>Note {0}</h1><p>A long enough remark on the matter number {0}, told at length.</p>"
+             "<section id=related-work><p>Earlier remarks on {0} were made.</p></section></div></body>")
+    want = "Note {0}\nA long enough remark on the matter number {0}, told at length.\nEarlier remarks on {0} were made."
+    assert extracted(spark, [notes.format(i) for i in range(6)]) == [want.format(i) for i in range(6)]
+
+
+def test_slots_of_few_pages_are_not_gathered(spark, monkeypatch):
+    """What is told of a host has a bound: slots on less than a given share of its pages aren't labels."""
+    monkeypatch.setattr(H, "HOT_SHARE", 2)
+    page = "<body><div class=b><p>Own text {0} of a page of this host, which is long.</p></div><div class={1}>Seen {0}</div></body>"
+    rows = spark.createDataFrame([(i, "h", page.format(i, "xyz"[i % 3])) for i in range(12)], "row long, host string, html string")
+    assert H.templates(H.tokens(rows)).first().labels == []
+    monkeypatch.setattr(H, "HOT_SHARE", 3)
+    assert len(H.templates(H.tokens(rows)).first().labels) == 3
