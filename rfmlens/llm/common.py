@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rfmlens.session import cut_lineage, stage_path
 
-__all__ = ["HOT_SHARE", "cut_lineage", "fold", "lookup", "shared_code", "stage_path", "words"]
+__all__ = ["HOT_SHARE", "cut_lineage", "fold", "lookup", "shared_code", "stage_path", "unused", "words"]
 
 #: A key is hot when it holds more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
@@ -44,6 +44,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int, spread: Column) -> DataFrame:
     """Left join of ``right``, which has one row per key, without putting a hot key into one task.
 

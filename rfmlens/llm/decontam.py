@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmlens.llm.common import cut_lineage
+from rfmlens.llm.common import cut_lineage, unused
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -93,9 +93,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows whose text contains an item."""
-    leaks = cut_lineage(find_leaks(docs, items, **how).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "leaks")
-    return docs.join(leaks, F.col(how.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(F.col(how.get("text_col", "text")).cast("string")) == F.col("__version")), "left_anti")
+    own_id, version = unused(docs, "leak_id"), unused(docs, "leak_version")
+    leaks = cut_lineage(find_leaks(docs, items, **how).select(F.col("doc_id").alias(own_id), F.col("version").alias(version)).distinct(), "leaks")
+    return docs.join(leaks, F.col(how.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col(own_id))
+                     & (F.xxhash64(F.col(how.get("text_col", "text")).cast("string")) == F.col(version)), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +106,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+WITH dw AS (SELECT DISTINCT doc_id, md5(text) AS version, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+            FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
-i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
-n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
-f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
-FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles
+i AS (SELECT DISTINCT item_id, k, list_sort(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')))) AS hs
+      FROM (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE len(w) > 0)),
+s AS (SELECT item_id, k, hs, unnest(hs) AS s FROM i),
+d AS (SELECT DISTINCT doc_id, version, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s
+      FROM dw CROSS JOIN (SELECT DISTINCT k FROM i)),
+f AS (SELECT doc_id, version, item_id, hs, count(*) AS n_found FROM d JOIN s USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, len(hs) AS n_shingles, n_found, n_found / len(hs) AS containment
+FROM f WHERE n_found >= 0.8 * len(hs)
 """

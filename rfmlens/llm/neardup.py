@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmlens.llm.common import cut_lineage, lookup
+from rfmlens.llm.common import cut_lineage, lookup, unused
 
 BANDS, ROWS = 36, 5
 #: The signature by which pairs are verified first: the lower halves of all minima, of which so many must agree. Of 180, sets of
@@ -89,12 +89,6 @@ def name_of(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def narrow(df: DataFrame, name: str) -> DataFrame:
-    """Stage a table of few short columns with an eighth of the shuffle's partitions: its tasks would be too small otherwise."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.coalesce(max(4, n // 8)), name)
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
@@ -120,16 +114,14 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, version long, n long, node long, bands array<long>, signature binary")
 
 
-def buckets(sketches: DataFrame) -> DataFrame:
-    """h, node, of buckets with several rows, and the bucket's hub and number of nodes; staged."""
-    rows = sketches.where(F.col("node").isNotNull()).select(F.explode("bands").alias("h"), "node")
-    several = narrow(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "bucket-sizes")
+def buckets(nodes: DataFrame) -> DataFrame:
+    """h, node, size (nodes) and hub of buckets with several nodes, from node and bands of each node; staged."""
+    rows = nodes.select(F.explode(F.array_distinct("bands")).alias("h"), "node")
+    sizes = cut_lineage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     # both sides of these joins are plain tables, so AQE splits the partition of a hot bucket
-    members = cut_lineage(rows.join(several.select("h"), "h").distinct(), "members")
-    sizes = narrow(members.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
-    members = cut_lineage(members.join(sizes.withColumnRenamed("k", "size"), "h"), "members")
+    members = cut_lineage(rows.join(sizes, "h"), "members")
     degree = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))  # a node is in BANDS buckets at most
-    hubs = narrow(members.join(degree, "node").groupBy("h").agg(
+    hubs = cut_lineage(members.join(degree, "node").groupBy("h").agg(
         F.max_by("node", F.struct("degree", "node")).alias("hub")), "hubs")
     return cut_lineage(members.join(hubs, "h"), "buckets")
 
@@ -142,9 +134,9 @@ def agree(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose signatures agree enough; ``a`` may occur in many."""
-    pairs = narrow(pairs, "candidates")
+    pairs = cut_lineage(pairs, "candidates")
     often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    often = narrow(often.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a"), "often")
+    often = cut_lineage(often.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a"), "often")
     with_a = lookup(pairs, often, ["a"], "k", pairs.count(), F.col("b"))
     return with_a.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").where(F.pandas_udf(agree, "boolean")("sa", "sb")).select("a", "b")
 
@@ -185,7 +177,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     """Those of the pairs (a, b) of nodes whose full sets reach the similarity; ``a`` may occur in many."""
     sized = cut_lineage(pairs.join(nodes.select(F.col("node").alias("b"), "doc_id", "version", "n"), "b"), "sized-pairs")
     # pairs of one ``a`` are dealt into chunks of about BLOCK_SHINGLES
-    load = narrow(sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("chunks"), F.count(F.lit(1)).alias("k")), "load")
+    load = cut_lineage(sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("chunks"), F.count(F.lit(1)).alias("k")), "load")
     others = lookup(sized, load, ["a"], "k", sized.count(), F.col("b")).select(
         "doc_id", "version", "a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("other"))
     own = load.join(nodes.select(F.col("node").alias("a"), "doc_id", "version"), "a").select(
@@ -218,17 +210,17 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = narrow(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count(F.lit(1)).alias("k")), "low")
+        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count(F.lit(1)).alias("k")), "low")
         total = low.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
         near = lookup(both, low, ["u"], "k", total, F.col("v"))
         if large:
             out = near.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
         else:
             out = near.select(F.col("v").alias("a"), F.col("low").alias("b")).union(low.select(F.col("u").alias("a"), F.col("low").alias("b")))
-        return narrow(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        return cut_lineage(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = narrow(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = cut_lineage(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     now = state(edges)
     while True:
         edges, before = star(star(edges, True), False), now
@@ -248,10 +240,10 @@ def open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = cut_lineage(rows.select("h", "node", "label"), "labelled")
     per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(
         F.max_by("label", F.struct("k", "label")).alias("unit"), F.count(F.lit(1)).alias("parts"))
-    still = narrow(per.where("parts > 1").drop("parts"), "open-buckets")
+    still = cut_lineage(per.where("parts > 1").drop("parts"), "open-buckets")
     out = rows.join(still, "h").where("label != unit")
-    out = narrow(out.select("unit", "node", "label").distinct().withColumn("open", F.lit(True)), "open")
-    units = narrow(out.select(F.col("unit").alias("label")).distinct(), "units")
+    out = cut_lineage(out.select("unit", "node", "label").distinct().withColumn("open", F.lit(True)), "open")
+    units = cut_lineage(out.select(F.col("unit").alias("label")).distinct(), "units")
     own = rows.select("node", "label").distinct().join(units, "label", "left_semi")
     # nodes of a unit in no open bucket of three share none with its open nodes
     return out.unionByName(own.select(F.col("label").alias("unit"), "node", "label", F.lit(False).alias("open")))
@@ -266,7 +258,7 @@ def confirm_open(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     per = rows.groupBy("unit").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("n"))) / F.lit(BLOCK_SHINGLES)),
                                                 F.lit(1)).cast("long").alias(name) for name, c in (("xs", F.col("open")), ("ys", F.lit(True)))],
                                    F.count(F.lit(1)).alias("k"))
-    per = narrow(per, "unit-blocks")
+    per = cut_lineage(per, "unit-blocks")
     rows = lookup(rows, per, ["unit"], "k", rows.count(), F.col("node"))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
@@ -328,23 +320,25 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     nodes = cut_lineage(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct("doc_id", "version")).alias("r"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k")).select(
         "node", "r.*", "low", "n", "k"), "nodes")
-    members = buckets(rows)
+    # copies have one sketch: the first of each set, before any join, so that large groups of copies count once
+    sketches = cut_lineage(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("signature").alias("signature")), "node-sketches")
+    members = buckets(sketches.select("node", "bands"))
     named = members.select("node").distinct()
-    signatures = cut_lineage(rows.select("node", "signature").join(named, "node", "left_semi").groupBy("node").agg(
-        F.first("signature").alias("signature")), "signatures")
+    signatures = cut_lineage(sketches.select("node", "signature").join(named, "node", "left_semi"), "signatures")
     stars = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = cut_lineage(confirm(alike(stars, signatures), nodes=nodes, **args), "links")
-    labels = narrow(components(links), "labels")
+    labels = cut_lineage(components(links), "labels")
     more = cut_lineage(confirm_open(open_rows(members, labels), nodes=nodes, **args), "links")
     if more.head(1):
-        labels = narrow(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
+        labels = cut_lineage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
     # the smallest id of each component, and of each set with copies
     part = nodes.select("node", "low", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     part = cut_lineage(part, "parts")
-    low = narrow(part.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k"), F.sum("k").alias("rows")).where("rows > 1").drop("rows"), "lows")
+    low = cut_lineage(part.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k"), F.sum("k").alias("rows")).where("rows > 1").drop("rows"), "lows")
     ids = lookup(part.select("node", "label", F.col("k").alias("copies")), low, ["label"], "k", part.count(), F.col("node"))
     ids = ids.where("copies > 1 or label != node or component_id is not null")
-    ids = narrow(ids.select("node", "label", "component_id", F.col("copies").alias("k")), "components")
+    ids = cut_lineage(ids.select("node", "label", "component_id", F.col("copies").alias("k")), "components")
     out = lookup(rows.select("doc_id", "version", "n", "node"), ids, ["node"], "k", rows.count(), F.struct("doc_id", "version"))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "version", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
@@ -354,17 +348,18 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id (then of the smallest hash of the text); texts without shingles stay."""
     rows = cut_lineage(groups(docs, size, percent, id_col, text_col).where("group is not null").select("doc_id", "version", "group"), "groups")
-    first = narrow(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("r"),
+    first = cut_lineage(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("r"),
                                                   F.count(F.lit(1)).alias("k")).where("k > 1"), "firsts")
     near = lookup(rows, first, ["group"], "k", rows.count(), F.struct("doc_id", "version")).where("r is not null")
     same = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("version") == F.col("r.version"))
-    near = cut_lineage(near.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), same.alias("stays")), "decisions")
-    drop = near.where("not stays").select("__id", "__version").distinct()
-    repeated = near.where("stays").groupBy("__id", "__version").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    here = [F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(text_col).cast("string")) == F.col("__version")]
-    drop = narrow(drop, "drop")
+    own_id, version = unused(docs, "near_id"), unused(docs, "near_version")
+    near = cut_lineage(near.select(F.col("doc_id").alias(own_id), F.col("version").alias(version), same.alias("stays")), "decisions")
+    drop = near.where("not stays").select(own_id, version).distinct()
+    repeated = near.where("stays").groupBy(own_id, version).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    here = [F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), F.xxhash64(F.col(text_col).cast("string")) == F.col(version)]
+    drop = cut_lineage(drop, "drop")
     out = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, here, "left_anti")
-    repeated = narrow(repeated, "repeated")
+    repeated = cut_lineage(repeated, "repeated")
     if repeated.head(1):  # rows that share id and text: one of them stays
         again = out.join(repeated, here, "left_semi").dropDuplicates([id_col, text_col])
         out = out.join(repeated, here, "left_anti").unionByName(again)

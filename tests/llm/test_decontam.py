@@ -86,3 +86,24 @@ def test_main_path_is_native(spark):
 def test_query_against_sql(spark):
     from tools.compare_oracle import compare
     assert compare(spark, "/root/testdata/sf0.001", ["op10_decontamination"]) == {"op10_decontamination": "ok"}
+
+
+def test_sql_knows_short_items(spark, tmp_path):
+    import duckdb
+    docs = [(1, "we saw only three words here"), (2, "single and more"), (3, "a b c d e f g"), (3, "a b c d e f z"), (4, None), (5, ""), (None, "x y z a b c d e f")]
+    items = [(1, "only three words"), (2, "Single"), (3, "a b c d e f g"), (4, ""), (5, None), (3, "a b c d e f g")]
+    a, b = frames(spark, docs, items)
+    a.write.parquet(f"{tmp_path}/documents.parquet")
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = D.op10_decontamination(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(D.OP10_SQL).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {r[1] for r in want} == {1, 2, 3}
+
+
+def test_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "clean text", 7, 8)], "doc_id long, text string, leak_id int, __id int")
+    kept = D.drop_leaks(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", 7, 8)]

@@ -163,3 +163,10 @@ def test_long_texts_and_empty_table(spark):
     assert run(spark, [(2, long), (1, long + " more")], 2) == [(1, 60_002, 1, True), (2, 60_001, 1, False)]
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").where("false")
     assert N.groups(df).count() == 0
+
+
+def test_columns_with_names_of_its_own(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(2, text, 5, 6, "x"), (1, text, 7, 8, "y")], "doc_id long, text string, near_id int, __id int, __version string")
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, 7, 8, "y")]
