@@ -174,11 +174,18 @@ def _sql() -> str:
         return t
 
     whole = "trim(regexp_replace({}, '[ \n]+', ' ', 'g'))".format
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    quote = lambda t: "'{}'".format(t.replace("'", "''"))
+    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in [*KNOWN, *HEADERS, *SPDX])
+    full = ", ".join(f"({quote(d)}, {quote(n)})" for n, d in DIGESTS)
     return f"""
-WITH k AS (SELECT sha256({whole(lines('t'))}) AS digest, min(n) AS license FROM (VALUES {values}) AS v(n, t) GROUP BY 1),
+WITH k AS (SELECT digest, min(license) AS license FROM (
+             SELECT sha256(c) AS digest, n AS license FROM (SELECT {whole(lines('t'))} AS c, n FROM (VALUES {values}) AS v(n, t)) WHERE c <> ''
+             UNION ALL SELECT * FROM (VALUES {full}) AS f(digest, license)) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS r, doc_id, {lines('text')} AS lines FROM documents),
-l AS (SELECT r, sha256(trim(x)) AS digest FROM (SELECT r, unnest(string_split(lines, '\n')) AS x FROM d)),
+u AS (SELECT r, trim(x) AS x FROM (SELECT r, unnest(string_split(lines, '\n')) AS x FROM d)
+      UNION ALL
+      SELECT r, replace(p, '\n', ' ') FROM (SELECT r, trim(unnest(string_split_regex(lines, '\n\n+')), '\n') AS p FROM d) WHERE contains(p, '\n')),
+l AS (SELECT r, sha256(x) AS digest FROM u WHERE x <> ''),
 f AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM l JOIN k USING (digest) GROUP BY r),
 w AS (SELECT r, doc_id, sha256({whole('lines')}) AS digest FROM d)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices

@@ -39,3 +39,19 @@ def test_own_table_and_shuffle_join(spark, monkeypatch):
 def test_query_against_sql(spark):
     from tools.compare_oracle import compare
     assert compare(spark, "/root/testdata/sf0.001", ["op8_licenses"]) == {"op8_licenses": "ok"}
+
+
+def test_sql_knows_what_the_query_knows(spark, tmp_path):
+    """Short texts, file headers over several lines, SPDX tags and full texts by digest: each row in Spark and in SQL."""
+    import duckdb
+    from rfmlens.llm.license_texts import HEADERS
+    texts = [t for _, t in L.KNOWN[:6]] + [t for _, t in HEADERS] + ["# " + t.replace("\n", "\n# ") + "\n\ncode()" for _, t in HEADERS]
+    texts += ["SPDX-License-Identifier: BSD-3-Clause", "// SPDX-License-Identifier: GPL-3.0-only\nx\n", "a\n\n\nb\nc", "\nreleased under\nthe MIT license.\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = L.op8_licenses(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(L.OP8_SQL).project(", ".join(got.columns)).fetchall()
+    key = lambda r: r[0]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert sum(r[2] is not None for r in want) >= 8 and sum(r[4] > 0 for r in want) >= 2 * len(HEADERS)
