@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from rfmlens import config as C  # noqa: E402
 from rfmlens.plans import clustering, profiling, scoring  # noqa: E402
+from rfmlens.session import clear_stages  # noqa: E402
 from rfmlens.sources.sinks import write_csv, write_parquet  # noqa: E402
 
 
@@ -72,6 +73,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"rfmlens-{args.job}").getOrCreate()
+    try:
+        _run(args, spark)
+    finally:
+        clear_stages(spark)   # the results are written: nothing reads them any more
+
+
+def _run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.job == "score":
         cfg = C.ScoringConfig(anchor_day=args.anchor_day, daily_excluded=args.daily_excluded,
                               spend_excluded=args.spend_excluded, category_col=args.category_col,

@@ -68,9 +68,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Stage folders given out since the last ``clear_stages``.
+_STAGES: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh location under the shared folder for one stage table."""
-    return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGES.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Remove the stage tables that this process has made, through the file system that Spark uses for them; their number.
+
+    For the end of a job, when its results are written: frames that still read a stage table can't be used
+    afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame, name: str = "stage", parquet: bool = True) -> DataFrame:
