@@ -45,13 +45,8 @@ def read_monthly(spark: SparkSession, root: str, months: Sequence[str] | None =
     return df
 
 
-def has_files(spark: SparkSession, root: str) -> bool:
-    """Whether there is a Parquet file below ``root``; any other fault raises."""
-    return bool(_files(spark, root))
-
-
-def _files(spark: SparkSession, root: str) -> list[str]:
-    """Parquet files below ``root`` (from the file index, nothing is read); none where the folder is missing."""
+def parquet_files(spark: SparkSession, root: str) -> list[str]:
+    """Parquet files below ``root`` (from the file index, nothing is read); none where the folder is missing, any other fault raises."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     try:
         return sorted(listing.load(root).inputFiles())
@@ -96,14 +91,15 @@ def schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[Struc
 
 
 def read_conformed(spark: SparkSession, root: str, schema: StructType, months: Sequence[str] | None = None,
-                   month_col: str = "month") -> DataFrame:
+                   month_col: str = "month", files: Sequence[str] | None = None) -> DataFrame:
     """A ``month=yyyyMM`` table with the names and types of ``schema``, whatever types a month was written with.
 
-    A column or field that a file's schema lacks raises. Only the files of ``months`` are listed, so nothing else is read.
+    A column or field that a file's schema lacks raises. Only files of ``months`` are read; ``files`` saves the listing.
     """
     token = f"/{month_col}="
     wanted = None if months is None else {str(m) for m in months}
-    files = [f for f in _files(spark, root) if wanted is None or f.rsplit(token, 1)[-1].split("/")[0] in wanted]
+    found = parquet_files(spark, root) if files is None else files
+    files = [f for f in found if wanted is None or f.rsplit(token, 1)[-1].split("/")[0] in wanted]
     by_partition = any(token in f for f in files)
     parts = []
     for own, paths in schema_groups(spark, files):

@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from rfmlens.config import ScoringConfig
 from rfmlens.operators.spend import category_usage, latest_prices, monthly_spend
 from rfmlens.session import cut_lineage, stage_path
-from rfmlens.sources.readers import has_files, read_conformed, read_monthly
+from rfmlens.sources.readers import parquet_files, read_conformed, read_monthly
 from rfmlens.sources.sinks import write_parquet
 
 
@@ -38,16 +38,17 @@ def refresh_keys(spark: SparkSession, changed: DataFrame, usage_root: str, devic
     months = sorted(r[0] for r in changed.select("month").distinct().collect())
     if not months:
         return
-    if not has_files(spark, usage_root) or not has_files(spark, devices_root):
+    usage_files, device_files = parquet_files(spark, usage_root), parquet_files(spark, devices_root)
+    if not usage_files or not device_files:
         return  # nothing has both sides yet; the other side's files bring the keys again
-    usage = read_conformed(spark, usage_root, usage_schema, months)
-    devices = read_conformed(spark, devices_root, device_schema, months)
+    usage = read_conformed(spark, usage_root, usage_schema, months, files=usage_files)
+    devices = read_conformed(spark, devices_root, device_schema, months, files=device_files)
     priced = latest_prices(devices.join(changed, keys, "left_semi"), cfg.fx_rate, keys)
     streaming = category_usage(usage.join(changed, keys, "left_semi"), taxonomy, cfg.category,
                                cfg.category_col, cfg.spend_excluded, cfg.key)
     spend = monthly_spend(priced, streaming, cfg.key)
     held: set[str] = set()
-    if has_files(spark, out_path):
+    if parquet_files(spark, out_path):
         before = read_monthly(spark, out_path, months)
         held = {r[0] for r in before.select("month").distinct().collect()}   # months again
         spend = spend.unionByName(before.join(changed, keys, "left_anti").select(*spend.columns))

@@ -14,7 +14,7 @@ from rfmlens.operators.audience import key_sketches, merged_counts
 from rfmlens.operators.rank import RankSpec, changed_counts, percent_ranks, ranks_from_counts, value_counts
 from rfmlens.operators.rfm import refresh_rfm_months, rfm_base, rfm_base_of
 from rfmlens.operators.spend import latest_prices
-from rfmlens.sources.readers import has_files, read_monthly
+from rfmlens.sources.readers import parquet_files, read_monthly
 from rfmlens.sources.sinks import write_segments
 from rfmlens.streaming import monthly_spend_stream
 
@@ -83,7 +83,7 @@ def test_months_of_differing_types(spark, tmp_path):
 
 
 def test_missing_folder_is_told_from_other_faults(spark, tmp_path):
-    assert not has_files(spark, str(tmp_path / "nothing"))
+    assert parquet_files(spark, str(tmp_path / "nothing")) == []
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.parquet").write_text("no parquet")
     with pytest.raises(Exception):
