@@ -8,6 +8,7 @@ import corpus_pipeline as C
 from rfmlens.llm import langid, neardup, pieces, quality
 from tests.llm.test_decontam import brute as leaks_of
 from tests.llm.test_neardup import brute as groups_of
+from tests.llm.test_slow_scores import crc, slow_mixture, slow_ranking
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,9 +79,25 @@ def test_pieces(stages):
     assert len(got) == len(texts) and all(r.ids == [1, *spm.encode(texts[r.doc_id]), 2] and r.n_tokens == len(r.ids) for r in got)
 
 
-def test_run(spark, stages):
+def test_run_against_slow_stages(spark, stages):
+    """The whole of ``run`` against stages that share no code with the operators."""
+    spm = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=pieces.model_bytes())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    told = slow_mixture([(d.lang, d.text) for d in docs])
+    found = [(d, *told(d.text)) for d in docs]
+    assert all(abs(s - 0.5) > 0.01 for _, _, s in found)
+    docs = [d for d, lang, s in found if lang != "und" and s >= 0.5]
+    texts = {d.doc_id: d.text for d in docs}
+    labels = sorted({(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in texts and crc(r.doc_id, 4) != 2})
+    score = slow_ranking(texts, labels)
+    left = [(d.doc_id, d.text) for d in docs if score(d.text) >= 0.7]
+    kept = {r[0] for r in groups_of(left, 5) if r[3]}
+    left = [(i, t) for i, t in left if i in kept]
+    bad = {x[0] for x in leaks_of(left, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
+    want = {i: [1, *spm.encode(t), 2] for i, t in left if i not in bad}
     got = C.run(spark, SF)
-    assert got.columns == stages[-1].columns and got.count() > 50
+    assert got.columns == stages[-1].columns
+    assert {r.doc_id: r.ids for r in got.collect()} == want and len(want) > 50
 
 
 def test_empty_documents(spark):

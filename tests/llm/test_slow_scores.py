@@ -36,10 +36,9 @@ def shape(text):
     return first + [math.log(x + 0.01) for x in (share[0], share[5], share[4], odd, again, 1 - different, 1 - pairs)] + [float(not words)]
 
 
-def test_quality_against_slow_ranking(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    labels = sorted({(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if crc(r.doc_id, 4) != 2 and r.doc_id in docs})
-    rows = np.array([shape(docs[i]) for i, _ in labels])
+def slow_ranking(texts, labels):
+    """The score of a text, learned from (id, quality) of ``labels`` and the texts of these ids, pair by pair."""
+    rows = np.array([shape(texts[i]) for i, _ in labels])
     mean = rows.sum(axis=0) / len(rows)
     scale = np.sqrt(((rows - mean) ** 2).sum(axis=0) / len(rows)) + 1e-6
     z = np.minimum(np.maximum((rows - mean) / scale, -10), 10)
@@ -57,11 +56,17 @@ def test_quality_against_slow_ranking(spark):
     strengths = sorted(z @ w)
     cut = min(max(round(len(bad) / len(labels) * len(labels)), 1), len(labels) - 1)
     at = (strengths[cut - 1] + strengths[cut]) / 2
-    want = {i: 1 / (1 + math.exp(-((np.array(shape(t)) - mean) / scale @ w - at + math.log(0.7 / 0.3)))) for i, t in docs.items()}
+    return lambda t: 1 / (1 + math.exp(-((np.array(shape(t)) - mean) / scale @ w - at + math.log(0.7 / 0.3))))
+
+
+def test_quality_against_slow_ranking(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = sorted({(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if crc(r.doc_id, 4) != 2 and r.doc_id in docs})
+    want = slow_ranking(docs, labels)
     got = {r.doc_id: r for r in quality.op5_quality(spark, SF).collect()}
     assert set(got) == set(docs)
     for i, r in got.items():
-        assert abs(r.score - want[i]) < 1e-6 and r.held_out == (crc(i, 4) == 2) and r.predicted == (r.score >= 0.7)
+        assert abs(r.score - want(docs[i])) < 1e-6 and r.held_out == (crc(i, 4) == 2) and r.predicted == (r.score >= 0.7)
 
 
 def trigrams(text):
@@ -70,13 +75,16 @@ def trigrams(text):
     return Counter((((b[k] | b[k + 1] << 8 | b[k + 2] << 16) * 2654435761 % 2**32) >> 15) % 4096 for k in range(len(b) - 2))
 
 
-def test_language_against_slow_mixture(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    alpha = lambda t: t is not None and any(c.isalpha() for c in t)
+def alpha(t):
+    return t is not None and any(c.isalpha() for c in t)
+
+
+def slow_mixture(known):
+    """Language and score of a text, learned from (lang, text) pairs, trigram by trigram."""
     count = {}
-    for d in docs:
-        if crc(d.doc_id, 5) and d.lang is not None and alpha(d.text):
-            count.setdefault(d.lang, Counter()).update(trigrams(d.text))
+    for lang, text in known:
+        if lang is not None and alpha(text):
+            count.setdefault(lang, Counter()).update(trigrams(text))
     names = sorted(count)
     total = {x: sum(c.values()) + 0.5 * 4096 for x, c in count.items()}
     chance = lambda x, g: (count[x][g] + 0.5) / total[x]
@@ -97,18 +105,13 @@ def test_language_against_slow_mixture(spark):
         return share
 
     worth = lambda seen, share: sum(k * math.log(sum(share[x] * chance(x, g) for x in names)) for g, k in seen.items())
-    got = {r.doc_id: r for r in langid.op6_langid(spark, SF).collect()}
-    assert len(got) == len(docs)
-    for d in docs:
-        r = got[d.doc_id]
-        assert r.held_out == (crc(d.doc_id, 5) == 0)
-        if not alpha(d.text):
-            assert (r.lang_pred, r.score) == ("und", 0.0)
-            continue
-        seen = trigrams(d.text)
+
+    def told(text):
+        if not alpha(text):
+            return "und", 0.0
+        seen = trigrams(text)
         cost = 4 * math.log(max(2, sum(seen.values())))
-        alone = [{x: float(x == y) for x in names} for y in names]
-        best = max(alone, key=lambda s: worth(seen, s))
+        best = max(({x: float(x == y) for x in names} for y in names), key=lambda s: worth(seen, s))
         top = worth(seen, best)
         full = mixture(seen, {x: 1 / len(names) for x in names})
         if worth(seen, full) - cost > top:  # else no further language pays
@@ -118,4 +121,16 @@ def test_language_against_slow_mixture(spark):
                 s = mixture(seen, {x: y / sum(part.values()) for x, y in part.items()}) if k < len(names) else full
                 if worth(seen, s) - (k - 1) * cost > top:
                     best, top = s, worth(seen, s) - (k - 1) * cost
-        assert r.lang_pred == max(names, key=lambda x: best[x]) and abs(r.score - max(best.values())) < 0.01
+        return max(names, key=lambda x: best[x]), max(best.values())
+
+    return told
+
+
+def test_language_against_slow_mixture(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    told = slow_mixture([(d.lang, d.text) for d in docs if crc(d.doc_id, 5)])
+    got = {r.doc_id: r for r in langid.op6_langid(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r, (lang, score) = got[d.doc_id], told(d.text)
+        assert r.held_out == (crc(d.doc_id, 5) == 0) and r.lang_pred == lang and abs(r.score - score) < 0.01
