@@ -2,7 +2,8 @@
 
 Learning counts hashed byte trigrams of all training texts per language. A document is explained as a
 mixture: expectation-maximisation estimates the share of each language from the n-gram likelihoods, all documents of a
-block at once in matrix products. Among the nested sets of its largest shares the document gets the one with
+block at once in matrix products, each until no share of its own moves by ``SETTLED``. That ends: a round that moves shares by d gains at least
+n * d^2 / 2 of log-likelihood. Among the nested sets of its largest shares the document gets the one with
 the highest log-likelihood less ``penalty * log(n)`` for each further language; its prediction is the largest share
 of that set, which is also its score.
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 UND = "und"
 BUCKETS = 4096
-ROUNDS = 25
+#: A document's shares are found when a round moves none of them by so much.
+SETTLED = np.float32(1e-4)
 BLOCK = 128
 #: ASCII other than letters becomes a space.
 SPACED = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
@@ -56,7 +58,7 @@ class Languages:
     names: tuple[str, ...]
     p: np.ndarray
 
-    def shares(self, x: np.ndarray, penalty: float, rounds: int = ROUNDS) -> np.ndarray:
+    def shares(self, x: np.ndarray, penalty: float) -> np.ndarray:
         """Share of each language (0 outside the chosen set) for a matrix of counts, a row for each document."""
         x = x.astype(np.float64)
         n = x.sum(axis=1)
@@ -68,7 +70,7 @@ class Languages:
         size = len(self.names)
         if size == 1:
             return best
-        full = self._em(x, np.full_like(one, 1 / size), rounds)
+        full = self._em(x, np.full_like(one, 1 / size))
         most = self._ll(x, full)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         for k in range(2, size + 1):
@@ -77,21 +79,22 @@ class Languages:
             if not len(left):
                 break
             start = np.where(rank[left] < k, full[left], 0)
-            pi = full[left] if k == size else self._em(x[left], start / start.sum(axis=1, keepdims=True), rounds)
+            pi = full[left] if k == size else self._em(x[left], start / start.sum(axis=1, keepdims=True))
             value = self._ll(x[left], pi) - (k - 1) * cost[left]
             better = value > top[left]
             best[left[better]], top[left[better]] = pi[better], value[better]
         return best
 
-    def _em(self, x: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    def _em(self, x: np.ndarray, pi: np.ndarray) -> np.ndarray:
+        p, x, pi = self.p.astype(np.float32), x.astype(np.float32), pi.astype(np.float32)
         n = np.maximum(x.sum(axis=1, keepdims=True), 1)
-        p, x = self.p.astype(np.float32), x.astype(np.float32)
-        pi = pi.astype(np.float32)
-        for _ in range(rounds):
-            before = pi
-            pi = pi * ((x / (pi @ p)) @ p.T) / n
-            if np.abs(pi - before).max(initial=0) < 1e-4:
-                break
+        moving = np.arange(len(x))
+        while len(moving):
+            before = pi[moving]
+            pi[moving] = before * ((x / (before @ p)) @ p.T) / n
+            on = np.abs(pi[moving] - before).max(axis=1) >= SETTLED
+            if not on.all():
+                moving, x, n = moving[on], x[on], n[on]
         pi = pi.astype(np.float64)
         return pi / pi.sum(axis=1, keepdims=True)
 

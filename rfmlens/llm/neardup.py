@@ -176,8 +176,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose full sets reach the similarity; ``a`` may occur in many."""
     sized = cut_lineage(pairs.join(nodes.select(F.col("node").alias("b"), "doc_id", "version", "n"), "b"), "sized-pairs")
-    # pairs of one ``a`` are dealt into chunks of about BLOCK_SHINGLES
-    load = cut_lineage(sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("chunks"), F.count(F.lit(1)).alias("k")), "load")
+    # pairs of one ``a`` are dealt into chunks of about BLOCK nodes or BLOCK_SHINGLES, whichever is less
+    load = cut_lineage(sized.groupBy("a").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("chunks"),
+                                              F.count(F.lit(1)).alias("k")), "load")
     others = lookup(sized, load, ["a"], "k", sized.count(), F.col("b")).select(
         "doc_id", "version", "a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("other"))
     own = load.join(nodes.select(F.col("node").alias("a"), "doc_id", "version"), "a").select(

@@ -42,7 +42,7 @@ def test_choice_of_set_against_all_sets():
         cost, best = 4 * np.log(3000), None
         for k in (1, 2, 3):
             for s in combinations(range(3), k):
-                pi = m._em(x, np.array([[1 / k if j in s else 0 for j in range(3)]]), 200)
+                pi = m._em(x, np.array([[1 / k if j in s else 0 for j in range(3)]]))
                 v = float(m._ll(x, pi)[0] - (k - 1) * cost)
                 best = max(best or (-np.inf, None), (v, s))
         assert tuple(np.flatnonzero(m.shares(x, 4.0)[0])) == best[1]
@@ -60,3 +60,17 @@ def test_edges(spark):
     nothing = L.learn(docs.where("false"), F.lit(True))
     assert nothing.names == () and {r.language.lang for r in L.identify(docs, nothing).collect()} == {"und"}
     assert L.identify(docs.where("false"), m).count() == 0
+
+
+def test_a_document_settles_alone(spark):
+    """Shares don't depend on the other documents of the block, nor stop at a number of rounds."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(60, 5.0), 4)
+    model = L.Languages(("a", "b", "c", "d"), p)
+    x = rng.multinomial(4000, p.mean(axis=0), 40) + rng.poisson(np.linspace(0, 9, 40))[:, None]
+    start = np.full((40, 4), 0.25)
+    together = model._em(x.astype(float), start)
+    alone = np.vstack([model._em(x[i:i + 1].astype(float), start[i:i + 1]) for i in range(40)])
+    assert np.abs(together - alone).max() < 1e-4
+    once_more = together * ((x / (together @ p)) @ p.T) / x.sum(axis=1, keepdims=True)
+    assert np.abs(once_more - together).max() < 1.1e-4

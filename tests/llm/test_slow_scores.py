@@ -91,7 +91,8 @@ def slow_mixture(known):
 
     def mixture(seen, start):
         share, n = dict(start), sum(seen.values())
-        for _ in range(langid.ROUNDS):
+        moved = 1.0
+        while moved >= 1e-4:
             new = dict.fromkeys(names, 0.0)
             for g, k in seen.items():
                 whole = sum(share[x] * chance(x, g) for x in names)
@@ -100,8 +101,6 @@ def slow_mixture(known):
             new = {x: y / n for x, y in new.items()}
             moved = max(abs(new[x] - share[x]) for x in names)
             share = new
-            if moved < 1e-5:
-                break
         return share
 
     worth = lambda seen, share: sum(k * math.log(sum(share[x] * chance(x, g) for x in names)) for g, k in seen.items())
