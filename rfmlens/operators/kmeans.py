@@ -10,6 +10,7 @@ other labels. Here nothing depends on the layout:
   centres of one sequence start the fit of every k.
 * **Lloyd steps for all k at once.** One scan labels each row for every k that still moves; sums are keyed by (k, centre), so a step is one job of a few
   dozen rows whatever the number of fits. A fit ends when no centre changed, which whole numbers make exact, or after ``max_iter`` steps.
+  Centres are array constants, walked by higher-order functions: the generated code stays as small for a sweep as for one fit, and is compiled once.
 * **Silhouettes for all k at once** from the clusters' sums in closed form, each row's rounded down to ``1e-9`` before it is added.
 
 Only centres, their counts and one number a fit come to the driver. Ties go to the lower centre, rows with equal draws to the smaller key; labels are
@@ -85,17 +86,27 @@ def points_of(df: DataFrame, features: Sequence[str], key: str = "ifa") -> Point
     return Points(cut_lineage(rows.select(key, *z), "points"), key, tuple(features), tuple(factors))
 
 
-def _square(z: Sequence[Column], centre: Sequence[int]) -> Column:
-    total = None
-    for x, c in zip(z, centre):
-        d = x - F.lit(int(c)).cast("long")
-        total = d * d if total is None else total + d * d
-    return total
+def _constant(centres: Centres) -> str:
+    """The centres as one SQL array, which the planner folds into a single constant."""
+    return "array(" + ",".join("array(" + ",".join(f"{int(x)}L" for x in c) + ")" for c in centres) + ")"
 
 
-def _nearest(z: Sequence[Column], centres: Centres) -> Column:
-    """struct(d, j): squared distance and number of the nearest centre."""
-    return F.array_min(F.array(*[F.struct(_square(z, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)]))
+def _nearest(z: Sequence[Column], centres: Column) -> Column:
+    """struct(d, j): squared distance and number of the nearest of an array of centres."""
+    def far(c: Column, j: Column) -> Column:
+        total = None
+        for i, x in enumerate(z):
+            d = (x - c[i]) * (x - c[i])
+            total = d if total is None else total + d
+        return F.struct(total.alias("d"), j.alias("j"))
+
+    return F.array_min(F.transform(centres, far))
+
+
+def _labels(z: Sequence[Column], centres: Mapping[int, Centres]) -> Column:
+    """A struct(k, n: struct(d, j)) a fit, exploded."""
+    fits = F.expr("array(" + ",".join(f"named_struct('k', {int(k)}, 'c', {_constant(c)})" for k, c in centres.items()) + ")")
+    return F.explode(F.transform(fits, lambda f: F.struct(f["k"].alias("k"), _nearest(z, f["c"]).alias("n"))))
 
 
 def _uniform(key: str, seed: int, turn: int) -> Column:
@@ -107,7 +118,7 @@ def start_centres(points: Points, k: int, seed: int = DEFAULT_SEED) -> Centres:
     """Up to k different centres: one pass of the points each."""
     z, out = points.z, []
     for turn in range(k):
-        rows = points.rows.select(points.key, *z, _nearest(z, out)["d"].cast("double").alias("w")) if out else points.rows.withColumn("w", F.lit(1.0))
+        rows = points.rows.select(points.key, *z, _nearest(z, F.expr(_constant(out)))["d"].cast("double").alias("w")) if out else points.rows.withColumn("w", F.lit(1.0))
         draw = (-F.log(_uniform(points.key, seed, turn))) / F.col("w")
         got = rows.where(F.col("w") > 0).agg(F.min_by(F.struct(*z), F.struct(draw, F.col(f"`{points.key}`")))).first()[0]
         if got is None:
@@ -140,10 +151,9 @@ def fit_from(points: Points, starts: Mapping[int, Centres], max_iter: int = 20)
 def _sums(points: Points, centres: Mapping[int, Centres]) -> dict[tuple[int, int], tuple[int, list[int], int]]:
     """(k, centre): rows, sums of the coordinates, squared distances. One job for all k."""
     z = points.z
-    told = [F.struct(F.lit(k).alias("k"), (n := _nearest(z, c))["j"].alias("j"), n["d"].alias("d")) for k, c in centres.items()]
-    rows = points.rows.select(*z, F.explode(F.array(*told)).alias("t"))
+    rows = points.rows.select(*z, _labels(z, centres).alias("t"))
     whole = lambda c: F.sum(c.cast("decimal(19,0)"))
-    got = rows.groupBy("t.k", "t.j").agg(F.count(F.lit(1)), *[whole(c) for c in z], whole(F.col("t.d"))).collect()  # a row a centre
+    got = rows.groupBy("t.k", "t.n.j").agg(F.count(F.lit(1)), *[whole(c) for c in z], whole(F.col("t.n.d"))).collect()  # a row a centre
     return {(r[0], r[1]): (r[2], [int(x) for x in r[3:-1]], int(r[-1])) for r in got}
 
 
@@ -156,34 +166,34 @@ def silhouettes(points: Points, fits: Mapping[int, Fitted]) -> dict[int, float]:
     norm = F.lit(0).cast("long")
     for x in z:
         norm = norm + x * x
-    told = [F.struct(F.lit(k).alias("k"), _nearest(z, f.centres)["j"].alias("j")) for k, f in fits.items()]
-    rows = points.rows.select(*z, norm.alias("norm"))
+    rows = points.rows.select(*z, norm.alias("norm"), _labels(z, {k: f.centres for k, f in fits.items()}).alias("t"))
+    rows = rows.select(*z, "norm", "t.k", F.col("t.n.j").alias("own"))
     whole = lambda c: F.sum(c.cast("decimal(19,0)"))
-    stats = {(r[0], r[1]): r for r in rows.select("*", F.explode(F.array(*told)).alias("t")).groupBy("t.k", "t.j").agg(
-        F.count(F.lit(1)), whole(F.col("norm")), *[whole(c) for c in z]).collect()}
-
-    def of(f: Fitted) -> Column:
-        own, dist = _nearest(z, f.centres)["j"], {}
-        for j in range(len(f.centres)):
-            if (f.k, j) not in stats:
-                continue
-            _, _, n, q, *t = stats[f.k, j]
-            cross = None
-            for x, s in zip(z, t):
-                part = x.cast("double") * F.lit(float(s))
-                cross = part if cross is None else cross + part
-            dist[j] = (F.col("norm").cast("double") * F.lit(float(n)) + F.lit(float(q)) - F.lit(2.0) * cross, int(n))
-        a = F.lit(None).cast("double")
-        single = F.lit(False)
-        for j, (d, n) in dist.items():
-            a = F.when(own == j, d / F.lit(float(max(n - 1, 1)))).otherwise(a)
-            single = single | ((own == j) & F.lit(n == 1))
-        b = F.least(*[F.when(own != j, d / F.lit(float(n))) for j, (d, n) in dist.items()])
-        s = F.when(single, F.lit(0.0)).when(a < b, F.lit(1.0) - a / b).when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0))
-        return F.sum(F.floor(s * F.lit(float(PART))))
-
-    got = rows.agg(F.count(F.lit(1)), *[of(f) for f in fits.values()]).first()
-    return {k: float(s) / PART / got[0] for k, s in zip(fits, got[1:])}
+    stats = rows.groupBy("k", "own").agg(F.count(F.lit(1)), whole(F.col("norm")), *[whole(c) for c in z]).collect()  # a row a centre
+    told = []
+    for k in fits:
+        of_k = [f"named_struct('j', {j}, 'n', {float(n)!r}D, 'q', {float(q)!r}D, 's', array({','.join(f'{float(x)!r}D' for x in sums)}))"
+                for kk, j, n, q, *sums in sorted(stats) if kk == k]
+        told.append(f"{int(k)}, array({','.join(of_k)})")
+
+    def total(c: Column) -> Column:
+        """Squared distances from the row to all of a cluster."""
+        cross = None
+        for i, x in enumerate(z):
+            part = x.cast("double") * c["s"][i]
+            cross = part if cross is None else cross + part
+        return F.struct(c["j"].alias("j"), c["n"].alias("n"), (F.col("norm").cast("double") * c["n"] + c["q"] - F.lit(2.0) * cross).alias("d"))
+
+    own = F.col("own")
+    rows = rows.select("k", "own", F.transform(F.element_at(F.expr(f"map({', '.join(told)})"), F.col("k")), total).alias("to"))
+    rows = rows.select(
+        "k", F.array_max(F.transform("to", lambda c: F.when(c["j"] == own, c["d"] / F.greatest(c["n"] - F.lit(1.0), F.lit(1.0))))).alias("a"),
+        F.array_min(F.transform("to", lambda c: F.when(c["j"] != own, c["d"] / c["n"]))).alias("b"),
+        F.exists("to", lambda c: (c["j"] == own) & (c["n"] == F.lit(1.0))).alias("single"))
+    a, b = F.col("a"), F.col("b")
+    s = F.when(F.col("single"), F.lit(0.0)).when(a < b, F.lit(1.0) - a / b).when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0))
+    got = rows.groupBy("k").agg(F.count(F.lit(1)), F.sum(F.floor(s * F.lit(float(PART))))).collect()  # a row a fit
+    return {k: float(s) / PART / n for k, n, s in got}
 
 
 def fit(points: Points, k: int, seed: int = DEFAULT_SEED, max_iter: int = 20) -> Fitted | None:
@@ -202,7 +212,7 @@ def sweep(points: Points, ks: Sequence[int], seed: int = DEFAULT_SEED, max_iter:
 
 def label(points: Points, fitted: Fitted, out: str = "cluster") -> DataFrame:
     """ML-6: key and label of every point."""
-    return points.rows.select(points.key, _nearest(points.z, fitted.centres)["j"].cast("int").alias(out))
+    return points.rows.select(points.key, _nearest(points.z, F.expr(_constant(fitted.centres)))["j"].cast("int").alias(out))
 
 
 def label_rows(df: DataFrame, points: Points, fitted: Fitted, out: str = "cluster") -> DataFrame:
@@ -211,4 +221,4 @@ def label_rows(df: DataFrame, points: Points, fitted: Fitted, out: str = "cluste
     complete = F.lit(True)
     for c in points.features:
         complete = complete & _rounded(c).isNotNull()
-    return df.where(complete).withColumn(out, _nearest(z, fitted.centres)["j"].cast("int"))
+    return df.where(complete).withColumn(out, _nearest(z, F.expr(_constant(fitted.centres)))["j"].cast("int"))
