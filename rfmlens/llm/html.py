@@ -3,10 +3,11 @@
 Pass 1 reads every page as tokens: a tag token is an element with the path of elements above it, a text token the text of a block with its
 path. Each token has an occurrence vector, its number of occurrences on every page of the host, which is kept as the
 exclusive or of a hash of (page, number) and so adds up in any order. Tokens of a host with the same vector form an
-equivalence class. A text token is valid if its class holds a tag and it occurs on at least ``SHARE`` of the pages of its type (and on
-``LEAST`` at least); these are the pages that hold the slot, an element with all those above it, so types of pages are told apart by
-their roots and slots nest by their paths. Valid text tokens are the host's template, i.e. boilerplate; what lies between its elements
-are slots. The slot with the most text outside of the template is the host's main slot; slots whose other text is mostly labels
+equivalence class. Classes nest: a class lies in that of the element around it, and one whose tokens lie in several others is
+told apart into a class for each of them. A text token is valid if its class, so told apart, holds a tag, or the element around it is of
+its own vector, and it occurs on at least ``SHARE`` of the pages of its type (and on ``LEAST`` at least); these are the pages that hold the
+slot, an element with all those above it, so types of pages are told apart by their roots and slots nest by their paths. Valid text tokens
+are the host's template, i.e. boilerplate; what lies between its elements are slots. The slot with the most text outside of the template is the host's main slot; slots whose other text is mostly labels
 (few words and no sentence: dates, counters, links) are boilerplate, too.
 
 Pass 2 reads the pages again with their host's template and extracts the slots, without the template's texts. Slots inside an
@@ -415,16 +416,18 @@ def templates(seen: DataFrame, share: float = SHARE, least: int = LEAST) -> Data
     often = seen.where(F.col("support") >= least)
     tags = often.where(~F.col("is_text"))
     # pages of a type are those that hold the slot: its path names the page's root and all elements down to it
-    held = tags.select("host", F.when(F.col("token") == PAGE, 0).otherwise(F.col("token")).alias("slot"), F.col("support").alias("of"))
-    valid = often.where("is_text").join(tags.select("host", "vector").distinct(), ["host", "vector"], "left_semi").join(
-        held, ["host", "slot"]).where(F.col("support") >= share * F.col("of"))
+    held = tags.select("host", F.when(F.col("token") == PAGE, 0).otherwise(F.col("token")).alias("slot"), F.col("support").alias("of"), F.col("vector").alias("outer"))
+    # an element is on all pages that its inner tokens are on, so every token has the class around it; elements enclose those of their own class, too
+    nested = tags.join(held.drop("of"), ["host", "slot"]).select("host", "vector", "outer").union(tags.select("host", "vector", "vector")).distinct()
+    valid = often.where("is_text").join(held, ["host", "slot"]).where(F.col("support") >= share * F.col("of")).join(
+        nested, ["host", "vector", "outer"], "left_semi")
     # at least ``share`` of a slot's pages hold each, so a slot has at most its mean number of blocks / share of them
     texts = cut_lineage(valid.groupBy("host").agg(F.collect_list("token").alias("texts")), "template")
     known = texts.select("host", F.explode("texts").alias("token"))
     slots = seen.where(F.col("is_text") & (F.col("chars") > 0)).join(known, ["host", "token"], "left_anti").groupBy("host", "slot").agg(
         F.sum("chars").alias("chars"), F.sum("prose").alias("prose"), F.max("hinted").alias("hinted"))
     # slots of fewer pages than make a template are told apart by nothing and stay
-    held = held.join(hosts, "host").withColumn("common", F.col("of") * HOT_SHARE >= F.col("n")).drop("n")
+    held = held.drop("outer").join(hosts, "host").withColumn("common", F.col("of") * HOT_SHARE >= F.col("n")).drop("n")
     slots = slots.join(held, ["host", "slot"], "left").groupBy("host").agg(
         F.max_by("slot", F.struct(F.col("chars") * F.when(F.col("hinted"), 1).otherwise(10), "slot")).alias("main"),
         F.collect_list(F.when((F.col("prose") * 2 < F.col("chars")) & F.col("common"), F.col("slot"))).alias("labels"))

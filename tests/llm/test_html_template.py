@@ -1,5 +1,8 @@
 """Main text: what the template decides."""
 
+import random
+from collections import Counter
+
 from rfmlens.llm import html as H
 
 
@@ -76,3 +79,52 @@ def test_slots_of_few_pages_are_not_gathered(spark, monkeypatch):
     assert H.templates(H.tokens(rows)).first().labels == []
     monkeypatch.setattr(H, "HOT_SHARE", 3)
     assert len(H.templates(H.tokens(rows)).first().labels) == 3
+
+
+def test_classes_nest(spark):
+    """op7_html: a text is no template for a tag of the same pages that lies in another class than the text does."""
+    once = "Told once more, as agreed."
+    page = lambda i: ("<body>" + f"<div class=a><p>Own text {i} of this page, long enough.</p>{f'<p>{once}</p>' * (i < 5)}</div>" * (i < 8)
+                      + f"<div class=b><p>Other text {i} of this page, long enough.</p></div>" * (i < 5) + f"<p>End {i} of the page, as it is.</p></body>")
+    rows = spark.createDataFrame([(i, "h", page(i)) for i in range(10)], "row long, host string, html string")
+    assert not H.templates(H.tokens(rows)).first().texts
+    assert all((once in t) == (i < 5) for i, t in enumerate(extracted(spark, [page(i) for i in range(10)])))
+    beside = lambda i: page(i).replace("</div><div class=b>", "<div class=b></div></div><div class=b>", 1)
+    rows = spark.createDataFrame([(i, "h", beside(i)) for i in range(10)], "row long, host string, html string")
+    assert len(H.templates(H.tokens(rows)).first().texts) == 1  # now a tag of its class lies in the same slot
+
+
+def slow_template(pages):
+    """Valid text tokens of one host, from whole vectors."""
+    count, around, text = [], {H.PAGE: 0}, {}
+    for page in pages:
+        tags, blocks, above = H.read(page)
+        around |= {t: x[0] for t, x in above.items()}
+        text |= {H.text_token(b): b.slot for b in blocks}
+        count.append(Counter(tags) + Counter(H.text_token(b) for b in blocks) + Counter([H.PAGE]))
+    vector = lambda t: tuple(c[t or H.PAGE] for c in count)
+    pages_of = lambda t: sum(x > 0 for x in vector(t))
+    classes = {(vector(t), vector(s)) for t, s in around.items()} | {(vector(t), vector(t)) for t in around}
+    return {t for t, s in text.items() if pages_of(t) >= max(H.LEAST, H.SHARE * pages_of(s)) and (vector(t), vector(s)) in classes}
+
+
+def test_templates_against_whole_vectors(spark):
+    """op7_html: random hosts of optional, repeated and nested elements."""
+    draw = random.Random(5)
+
+    def shape(depth):
+        """Name, text (of the page's own, or the same on all), how often on how many pages, and what is inside."""
+        inner = [shape(depth - 1) for _ in range(draw.randint(1, 3))] if depth else []
+        return draw.choice("abc"), draw.choice(["own {}", "same", "like"]), draw.choice([1, 1, 2]), draw.choice([2, 2, 3, 9]), inner
+
+    def render(part, i):
+        name, words, times, often, inner = part
+        inside = "".join(render(x, i) for x in inner)
+        return f"<div class={name}><p>{words.format(i)}</p>{inside}</div>" * times if i % often or often == 9 else inside
+
+    shapes = [shape(2) for _ in range(20)]
+    hosts = {f"h{k}": [render(x, i) for i in range(draw.randint(4, 16))] for k, x in enumerate(shapes)}
+    rows = [(k * 100 + i, h, p) for k, (h, pages) in enumerate(hosts.items()) for i, p in enumerate(pages)]
+    got = {r.host: set(r.texts or ()) for r in H.templates(H.tokens(spark.createDataFrame(rows, "row long, host string, html string"))).collect()}
+    want = {h: slow_template(pages) for h, pages in hosts.items()}
+    assert got == want and sum(map(bool, want.values())) > 5
