@@ -28,6 +28,7 @@ from rfmlens.config import REFERENCE_DAILY_EXCLUDED
 from rfmlens.functions.dates import days_before, month_start, months_before, usage_day
 from rfmlens.functions.scalar import channel_allowed
 from rfmlens.operators.skew import join_per_key
+from rfmlens.session import cut_lineage
 
 
 def explode_apps(usage: DataFrame, key: str = "ifa", array_col: str = "app",
@@ -41,6 +42,30 @@ def explode_apps(usage: DataFrame, key: str = "ifa", array_col: str = "app",
     return exploded.select(key, *keep, *[F.col(f"col.{f}").alias(f) for f in fields])
 
 
+#: Pairs of an app and a connection that one task groups; nearly all are groups of their own.
+PAIRS_PER_TASK = 500_000
+
+
+def cross_counts(usage: DataFrame, key: str = "ifa", month: str = "month", app: str = "app",
+                 connection: str = "connection", channel: str = "req_con_type_desc",
+                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """GEN-2 as written: every app of a record with every connection of it, counted per device, month, app and channel.
+
+    The pairs are many times the bytes of the records, and hardly any share a group. So the records move, not the
+    pairs, and over as many tasks as the number of pairs asks for: a task holds the groups of about ``pairs_per_task``
+    pairs whatever the size of the table or the session's partitions. Eager: the records are staged and their pairs
+    counted from the array sizes. A device's month lies in one task, which keeps its groups, not its pairs.
+    """
+    records = cut_lineage(usage.select(key, month, app, connection), "cross_records")
+    n_of = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")  # noqa: E731 -- none for a null array
+    pairs = records.agg(F.sum(n_of(app) * n_of(connection))).first()[0] or 0
+    dealt = records.repartition(max(1, -(-int(pairs) // pairs_per_task)), key, month)
+    crossed = dealt.select(key, month, connection, F.explode(app).alias("a")).select(
+        key, month, "a.bundle", "a.brq_count", F.explode(connection).alias("c"))
+    return crossed.groupBy(key, month, "bundle", F.col(f"c.{channel}").alias(channel)).agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("brq_count").alias("brq"))
+
+
 def with_usage_dates(events: DataFrame, anchor_day: dt.date, ts: str = "last_seen") -> DataFrame:
     """FN-1..4: day, month start, months and days before the anchors."""
     anchor_month = anchor_day.replace(day=1)

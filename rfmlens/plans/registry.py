@@ -29,7 +29,7 @@ from rfmlens.operators.profile import (band_distribution, band_values, category_
 from rfmlens.operators.rfm import refresh_rfm_months, rfm_base, rfm_base_of, rfm_scores
 from rfmlens.operators.spend import category_usage, latest_device, latest_prices, peak_spend
 from rfmlens.operators.taxonomy import app_taxonomy
-from rfmlens.operators.usage import channel_links, enrich_usage, enriched_daily_summary, explode_apps, with_usage_dates
+from rfmlens.operators.usage import channel_links, cross_counts, enrich_usage, enriched_daily_summary, explode_apps, with_usage_dates
 from rfmlens.plans import scoring
 from rfmlens.functions.scalar import try_double
 from rfmlens.plans.profiling import load_clustered, round_doubles
@@ -70,10 +70,7 @@ def q_explode_star(spark, d):
 
 def q_explode_cross(spark, d):
     """GEN-2 as written: a record's apps times its connections (a handful each), counted."""
-    pairs = S.usage(spark, d).select("ifa", "month", "connection", F.explode("app").alias("a")).select(
-        "ifa", "month", "a.bundle", "a.brq_count", F.explode("connection").alias("c"))
-    return pairs.groupBy("ifa", "month", "bundle", F.col("c.req_con_type_desc").alias("req_con_type_desc")).agg(
-        F.count(F.lit(1)).alias("pairs"), F.sum("brq_count").alias("brq"))
+    return cross_counts(S.usage(spark, d))
 
 
 def q_userbase_tree(spark, d):

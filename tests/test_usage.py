@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from fixtures import frames
-from rfmlens.operators.usage import (daily_usage, enrich_usage, enriched_daily_summary,
+from rfmlens.operators.usage import (cross_counts, daily_usage, enrich_usage, enriched_daily_summary,
                                      explode_apps, usage_histogram, with_usage_dates)
 
 ANCHOR = dt.date(2021, 4, 30)
@@ -87,3 +87,20 @@ def test_daily_usage_dedupe_channels(spark):
     got = daily_usage(explode_apps(usage), ub, ANCHOR, ("WIFI",), dedupe_channels=True)
     # d001 has two allowed userbase rows; deduplicated, the day's usage counts once
     assert rows(got.where("ifa = 'd001' and date = '2021-01-26'"), "sum_brq_daily") == [(7,)]
+
+
+def test_cross_counts_deal_records_by_their_pairs(spark):
+    """Tasks follow the number of pairs, not the session's partitions; null and empty arrays have none."""
+    usage = spark.sql("""
+        SELECT id % 50 AS ifa, array(named_struct('bundle', id, 'last_seen', 0, 'brq_count', 2L), named_struct('bundle', 7L, 'last_seen', 0, 'brq_count', 3L)) AS app,
+               array(named_struct('req_con_type_desc', 'WIFI'), named_struct('req_con_type_desc', CAST(NULL AS STRING))) AS connection, '200108' AS month FROM range(500)""")
+    empty = usage.limit(1).withColumn("app", F.expr("CAST(array() AS array<struct<bundle: bigint, last_seen: int, brq_count: bigint>>)"))
+    usage = usage.unionByName(empty).unionByName(empty.withColumn("app", F.lit(None)).withColumn("ifa", F.lit(None))).unionByName(
+        usage.limit(1).withColumn("connection", F.lit(None)))
+    few, many = cross_counts(usage), cross_counts(usage, pairs_per_task=100)
+    assert rows(few) == rows(many)
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, 20)   # 500 * 2 * 2 pairs
+    got = {(r.ifa, r.bundle, r.req_con_type_desc): (r.pairs, r.brq) for r in many.collect()}
+    assert sum(p for p, _ in got.values()) == 2000 and got[3, 7, "WIFI"] == (10, 30) and got[3, 53, None] == (1, 2)
+    none = cross_counts(empty)
+    assert none.collect() == []
