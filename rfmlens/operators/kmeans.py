@@ -149,12 +149,46 @@ def fit_from(points: Points, starts: Mapping[int, Centres], max_iter: int = 20)
 
 
 def _sums(points: Points, centres: Mapping[int, Centres]) -> dict[tuple[int, int], tuple[int, list[int], int]]:
-    """(k, centre): rows, sums of the coordinates, squared distances. One job for all k."""
-    z = points.z
-    rows = points.rows.select(*z, _labels(z, centres).alias("t"))
-    whole = lambda c: F.sum(c.cast("decimal(19,0)"))
-    got = rows.groupBy("t.k", "t.n.j").agg(F.count(F.lit(1)), *[whole(c) for c in z], whole(F.col("t.n.d"))).collect()  # a row a centre
-    return {(r[0], r[1]): (r[2], [int(x) for x in r[3:-1]], int(r[-1])) for r in got}
+    """(k, centre): rows, sums of the coordinates, squared distances. One job for all k: a task adds up its rows in
+    whole arrays and sends one row a centre."""
+    names = [f"z{i}" for i in range(len(points.features))]
+    fixed = {k: list(c) for k, c in centres.items()}
+
+    def run(batches):  # needs nothing of this library where it runs
+        from decimal import Decimal
+
+        import numpy as np
+        import pyarrow as pa
+
+        def exact(x):  # the sum in parts that can't pass 64 bits
+            return (int((x >> 32).sum()) << 32) + int((x & 0xFFFFFFFF).sum())
+
+        sums = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            most = max(max(abs(int(x.min())), abs(int(x.max()))) for x in z)
+            for k, at in fixed.items():
+                if (most + max(abs(x) for c in at for x in c)) ** 2 * len(z) >= 1 << 63 and max(
+                        sum((x.astype(float) - v) ** 2 for x, v in zip(z, c)).max() for c in at) >= 2.0 ** 63:
+                    raise OverflowError("squared distances pass 64 bits")
+                far = np.stack([sum((x - v) * (x - v) for x, v in zip(z, c)) for c in at])
+                own = far.argmin(axis=0)  # of equal distances the lower centre
+                near = far[own, np.arange(len(own))]
+                for j in np.unique(own).tolist():
+                    of_j = own == j
+                    new = [int(of_j.sum()), *[exact(x[of_j]) for x in z], exact(near[of_j])]
+                    sums[k, j] = [a + b for a, b in zip(sums[k, j], new)] if (k, j) in sums else new
+        if sums:
+            columns = zip(*sums.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in sums], pa.int32()), pa.array([j for _, j in sums], pa.int32()),
+                 *[pa.array([Decimal(x) for x in c], pa.decimal128(28, 0)) for c in columns]], ["k", "j", "n", *names, "d"])
+
+    of_tasks = points.rows.select(*names).mapInArrow(run, "k int, j int, " + ", ".join(f"{c} decimal(28,0)" for c in ("n", *names, "d")))
+    got = of_tasks.groupBy("k", "j").agg(*[F.sum(c) for c in ("n", *names, "d")]).collect()  # a row a centre
+    return {(r[0], r[1]): (int(r[2]), [int(x) for x in r[3:-1]], int(r[-1])) for r in got}
 
 
 def silhouettes(points: Points, fits: Mapping[int, Fitted]) -> dict[int, float]:

@@ -94,3 +94,20 @@ def test_clustering_job_keeps_rows_and_labels_them_alike(spark):
     assert model.columns == ["ifa", "other", "x", "y", "cluster"] and model.count() == 240
     assert [r.k for r in sweep.collect()] == [2, 3, 6]
     assert {(r.ifa, r.cluster) for r in model.collect()} == {(r.ifa, r.cluster) for r in again.collect()}
+
+
+def test_steps_add_up_in_tasks_and_stay_exact(spark, monkeypatch):
+    """A Lloyd step makes no row for each (point, fit); its sums are exact past 64 bits and at far offsets, ties go to the lower centre."""
+    monkeypatch.setattr(K, "_labels", None)
+    far, wide = 1 << 40, 2_900_000_000
+    rows = [(i, far + (i % 2) * wide, -far) for i in range(40)]
+    points = K.Points(spark.createDataFrame(rows, "ifa long, z0 long, z1 long").repartition(5), "ifa", FEATURES, (1.0, 1.0))
+    at = {1: [(far, -far)], 2: [(far, -far), (far + 10, -far)], 3: [(far - 1, -far), (far + 1, -far), (far + wide, -far)]}
+    got = K._sums(points, at)
+    assert got[1, 0] == (40, [40 * far + 20 * wide, -40 * far], 20 * wide * wide)   # 1.7e20
+    assert got[2, 0][0] == 20 and got[2, 1] == (20, [20 * (far + wide), -20 * far], 20 * (wide - 10) ** 2)
+    assert got[3, 0] == (20, [20 * far, -20 * far], 20) and (3, 1) not in got and got[3, 2][2] == 0
+    with pytest.raises(Exception, match="64 bits"):
+        K._sums(points, {1: [(far - 2 * wide, -far)]})
+    nothing = K.Points(points.rows.where("ifa < 0"), "ifa", FEATURES, (1.0, 1.0))
+    assert K._sums(nothing, at) == {}
