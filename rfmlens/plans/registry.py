@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from rfmlens.config import REFERENCE_AUDIENCE_LABEL, REFERENCE_FEATURES, REFERENCE_SWEEP_KS
 from rfmlens.operators import kmeans
@@ -489,7 +489,9 @@ def q_audience_files(spark, d):
     """SNK-6, SNK-7: files of a given number of ids, counted from the files themselves."""
     path = stage_path(spark, "audience_files")
     export_audiences(_rule_clustered(spark, d), path, "csv", label=REFERENCE_AUDIENCE_LABEL, rows_per_file=AUDIENCE_ROWS)
-    rows = spark.read.option("header", "true").csv(path).select("cluster", F.col("_metadata.file_path").alias("f"))
+    # With a declared schema the files are listed once; inferring one lists each file again.
+    ids = StructType([StructField(REFERENCE_AUDIENCE_LABEL, StringType()), StructField("cluster", IntegerType())])
+    rows = spark.read.schema(ids).option("header", "true").csv(path).select("cluster", F.col("_metadata.file_path").alias("f"))
     per_file = rows.groupBy("cluster", "f").agg(F.count(F.lit(1)).alias("n"))
     return per_file.groupBy("cluster").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"), F.max("n").alias("most"))
 

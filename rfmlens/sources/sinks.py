@@ -64,7 +64,9 @@ def write_segments(df: DataFrame, path: str, segment: str = "cluster", key: str
         numbered = global_row_number(pairs, [key], within=[segment], out="file", first=0)
         numbered = numbered.withColumn("file", F.floor(F.col("file") / F.lit(n)))
         # A task that holds several files of a segment has them in order, so all but the last are full: the writer cuts at n rows.
-        pairs = numbered.repartition(segment, "file").sortWithinPartitions(segment, "file").drop("file")
+        # Small files cost their number, not their bytes: with a stated number of tasks they aren't merged into a few tasks by size.
+        tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        pairs = numbered.repartition(tasks, segment, "file").sortWithinPartitions(segment, "file").drop("file")
     elif files_per_segment:
         salt = F.pmod(F.xxhash64(F.col(key)), F.lit(int(files_per_segment)))
         pairs = pairs.repartition(segment, salt) if files_per_segment > 1 else pairs.repartition(segment)

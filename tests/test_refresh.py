@@ -138,3 +138,12 @@ def test_sketches_merge(spark):
     stored = key_sketches(df, ["month"])
     n = merged_counts(stored).first().n_keys
     assert abs(n - 2500) < 75 and stored.count() == 4
+
+
+def test_small_files_are_written_by_all_tasks(spark, tmp_path):
+    """Files cost their number: they aren't merged into one task because they are small."""
+    df = spark.range(2000).select((F.col("id") % 4).cast("int").alias("cluster"), F.col("id").cast("string").alias("ifa"))
+    path = tmp_path / "many"
+    write_segments(df, str(path), fmt="csv", rows_per_file=10, label="Mobile Device ID")
+    names = [f.name for f in path.glob("cluster=*/part-*.csv")]
+    assert len(names) == 200 and len({n.split("-")[1] for n in names}) > 4
